@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, line_dedup, quality, sharding, token_orc
+from . import bpe, decontaminate, exact_dedup, line_dedup, quality, sharding, suffix_dedup, token_orc, trie_join
 from .common import documents
 
 
@@ -26,6 +26,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(spark, documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op4_trie_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_join.jaccard_components(spark, documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), [1.0] * 8)
 
@@ -46,7 +50,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(spark, documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_decontamination, op5_sharding, op6_token_orc, op7_bpe, op8_line_dedup, op9_quality)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(spark, documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_decontamination, op4_trie_jaccard, op5_sharding, op6_token_orc, op7_bpe, op8_line_dedup, op9_quality, op10_suffix_dedup)}
 
 SQL = {
     "op1_exact_dedup": r"""
@@ -64,6 +72,18 @@ SQL = {
         it AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM m) GROUP BY doc_id)
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)""",
+    "op4_trie_jaccard": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM d, range(1, greatest(len(w) - 4, 1) + 1) AS t(i) WHERE len(w) > 0),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT x, y FROM p JOIN n AS u ON u.doc_id = x JOIN n AS v ON v.doc_id = y WHERE 100 * k >= 75 * (u.n + v.n - k)),
+        e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+        r AS (SELECT doc_id, doc_id AS z FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.z),
+        c AS (SELECT doc_id, string_agg(g, chr(10) ORDER BY g) AS whole FROM s GROUP BY doc_id),
+        m AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY whole) AS class_id FROM c)
+        SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, (SELECT min(z) FROM r WHERE r.doc_id = d.doc_id) AS component_id, coalesce(m.class_id, d.doc_id) AS class_id
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)""",
     "op8_line_dedup": r"""
         WITH l AS (SELECT doc_id, i, lines[i] AS line, translate(regexp_replace(lines[i], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
                    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents), range(1, len(lines) + 1) AS t(i)),
