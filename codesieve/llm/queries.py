@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, line_dedup, quality, sharding, suffix_dedup, token_orc, trie_join
+from . import bpe, chat, decontaminate, exact_dedup, line_dedup, quality, sharding, suffix_dedup, token_orc, trie_join
 from .common import documents
 
 
@@ -26,6 +26,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(spark, documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op3_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = [(-7, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))]
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.chat_digests(spark, rows.unionByName(spark.createDataFrame(probe, "conv_id bigint, turn bigint, role string, text string")))
+
+
 def op4_trie_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_join.jaccard_components(spark, documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "class_id")
 
@@ -54,7 +60,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(spark, documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_decontamination, op4_trie_jaccard, op5_sharding, op6_token_orc, op7_bpe, op8_line_dedup, op9_quality, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_decontamination, op3_chat_tree, op4_trie_jaccard, op5_sharding, op6_token_orc, op7_bpe, op8_line_dedup, op9_quality, op10_suffix_dedup)}
 
 SQL = {
     "op1_exact_dedup": r"""
@@ -72,6 +78,13 @@ SQL = {
         it AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM m) GROUP BY doc_id)
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)""",
+    "op3_chat_tree": r"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+        f AS (SELECT *, regexp_extract_all(text, '<<SYS>>|<</SYS>>|\[INST\]|\[/INST\]|<s>|</s>|<<ROLE>>|<</ROLE>>|<<TURN>>|<</TURN>>') AS marks FROM c)
+        SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+               sum(length(replace(text, '\', '\\')) + len(marks) + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 ELSE 7 END)::BIGINT AS formatted_chars
+        FROM f GROUP BY conv_id""",
     "op4_trie_jaccard": r"""
         WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
         s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM d, range(1, greatest(len(w) - 4, 1) + 1) AS t(i) WHERE len(w) > 0),
