@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codesieve.llm import bpe, decontaminate, line_dedup, quality
+from codesieve.llm import bpe, decontaminate, line_dedup, quality, trie_join
 from codesieve.llm.common import Workspace
 from codesieve.llm.queries import table, tokenizer
 
@@ -19,6 +19,11 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(spark, docs)
 
 
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that link by shared shingles one stays."""
+    return trie_join.keep_one(spark, docs)
+
+
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     return decontaminate.decontaminate(spark, docs, table(spark, sf_dir, "benchmark"))
@@ -29,7 +34,7 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return bpe.encode(docs, tokenizer("word_bpe_49k.json"))
 
 
-STAGES = [("quality classifier", quality_stage), ("line dedup", line_stage), ("benchmark decontamination", decontamination_stage), ("BPE encoding and decoding", encoding_stage)]
+STAGES = [("quality classifier", quality_stage), ("line dedup", line_stage), ("n-gram Jaccard join", near_duplicate_stage), ("benchmark decontamination", decontamination_stage), ("BPE encoding and decoding", encoding_stage)]
 ORACLE_SQL = None
 
 
