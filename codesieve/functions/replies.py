@@ -91,8 +91,18 @@ def validator(check: Callable[[object], object], field: str, returns: str):
     return run
 
 
-parse_findings = validator(findings, "findings", "array<struct<" + ",".join(x.strip().replace(" ", ":") for x in FINDING.split(",")) + ">>")
-parse_verdict = validator(verdict, "verdict", "struct<" + ",".join(x.strip().replace(" ", ":") for x in VERDICT.split(",")) + ">")
+def ddl(fields: str) -> str:
+    return "struct<" + ",".join(x.strip().replace(" ", ":") for x in fields.split(",")) + ">"
+
+
+def parse_findings(text: Column) -> Column:
+    """struct(ok, findings, error) of a reply's JSON."""
+    return validator(findings, "findings", f"array<{ddl(FINDING)}>")(text)
+
+
+def parse_verdict(text: Column) -> Column:
+    """struct(ok, verdict, error) of a judge's JSON."""
+    return validator(verdict, "verdict", ddl(VERDICT))(text)
 
 
 def object_in(reply: Column) -> Column:

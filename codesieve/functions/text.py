@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,13 +11,14 @@ from pyspark.sql import functions as F
 WS = r"\t\n\x0B\f\r \xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 #: Characters that `.` doesn't match.
 LINE_ENDS = r"\n\r\u2028\u2029"
-#: An ASCII word edge; Java's own is Unicode-aware.
-EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+#: ASCII word edges; Java's own \\b is Unicode-aware.
+BEGIN, END = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 
 
 def java_regex(pattern: str) -> str:
-    r"""A pattern in the catalogue's notation (\b, \s, .) for rlike and regexp_replace."""
-    return pattern.replace(r"\b", EDGE).replace(r"\s", f"[{WS}]").replace(".*", f"[^{LINE_ENDS}]*")
+    r"""A pattern in the catalogue's notation (\b next to a word character, \s, .*) for rlike and regexp_replace."""
+    edged = re.sub(r"\\b(?=\w)", lambda m: BEGIN, pattern).replace(r"\b", END)
+    return edged.replace(r"\s", f"[{WS}]").replace(".*", f"[^{LINE_ENDS}]*")
 
 
 def collapse_ws(c: Column) -> Column:
