@@ -79,7 +79,8 @@ def phrase_matches(docs: DataFrame, windows: DataFrame, anchor_table: DataFrame,
     """(doc_id, item_id, at, length): exact occurrences of windows, word positions from 0."""
     found = ws.save(alignments(anchor_table, index), "alignments")
     asked = found.join(windows, "window_id").select("doc_id", "item_id", "at", "terms")
-    there = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(found.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("w"))
+    # documents found grow with the corpus, so they are never broadcast, however few they are here
+    there = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(found.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("w"))
     return ws.save(there.join(asked, "doc_id").filter(F.slice("w", F.col("at") + 1, F.size("terms")) == F.col("terms")).select("doc_id", "item_id", "at", F.size("terms").alias("length")).distinct(), "matches")
 
 
