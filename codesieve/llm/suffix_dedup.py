@@ -4,8 +4,8 @@
    anchors, so windows whose anchor no document of other content has can't repeat. Anchors are counted over all documents.
 2. Windows that follow each other under one anchor make a context (some 75 bytes). Contexts under shared anchors are
    written once; equal ones are aggregated before the shuffle to the smallest doc_id.
-3. Where an anchor has contexts that differ, their suffixes are sorted: multikey quicksort on words of 8 bytes to a
-   shallow depth of 16, then blind tries for suffixes that still agree. Suffixes that agree in 50 bytes are one string;
+3. Where an anchor has contexts that differ, their suffixes are sorted: multikey sorting by words of 8 bytes to a
+   shallow depth of 32, then blind tries for suffixes that still agree. Suffixes that agree in 50 bytes are one string;
    the smallest doc_id among them is its first. Anchors with more than HOT contexts have their windows grouped by a
    shuffle instead, which no single anchor can fill a task with.
 4. Windows with an earlier first doc_id are removed.
@@ -27,22 +27,12 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, text_bytes
 from .fingerprints import bucket_count, places, shared_fingerprints
+from .rolling import mixed, prefix_sums
 
 LENGTH, GRAM = 50, 26
-SHALLOW = 16
+SHALLOW = 32
 #: Windows of one context at most, contexts of one anchor that are sorted in one task, contexts sorted together.
 RUN, HOT, TOGETHER = 64, 4000, 8000
-STEP = 0x9E3779B97F4A7C15
-BYTE = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: list[np.ndarray] = []
-
-
-def powers(n: int) -> list[np.ndarray]:
-    """Powers of STEP and of its inverse modulo 2^64."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        _powers[:] = [np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size - 1, np.uint64(base))])) for base in (STEP, pow(STEP, -1, 2**64))]
-    return _powers
 
 
 def window_anchors(raw: bytes) -> np.ndarray:
@@ -50,13 +40,8 @@ def window_anchors(raw: bytes) -> np.ndarray:
     n = len(raw)
     if n < LENGTH:
         return np.zeros(0, np.uint64)
-    up, down = powers(n)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTE[np.frombuffer(raw, np.uint8)] * up[:n], out=sums[1:])
-    h = (sums[GRAM:] - sums[:-GRAM]) * down[: n - GRAM + 1]
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(32)
+    sums, down = prefix_sums(np.frombuffer(raw, np.uint8))
+    h = mixed((sums[GRAM:] - sums[:-GRAM]) * down[: n - GRAM + 1])
     wide, width = h, 1
     while 2 * width <= LENGTH - GRAM + 1:
         wide = np.minimum(wide[:-width], wide[width:])
@@ -75,6 +60,14 @@ def extract(texts: list) -> list[tuple[int, bytes, np.ndarray]]:
     return out
 
 
+def gather(raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The substrings at begin of the given sizes as one binary array."""
+    ends = np.cumsum(size)
+    at = np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(raw[at])])
+
+
 def contexts(n_buckets: int):
     """mapInArrow function: the contexts of each text under its shared anchors."""
 
@@ -82,9 +75,9 @@ def contexts(n_buckets: int):
         for whole in batches:
             for k in range(0, whole.num_rows, 250):
                 b = whole.slice(k, 250)
-                anchor, ids, marks, begin, size, ctx = [], [], [], [], [], []
-                for id_, mark, text, prints in zip(*(b.column(c).to_pylist() for c in ("doc_id", "mark", "text", "prints")), strict=True):
-                    raw = text.encode("utf-8", "surrogatepass")
+                raws = [t.encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
+                anchor, begin, size = [], [], []
+                for raw, prints in zip(raws, b.column("prints").to_pylist(), strict=True):
                     m = window_anchors(raw)
                     new = np.concatenate([[True], m[1:] != m[:-1]])
                     head = np.maximum.accumulate(np.where(new, np.arange(len(m)), 0))
@@ -92,16 +85,17 @@ def contexts(n_buckets: int):
                     at = np.nonzero(new)[0]
                     n = np.diff(np.append(at, len(m)))
                     name = places(m[at], n_buckets)
-                    keep = np.isin(name, np.frombuffer(prints, "<u8"))
-                    at, n = at[keep], n[keep]
+                    asked = np.sort(np.frombuffer(prints, "<u8"))
+                    keep = asked[np.minimum(np.searchsorted(asked, name), len(asked) - 1)] == name
                     anchor.append(name[keep].view(np.int64))
-                    begin.append(at)
-                    size.append(n)
-                    ids += [id_] * len(at)
-                    marks += [mark] * len(at)
-                    ctx += [raw[s : s + w + LENGTH - 1] for s, w in zip(at.tolist(), n.tolist(), strict=True)]
+                    begin.append(at[keep])
+                    size.append(n[keep])
+                owner = np.repeat(np.arange(len(raws)), [len(x) for x in begin])
+                shift = np.cumsum([0, *map(len, raws)])[owner]
+                start, windows = np.concatenate(begin), np.concatenate(size)
+                ctx = gather(np.frombuffer(b"".join(raws), np.uint8), start + shift, windows + LENGTH - 1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(anchor)), pa.array(ids, pa.int64()), pa.array(marks, pa.binary()), pa.array(np.concatenate(begin), pa.int32()), pa.array(np.concatenate(size), pa.int32()), pa.array(ctx, pa.binary())],
+                    [pa.array(np.concatenate(anchor)), b.column("doc_id").take(pa.array(owner)), b.column("mark").take(pa.array(owner)), pa.array(start, pa.int32()), pa.array(windows, pa.int32()), ctx],
                     names=["anchor", "doc_id", "mark", "begin", "windows", "ctx"],
                 )
 
@@ -116,26 +110,26 @@ def words_at(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def multikey(at: np.ndarray, words: np.ndarray, depth: int, limit: int, out: list[np.ndarray]) -> None:
-    """Three-way quicksort of suffixes by words from depth on; groups that agree to limit are appended in order."""
-    stack = [(at, depth)]
-    while stack:
-        at, depth = stack.pop()
-        if len(at) == 1 or depth >= limit:
-            out.append(at)
-            continue
-        key = words[at + depth]
-        if len(at) <= 4096:
-            order = np.argsort(key, kind="stable")
-            at, key = at[order], key[order]
-            cuts = np.nonzero(key[1:] != key[:-1])[0] + 1
-            stack += [(g, depth + 8) for g in reversed(np.split(at, cuts))]
-            continue
-        pivot = np.median(key[:: max(1, len(key) // 101)][:101].astype(np.float64))
-        pivot = key[np.argmin(np.abs(key.astype(np.float64) - pivot))]
-        for part, d in ((at[key > pivot], depth), (at[key == pivot], depth + 8), (at[key < pivot], depth)):
-            if len(part):
-                stack.append((part, d))
+def multikey(at: np.ndarray, words: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(suffixes in order of their first `limit` bytes, group of each): multikey sort, a word of 8 bytes at a time. Each
+    round parts the groups that still have more than one suffix by their next word, all of them at once."""
+    group = np.zeros(len(at), np.int64)
+    for depth in range(0, limit, 8):
+        counts = np.bincount(group)
+        open_ = np.nonzero(counts[group] > 1)[0]
+        if not len(open_):
+            break
+        key = words[at[open_] + depth]
+        order = np.lexsort((key, group[open_]))
+        at[open_] = at[open_][order]  # groups lie side by side, so their places stay theirs
+        key = key[order]
+        new = np.ones(len(at), bool)
+        new[1:] = group[1:] != group[:-1]
+        inner = np.zeros(len(open_), bool)
+        inner[1:] = (key[1:] != key[:-1]) & (group[open_][1:] == group[open_][:-1])
+        new[open_] |= inner
+        group = np.cumsum(new) - 1
+    return at, group
 
 
 def blind_trie(at: list[int], data: bytes, depth: int, length: int) -> list[list[int]]:
@@ -175,19 +169,25 @@ def blind_trie(at: list[int], data: bytes, depth: int, length: int) -> list[list
     return out
 
 
-def equal_groups(data: bytes, at: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """Suffixes at the given positions in order, cut into groups that agree in `length` bytes."""
+def equal_groups(data: bytes, at: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """(suffixes in order, group of each): groups agree in `length` bytes."""
     words = words_at(np.frombuffer(data + bytes(16), np.uint8))
-    shallow: list[np.ndarray] = []
-    multikey(at, words, 0, SHALLOW, shallow)
-    deep = [*range(SHALLOW, length - 7, 8), length - 8]
-    out = []
-    for group in shallow:
-        if len(group) > 1 and any((words[group[1:] + d] != words[group[0] + d]).any() for d in deep):
-            out += [np.array(g) for g in blind_trie(group.tolist(), data, SHALLOW, length)]
-        else:
-            out.append(group)
-    return out
+    at, group = multikey(at.copy(), words, SHALLOW)
+    head = np.concatenate([[True], group[1:] != group[:-1]])
+    start = np.nonzero(head)[0]
+    first = at[start][group]
+    differs = np.zeros(len(at), bool)
+    for d in (*range(SHALLOW, length - 7, 8), length - 8):
+        differs |= words[at + d] != words[first + d]
+    mixed_groups = np.nonzero(np.logical_or.reduceat(differs, start))[0]
+    ends = np.append(start[1:], len(at))
+    for i, j in zip(start[mixed_groups].tolist(), ends[mixed_groups].tolist(), strict=True):
+        where = i
+        for members in blind_trie(at[i:j].tolist(), data, SHALLOW, length):
+            at[where : where + len(members)] = members
+            head[where] = True
+            where += len(members)
+    return at, np.cumsum(head) - 1
 
 
 def sorter():
@@ -203,9 +203,9 @@ def sorter():
         doc = np.zeros(begin[-1], np.int64)
         doc[at] = np.array(first, np.int64)[owner]
         least = doc.copy()
-        for g in equal_groups(b"".join(ctx), at):
-            if len(g) > 1:
-                least[g] = doc[g].min()
+        order, group = equal_groups(b"".join(ctx), at)
+        start = np.nonzero(np.concatenate([[True], group[1:] != group[:-1]]))[0]
+        least[order] = np.minimum.reduceat(doc[order], start)[group]
         values = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(least[at]))
         return pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(key, pa.int64()), values], names=["anchor", "ck", "least"])
 
@@ -236,25 +236,27 @@ def first_documents(pieces: DataFrame, ws: Workspace, hot: int = HOT) -> DataFra
     return own.select("anchor", "ck", "first_doc").join(found, ["anchor", "ck"], "left")
 
 
-def strip(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
-    """What is left of raw, and the number of maximal removed runs."""
-    gone = np.zeros(len(raw) + 1, np.int32)
-    for s, e in spans:
-        gone[s] += 1
-        gone[e] -= 1
+def strip(raw: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[bytes, int]:
+    """What is left of raw without the spans, and the number of maximal removed runs."""
+    gone = np.bincount(begin, minlength=len(raw) + 1) - np.bincount(end, minlength=len(raw) + 1)
     gone = np.cumsum(gone[:-1]) > 0
     kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-    return kept, int(np.count_nonzero(np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1))
+    return kept, int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(gone[:1].any())
 
 
 def remover(b: pa.RecordBatch) -> pa.RecordBatch:
     rows = []
-    for text, whole, spans in zip(*(b.column(c).to_pylist() for c in ("text", "whole", "spans")), strict=True):
+    spans = b.column("spans")
+    at, present = spans.offsets.to_numpy().tolist(), spans.is_valid().to_pylist()
+    begin, windows = (spans.values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+    for k, (text, whole) in enumerate(zip(b.column("text").to_pylist(), b.column("whole").to_pylist(), strict=True)):
         raw = (text or "").encode("utf-8", "surrogatepass")
+        kept, n = raw, 0
         if whole and len(raw) >= LENGTH:
-            rows.append((len(raw), len(raw), 1, hashlib.sha256(b"").hexdigest()))
-            continue
-        kept, n = strip(raw, [(s["begin"], s["begin"] + s["windows"] + LENGTH - 1) for s in spans]) if spans else (raw, 0)
+            kept, n = b"", 1
+        elif present[k] and at[k + 1] > at[k]:
+            own = slice(at[k], at[k + 1])
+            kept, n = strip(raw, begin[own], begin[own] + windows[own] + LENGTH - 1)
         rows.append((len(raw), len(raw) - len(kept), n, hashlib.sha256(kept).hexdigest()))
     n, removed, spans, kept = zip(*rows, strict=True) if rows else ((),) * 4
     return pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, removed, spans)), pa.array(kept, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
@@ -278,10 +280,11 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, ws: Workspace, hot: int
     firsts = ws.save(first_documents(pieces, ws, hot), "firsts")
     ws.drop("contexts", "mixed", "least")
     placed = pieces.select("anchor", F.xxhash64("ctx").alias("ck"), "doc_id", "mark", "begin", "windows").join(firsts, ["anchor", "ck"])
-    all_of_it = placed.filter("first_doc < doc_id").select("doc_id", "mark", "begin", "windows")
-    some = placed.filter("first_doc >= doc_id and least is not null").select("doc_id", "mark", "begin", F.posexplode("least").alias("j", "earlier")).filter("earlier < doc_id").select("doc_id", "mark", (F.col("begin") + F.col("j")).alias("begin"), F.lit(1).alias("windows"))
+    whole = F.array(F.struct("begin", "windows"))
+    some = F.transform(F.filter(F.transform("least", lambda d, j: F.struct(d.alias("d"), j.alias("j"))), lambda x: x["d"] < F.col("doc_id")), lambda x: F.struct((F.col("begin") + x["j"]).alias("begin"), F.lit(1).alias("windows")))
+    lost = placed.select("doc_id", "mark", F.when(F.col("first_doc") < F.col("doc_id"), whole).otherwise(some).alias("own")).filter("size(own) > 0")
     # a document has at most as many spans as bytes
-    return ws.save(all_of_it.unionByName(some).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("begin", "windows")).alias("spans")), "spans"), originals
+    return ws.save(lost.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("own")).alias("spans")), "spans"), originals
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, hot: int = HOT) -> DataFrame:

@@ -23,18 +23,23 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, text_bytes
+from .rolling import mixed, prefix_sums
 
 #: Pieces a worker remembers before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 250_000
 #: Bytes of text for one file.
 FILE_BYTES = 24_000_000
-ORC = {"orc.compress": "ZSTD", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.stripe.size": str(16 << 20)}
-BLANK_RUN = re.compile(r" \s| $")
-CUT = re.compile(r"(?= [^\s])")
+ORC = {"orc.compress": "SNAPPY", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.stripe.size": str(16 << 20)}
+#: Bytes of text that are cut at once.
+TOGETHER = 1_500_000
+#: Bytes after a blank with which something visible begins for certain (other characters may be white space).
+VISIBLE = np.array([i > 32 and i not in (0xC2, 0xE1, 0xE2, 0xE3) for i in range(256)])
+#: A word with marks, and maybe another on the next line: the tokenizer parts words, marks and a single line end.
+PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)(?:\n([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@[-`{-~]*))?")
 
 
 class PieceEncoder:
-    """Bytes of the ids, little-endian unsigned 32-bit, of whole texts."""
+    """Ids of whole texts. Pieces of many texts are cut and told apart by numpy; Python sees distinct ones only."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -43,29 +48,75 @@ class PieceEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def pieces(self, text: str) -> list[str]:
-        if BLANK_RUN.search(text):
-            return CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + r for r in rest]]
-
-    def batch(self, texts: list[str], end: bytes) -> list[bytes]:
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        # tokens that begin with a blank
+        self.opens = np.zeros(max(self.library.get_vocab().values()) + 1, bool)
+        self.opens[[i for t, i in self.library.get_vocab().items() if t.startswith("\u0120")]] = True
+
+    def learn(self, new: set[bytes]) -> None:
+        """Encode pieces that are new; plain ones by their words and marks, which are rarely new themselves."""
+        known, built, need = self.known, {}, set()
+        for piece in new:
+            p = piece.decode("utf-8", "surrogatepass")
+            if (m := PLAIN.fullmatch(p)) and (m[2] or m[3]):
+                built[piece] = [x.encode() for x in (m[1], m[2], m[3] and "\n", m[3], m[4]) if x]
+                need.update(built[piece])
+            else:
+                need.add(piece)
+        known.update((p, self.older[p]) for p in need & self.older.keys())
+        self.encode(list(need - known.keys()))
+        known.update((p, b"".join([known[x] for x in parts])) for p, parts in built.items())
+
+    def encode(self, new: list[bytes]) -> None:
+        """Pieces with one blank, at their beginning, are encoded in one text and told apart by it."""
+        joined = [p for p in new if p[:1] == b" " and p.count(b" ") == 1 and len(p) > 1 and VISIBLE[p[1]]]
+        ids = np.array(self.library.encode_batch_fast([b"".join(joined).decode("utf-8", "surrogatepass")], add_special_tokens=False)[0].ids, "<u4")
+        at = np.nonzero(self.opens[ids])[0]
+        if len(at) == len(joined):
+            raw, ends = ids.tobytes(), [*(4 * at[1:]).tolist(), 4 * len(ids)]
+            self.known.update(zip(joined, [raw[i:j] for i, j in zip((4 * at).tolist(), ends[: len(at)], strict=True)], strict=True))
+            new = [p for p in new if p not in self.known]
+        for p, e in zip(new, self.library.encode_batch_fast([p.decode("utf-8", "surrogatepass") for p in new], add_special_tokens=False), strict=True):
+            self.known[p] = np.array(e.ids, "<u4").tobytes()
+
+    def batch(self, texts: list[str], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, number of ids of each), each text with the end id."""
+        raws = [t.encode("utf-8", "surrogatepass") for t in texts]
+        sizes = np.array([len(r) for r in raws], np.int64)
+        raw = b"".join(raws)
+        x = np.frombuffer(raw, np.uint8)
+        doc_start = np.cumsum(sizes) - sizes
+        cut = np.zeros(len(x), bool)
+        cut[:-1] = (x[:-1] == 32) & VISIBLE[x[1:]]
+        cut[doc_start[sizes > 0]] = True
+        start = np.nonzero(cut)[0]
+        stop = np.append(start[1:], len(x)) if len(start) else start
+        sums, down = prefix_sums(x)
+        # pieces of one hash are taken for one piece: among the some 10^5 of a batch, once in 10^9 batches they aren't
+        _, first, which = np.unique(mixed((sums[stop] - sums[start]) * down[start]) ^ (stop - start).astype(np.uint64), return_index=True, return_inverse=True)
+        pieces = [raw[i:j] for i, j in zip(start[first].tolist(), stop[first].tolist(), strict=True)]
         if len(self.known) >= REMEMBERED:
             self.older, self.known = self.known, {}
-        known, older, cut = self.known, self.older, [self.pieces(t) for t in texts]
-        new = []
-        for p in {p for c in cut for p in c}:
-            if p not in known:
-                if p in older:
-                    known[p] = older[p]
-                else:
-                    new.append(p)
-        for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[p] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([known[p] for p in c]) + end for c in cut]
+        known = self.known
+        got = list(map(known.get, pieces))
+        new = {p for p, g in zip(pieces, got, strict=True) if g is None}
+        if new:
+            again = new & self.older.keys()
+            known.update((p, self.older[p]) for p in again)
+            self.learn(new - again)
+            got = [known[p] for p in pieces]
+        # ids of distinct pieces, one after the other, and where each occurrence takes its own
+        flat = np.frombuffer(b"".join(got), "<u4")
+        length = np.array([len(g) for g in got], np.int64) // 4
+        offset = np.cumsum(length) - length
+        n = length[which]
+        per_doc = np.bincount(np.searchsorted(np.cumsum(sizes), start, side="right"), n, minlength=len(texts)).astype(np.int64)
+        extra = 0 if end_id is None else 1
+        out = np.full(int(n.sum()) + extra * len(texts), end_id or 0, "<u4")
+        body = np.repeat(np.arange(len(texts)), per_doc) * extra + np.arange(int(n.sum()))
+        out[body] = flat[np.repeat(offset[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        return out, per_doc + extra
 
 
 @lru_cache(maxsize=2)
@@ -77,12 +128,16 @@ def encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """doc_id, ids (with the end id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, end = encoder(path), np.array([end_id], "<u4").tobytes()
-        for b in batches:
-            coded = e.batch([t.as_py() or "" for t in b.column("text")], end)
-            offsets = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), "<i4")))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids], names=["doc_id", "ids"])
+        e = encoder(path)
+        for whole in batches:
+            texts = [t or "" for t in whole.column("text").to_pylist()]
+            group = np.cumsum([len(t) for t in texts]) // TOGETHER
+            for g in np.unique(group).tolist():
+                at = np.nonzero(group == g)[0]
+                ids, n = e.batch(texts[at[0] : at[-1] + 1], end_id)
+                offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.view("<i4")))
+                yield pa.RecordBatch.from_arrays([whole.column("doc_id").slice(int(at[0]), len(at)), lists], names=["doc_id", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>")
