@@ -3,6 +3,7 @@
 A fingerprint has 64 bits; a shuffle row for each would be several times its size. So each task packs the fingerprints
 of a few thousand documents into one block for each bucket (a range of the hash space), buckets count them, and send
 back to each block only those that are shared. Buckets are ranges of hashes of distinct fingerprints, so no key is hot.
+A block names only the documents it has fingerprints of; with very many buckets it shrinks to a plain row.
 """
 
 from __future__ import annotations
@@ -16,13 +17,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Fingerprints packed together, and bytes of text whose fingerprints fill a bucket.
-BLOCK, BUCKET_BYTES = 1_500_000, 24_000_000
-LOW = np.uint64((1 << 48) - 1)
+BLOCK, BUCKET_BYTES = 500_000, 10_000_000
 BLOCKS = "chunk bigint, bucket int, a binary, b binary, c binary"
 
 
 def bucket_count(n_bytes: int) -> int:
-    return int(min(60_000, max(16, -(-n_bytes // BUCKET_BYTES))))
+    return int(min(1 << 24, max(16, -(-n_bytes // BUCKET_BYTES))))
+
+
+def low_bytes(n_buckets: int) -> int:
+    """Bytes of a fingerprint that are kept within a bucket; with the bucket's number they fill 64 bits at most."""
+    return 6 if n_buckets <= 1 << 16 else 5
 
 
 def buckets_of(prints: np.ndarray, n_buckets: int) -> np.ndarray:
@@ -30,38 +35,43 @@ def buckets_of(prints: np.ndarray, n_buckets: int) -> np.ndarray:
 
 
 def places(prints: np.ndarray, n_buckets: int) -> np.ndarray:
-    """What a fingerprint is called in the result: its bucket and low 48 bits."""
-    return (buckets_of(prints, n_buckets).astype(np.uint64) << np.uint64(48)) | (prints & LOW)
+    """What a fingerprint is called in the result: its bucket and low bits."""
+    bits = np.uint64(8 * low_bytes(n_buckets))
+    return (buckets_of(prints, n_buckets).astype(np.uint64) << bits) | (prints & ((np.uint64(1) << bits) - np.uint64(1)))
 
 
-def pack(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def pack(values: np.ndarray, n_bytes: int) -> bytes:
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n_bytes]).tobytes()
 
 
-def unpack(raw: bytes) -> np.ndarray:
-    six = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    out = np.zeros((len(six), 8), np.uint8)
-    out[:, :6] = six
+def unpack(raw: bytes, n_bytes: int) -> np.ndarray:
+    out = np.zeros((len(raw) // n_bytes, 8), np.uint8)
+    out[:, :n_bytes] = np.frombuffer(raw, np.uint8).reshape(-1, n_bytes)
     return out.view("<u8").ravel()
 
 
+def runs(doc: np.ndarray) -> np.ndarray:
+    """(document, number of its fingerprints) for documents in order."""
+    first = np.nonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))[0] if len(doc) else np.zeros(0, np.int64)
+    return np.stack([doc[first], np.diff(np.append(first, len(doc)))], 1).astype("<u4")
+
+
 def blocks(n_buckets: int, extract: Callable[[list], list[tuple[int, bytes, np.ndarray]]]):
     """mapInArrow function: (doc_id, text) to blocks. extract gives (size, 16-byte content id, distinct fingerprints)."""
 
     def flush(chunk: int, ids: list, found: list) -> pa.RecordBatch:
-        n_docs = len(ids)
         prints = np.concatenate([f[2] for f in found])
-        doc = np.repeat(np.arange(n_docs), [len(f[2]) for f in found])
+        doc = np.repeat(np.arange(len(ids)), [len(f[2]) for f in found])
         content = b"".join(f[1] for f in found)
-        short = np.frombuffer(content, "<u8")[::2].tobytes()
+        short = np.frombuffer(content, "<u8")[::2]
         bucket = buckets_of(prints, n_buckets)
         order = np.argsort(bucket, kind="stable")
         ends = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
         rows = [(n_buckets + chunk % n_buckets, np.array(ids, "<i8").tobytes(), np.array([f[0] for f in found], "<i4").tobytes(), content)]
-        for b in range(n_buckets):
+        for b in np.nonzero(np.diff(ends))[0].tolist():
             at = order[ends[b] : ends[b + 1]]
-            if len(at):
-                rows.append((b, pack(prints[at]), np.bincount(doc[at], minlength=n_docs).astype("<u4").tobytes(), short))
+            own = runs(doc[at])
+            rows.append((b, pack(prints[at], low_bytes(n_buckets)), own.tobytes(), short[own[:, 0]].tobytes()))
         cols = list(zip(*rows, strict=True))
         return pa.RecordBatch.from_arrays([pa.array([chunk] * len(rows), pa.int64()), pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["chunk", "bucket", "a", "b", "c"])
 
@@ -90,10 +100,10 @@ def counter(n_buckets: int):
         if table.column("bucket")[0].as_py() >= n_buckets:  # what the documents are; nothing to count
             return table
         a, b, c = (table.column(x).to_pylist() for x in "abc")
-        prints = [unpack(x) for x in a]
-        counts = [np.frombuffer(x, "<u4") for x in b]
+        prints = [unpack(x, low_bytes(n_buckets)) for x in a]
+        own_docs = [np.frombuffer(x, "<u4").reshape(-1, 2) for x in b]
         value = np.concatenate(prints)
-        content = np.concatenate([np.repeat(np.frombuffer(x, "<u8"), n) for x, n in zip(c, counts, strict=True)])
+        content = np.concatenate([np.repeat(np.frombuffer(x, "<u8"), n[:, 1]) for x, n in zip(c, own_docs, strict=True)])
         order = np.argsort(value, kind="stable")
         ordered = value[order]
         more = np.zeros(len(value), bool)
@@ -112,12 +122,12 @@ def counter(n_buckets: int):
         shared = np.zeros(len(value), np.int64)
         shared[at] = n_contents
         start, out = 0, []
-        for p, n in zip(prints, counts, strict=True):
+        for p, n in zip(prints, own_docs, strict=True):
             own = shared[start : start + len(p)]
             start += len(p)
             keep = own >= 2
-            doc = np.repeat(np.arange(len(n)), n)[keep]
-            out.append((pack(p[keep]), np.bincount(doc, minlength=len(n)).astype("<u4").tobytes(), own[keep].astype("<u4").tobytes()))
+            doc = np.repeat(n[:, 0], n[:, 1])[keep]
+            out.append((pack(p[keep], low_bytes(n_buckets)), runs(doc).tobytes(), own[keep].astype("<u4").tobytes()))
         return pa.Table.from_arrays([table.column("chunk"), table.column("bucket"), *(pa.array(x, pa.binary()) for x in zip(*out, strict=True))], names=["chunk", "bucket", "a", "b", "c"])
 
     return run
@@ -133,9 +143,9 @@ def assembler(n_buckets: int, keep: Callable[[np.ndarray, np.ndarray], np.ndarra
             if bucket >= n_buckets:
                 ids, size, content = np.frombuffer(a, "<i8"), np.frombuffer(b, "<i4"), np.frombuffer(c, "V16")
             else:
-                n = np.frombuffer(b, "<u4")
-                docs.append(np.repeat(np.arange(len(n)), n))
-                values.append((np.uint64(bucket) << np.uint64(48)) | unpack(a))
+                n = np.frombuffer(b, "<u4").reshape(-1, 2).astype(np.int64)
+                docs.append(np.repeat(n[:, 0], n[:, 1]))
+                values.append((np.uint64(bucket) << np.uint64(8 * low_bytes(n_buckets))) | unpack(a, low_bytes(n_buckets)))
                 weights.append(np.frombuffer(c, "<u4").astype(np.int64))
         empty = np.zeros(0, np.int64)
         doc, value, weight = np.concatenate([empty, *docs]), np.concatenate([empty.astype(np.uint64), *values]), np.concatenate([empty, *weights])
