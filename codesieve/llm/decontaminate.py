@@ -56,6 +56,8 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 def build_index(docs: DataFrame, benchmark: DataFrame, ws: Workspace, window: int = WINDOW, anchors: int = ANCHORS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(windows with their anchors, index of postings, one row per document with n_words)."""
+    if anchors > 63:
+        raise ValueError("a window has 63 anchors at most")
     windows = ws.save(item_windows(benchmark, window), "windows")
     vocabulary = ws.save(windows.select(F.explode("terms").alias("term")).distinct(), "vocabulary")
     counted = docs.select(F.explode(words(F.col("text"))).alias("term")).join(small(vocabulary, "term"), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
@@ -71,8 +73,9 @@ def build_index(docs: DataFrame, benchmark: DataFrame, ws: Workspace, window: in
 
 def alignments(anchor_table: DataFrame, index: DataFrame) -> DataFrame:
     """(doc_id, window_id, at): places where all anchors of a window have the right distance."""
+    # a bit for each anchor, as repeated rows of a document bring each posting again
     shifted = index.filter("term is not null and doc_id is not null").join(small(anchor_table, "term"), "term").select("doc_id", "window_id", (F.col("position") - F.col("offset")).alias("at"), "n_anchors", "rank")
-    return shifted.filter("at >= 0").groupBy("doc_id", "window_id", "at").agg(F.count(F.lit(1)).alias("n"), F.max("n_anchors").alias("n_anchors")).filter("n = n_anchors").select("doc_id", "window_id", "at")
+    return shifted.filter("at >= 0").groupBy("doc_id", "window_id", "at").agg(F.bit_or(F.expr("shiftleft(1L, rank - 1)")).alias("ranks"), F.max("n_anchors").alias("n_anchors")).filter("bit_count(ranks) = n_anchors").select("doc_id", "window_id", "at")
 
 
 def phrase_matches(docs: DataFrame, windows: DataFrame, anchor_table: DataFrame, index: DataFrame, ws: Workspace) -> DataFrame:

@@ -123,6 +123,18 @@ def test_decontamination(spark, texts, docs, nothing):
     assert decontaminate.decontaminate(spark, docs, bench.limit(0)).count() == docs.count()
 
 
+def test_decontamination_of_repeated_rows(spark):
+    long = " ".join(f"v{k}" for k in range(30))
+    rows = [(1, f"a {long} b"), (1, f"a {long} b"), (1, f"a {long} b"), (2, "only once"), (2, "only once"), (3, f"c {long}"), (4, "clean"), (4, "clean"), (None, long), (None, long), (5, "one"), (5, "one alone"), (6, f"a {long} b")]
+    items = [("p", " ".join(long.split()[4:20])), ("w", "once")]
+    df, bench = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), spark.createDataFrame(items, "item_id string, text string")
+    got = sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.contamination(spark, df, bench).collect())
+    known = [(i, t) for i, t in rows if i is not None]
+    want = [(str(i), *r, r[1] > 0) for i, *r in leaks(known, items, 10)] + [("None", 30, 0, 0, sha(""), False)] * 2
+    assert got == sorted(want) and sum(g[2] == 16 for g in got) == 5 and sum(g[2] == 1 for g in got) == 2
+    assert sorted(str(r.doc_id) for r in decontaminate.decontaminate(spark, df, bench).collect()) == ["4", "4", "5", "5", "None", "None"]
+
+
 def test_proximity(spark):
     d = spark.createDataFrame([(1, "a zebra x yak b"), (2, "yak zebra"), (3, "zebra"), (4, "zebra " + "z " * 50 + "yak")], "doc_id bigint, text string")
     bench = spark.createDataFrame([("i", "zebra and yak")], "item_id string, text string")
