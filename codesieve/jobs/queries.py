@@ -411,21 +411,21 @@ def html_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def html_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages list the first hundred findings of a target; all of them are rows of html_rows."""
+    """All findings of each target, in numbered pages."""
     info = F.array(F.struct(F.lit("Project").alias("name"), F.col("target").alias("value")))
     runs = inputs.targets(spark, sf_dir).select("target", F.concat(F.lit("Scan of "), "target").alias("title"), info.alias("info"))
-    return writers.html_report(runs, ordering.top_findings(inputs.findings(spark, sf_dir), 100).drop("place"))
+    return writers.html_report(runs, inputs.findings(spark, sf_dir))
 
 
 @query()
 def scan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One report for each target with its first hundred findings."""
+    """All findings of each target, in numbered pages; targets that run_stats lacks made no calls."""
     started = F.lit("2024-01-01 00:00:00").cast("timestamp")
-    runs = run_stats(spark, sf_dir).select(
+    runs = inputs.targets(spark, sf_dir).select("target").join(run_stats(spark, sf_dir), "target", "full").select(
         "target", started.alias("started_at"), (started + F.expr("interval 5 seconds")).alias("finished_at"), F.struct(F.col("target").alias("name")).alias("project"), F.struct(F.lit("m").alias("model")).alias("model"), F.struct(F.lit("file").alias("unit")).alias("config"),
-        "input_tokens", "output_tokens", "analyze_calls", "judge_calls",
+        *(F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("input_tokens", "output_tokens", "analyze_calls", "judge_calls")),
     )
-    return writers.scan_report(runs, ordering.top_findings(inputs.findings(spark, sf_dir), 100).drop("place"))
+    return writers.scan_report(runs, inputs.findings(spark, sf_dir))
 
 
 @query("""SELECT page_id, concat(CASE WHEN p = '' THEN 'scan' ELSE p END, '-prov-m.1.html') AS name, CASE WHEN lower(url) LIKE '%.json' THEN 'json' ELSE 'html' END AS format FROM (SELECT page_id, url, regexp_replace(regexp_replace(url, '[/\\\\:*?"<>|\\s\\x00-\\x1F]+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g') AS p FROM pages)""")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_rule, percent
 from ..schemas import SEVERITIES
+from .ordering import PAGE, paged
 
 
 def validate_ground_truth(targets: DataFrame, entries: DataFrame, strict: bool = False) -> DataFrame:
@@ -122,21 +123,25 @@ def gate(summary: DataFrame, min_recall: float | None = None, min_precision: flo
     return summary.select("target", failures.alias("failures")).withColumn("passed", F.size("failures") == 0)
 
 
-def eval_report(summary: DataFrame, matches: DataFrame, entries: DataFrame, targets: DataFrame) -> DataFrame:
-    """(target, report): the summary with missed entries, false positives and the matrix as one JSON text."""
-    missed = missed_entries(matches, entries).groupBy("target").agg(F.array_sort(F.collect_list(F.struct("ord", "id", "file", "line_start", "line_end", "category", "severity"))).alias("m")).select("target", F.transform("m", lambda x: x.dropFields("ord")).alias("missed"))
-    wrong = false_positives(matches).groupBy("target").agg(F.array_sort(F.collect_list(F.struct("ord", "file", "line_start", "line_end", "rule_id", "severity", "summary"))).alias("f")).select("target", F.transform("f", lambda x: x.dropFields("ord")).alias("wrong"))
+def eval_report(summary: DataFrame, matches: DataFrame, entries: DataFrame, targets: DataFrame, size: int = PAGE) -> DataFrame:
+    """(target, page, report): the summary with missed entries, false positives and the matrix as JSON texts, page by
+    page: each has up to `size` missed entries and `size` false positives, and none is left out."""
+    entry, finding = ["id", "file", "line_start", "line_end", "category", "severity"], ["file", "line_start", "line_end", "rule_id", "severity", "summary"]
+    missed = paged(missed_entries(matches, entries), ["ord", *entry], F.struct(*entry), "missed", size)
+    wrong = paged(false_positives(matches), ["ord", *finding], F.struct(*finding), "wrong", size)
     rows = severity_matrix(matches, targets).groupBy("target", "row").agg(F.array_sort(F.collect_list(F.struct("column", "findings"))).alias("r")).groupBy("target").agg(F.array_sort(F.collect_list(F.struct("row", F.col("r.findings").alias("cells")))).alias("m")).select("target", F.col("m.cells").alias("matrix"))
-    all_ = summary.join(missed, "target", "left").join(wrong, "target", "left").join(rows, "target", "left")
+    both = missed.join(wrong, ["target", "page"], "full")
+    pages = both.groupBy("target").agg(F.max("page").alias("pages"))
+    all_ = summary.join(pages, "target", "left").join(both, "target", "left").join(rows, "target", "left").withColumns({"page": F.coalesce("page", F.lit(1)), "pages": F.coalesce("pages", F.lit(1))})
 
     def listed(name: str, like: DataFrame) -> Column:
         return F.coalesce(name, F.expr(f"cast(array() as {like.schema[name].dataType.simpleString()})"))
 
     report = F.struct(
-        "target", "recall", "precision", F.struct(F.col("must_total").alias("total"), F.col("must_hit").alias("hit"), listed("missed", missed).alias("missed")).alias("must"), F.struct(F.col("bonus_total").alias("total"), F.col("bonus_hit").alias("hit")).alias("bonus"),
+        "target", "page", "pages", "recall", "precision", F.struct(F.col("must_total").alias("total"), F.col("must_hit").alias("hit"), listed("missed", missed).alias("missed")).alias("must"), F.struct(F.col("bonus_total").alias("total"), F.col("bonus_hit").alias("hit")).alias("bonus"),
         F.struct(F.col("reported_total").alias("total"), "true_positives", listed("wrong", wrong).alias("false_positives")).alias("reported"), F.col("matrix").alias("severity_confusion"),
     )
-    return all_.select("target", F.to_json(report).alias("report"))
+    return all_.select("target", "page", F.to_json(report).alias("report"))
 
 
 def eval_text(summary: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..schemas import SEVERITIES
 
 UNKNOWN = "(unknown crate)"
+#: Rows of one report page.
+PAGE = 500
 
 
 def severity_rank(severity: Column) -> Column:
@@ -34,6 +36,13 @@ def top_findings(findings: DataFrame, n: int) -> DataFrame:
     return ranked_findings(findings).filter(F.col("place") <= n)
 
 
+def paged(rows: DataFrame, by: list, item: Column, name: str, size: int = PAGE) -> DataFrame:
+    """(target, page, <name>): all rows, `size` items at a time in the order given; pages count from 1."""
+    placed = rows.select("target", F.row_number().over(Window.partitionBy("target").orderBy(*by)).alias("place"), item.alias("item"))
+    pages = placed.groupBy("target", F.ceil(F.col("place") / size).cast("int").alias("page")).agg(F.array_sort(F.collect_list(F.struct("place", "item"))).alias("all"))
+    return pages.select("target", "page", F.col("all.item").alias(name))
+
+
 def findings_by_crate(findings: DataFrame) -> DataFrame:
     """findings with crate_place (severity, then confidence) and group_place (crates by their first finding)."""
     named = findings.withColumn("crate", F.coalesce("crate", F.lit(UNKNOWN)))

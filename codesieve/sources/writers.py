@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_name, escape_html, fixed
-from ..operators.ordering import order
+from ..operators.ordering import PAGE, order, paged
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 FIELDS = ["rule_id", "severity", "cwe", "crate", "file", "line_start", "line_end", "summary", "evidence", "fix_suggestion", "confidence"]
@@ -17,27 +17,34 @@ def iso(ts: Column) -> Column:
     return F.date_format(ts, ISO)
 
 
-def listed(findings: DataFrame, item: Column, name: str) -> DataFrame:
-    """(target, n, <name>): an item for each finding, in the canonical order, as one list per target."""
-    keys = [k.alias(f"k{i}") for i, k in enumerate([*order()[:1], -F.col("confidence"), *order()[2:]])]
-    return findings.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct(*keys, item.alias("item")))).alias("all")).select("target", "n", F.col("all.item").alias(name))
+def listed(findings: DataFrame, item: Column, name: str, size: int) -> DataFrame:
+    """(target, page, pages, n, <name>): all findings in the canonical order, `size` to a page; n counts the target's."""
+    totals = findings.groupBy("target").agg(F.count(F.lit(1)).alias("n"))
+    return paged(findings, order(), item, name, size).join(totals, "target").withColumn("pages", F.ceil(F.col("n") / size).cast("int"))
 
 
-def findings_json(findings: DataFrame, generated_at: Column) -> DataFrame:
-    """(target, json): the findings and when they were written."""
-    rows = listed(findings, F.struct(*FIELDS), "findings")
-    return rows.select("target", F.to_json(F.struct("findings", iso(generated_at).alias("generated_at"))).alias("json"))
+def with_pages(runs: DataFrame, pages: DataFrame) -> DataFrame:
+    """runs, a row for each page; one without findings has a page as well."""
+    rows = runs.join(pages, "target", "left")
+    return rows.withColumns({"page": F.coalesce("page", F.lit(1)), "pages": F.coalesce("pages", F.lit(1)), "n": F.coalesce("n", F.lit(0).cast("bigint"))})
 
 
-def scan_report(runs: DataFrame, findings: DataFrame) -> DataFrame:
-    """(target, report): one nested JSON text. runs: target, started_at, finished_at, project and model structs, config
-    struct, input_tokens, output_tokens, analyze_calls, judge_calls."""
-    rows = runs.join(listed(findings, F.struct(*FIELDS), "findings"), "target", "left")
+def findings_json(findings: DataFrame, generated_at: Column, size: int = PAGE) -> DataFrame:
+    """(target, page, json): the findings of a page, their number in all and when they were written."""
+    rows = listed(findings, F.struct(*FIELDS), "findings", size)
+    return rows.select("target", "page", F.to_json(F.struct("findings", iso(generated_at).alias("generated_at"), F.col("n").alias("findings_total"), "page", "pages")).alias("json"))
+
+
+def scan_report(runs: DataFrame, findings: DataFrame, size: int = PAGE) -> DataFrame:
+    """(target, page, report): one nested JSON text for each page of findings. runs: target, started_at, finished_at,
+    project and model structs, config struct, input_tokens, output_tokens, analyze_calls, judge_calls; a target without
+    a run has no report."""
+    rows = with_pages(runs, listed(findings, F.struct(*FIELDS), "findings", size))
     kind = f"array<{findings.select(F.struct(*FIELDS).alias('f')).schema['f'].dataType.simpleString()}>"
     scan = F.struct(iso(F.col("started_at")).alias("started_at"), iso(F.col("finished_at")).alias("finished_at"), (F.unix_millis("finished_at") - F.unix_millis("started_at")).alias("duration_ms"))
     tokens = F.struct(F.col("input_tokens").alias("input"), F.col("output_tokens").alias("output"), (F.col("input_tokens") + F.col("output_tokens")).alias("total"), "analyze_calls", "judge_calls")
-    report = F.struct(scan.alias("scan"), "project", "model", "config", tokens.alias("tokens"), F.coalesce("findings", F.expr(f"cast(array() as {kind})")).alias("findings"))
-    return rows.select("target", F.to_json(report).alias("report"))
+    report = F.struct(scan.alias("scan"), "project", "model", "config", tokens.alias("tokens"), F.col("n").alias("findings_total"), "page", "pages", F.coalesce("findings", F.expr(f"cast(array() as {kind})")).alias("findings"))
+    return rows.select("target", "page", F.to_json(report).alias("report"))
 
 
 def html_row(named: bool = True) -> Column:
@@ -57,14 +64,16 @@ def html_rows(findings: DataFrame) -> DataFrame:
     return findings.select("target", "ord", html_row().alias("row"))
 
 
-def html_report(runs: DataFrame, findings: DataFrame) -> DataFrame:
-    """(target, html): a self-contained page. runs: target, title and info, an array of struct(name, value)."""
-    rows = runs.join(listed(findings, html_row(), "rows"), "target", "left")
+def html_report(runs: DataFrame, findings: DataFrame, size: int = PAGE) -> DataFrame:
+    """(target, page, html): self-contained pages. runs: target, title and info, an array of struct(name, value); a
+    target without a run has no page."""
+    rows = with_pages(runs, listed(findings, html_row(), "rows", size))
     info = F.array_join(F.transform("info", lambda x: F.concat(F.lit("<dt>"), escape_html(x["name"]), F.lit("</dt><dd>"), escape_html(x["value"]), F.lit("</dd>"))), "\n")
     table = F.when(F.col("n") > 0, F.concat(F.lit("<table><tr><th>Severity</th><th>Rule</th><th>Place</th><th>Summary</th><th>Confidence</th></tr>\n"), F.array_join("rows", "\n"), F.lit("\n</table>"))).otherwise("<p>No findings.</p>")
     title = escape_html(F.col("title"))
-    page = F.concat(F.lit('<!DOCTYPE html>\n<html lang="en"><head><meta charset="utf-8"><title>'), title, F.lit(f"</title><style>{CSS}</style></head><body>\n<h1>"), title, F.lit("</h1>\n<dl>"), info, F.lit("</dl>\n<h2>"), F.coalesce("n", F.lit(0)).cast("string"), F.lit(" finding(s)</h2>\n"), table, F.lit("\n</body></html>\n"))
-    return rows.select("target", page.alias("html"))
+    number = F.when(F.col("pages") > 1, F.concat(F.lit("<p>Page "), F.col("page").cast("string"), F.lit(" of "), F.col("pages").cast("string"), F.lit("</p>\n"))).otherwise("")
+    page = F.concat(F.lit('<!DOCTYPE html>\n<html lang="en"><head><meta charset="utf-8"><title>'), title, F.lit(f"</title><style>{CSS}</style></head><body>\n<h1>"), title, F.lit("</h1>\n<dl>"), info, F.lit("</dl>\n<h2>"), F.col("n").cast("string"), F.lit(" finding(s)</h2>\n"), number, table, F.lit("\n</body></html>\n"))
+    return rows.select("target", "page", page.alias("html"))
 
 
 def report_name(project: Column, provider: Column, model: Column) -> Column:

@@ -94,6 +94,35 @@ def test_reports_out(spark):
     assert tuple(names) == ("a-b-scan-m-1.html", "json", "html")
 
 
+def test_reports_page_by_page(spark):
+    f = spark.createDataFrame([("t", "c", "r", "low", None, "a.rs", i, i, f"s{i:02}", "e", "x", 0.5, i) for i in range(7)], FINDINGS).repartition(3)
+    runs = spark.createDataFrame([("t", "T"), ("u", "U")], "target string, title string").withColumn("info", F.array(F.struct(F.lit("a").alias("name"), F.lit("b").alias("value"))))
+    pages = {(r.target, r.page): r.html for r in writers.html_report(runs, f, size=3).collect()}
+    assert sorted(pages) == [("t", 1), ("t", 2), ("t", 3), ("u", 1)] and "0 finding(s)" in pages["u", 1]
+    for k in (1, 2, 3):
+        assert "7 finding(s)" in pages["t", k] and f"Page {k} of 3" in pages["t", k]
+        assert [i for i in range(7) if f">s{i:02}<" in pages["t", k]] == list(range(7))[3 * k - 3 : 3 * k]
+    docs = {r.page: json.loads(r.json) for r in writers.findings_json(f, F.lit("2024-01-02 03:04:05").cast("timestamp"), size=3).collect()}
+    assert [x["line_start"] for k in sorted(docs) for x in docs[k]["findings"]] == list(range(7)) and docs[3]["findings_total"] == 7
+
+
+def test_report_queries_hold_every_finding(spark):
+    from codesieve.jobs import inputs, queries
+
+    sf = "/root/testdata/sf0.001"
+    want = {r.target: r["count"] for r in inputs.findings(spark, sf).groupBy("target").count().collect()}
+    listed, rows = {}, {}
+    for r in queries.scan_report(spark, sf).collect():
+        doc = json.loads(r.report)
+        assert doc["findings_total"] == want.get(r.target, 0) and doc["page"] == r.page and len(doc["findings"]) <= 500
+        assert doc["tokens"]["total"] == doc["tokens"]["input"] + doc["tokens"]["output"]
+        listed[r.target] = listed.get(r.target, 0) + len(doc["findings"])
+    for r in queries.html_report(spark, sf).collect():
+        assert f"<h2>{want.get(r.target, 0)} finding(s)</h2>" in r.html
+        rows[r.target] = rows.get(r.target, 0) + r.html.count("<tr><td ")
+    assert {t: n for t, n in listed.items() if n} == {t: n for t, n in rows.items() if n} == want and max(want.values()) > 500
+
+
 def test_incremental_scan(spark, tmp_path):
     source, cache, checkpoint = (str(tmp_path / x) for x in ("source", "cache", "checkpoint"))
 

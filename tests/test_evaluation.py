@@ -57,6 +57,16 @@ def test_metrics(spark):
     assert "1/2 (50.0%)" in text and "3/4 (75.0%)" in text
 
 
+def test_report_page_by_page(spark):
+    e, t = truth(spark, *({"file": f"m{i}"} for i in range(3)))
+    m = ev.match_findings(reported(spark, *({"file": f"w{i}"} for i in range(5))), e, t)
+    got = {(r.target, r.page): json.loads(r.report) for r in ev.eval_report(ev.evaluate(m, e, t), m, e, t, size=2).collect()}
+    assert sorted(got) == [("empty", 1), ("t", 1), ("t", 2), ("t", 3)]
+    pages = [got["t", k] for k in (1, 2, 3)]
+    assert [x["file"] for p in pages for x in p["reported"]["false_positives"]] == [f"w{i}" for i in range(5)] and [x["id"] for p in pages for x in p["must"]["missed"]] == ["e0", "e1", "e2"]
+    assert {(p["pages"], p["reported"]["total"], p["must"]["total"]) for p in pages} == {(3, 5, 3)} and got["empty", 1]["reported"]["false_positives"] == []
+
+
 def test_repeated_severity_counts_at_its_last_place(spark):
     e, _ = truth(spark, {})
     order = ["critical", "high", "high", "low", "info"]
