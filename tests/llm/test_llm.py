@@ -226,6 +226,16 @@ def test_trie_join(spark, texts, docs, nothing, cell):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in odd) == [("1", 1, "1"), ("1", 1, "1"), ("None", 1, "None")]
 
 
+def test_keep_one_of_repeated_rows(spark):
+    rng = random.Random(4)
+    a, b = " ".join(words(rng, 40)), " ".join(words(rng, 40))
+    rows = [(5, a, "x"), (2, a, "x"), (2, a, "x"), (2, a + " more", "x"), (2, b, "y"), (9, b, "y"), (9, "alone and by itself here", "z"), (None, a, "n"), (None, a, "n"), (7, "", "e"), (7, "", "e")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, row string").repartition(3)
+    kept = trie_join.keep_one(spark, df)
+    assert kept.columns == df.columns
+    assert sorted((str(r.doc_id), r.row) for r in kept.collect()) == [("2", "x"), ("2", "y"), ("7", "e"), ("7", "e"), ("9", "z"), ("None", "n"), ("None", "n")]
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(1000, 1060)]
