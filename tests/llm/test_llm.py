@@ -85,6 +85,15 @@ def test_exact_dedup_of_odd_tables(spark, tmp_path, nothing):
     assert [g[2] for g in got] == [3, 3, 3] and [g[0] for g in got] == ["1", "1", "None"]
 
 
+@pytest.mark.parametrize("digest", [exact_dedup.sha256, lambda t: F.lit("same")])
+def test_exact_dedup_of_rows_without_id(spark, tmp_path, digest):
+    rows = [(None, "a  b"), (1, "a b"), (2, "ab"), (None, "c"), (None, "c "), (3, "d"), (None, "e")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "d"))
+    got = sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_dedup(spark, str(tmp_path / "d"), digest).collect())
+    want = [("1", "1", 3, True, sha("ab")), ("2", "1", 3, False, sha("ab")), ("3", "3", 1, True, sha("d")), *[("None", "None", n, True, sha(t)) for n, t in ((3, "ab"), (2, "c"), (2, "c"), (1, "e"))]]
+    assert got == sorted(want)
+
+
 # op2 -----------------------------------------------------------------------------------------------------------------
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
