@@ -60,6 +60,9 @@ RULES: dict[str, list[tuple[str, str]]] = {
 }
 
 
+BUILT_IN = {p for catalogue in RULES.values() for _, p in catalogue}
+
+
 def rules(mode: str, extra: list[tuple[str, str]] | None = None) -> list[tuple[str, str]]:
     """Rules of a mode and the user's own; an unknown mode means safety."""
     return RULES.get(mode, RULES["safety"]) + (extra or [])
@@ -112,7 +115,10 @@ def literal(part: str) -> str:
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """rlike, asked only of texts that hold one of the pattern's literals: a byte search costs far less."""
+    """rlike; for patterns of the catalogue asked only of texts that hold one of their literals: a byte search costs far
+    less. literal() reads no more syntax than the catalogue has, so a user's patterns go without."""
+    if pattern not in BUILT_IN:
+        return text.rlike(java_regex(pattern))
     some = [F.contains(text, F.lit(literal(p))) for p in alternatives(pattern)]
     return reduce(or_, some) & text.rlike(java_regex(pattern))
 
@@ -123,5 +129,6 @@ def hints_in(text: Column, catalogue: list[tuple[str, str]]) -> Column:
 
 
 def any_rule(text: Column, catalogue: list[tuple[str, str]]) -> Column:
-    """Whether a whole file can hold a hit: no pattern is anchored, so a hit in a line is a hit in the file."""
-    return reduce(or_, (matches(text, p) for _, p in catalogue))
+    """Whether a whole file can hold a hit: no pattern of the catalogue is anchored, so a hit in a line is a hit in the
+    file. A user's pattern may be, so with one every file has to be looked at."""
+    return reduce(or_, (matches(text, p) if p in BUILT_IN else F.lit(True) for _, p in catalogue))

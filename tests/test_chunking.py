@@ -139,3 +139,11 @@ def test_gate_is_row_local(spark):
 def test_extra_rules(spark):
     df = files(spark, "danger()")
     assert chunking.file_chunks(df, extra=[("own", r"\bdanger\(")]).select(F.col("hints")[0]).first()[0] == "own"
+
+
+@pytest.mark.parametrize(("pattern", "line"), [(r"id\d{4}", "id1234"), ("(?i)danger", "DANGER"), (r"x{2}y", "xxy"), (r"\tq", "\tq"), ("^own$", "own")])
+def test_extra_rules_of_any_syntax(spark, pattern, line):
+    df = spark.createDataFrame([("t", "c", "a.rs", f"one\n{line}\nthree"), ("t", "c", "b.rs", "one\nthree")], FILES)
+    assert [(r.rel_path, r.line, r.hint) for r in chunking.line_hits(df, extra=[("own", pattern)]).collect()] == [("a.rs", 2, "own")]
+    assert [r.rel_path for r in chunking.file_chunks(df, extra=[("own", pattern)]).collect()] == ["a.rs"]
+    assert [r.rel_path for r in chunking.window_chunks(df, extra=[("own", pattern)]).collect()] == ["a.rs"]
