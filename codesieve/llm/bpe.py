@@ -7,7 +7,8 @@ bound. The merges themselves are the tokenizers library's.
 
 Defined cases: a null text is empty and has no ids; strings of special tokens inside a text get their special id, as
 the library does; documents are encoded as they come, so ties and repeated rows don't matter; a null doc_id is passed
-on; other columns are ignored by `encode` and kept by `encode_documents`.
+on; other columns are ignored; a tokenizer file that names a decoder is refused, as its ids don't decode to tokens
+joined by blanks.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ class ForcedBoundaryEncoder:
         self.library.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        if spec.get("decoder"):
+            raise ValueError(f"{path} names a decoder; only files without one can be encoded here")
         model = spec["model"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.end = model.get("end_of_word_suffix") or ""

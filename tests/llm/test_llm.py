@@ -308,6 +308,11 @@ def test_bpe(spark, texts, docs, nothing):
     assert all(sha(decoded[i].text) == got[i].decoded_sha256 for i, _ in texts)
 
 
+def test_bpe_refuses_files_with_a_decoder():
+    with pytest.raises(ValueError, match="decoder"):
+        bpe.encoder(tokenizer("byte_bpe_50k.json"))
+
+
 def test_forced_boundaries():
     e = bpe.encoder(tokenizer("word_bpe_49k.json"))
     assert len(e.cuts("queauxrée")) >= 1 and "".join(e.cuts("queauxrée")) == "queauxrée"
