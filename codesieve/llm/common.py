@@ -3,29 +3,54 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_root: str | None = None
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Rows in one Arrow batch; texts may be long, so far fewer than Spark's default.
 ARROW_ROWS = "1000"
 
 
+_own_root: str | None = None
+#: Rows and bytes of text that an operator's Python code works on at once; a longer text is alone.
+SLICE_ROWS, SLICE_BYTES = 200, 2_000_000
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one temporary folder (tests only)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Without it a session in one JVM, as in tests,
+    gets a temporary folder; on a cluster that would lose data, so it is an error."""
     global _own_root
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_root is None:
         _own_root = tempfile.mkdtemp(prefix="spark-llm-")
     return _own_root
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = SLICE_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Batches cut into pieces of bounded rows and bytes of text."""
+    for b in batches:
+        own = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(own)
+        start = 0
+        while start < b.num_rows:
+            stop = int(np.searchsorted(ends, ends[start] - own[start] + size, side="right"))
+            stop = max(start + 1, min(stop, start + rows))
+            yield b.slice(start, stop - start)
+            start = stop
+
+
 class Workspace:
     """Named Parquet tables of one run below the shared folder. They cut lineage and survive lost executors."""
 

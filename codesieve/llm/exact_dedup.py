@@ -1,12 +1,13 @@
 """Exact dedup by a streaming aggregation whose keyed state lies in RocksDB and never expires.
 
 State of a digest: how many rows had it, and the row that stays (most code points, then smallest doc_id) with its
-content locator (file). Rows that hit a digest already held are compared with the kept text byte by byte; should texts
-that differ share a digest, their groups are formed again from the texts themselves.
+content locator (file). Rows that hit a digest already held are compared in full with the text at the group's locator;
+should texts that differ share a digest, their groups are formed again from the texts themselves.
 
-Defined cases: a null text counts as empty; empty texts are one group; repeated rows are one group, and rows that also
-share the doc_id are one document, kept or dropped together; rows without doc_id count in their group but always stay, with no keep_id; an empty table gives no
-rows; other columns of the input are ignored.
+Defined cases: a null text counts as empty; empty texts are one group; repeated rows are one group, and rows of a group
+that also share the doc_id are one document, kept or dropped together; rows that share a doc_id but not their text are
+rows of different groups; rows without doc_id count in their group but always stay, with no keep_id; an empty table
+gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -80,30 +81,32 @@ def dedup_stream(spark: SparkSession, path: str, schema: str, ws: Workspace, dig
 
 
 def resolve(docs: DataFrame, state: DataFrame, ws: Workspace, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+    """One row per row of docs, which are read from files: doc_id, keep_id, group_size, kept, text_sha256."""
     text = normalised(F.col("text"))
-    id_ = F.col("doc_id").cast("bigint")
-    slim = docs.select(id_.alias("doc_id"), digest(text).alias("digest"), sha256(text).alias("text_sha256"), F.char_length(F.coalesce("text", F.lit(""))).alias("chars"))
+    id_, chars = F.col("doc_id").cast("bigint").alias("doc_id"), F.char_length(F.coalesce("text", F.lit(""))).alias("chars")
     groups = state.filter("group_size > 1").select("digest", "group_size", (-F.col("best.rank")).alias("keep_id"))
-    ruled = ws.save(slim.join(groups, "digest", "left").withColumn("keep_id", F.when(F.col("group_size").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))).withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("bigint"))), "ruled")
-    hits = ruled.filter("group_size > 1 and doc_id is not null")
-
-    # full texts of hits only, and beside each the text that its group keeps
-    known = docs.select(id_.alias("doc_id"), text.alias("norm")).join(hits.select("doc_id", "digest", "keep_id", "group_size").distinct(), "doc_id")
-    nameless = docs.filter("doc_id is null").select(id_.alias("doc_id"), text.alias("norm"), digest(text).alias("digest")).join(groups, "digest")
+    slim = docs.select(id_, digest(text).alias("digest"), sha256(text).alias("text_sha256"))
+    own = F.col("group_size").isNull() | F.col("doc_id").isNull()
+    ruled = ws.save(slim.join(groups, "digest", "left").withColumn("keep_id", F.when(own, F.col("doc_id")).otherwise(F.col("keep_id"))).withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("bigint"))), "ruled")
+    hits = ruled.filter("group_size > 1 and doc_id is not null").select("doc_id", "digest", "group_size").distinct()
+
+    # full texts of hits only: rows that share a doc_id are told apart by their digest
+    row = [id_, text.alias("norm"), chars, F.col("_metadata.file_path").alias("file")]
+    known = docs.select(*row).join(hits, "doc_id").filter(digest(F.col("norm")) == F.col("digest"))
+    nameless = docs.filter("doc_id is null").select(*row).withColumn("digest", digest(F.col("norm"))).join(groups.select("digest", "group_size"), "digest")
     texts = ws.save(known.unionByName(nameless), "hit_texts")
     spread = F.ceil(F.col("group_size") / COPIES_PER_TASK).cast("int")
-    kept_texts = texts.filter("doc_id = keep_id or keep_id is null").dropDuplicates(["digest"]).select("digest", F.explode(F.sequence(F.lit(0), spread - 1)).alias("salt"), F.col("norm").alias("kept_norm"))
+    # beside each the text that its group keeps, found by its locator; groups without any id keep some text
+    best = state.filter("group_size > 1").select("digest", F.struct(F.col("best.locator").alias("file"), F.col("best.chars").alias("chars"), (-F.col("best.rank")).alias("doc_id")).alias("best"))
+    located = texts.join(best, "digest").filter(F.col("best.doc_id").isNull() | (F.struct("file", "chars", "doc_id") == F.col("best")))
+    kept_texts = located.dropDuplicates(["digest"]).select("digest", F.explode(F.sequence(F.lit(0), spread - 1)).alias("salt"), F.col("norm").alias("kept_norm"))
     differing = ws.save(texts.withColumn("salt", F.pmod(F.xxhash64(F.coalesce("doc_id", F.monotonically_increasing_id())), spread).cast("int")).join(kept_texts, ["digest", "salt"]).filter("norm <> kept_norm").select("digest").distinct(), "differing")
 
-    # digests under which texts differ are grouped by their texts
-    again = texts.join(differing, "digest", "left_semi")
-    lengths = ruled.select("doc_id", "chars", "text_sha256").join(again, "doc_id").select("doc_id", "digest", "norm", "chars", "text_sha256")
-    # rows without an id are counted, never ranked
-    lengths = lengths.unionByName(again.filter("doc_id is null").select("doc_id", "digest", "norm", F.lit(0).alias("chars"), F.sha2(F.encode("norm", "UTF-8"), 256).alias("text_sha256")))
-    exact = lengths.groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.when(F.col("doc_id").isNotNull(), F.struct("chars", (-F.col("doc_id")).alias("rank")))).alias("best"))
-    redone = lengths.join(exact, ["digest", "norm"]).select("doc_id", F.when(F.col("doc_id").isNotNull(), -F.col("best.rank")).alias("keep_id"), "group_size", "text_sha256", "chars")
-    kept = ruled.join(differing, "digest", "left_anti").select("doc_id", "keep_id", "group_size", "text_sha256", "chars")
+    # digests under which texts differ are grouped by their texts; rows without an id are counted, never ranked
+    again = texts.join(differing, "digest", "left_semi").select("doc_id", "digest", "norm", "chars")
+    exact = again.groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.when(F.col("doc_id").isNotNull(), F.struct("chars", (-F.col("doc_id")).alias("rank")))).alias("best"))
+    redone = again.join(exact, ["digest", "norm"]).select("doc_id", F.when(F.col("doc_id").isNotNull(), -F.col("best.rank")).alias("keep_id"), "group_size", sha256(F.col("norm")).alias("text_sha256"))
+    kept = ruled.join(differing, "digest", "left_anti").select("doc_id", "keep_id", "group_size", "text_sha256")
     return kept.unionByName(redone).select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(True)).alias("kept"), "text_sha256")
 
 

@@ -1,9 +1,11 @@
 """Which fingerprints of a document also occur in documents of other content, counted over all documents.
 
 A fingerprint has 64 bits; a shuffle row for each would be several times its size. So each task packs the fingerprints
-of a few thousand documents into one block for each bucket (a range of the hash space), buckets count them, and send
-back to each block only those that are shared. Buckets are ranges of hashes of distinct fingerprints, so no key is hot.
-A block names only the documents it has fingerprints of; with very many buckets it shrinks to a plain row.
+of a few thousand documents, a chunk, into one block for each bucket (a range of the hash space), buckets count them,
+and send back to each block what is shared. A fingerprint that several documents of a chunk have goes to its bucket
+once, with their number, and the answer is dealt to them when it comes back; so what a third of all rows share costs a
+bucket one entry for each chunk. Buckets have a power of two in number, and blocks keep the bits that it leaves open:
+all 64 count at any size.
 """
 
 from __future__ import annotations
@@ -16,77 +18,111 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: Fingerprints packed together, and bytes of text whose fingerprints fill a bucket.
-BLOCK, BUCKET_BYTES = 500_000, 10_000_000
-BLOCKS = "chunk bigint, bucket int, a binary, b binary, c binary"
+BLOCK, BUCKET_BYTES = 400_000, 10_000_000
+BLOCKS = "chunk bigint, bucket int, kind int, a binary, b binary, c binary"
+#: Kinds of rows: fingerprints of one document each, of several, the chunk's documents, and which have those of several.
+ONE, SEVERAL, DOCUMENTS, HOLDERS = range(4)
+COLUMNS = ["chunk", "bucket", "kind", "a", "b", "c"]
 
 
-def bucket_count(n_bytes: int) -> int:
-    return int(min(1 << 24, max(16, -(-n_bytes // BUCKET_BYTES))))
+def bucket_count(n_bytes: int, least: int = 256, each: int = BUCKET_BYTES) -> int:
+    return int(min(1 << 24, max(least, 1 << max(0, -(-n_bytes // each) - 1).bit_length())))
 
 
-def low_bytes(n_buckets: int) -> int:
-    """Bytes of a fingerprint that are kept within a bucket; with the bucket's number they fill 64 bits at most."""
-    return 6 if n_buckets <= 1 << 16 else 5
+def low_bits(n_buckets: int) -> int:
+    return 64 - (n_buckets.bit_length() - 1)
 
 
 def buckets_of(prints: np.ndarray, n_buckets: int) -> np.ndarray:
-    return ((prints >> np.uint64(40)) * np.uint64(n_buckets) >> np.uint64(24)).astype(np.int64)
+    return (prints >> np.uint64(low_bits(n_buckets))).astype(np.int64)
 
 
-def places(prints: np.ndarray, n_buckets: int) -> np.ndarray:
-    """What a fingerprint is called in the result: its bucket and low bits."""
-    bits = np.uint64(8 * low_bytes(n_buckets))
-    return (buckets_of(prints, n_buckets).astype(np.uint64) << bits) | (prints & ((np.uint64(1) << bits) - np.uint64(1)))
+def pack(values: np.ndarray, n_buckets: int) -> bytes:
+    """The bytes that hold the low bits of each value."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : -(-low_bits(n_buckets) // 8)]).tobytes()
 
 
-def pack(values: np.ndarray, n_bytes: int) -> bytes:
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n_bytes]).tobytes()
+def unpack(raw: bytes, bucket: int, n_buckets: int) -> np.ndarray:
+    bits = low_bits(n_buckets)
+    size = -(-bits // 8)
+    out = np.zeros((len(raw) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(raw, np.uint8).reshape(-1, size)
+    return (out.view("<u8").ravel() & np.uint64((1 << bits) - 1)) | np.uint64(bucket << bits)
 
 
-def unpack(raw: bytes, n_bytes: int) -> np.ndarray:
-    out = np.zeros((len(raw) // n_bytes, 8), np.uint8)
-    out[:, :n_bytes] = np.frombuffer(raw, np.uint8).reshape(-1, n_bytes)
-    return out.view("<u8").ravel()
+def heads(values: np.ndarray) -> np.ndarray:
+    """Whether each of the ordered values is the first of its kind."""
+    first = np.ones(len(values), bool)
+    first[1:] = values[1:] != values[:-1]
+    return first
 
 
 def runs(doc: np.ndarray) -> np.ndarray:
     """(document, number of its fingerprints) for documents in order."""
-    first = np.nonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))[0] if len(doc) else np.zeros(0, np.int64)
+    first = np.nonzero(heads(doc))[0]
     return np.stack([doc[first], np.diff(np.append(first, len(doc)))], 1).astype("<u4")
 
 
+def block_table(chunk: int, rows: list[tuple]) -> pa.RecordBatch:
+    bucket, kind, *blobs = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array([chunk] * len(rows), pa.int64()), pa.array(bucket, pa.int32()), pa.array(kind, pa.int32()), *(pa.array(c, pa.binary()) for c in blobs)], names=COLUMNS)
+
+
 def blocks(n_buckets: int, extract: Callable[[list], list[tuple[int, bytes, np.ndarray]]]):
     """mapInArrow function: (doc_id, text) to blocks. extract gives (size, 16-byte content id, distinct fingerprints)."""
 
+    def cut(bucket: np.ndarray) -> list[tuple[int, slice]]:
+        """Each bucket that has rows, and where they are among rows in the order of buckets."""
+        ends = np.searchsorted(bucket, np.arange(n_buckets + 1))
+        return [(b, slice(int(ends[b]), int(ends[b + 1]))) for b in np.nonzero(np.diff(ends))[0].tolist()]
+
     def flush(chunk: int, ids: list, found: list) -> pa.RecordBatch:
         prints = np.concatenate([f[2] for f in found])
         doc = np.repeat(np.arange(len(ids)), [len(f[2]) for f in found])
         content = b"".join(f[1] for f in found)
         short = np.frombuffer(content, "<u8")[::2]
-        bucket = buckets_of(prints, n_buckets)
-        order = np.argsort(bucket, kind="stable")
-        ends = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-        rows = [(n_buckets + chunk % n_buckets, np.array(ids, "<i8").tobytes(), np.array([f[0] for f in found], "<i4").tobytes(), content)]
-        for b in np.nonzero(np.diff(ends))[0].tolist():
-            at = order[ends[b] : ends[b + 1]]
-            own = runs(doc[at])
-            rows.append((b, pack(prints[at], low_bytes(n_buckets)), own.tobytes(), short[own[:, 0]].tobytes()))
-        cols = list(zip(*rows, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array([chunk] * len(rows), pa.int64()), pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["chunk", "bucket", "a", "b", "c"])
+        order = np.argsort(prints, kind="stable")
+        first = heads(prints[order])
+        group = np.cumsum(first) - 1
+        size = np.bincount(group) if len(group) else np.zeros(0, np.int64)
+        alone = size[group] == 1
+        many = order[~alone]
+
+        at = np.sort(order[alone])  # documents in order
+        bucket = buckets_of(prints[at], n_buckets)
+        at = at[np.argsort(bucket, kind="stable")]
+        rows = []
+        for b, part in cut(np.sort(bucket)):
+            own = runs(doc[at[part]])
+            rows.append((b, ONE, pack(prints[at[part]], n_buckets), own.tobytes(), short[own[:, 0]].tobytes()))
+
+        value, holder = prints[many], doc[many]
+        start = np.nonzero(heads(value))[0]
+        inner = np.lexsort((short[holder], value))
+        fresh = heads(value[inner]) | heads(short[holder][inner])
+        n_contents = np.add.reduceat(fresh.astype(np.int64), start).astype("<u4") if len(start) else np.zeros(0, "<u4")
+        one_content = short[holder][inner][start]
+        value = value[start]
+        for b, part in cut(buckets_of(value, n_buckets)):
+            rows.append((b, SEVERAL, pack(value[part], n_buckets), n_contents[part].tobytes(), one_content[part].tobytes()))
+        home = n_buckets + chunk % n_buckets
+        rows.append((home, DOCUMENTS, np.array(ids, "<i8").tobytes(), np.array([f[0] for f in found], "<i4").tobytes(), content))
+        rows.append((home, HOLDERS, np.diff(np.append(start, len(many))).astype("<u4").tobytes(), holder.astype("<u4").tobytes(), b""))
+        return block_table(chunk, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, ids, found, held = TaskContext.get().partitionId() << 32, [], [], 0
-        for batch in batches:
-            for i in range(0, batch.num_rows, 200):
-                part = batch.slice(i, 200)
-                ids += part.column("doc_id").to_pylist()
-                new = extract(part.column("text").to_pylist())
-                found += new
-                held += sum(len(f[2]) for f in new)
-                if held >= BLOCK:
-                    yield flush(chunk, ids, found)
-                    chunk, ids, found, held = chunk + 1, [], [], 0
+        for part in slices(batches):
+            ids += part.column("doc_id").to_pylist()
+            new = extract(part.column("text").to_pylist())
+            found += new
+            held += sum(len(f[2]) for f in new)
+            if held >= BLOCK:
+                yield flush(chunk, ids, found)
+                chunk, ids, found, held = chunk + 1, [], [], 0
         if ids:
             yield flush(chunk, ids, found)
 
@@ -94,79 +130,99 @@ def blocks(n_buckets: int, extract: Callable[[list], list[tuple[int, bytes, np.n
 
 
 def counter(n_buckets: int):
-    """applyInArrow function of a bucket: blocks to blocks of shared fingerprints, c their number of contents."""
+    """applyInArrow function of a bucket: blocks to blocks of what is shared, c the number of contents.
+
+    Contents of one document each are told apart by their ids; those that a chunk has already counted are added."""
 
     def run(table: pa.Table) -> pa.Table:
-        if table.column("bucket")[0].as_py() >= n_buckets:  # what the documents are; nothing to count
+        bucket = table.column("bucket")[0].as_py()
+        if bucket >= n_buckets:  # what a chunk keeps for itself
             return table
-        a, b, c = (table.column(x).to_pylist() for x in "abc")
-        prints = [unpack(x, low_bytes(n_buckets)) for x in a]
-        own_docs = [np.frombuffer(x, "<u4").reshape(-1, 2) for x in b]
-        value = np.concatenate(prints)
-        content = np.concatenate([np.repeat(np.frombuffer(x, "<u8"), n[:, 1]) for x, n in zip(c, own_docs, strict=True)])
+        kind, a, b, c = (table.column(x).to_pylist() for x in ("kind", "a", "b", "c"))
+        prints = [unpack(x, bucket, n_buckets) for x in a]
+        content, extra = [], []
+        for k, x, y, p in zip(kind, b, c, prints, strict=True):
+            if k == ONE:
+                content.append(np.repeat(np.frombuffer(y, "<u8"), np.frombuffer(x, "<u4").reshape(-1, 2)[:, 1]))
+                extra.append(np.zeros(len(p), np.int64))
+            else:
+                content.append(np.frombuffer(y, "<u8"))
+                extra.append(np.frombuffer(x, "<u4").astype(np.int64) - 1)
+        value, who, more = np.concatenate(prints), np.concatenate(content), np.concatenate(extra)
         order = np.argsort(value, kind="stable")
         ordered = value[order]
-        more = np.zeros(len(value), bool)
+        again = np.zeros(len(value), bool)
         same = ordered[1:] == ordered[:-1]
-        more[1:] |= same
-        more[:-1] |= same
-        at = order[more]  # prints found more than once, ordered by print
-        at = at[np.lexsort((content[at], value[at]))]
-        v, w = value[at], content[at]
-        first = np.ones(len(at), bool)
-        first[1:] = v[1:] != v[:-1]
-        fresh = first.copy()
-        fresh[1:] |= w[1:] != w[:-1]
-        group = np.cumsum(first) - 1
-        n_contents = np.bincount(group, fresh, minlength=1).astype(np.int64)[group] if len(at) else np.zeros(0, np.int64)
-        shared = np.zeros(len(value), np.int64)
-        shared[at] = n_contents
+        again[1:] |= same
+        again[:-1] |= same
+        n_contents = 1 + more  # of prints that stand here once
+        at = order[again]
+        if len(at):
+            at = at[np.lexsort((who[at], value[at]))]
+            first = heads(value[at])
+            group = np.cumsum(first) - 1
+            fresh = first | heads(who[at])
+            n_contents[at] = (np.bincount(group, fresh) + np.bincount(group, more[at])).astype(np.int64)[group]
         start, out = 0, []
-        for p, n in zip(prints, own_docs, strict=True):
-            own = shared[start : start + len(p)]
+        for k, p, x in zip(kind, prints, b, strict=True):
+            own = n_contents[start : start + len(p)]
             start += len(p)
-            keep = own >= 2
-            doc = np.repeat(n[:, 0], n[:, 1])[keep]
-            out.append((pack(p[keep], low_bytes(n_buckets)), runs(doc).tobytes(), own[keep].astype("<u4").tobytes()))
-        return pa.Table.from_arrays([table.column("chunk"), table.column("bucket"), *(pa.array(x, pa.binary()) for x in zip(*out, strict=True))], names=["chunk", "bucket", "a", "b", "c"])
+            if k == ONE:
+                keep = own >= 2
+                n = np.frombuffer(x, "<u4").reshape(-1, 2)
+                out.append((pack(p[keep], n_buckets), runs(np.repeat(n[:, 0], n[:, 1])[keep]).tobytes(), own[keep].astype("<u4").tobytes()))
+            else:
+                out.append((pack(p, n_buckets), b"", own.astype("<u4").tobytes()))
+        return pa.Table.from_arrays([table.column("chunk"), table.column("bucket"), table.column("kind"), *(pa.array(x, pa.binary()) for x in zip(*out, strict=True))], names=COLUMNS)
 
     return run
 
 
-def assembler(n_buckets: int, keep: Callable[[np.ndarray, np.ndarray], np.ndarray]):
+def assembler(n_buckets: int, keep: Callable[[np.ndarray, np.ndarray], np.ndarray], heavy: int):
     """applyInArrow function of a chunk: one row for each document; prints only where keep(size, shared) holds."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids = size = content = None
-        docs, values, weights = [], [], []
-        for bucket, a, b, c in zip(*(table.column(x).to_pylist() for x in ("bucket", "a", "b", "c")), strict=True):
-            if bucket >= n_buckets:
+        ids = size = content = times = holder = None
+        docs, values, weights, several, their = [], [], [], [], []
+        for bucket, kind, a, b, c in sorted(zip(*(table.column(x).to_pylist() for x in COLUMNS[1:]), strict=True), key=lambda r: r[:2]):
+            if kind == DOCUMENTS:
                 ids, size, content = np.frombuffer(a, "<i8"), np.frombuffer(b, "<i4"), np.frombuffer(c, "V16")
+            elif kind == HOLDERS:
+                times, holder = np.frombuffer(a, "<u4").astype(np.int64), np.frombuffer(b, "<u4").astype(np.int64)
             else:
-                n = np.frombuffer(b, "<u4").reshape(-1, 2).astype(np.int64)
-                docs.append(np.repeat(n[:, 0], n[:, 1]))
-                values.append((np.uint64(bucket) << np.uint64(8 * low_bytes(n_buckets))) | unpack(a, low_bytes(n_buckets)))
-                weights.append(np.frombuffer(c, "<u4").astype(np.int64))
+                value, weight = unpack(a, bucket, n_buckets), np.frombuffer(c, "<u4").astype(np.int64)
+                if kind == ONE:
+                    n = np.frombuffer(b, "<u4").reshape(-1, 2).astype(np.int64)
+                    docs.append(np.repeat(n[:, 0], n[:, 1]))
+                    values.append(value)
+                    weights.append(weight)
+                else:
+                    several.append(value)
+                    their.append(weight)
         empty = np.zeros(0, np.int64)
-        doc, value, weight = np.concatenate([empty, *docs]), np.concatenate([empty.astype(np.uint64), *values]), np.concatenate([empty, *weights])
+        value, weight = np.repeat(np.concatenate([empty.astype(np.uint64), *several]), times), np.repeat(np.concatenate([empty, *their]), times)
+        shared = weight >= 2
+        doc, value, weight = np.concatenate([*docs, holder[shared]]), np.concatenate([*values, value[shared]]), np.concatenate([*weights, weight[shared]])
         n_shared = np.bincount(doc, minlength=len(ids))
         use = keep(size, n_shared)
         inside = use[doc]
         doc, value, weight = doc[inside], value[inside], weight[inside]
+        n_heavy = np.bincount(doc[weight > heavy], minlength=len(ids))
         order = np.lexsort((value, -weight, doc))
         ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(ids)))])
         value = value[order].astype("<u8")
         prints = [value[ends[i] : ends[i + 1]].tobytes() if use[i] else None for i in range(len(ids))]
-        return pa.Table.from_arrays([pa.array(ids), pa.array(size), pa.array([x.tobytes() for x in content], pa.binary()), pa.array(n_shared.astype(np.int32)), pa.array(prints, pa.binary())], names=["doc_id", "size", "content", "n_shared", "prints"])
+        return pa.Table.from_arrays([pa.array(ids), pa.array(size), pa.array([x.tobytes() for x in content], pa.binary()), pa.array(n_shared.astype(np.int32)), pa.array(n_heavy.astype(np.int32)), pa.array(prints, pa.binary())], names=["doc_id", "size", "content", "n_shared", "n_heavy", "prints"])
 
     return run
 
 
-def shared_fingerprints(docs: DataFrame, n_buckets: int, extract, keep) -> DataFrame:
-    """doc_id, size, content, n_shared, prints: shared fingerprints, those in most contents first, as 64-bit places.
+def shared_fingerprints(docs: DataFrame, n_buckets: int, extract, keep, heavy: int = 1 << 40) -> DataFrame:
+    """doc_id, size, content, n_shared, n_heavy, prints: the shared fingerprints of 64 bits, those in most contents
+    first; the first n_heavy are in more than `heavy` contents.
 
-    docs has doc_id (not null) and text. Fingerprints of documents with the same content id count once.
+    docs has doc_id (not null) and text. Fingerprints of documents with the same content id are not shared by that.
     """
     made = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(blocks(n_buckets, extract), BLOCKS)
     counted = made.groupBy("bucket").applyInArrow(counter(n_buckets), BLOCKS)
-    return counted.groupBy("chunk").applyInArrow(assembler(n_buckets, keep), "doc_id bigint, size int, content binary, n_shared int, prints binary")
+    return counted.groupBy("chunk").applyInArrow(assembler(n_buckets, keep, heavy), "doc_id bigint, size int, content binary, n_shared int, n_heavy int, prints binary")

@@ -9,8 +9,9 @@
 
 Keys: lines with [\\x20\\x09-\\x0D] stripped at both ends and A-Z lower-cased; only keys of `min_chars` code points count.
 Defined cases: a null or empty text is one empty line, which is too short to drop; rows with a null doc_id neither
-count nor lose lines; each row counts as a document, and of rows that share the largest doc_id each keeps its line; a text all of whose lines go becomes empty; an
-empty table gives no rows; dedup_lines keeps all other columns.
+count nor lose lines; rows that share a doc_id count as one document, and of those that share the largest doc_id each
+keeps its line; a text all of whose lines go becomes empty; an empty table gives no rows; dedup_lines keeps all other
+columns.
 """
 
 from __future__ import annotations
@@ -61,7 +62,8 @@ def line_counts(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(two[:, 0]), pa.array(two[:, 1]), pa.array(ids, pa.int64())], names=["high", "low", "doc_id"])
 
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "high bigint, low bigint, doc_id bigint")
-    counted = rows.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper"))
+    # rows that share a doc_id are one document; a common line is dealt by (line, doc_id) first, so it fills no task
+    counted = rows.groupBy("high", "low").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper"))
     return counted.filter(F.col("n_docs") >= min_docs)
 
 

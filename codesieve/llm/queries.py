@@ -23,7 +23,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(spark, documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return decontaminate.contamination(spark, documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), near=True)
 
 
 def op3_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

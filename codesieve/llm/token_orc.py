@@ -1,9 +1,8 @@
 """Token ids as ORC: documents in ascending doc_id order, ids in run-length encoded integer streams, with row indexes
 and a Bloom filter on doc_id, so that readers take stripes in parallel and skip those without an asked document.
 
-Each file holds one range of doc_ids; `seq` orders rows within and across files. Texts are cut before a blank that is
-followed by something visible, where the tokenizer always begins a new word, and each worker remembers pieces it has
-encoded, up to a bound.
+Each file holds one range of doc_ids; `seq` orders rows within and across files. Texts are cut where the tokenizer always
+begins anew, and each worker remembers pieces it has encoded, up to a bound.
 
 Defined cases: a null text is empty (its only id is the end id); null doc_ids come first; rows that share a doc_id stand
 side by side; an empty table gives no rows; other columns are ignored.
@@ -11,6 +10,7 @@ side by side; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -23,23 +23,63 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, text_bytes
-from .rolling import mixed, prefix_sums
+from .rolling import mixed
 
-#: Pieces a worker remembers before it starts anew.
+#: Pieces a worker remembers before it starts anew; it keeps one such generation besides.
 REMEMBERED = 250_000
 #: Bytes of text for one file.
 FILE_BYTES = 24_000_000
 ORC = {"orc.compress": "SNAPPY", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.stripe.size": str(16 << 20)}
 #: Bytes of text that are cut at once.
 TOGETHER = 1_500_000
+#: Bytes of a piece that its hash covers.
+HASHED = 512
 #: Bytes after a blank with which something visible begins for certain (other characters may be white space).
 VISIBLE = np.array([i > 32 and i not in (0xC2, 0xE1, 0xE2, 0xE3) for i in range(256)])
-#: A word with marks, and maybe another on the next line: the tokenizer parts words, marks and a single line end.
-PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)(?:\n([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@[-`{-~]*))?")
+LETTER = np.array([chr(i).isalpha() and i < 128 for i in range(256)])
+SECOND = np.array([0x80 <= i < 0xC0 and i not in (0x97, 0xB7) for i in range(256)])
+GRAPHIC = np.array([32 < i < 127 for i in range(256)])
+MASKS = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
+
+
+def distinct(raw: bytes, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the distinct pieces raw[start:stop], which of them each piece is). Pieces of equal hash are compared."""
+    size = stop - start
+    words = np.ndarray((len(raw) + 1,), "<u8", raw + bytes(8), strides=(1,))  # 8 bytes from each place on
+
+    def steps(live: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+        for at in range(0, HASHED, 8):
+            if not len(live):
+                return
+            rest = size[live] - at
+            yield live, at, MASKS[np.minimum(rest, 8)]
+            live = live[rest > 8]
+
+    key = size.astype(np.uint64)
+    for live, at, mask in steps(np.arange(len(size))):
+        key[live] = mixed((key[live] ^ (words[start[live] + at] & mask)) * np.uint64(0x9E3779B97F4A7C15))
+    _, first, which = np.unique(key, return_index=True, return_inverse=True)
+    same = first[which]
+    other = np.nonzero(same != np.arange(len(same)))[0]
+    differ = bool((size[other] != size[same[other]]).any())
+    if not differ:
+        for live, at, mask in steps(other):
+            differ = differ or bool((((words[start[live] + at] ^ words[start[same[live]] + at]) & mask) != 0).any())
+        long = other[size[other] > HASHED].tolist()
+        differ = differ or any(raw[start[i] : stop[i]] != raw[start[same[i]] : stop[same[i]]] for i in long)
+    if differ:  # told apart by their bytes
+        named: dict[bytes, int] = {}
+        which = np.array([named.setdefault(raw[i:j], len(named)) for i, j in zip(start.tolist(), stop.tolist(), strict=True)], np.int64)
+        first = np.unique(which, return_index=True)[1]
+    return first, which
 
 
 class PieceEncoder:
-    """Ids of whole texts. Pieces of many texts are cut and told apart by numpy; Python sees distinct ones only."""
+    """Ids of whole texts. Pieces of many texts are cut and told apart by numpy; Python sees distinct ones only.
+
+    The usual byte-level pre-tokenizer always begins anew before a blank that something visible follows, between a
+    Latin-1 letter and an ASCII mark, and on both sides of a single line end. Apostrophes and characters of added tokens
+    are no marks here. For any other pre-tokenizer a text is one piece."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -48,35 +88,50 @@ class PieceEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        added, pre = spec["added_tokens"], spec["pre_tokenizer"] or {}
+        self.cuts = (
+            not spec["normalizer"] and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
+            and not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] or re.search(r"\s", t["content"]) for t in added)
+        )
+        self.mark = GRAPHIC & ~LETTER & np.array([not chr(i).isdigit() and chr(i) not in "'" + "".join(t["content"] for t in added) for i in range(256)])
+        vocab = self.library.get_vocab()
+        # tokens that begin with a blank, and bytes of each token (a character of the byte-level alphabet is a byte)
+        self.opens, self.bytes = np.zeros(max(vocab.values()) + 1, bool), np.zeros(max(vocab.values()) + 1, np.int64)
+        ids = np.fromiter(vocab.values(), np.int64, len(vocab))
+        self.opens[ids], self.bytes[ids] = [t.startswith("\u0120") for t in vocab], [len(t) for t in vocab]
+        for t in added:
+            self.bytes[t["id"]] = len(t["content"].encode())
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
-        # tokens that begin with a blank
-        self.opens = np.zeros(max(self.library.get_vocab().values()) + 1, bool)
-        self.opens[[i for t, i in self.library.get_vocab().items() if t.startswith("\u0120")]] = True
-
-    def learn(self, new: set[bytes]) -> None:
-        """Encode pieces that are new; plain ones by their words and marks, which are rarely new themselves."""
-        known, built, need = self.known, {}, set()
-        for piece in new:
-            p = piece.decode("utf-8", "surrogatepass")
-            if (m := PLAIN.fullmatch(p)) and (m[2] or m[3]):
-                built[piece] = [x.encode() for x in (m[1], m[2], m[3] and "\n", m[3], m[4]) if x]
-                need.update(built[piece])
-            else:
-                need.add(piece)
-        known.update((p, self.older[p]) for p in need & self.older.keys())
-        self.encode(list(need - known.keys()))
-        known.update((p, b"".join([known[x] for x in parts])) for p, parts in built.items())
+
+    def starts(self, x: np.ndarray, doc_start: np.ndarray) -> np.ndarray:
+        """Where pieces begin; doc_start are the places of texts that aren't empty."""
+        cut = np.zeros(len(x), bool)
+        if self.cuts and len(x) > 1:
+            cut[:-1] = (x[:-1] == 32) & VISIBLE[x[1:]]
+            first, mark = LETTER[x], self.mark[x]
+            last = first.copy()
+            two = np.nonzero((x[:-1] == 0xC3) & SECOND[x[1:]])[0]  # letters from U+00C0 to U+00FF
+            first[two] = last[two + 1] = True
+            cut[1:] |= (last[:-1] & mark[1:]) | (mark[:-1] & first[1:])
+            plain = LETTER[x] | mark
+            end = np.nonzero((x[1:-1] == 10) & plain[:-2] & plain[2:])[0] + 1
+            cut[end] = cut[end + 1] = True
+        cut[doc_start] = True
+        return np.nonzero(cut)[0]
 
     def encode(self, new: list[bytes]) -> None:
         """Pieces with one blank, at their beginning, are encoded in one text and told apart by it."""
-        joined = [p for p in new if p[:1] == b" " and p.count(b" ") == 1 and len(p) > 1 and VISIBLE[p[1]]]
-        ids = np.array(self.library.encode_batch_fast([b"".join(joined).decode("utf-8", "surrogatepass")], add_special_tokens=False)[0].ids, "<u4")
-        at = np.nonzero(self.opens[ids])[0]
-        if len(at) == len(joined):
-            raw, ends = ids.tobytes(), [*(4 * at[1:]).tolist(), 4 * len(ids)]
-            self.known.update(zip(joined, [raw[i:j] for i, j in zip((4 * at).tolist(), ends[: len(at)], strict=True)], strict=True))
-            new = [p for p in new if p not in self.known]
+        joined = [p for p in new if p[:1] == b" " and p.count(b" ") == 1 and len(p) > 1 and VISIBLE[p[1]]] if self.cuts else []
+        if joined:
+            ids = np.array(self.library.encode_batch_fast([b"".join(joined).decode("utf-8", "surrogatepass")], add_special_tokens=False)[0].ids, "<u4")
+            at, size, asked = np.nonzero(self.opens[ids])[0], self.bytes[ids], np.array([len(p) for p in joined])
+            if np.array_equal((np.cumsum(size) - size)[at], np.cumsum(asked) - asked):  # they begin where the pieces do
+                raw, ends = ids.tobytes(), [*(4 * at[1:]).tolist(), 4 * len(ids)]
+                self.known.update(zip(joined, [raw[i:j] for i, j in zip((4 * at).tolist(), ends, strict=True)], strict=True))
+                new = [p for p in new if p not in self.known]
         for p, e in zip(new, self.library.encode_batch_fast([p.decode("utf-8", "surrogatepass") for p in new], add_special_tokens=False), strict=True):
             self.known[p] = np.array(e.ids, "<u4").tobytes()
 
@@ -85,26 +140,18 @@ class PieceEncoder:
         raws = [t.encode("utf-8", "surrogatepass") for t in texts]
         sizes = np.array([len(r) for r in raws], np.int64)
         raw = b"".join(raws)
-        x = np.frombuffer(raw, np.uint8)
-        doc_start = np.cumsum(sizes) - sizes
-        cut = np.zeros(len(x), bool)
-        cut[:-1] = (x[:-1] == 32) & VISIBLE[x[1:]]
-        cut[doc_start[sizes > 0]] = True
-        start = np.nonzero(cut)[0]
-        stop = np.append(start[1:], len(x)) if len(start) else start
-        sums, down = prefix_sums(x)
-        # pieces of one hash are taken for one piece: among the some 10^5 of a batch, once in 10^9 batches they aren't
-        _, first, which = np.unique(mixed((sums[stop] - sums[start]) * down[start]) ^ (stop - start).astype(np.uint64), return_index=True, return_inverse=True)
+        start = self.starts(np.frombuffer(raw, np.uint8), (np.cumsum(sizes) - sizes)[sizes > 0])
+        stop = np.append(start[1:], len(raw)) if len(start) else start
+        first, which = distinct(raw, start, stop)
         pieces = [raw[i:j] for i, j in zip(start[first].tolist(), stop[first].tolist(), strict=True)]
         if len(self.known) >= REMEMBERED:
             self.older, self.known = self.known, {}
         known = self.known
         got = list(map(known.get, pieces))
-        new = {p for p, g in zip(pieces, got, strict=True) if g is None}
+        new = [p for p, g in zip(pieces, got, strict=True) if g is None]
         if new:
-            again = new & self.older.keys()
-            known.update((p, self.older[p]) for p in again)
-            self.learn(new - again)
+            known.update((p, self.older[p]) for p in new if p in self.older)
+            self.encode([p for p in new if p not in known])
             got = [known[p] for p in pieces]
         # ids of distinct pieces, one after the other, and where each occurrence takes its own
         flat = np.frombuffer(b"".join(got), "<u4")
@@ -113,9 +160,15 @@ class PieceEncoder:
         n = length[which]
         per_doc = np.bincount(np.searchsorted(np.cumsum(sizes), start, side="right"), n, minlength=len(texts)).astype(np.int64)
         extra = 0 if end_id is None else 1
-        out = np.full(int(n.sum()) + extra * len(texts), end_id or 0, "<u4")
-        body = np.repeat(np.arange(len(texts)), per_doc) * extra + np.arange(int(n.sum()))
-        out[body] = flat[np.repeat(offset[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        total = int(n.sum())
+        out = np.full(total + extra * len(texts), end_id or 0, "<u4")
+        own = flat[np.repeat(offset[which] - (np.cumsum(n) - n), n) + np.arange(total)]
+        if extra:
+            inner = np.ones(len(out), bool)
+            inner[np.cumsum(per_doc + 1) - 1] = False
+            out[inner] = own
+        else:
+            out[:] = own
         return out, per_doc + extra
 
 

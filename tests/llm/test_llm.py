@@ -94,6 +94,15 @@ def test_exact_dedup_of_rows_without_id(spark, tmp_path, digest):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("digest", [exact_dedup.sha256, lambda t: F.lit("same")])
+def test_exact_dedup_of_repeated_ids(spark, tmp_path, digest):
+    rows = [(5, "aaa"), (5, "bbb"), (6, "aaa"), (7, "bbb"), (7, "b bb"), (8, "c"), (8, "c"), (8, "d"), (None, "bbb")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2).write.parquet(str(tmp_path / "d"))
+    got = sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_dedup(spark, str(tmp_path / "d"), digest).collect())
+    want = [("5", "5", 2, True, "aaa"), ("5", "7", 4, False, "bbb"), ("6", "5", 2, False, "aaa"), ("7", "7", 4, True, "bbb"), ("7", "7", 4, True, "bbb"), ("8", "8", 2, True, "c"), ("8", "8", 2, True, "c"), ("8", "8", 1, True, "d"), ("None", "None", 4, True, "bbb")]
+    assert got == sorted((*w, sha(t)) for *w, t in want)
+
+
 # op2 -----------------------------------------------------------------------------------------------------------------
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -134,21 +143,43 @@ def test_decontamination(spark, texts, docs, nothing):
 
 def test_decontamination_of_repeated_rows(spark):
     long = " ".join(f"v{k}" for k in range(30))
-    rows = [(1, f"a {long} b"), (1, f"a {long} b"), (1, f"a {long} b"), (2, "only once"), (2, "only once"), (3, f"c {long}"), (4, "clean"), (4, "clean"), (None, long), (None, long), (5, "one"), (5, "one alone"), (6, f"a {long} b")]
+    rows = [(1, f"a {long} b"), (1, f"a {long} b"), (1, f"a {long} b"), (1, "clean text"), (2, "only once"), (2, "only once"), (3, f"c {long}"), (4, "clean"), (4, "clean"), (None, long), (None, long), (None, "clean"), (5, "one"), (5, "one alone"), (6, f"a {long} b")]
     items = [("p", " ".join(long.split()[4:20])), ("w", "once")]
     df, bench = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), spark.createDataFrame(items, "item_id string, text string")
     got = sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.contamination(spark, df, bench).collect())
-    known = [(i, t) for i, t in rows if i is not None]
-    want = [(str(i), *r, r[1] > 0) for i, *r in leaks(known, items, 10)] + [("None", 30, 0, 0, sha(""), False)] * 2
-    assert got == sorted(want) and sum(g[2] == 16 for g in got) == 5 and sum(g[2] == 1 for g in got) == 2
-    assert sorted(str(r.doc_id) for r in decontaminate.decontaminate(spark, df, bench).collect()) == ["4", "4", "5", "5", "None", "None"]
-
-
-def test_proximity(spark):
-    d = spark.createDataFrame([(1, "a zebra x yak b"), (2, "yak zebra"), (3, "zebra"), (4, "zebra " + "z " * 50 + "yak")], "doc_id bigint, text string")
-    bench = spark.createDataFrame([("i", "zebra and yak")], "item_id string, text string")
-    _, anchors, index = decontaminate.build_index(d.unionByName(spark.createDataFrame([(9, "and " * 20)], d.schema)), bench, Workspace(spark, "t"))
-    assert {r.doc_id for r in decontaminate.proximity_matches(anchors, index, 3).collect()} == {1, 2}
+    assert got == sorted((str(i), *r, r[1] > 0) for i, *r in leaks(rows, items, 10))
+    assert sum(g[2] == 16 for g in got) == 7 and sum(g[2] == 1 for g in got) == 2
+    clashing = df.withColumns({"k1": F.lit(1), "row": F.lit(2), "rid": F.lit(3)})
+    kept = decontaminate.decontaminate(spark, clashing, bench)
+    assert kept.columns == clashing.columns
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == [("1", "clean text"), ("4", "clean"), ("4", "clean"), ("5", "one"), ("5", "one alone"), ("None", "clean")]
+
+
+def test_near_matches(spark):
+    passage = [f"p{k}" for k in range(14)]
+    mixed = passage[:10]
+    random.Random(2).shuffle(mixed)
+    rows = [(1, "a " + " ".join(mixed)), (2, " ".join(passage)), (3, " x ".join(mixed)), (4, " x y z x y z ".join(mixed)), (5, " ".join(mixed[:4])), (6, "zebra"), (7, "p0 " * 40)]
+    df, bench = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2), spark.createDataFrame([("i", " ".join(passage)), ("z", "Zebra")], "item_id string, text string")
+    got = by_id(decontaminate.contamination(spark, df, bench, near=True))
+    ws = Workspace(spark, "t")
+    index = decontaminate.build_index(df, bench, ws)
+    anchors, items = defaultdict(list), {r["item"]: r for r in index.items.collect()}
+    for r in sorted(index.anchors.collect(), key=lambda r: r["rank"]):
+        anchors[r["set"]].append((r["item"], r["offset"]))
+    for i, t in rows:
+        w, near = split(t), set()
+        for places in anchors.values():
+            own = items[places[0][0]]
+            k = [o for _, o in places]
+            first, *rest = [own["words"][o] for o in k]
+            others = set(own["words"][max(0, max(k) - 9) : min(k) + 10])
+            for p in [p for p, x in enumerate(w) if x == first]:
+                here = w[max(0, p - 15) : p + 16]
+                if all(x in here for x in rest) and len(others & set(here)) >= min(8, len(others)):
+                    near.add(own["item_id"])
+        assert got[i]["n_near"] == len(near), i
+    assert [got[i]["n_near"] for i in (1, 2, 5, 6)] == [1, 1, 0, 1] and got[1]["n_hit"] == 0
 
 
 # op3 -----------------------------------------------------------------------------------------------------------------
@@ -294,6 +325,23 @@ def test_token_files(spark, texts, docs, nothing):
     assert sorted((str(r.doc_id), r.start) for r in odd) == [("1", 2), ("1", 4), ("None", 0)]
 
 
+def thue_morse(n):
+    """Two texts that polynomial hashes modulo 2^64 take for one."""
+    t = "".join("ab"[k.bit_count() & 1] for k in range(1 << n))
+    return t, t.translate({97: "b", 98: "a"})
+
+
+def test_token_files_tell_equal_hashes_apart(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
+    texts = [*thue_morse(12), "x" * 5000, "x" * 5001, "x" * 4999 + "y", "same same", "don't, (stop)\nNow <|endoftext|>.\n\n", "é. ×. “a”"]
+    for hashed in (token_orc.mixed, lambda h: h & np.uint64(1)):
+        monkeypatch.setattr(token_orc, "mixed", hashed)
+        ids, n = token_orc.PieceEncoder(tokenizer("byte_bpe_50k.json")).batch(texts, 2)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
 def test_bpe(spark, texts, docs, nothing):
     from tokenizers import Tokenizer
 
@@ -353,6 +401,15 @@ def test_line_dedup(spark, texts, docs, nothing, options):
     assert [r.n_dropped for r in odd.collect()] == [0] * 4
 
 
+@pytest.mark.parametrize("options", [{}, {"shard_keys": 2, "broadcast_bytes": 1}])
+def test_line_dedup_of_repeated_ids(spark, options):
+    line, other = "a line of twenty characters and more", "another line that is long enough"
+    rows = [(1, f"{line}\nown"), (1, f"{line}\nown"), (2, f"{line}\nx"), (3, other), (3, f"y\n{other}"), (4, other), (5, other), (5, f"{other}\n{line}?")]
+    got = sorted((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in line_dedup.line_report(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), **options).collect())
+    want = [(1, 2, 0, f"{line}\nown")] * 2 + [(2, 2, 0, f"{line}\nx"), (3, 1, 1, ""), (3, 2, 1, "y"), (4, 1, 1, ""), (5, 1, 0, other), (5, 2, 0, f"{other}\n{line}?")]
+    assert got == sorted((*w, sha(t)) for *w, t in want)
+
+
 def test_perfect_hash():
     keys = np.random.default_rng(0).integers(0, 2**63, 20000, dtype=np.uint64)
     h = line_dedup.PerfectHash.build(keys)
@@ -405,9 +462,10 @@ def test_forest_walks_as_trees_do():
 
 # op10 ----------------------------------------------------------------------------------------------------------------
 
-@pytest.mark.parametrize("hot", [1, 4000])
-def test_suffix_dedup(spark, texts, docs, nothing, hot):
-    got = by_id(suffix_dedup.suffix_dedup(spark, docs, hot))
+@pytest.mark.parametrize("heavy", [1, 20_000])
+def test_suffix_dedup(spark, texts, docs, nothing, heavy, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "TOGETHER", 5)
+    got = by_id(suffix_dedup.suffix_dedup(spark, docs, heavy))
     seen, total = {}, 0
     for i, t in sorted(texts):
         raw = (t or "").encode()
