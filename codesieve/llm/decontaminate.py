@@ -9,7 +9,7 @@
 4. The lists of all other terms of the item are intersected with the seeds, in the index and for their rows alone. Runs
    of `window` item words or more that stand at one alignment are the exact phrase matches.
 `near_matches` asks the same index for words of an item that stand close together in any order: the anchors of a window
-within `reach` words of the rarest, and at least `least` different words of the windows with these anchors.
+within `reach` words of the first of them, and `least` different words of the windows with these anchors.
 
 Defined cases: a null text has no words; items without words never match; items with equal texts all count; repeated
 item rows count once for each distinct item_id; each document row has a result of its own, also rows that repeat a
@@ -63,11 +63,13 @@ def small(df: DataFrame, column: str) -> DataFrame:
 @dataclass
 class Index:
     """items: item, item_id, words. places: item, offset, term_id, asked (words of a window). postings: rid, term_id,
-    position. rows: rid, doc_id, k1, k2, n_words. anchors: term_id, set, item, offset, rank, n_anchors."""
+    position. frequency: term_id, n. rows: rid, doc_id, k1, k2, n_words. anchors: term_id, set, item, offset, rank,
+    n_anchors, whole."""
 
     items: DataFrame
     places: DataFrame
     postings: DataFrame
+    frequency: DataFrame
     rows: DataFrame
     anchors: DataFrame
 
@@ -97,18 +99,18 @@ def store_postings(docs: DataFrame, vocabulary: DataFrame, ws: Workspace) -> Dat
 
 
 def choose_anchors(places: DataFrame, frequency: DataFrame, ws: Workspace, window: int, anchors: int) -> DataFrame:
-    """The rarest terms of each window, once for all windows of an item that share them. A window with a term that
-    training lacks can't occur."""
+    """The rarest terms that training has of each window, once for all windows of an item that share them; `whole` if
+    training has all terms of one of these windows, as else none of them can occur."""
     last = F.max("offset").over(Window.partitionBy("item"))
     known = places.join(frequency, "term_id", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("last", last)
     starts = F.sequence(F.greatest(F.col("offset") - window + 1, F.lit(0)), F.least(F.col("offset"), F.greatest(F.col("last") - window + 1, F.lit(0))))
     each = known.select("item", "offset", "term_id", "n", F.explode(starts).alias("start"))
     by_window = Window.partitionBy("item", "start")
-    ranked = each.withColumn("least", F.min("n").over(by_window)).filter("least > 0").withColumn("place", F.row_number().over(by_window.orderBy("n", "offset"))).filter(F.col("place") <= anchors)
-    sets = ranked.groupBy("item", "start").agg(F.array_sort(F.collect_list("offset")).alias("offsets")).select("item", "offsets").distinct()
+    ranked = each.withColumn("least", F.min("n").over(by_window)).filter("n > 0").withColumn("place", F.row_number().over(by_window.orderBy("n", "offset"))).filter(F.col("place") <= anchors)
+    sets = ranked.groupBy("item", "start").agg(F.array_sort(F.collect_list("offset")).alias("offsets"), F.min("least").alias("least")).groupBy("item", "offsets").agg((F.max("least") > 0).alias("whole"))
     sets = ws.save(sets.withColumn("set", F.monotonically_increasing_id()), "anchor-sets")
-    each = sets.select("set", "item", F.size("offsets").alias("n_anchors"), F.posexplode("offsets").alias("rank", "offset"))
-    return ws.save(each.join(places, ["item", "offset"]).select("term_id", "set", "item", "offset", "rank", "n_anchors"), "anchors")
+    each = sets.select("set", "item", "whole", F.size("offsets").alias("n_anchors"), F.posexplode("offsets").alias("rank", "offset"))
+    return ws.save(each.join(places, ["item", "offset"]).select("term_id", "set", "item", "offset", "rank", "n_anchors", "whole"), "anchors")
 
 
 def build_index(docs: DataFrame, benchmark: DataFrame, ws: Workspace, window: int = WINDOW, anchors: int = ANCHORS) -> Index:
@@ -118,12 +120,12 @@ def build_index(docs: DataFrame, benchmark: DataFrame, ws: Workspace, window: in
     index = store_postings(docs, vocabulary, ws)
     postings = index.filter(f"term_id <> {DOCUMENT}").select("rid", "term_id", "position")
     frequency = ws.save(postings.groupBy("term_id").agg(F.count(F.lit(1)).alias("n")), "frequency")
-    return Index(items, places, postings, index.filter(f"term_id = {DOCUMENT}").select("rid", "doc_id", "k1", "k2", "n_words"), choose_anchors(places, frequency, ws, window, anchors))
+    return Index(items, places, postings, frequency, index.filter(f"term_id = {DOCUMENT}").select("rid", "doc_id", "k1", "k2", "n_words"), choose_anchors(places, frequency, ws, window, anchors))
 
 
 def alignments(index: Index) -> DataFrame:
     """(rid, item, at): where all anchors of a window have the right distance; word 0 of the item would stand at `at`."""
-    shifted = index.postings.join(small(index.anchors, "term_id"), "term_id").select("rid", "set", "item", (F.col("position") - F.col("offset")).alias("at"), "rank", "n_anchors")
+    shifted = index.postings.join(small(index.anchors.filter("whole"), "term_id"), "term_id").select("rid", "set", "item", (F.col("position") - F.col("offset")).alias("at"), "rank", "n_anchors")
     met = shifted.groupBy("rid", "set", "item", "at").agg(F.bit_or(F.expr("shiftleft(1L, rank)")).alias("ranks"), F.max("n_anchors").alias("n_anchors"))
     return met.filter("bit_count(ranks) = n_anchors").select("rid", "item", "at").distinct()
 
@@ -150,18 +152,27 @@ def around(position: Column, reach: int) -> Column:
     return F.explode(F.array(own - 1, own, own + 1))
 
 
+def near_terms(index: Index, window: int, least: int) -> DataFrame:
+    """(set, term_id, need): the words of the windows that have the anchors of a set, and how many different ones of them
+    a near match has. Sets of which training has fewer can't match."""
+    ends = index.anchors.groupBy("set", "item").agg((F.max("offset") - window + 1).alias("low"), (F.min("offset") + window - 1).alias("high"))
+    words = ends.join(index.places, "item").filter("offset between low and high").select("set", "term_id").distinct().join(index.frequency.withColumnRenamed("n", "known"), "term_id", "left")
+    needs = words.groupBy("set").agg(F.least(F.count(F.lit(1)), F.lit(least)).alias("need"), F.count("known").alias("n_known")).filter("n_known >= need")
+    return words.filter("known is not null").join(needs, "set").select("set", "term_id", "need")
+
+
 def near_matches(index: Index, ws: Workspace, window: int = WINDOW, reach: int = REACH, least: int = LEAST) -> DataFrame:
-    """(rid, item, near): word positions of a rarest anchor around which the item's words stand, in any order."""
-    asked = index.postings.join(small(index.anchors, "term_id"), "term_id").select("rid", "set", "item", "position", "rank", "n_anchors")
+    """(rid, item, near): positions of an anchor with the other anchors of its windows, and `least` different words of
+    these windows (all, if they have fewer), within `reach` words of it, in any order."""
+    words = ws.save(near_terms(index, window, least), "near-terms")
+    anchors = index.anchors.join(words.select("set").distinct(), "set", "left_semi")
+    asked = index.postings.join(small(anchors, "term_id"), "term_id").select("rid", "set", "item", "position", "rank", "n_anchors")
     first = asked.filter("rank = 0").select("rid", "set", "item", "n_anchors", F.col("position").alias("near"))
     others = asked.filter("rank > 0").select("rid", "set", "rank", "position", F.floor(F.col("position") / reach).alias("stretch"))
     met = first.filter("n_anchors > 1").withColumn("stretch", around(F.col("near"), reach)).join(others, ["rid", "set", "stretch"]).filter(F.abs(F.col("position") - F.col("near")) <= reach)
     together = met.groupBy("rid", "set", "item", "near", "n_anchors").agg(F.bit_or(F.expr("shiftleft(1L, rank)")).alias("ranks")).filter("bit_count(ranks) = n_anchors - 1")
     places = ws.save(together.select("rid", "set", "item", "near").unionByName(first.filter("n_anchors = 1").select("rid", "set", "item", "near")), "near-places")
     rids = ws.save(places.select("rid").distinct(), "near-rows")
-    # words of the windows that have these anchors
-    ends = index.anchors.groupBy("set", "item").agg((F.max("offset") - window + 1).alias("low"), (F.min("offset") + window - 1).alias("high"))
-    words = ends.join(index.places, "item").filter("offset between low and high").groupBy("set").agg(F.collect_set("term_id").alias("terms")).select("set", F.least(F.size("terms"), F.lit(least)).alias("need"), F.explode("terms").alias("term_id"))
     wanted = places.join(small(words, "term_id"), "set").withColumn("stretch", around(F.col("near"), reach))
     there = of_rows(index, rids).withColumn("stretch", F.floor(F.col("position") / reach))
     found = wanted.join(there, ["rid", "term_id", "stretch"]).filter(F.abs(F.col("position") - F.col("near")) <= reach)

@@ -75,9 +75,19 @@ SQL = {
         pos AS (SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS phrase FROM d, sizes, range(1, len(w) - n + 2) AS t(s)),
         m AS (SELECT doc_id, item_id, s, n FROM pos JOIN win USING (phrase, n)),
         hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM m) GROUP BY doc_id),
-        it AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM m) GROUP BY doc_id)
-        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-        FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)""",
+        it AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM m) GROUP BY doc_id),
+        bw AS (SELECT item_id, o, w[o + 1] AS t, len(w) AS n FROM b, range(len(w)) AS x(o)),
+        pw AS (SELECT * FROM (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS p FROM d) WHERE t IN (SELECT t FROM bw)),
+        fr AS (SELECT t, count(*) AS f FROM pw GROUP BY t),
+        rare AS (SELECT item_id, s, o FROM bw JOIN fr USING (t), range(greatest(n - 9, 1)) AS y(s) WHERE o BETWEEN s AND s + 9 QUALIFY row_number() OVER (PARTITION BY item_id, s ORDER BY f, o) <= 2),
+        sets AS (SELECT DISTINCT item_id, min(o) AS lo, max(o) AS hi FROM rare GROUP BY item_id, s),
+        terms AS (SELECT DISTINCT item_id, lo, hi, t FROM sets JOIN bw USING (item_id) WHERE o BETWEEN hi - 9 AND lo + 9),
+        need AS (SELECT item_id, lo, hi, least(count(*), 8) AS need FROM terms GROUP BY ALL),
+        pl AS (SELECT DISTINCT a.doc_id, item_id, lo, hi, a.p AS near FROM sets JOIN bw AS x USING (item_id) JOIN bw AS y USING (item_id) JOIN pw AS a ON a.t = x.t JOIN pw AS b ON b.doc_id = a.doc_id AND b.t = y.t WHERE x.o = lo AND y.o = hi AND b.p BETWEEN a.p - 15 AND a.p + 15),
+        nm AS (SELECT pl.doc_id, item_id FROM pl JOIN terms USING (item_id, lo, hi) JOIN need USING (item_id, lo, hi) JOIN pw AS c ON c.doc_id = pl.doc_id AND c.t = terms.t WHERE c.p BETWEEN near - 15 AND near + 15 GROUP BY pl.doc_id, item_id, lo, hi, near, need HAVING count(DISTINCT c.t) >= need),
+        close AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM nm GROUP BY doc_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+        FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN close USING (doc_id)""",
     "op3_chat_tree": r"""
         WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
         f AS (SELECT *, regexp_extract_all(text, '<<SYS>>|<</SYS>>|\[INST\]|\[/INST\]|<s>|</s>|<<ROLE>>|<</ROLE>>|<<TURN>>|<</TURN>>') AS marks FROM c)
