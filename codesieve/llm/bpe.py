@@ -3,12 +3,13 @@
 White space lies inside no token of the vocabulary, and pairs of bytes that stand side by side in no token can't be
 joined by any merge. Both mark cuts that hold for certain: what lies between cuts is encoded on its own and the ids
 are concatenated. The same fragments come again and again, so each Python worker keeps those it has seen, up to a
-bound. The merges themselves are the tokenizers library's.
+bound. The merges themselves are the tokenizers library's. Ids are decoded from the vocabulary, a word's at once: a file
+that names no decoder joins tokens by blanks, so what words decode to is joined in the same way.
 
 Defined cases: a null text is empty and has no ids; strings of special tokens inside a text get their special id, as
 the library does; documents are encoded as they come, so ties and repeated rows don't matter; a null doc_id is passed
-on; other columns are ignored; a tokenizer file that names a decoder is refused, as its ids don't decode to tokens
-joined by blanks.
+on; other columns are ignored; a tokenizer file that names a decoder is refused. A file with another normaliser or
+pre-tokenizer than the one that plain words are read for has every word read by the library.
 """
 
 from __future__ import annotations
@@ -55,7 +56,9 @@ class ForcedBoundaryEncoder:
             plain = token.removesuffix(self.end) if self.end else token
             joined.update(plain[i : i + 2] for i in range(len(plain) - 1))
         self.joined = joined
-        self.fragments: dict[tuple[str, bool], list[tuple[int, str]]] = {}
+        self.token = {i: t for t, i in self.library.get_vocab().items()}
+        self.plain = PLAIN if self.reads_plain() else None
+        self.fragments: dict[tuple[str, bool], list[int]] = {}
         self.words: dict[str, tuple[int, str, str]] = {}
         self.older: dict[str, tuple[int, str, str]] = {}
 
@@ -69,25 +72,37 @@ class ForcedBoundaryEncoder:
         out.append(piece[start:])
         return out
 
-    def fragment(self, text: str, last: bool) -> list[tuple[int, str]]:
+    def reads_plain(self) -> bool:
+        """Whether the library reads words as `pieces` does plain ones: a sample of every letter and mark, alone and
+        between others."""
+        letters = [chr(c) for c in (*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x100)) if c not in (0xD7, 0xF7)]
+        marks = ".,;:!?*#%&$|()-"
+        samples = [*letters, *marks, *(f"a{x}B{x}" for x in letters), *(f"aB{x}{y}" for x in marks for y in marks), "".join(letters) + marks]
+        return all(self.read(w) == self.split_plain(m) for w in samples if (m := PLAIN.fullmatch(w)))
+
+    def split_plain(self, plain: re.Match) -> list[str]:
+        return [p.lower().encode().decode("latin-1").translate(ALPHABET) for p in plain.groups() if p]
+
+    def read(self, word: str) -> list[str]:
+        return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(word) if self.library.normalizer else word)]
+
+    def pieces(self, word: str) -> list[str]:
+        """Pre-tokens of a word in the byte-level alphabet."""
+        plain = self.plain and self.plain.fullmatch(word)
+        return self.split_plain(plain) if plain else self.read(word)
+
+    def fragment(self, text: str, last: bool) -> list[int]:
         got = self.fragments.get((text, last))
         if got is None:
             if len(self.fragments) >= REMEMBERED // 3:
                 self.fragments.clear()
-            got = self.fragments[text, last] = [(t.id, t.value) for t in (self.last if last else self.inner).tokenize(text)]
+            got = self.fragments[text, last] = [t.id for t in (self.last if last else self.inner).tokenize(text)]
         return got
 
-    def pieces(self, word: str) -> list[str]:
-        """Pre-tokens of a word in the byte-level alphabet."""
-        if plain := PLAIN.fullmatch(word):
-            return [p.lower().encode().decode("latin-1").translate(ALPHABET) for p in plain.groups() if p]
-        return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(word))]
-
-    def tokens(self, word: str) -> list[tuple[int, str]]:
+    def ids(self, word: str) -> list[int]:
         if "<|" in word and any(s in word for s in self.special):
-            got = self.library.encode(word, add_special_tokens=False)
-            return list(zip(got.ids, got.tokens, strict=True))
-        out: list[tuple[int, str]] = []
+            return self.library.encode(word, add_special_tokens=False).ids
+        out: list[int] = []
         for piece in self.pieces(word):
             *inner, last = self.cuts(piece)
             for part in inner:
@@ -95,21 +110,25 @@ class ForcedBoundaryEncoder:
             out += self.fragment(last, True)
         return out
 
+    def decode(self, ids: list[int]) -> str:
+        """As the library does: ids without a token are passed over."""
+        return " ".join([t for i in ids if (t := self.token.get(i)) is not None])
+
     def word(self, word: str) -> tuple[int, str, str]:
-        """(number of ids, ids in decimal, tokens), the latter two joined by spaces."""
+        """(number of ids, ids in decimal joined by spaces, what they decode to)."""
         got = self.words.get(word)
         if got is None:
             if len(self.words) >= REMEMBERED:
                 self.older, self.words = self.words, {}
             got = self.older.get(word)
             if got is None:
-                t = self.tokens(word)
-                got = (len(t), " ".join([str(i) for i, _ in t]), " ".join([v for _, v in t]))
+                ids = self.ids(word)
+                got = (len(ids), " ".join(map(str, ids)), self.decode(ids))
             self.words[word] = got
         return got
 
     def text(self, text: str) -> tuple[int, str, str]:
-        """As word(), of a whole text. The library decodes by joining tokens with spaces if the file names no decoder."""
+        """As word(), of a whole text."""
         known = self.words.get
         parts = [known(w) or self.word(w) for w in text.replace("\n", " ").split(" ") if w]
         if not all(p[0] for p in parts):
