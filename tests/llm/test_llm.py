@@ -266,6 +266,28 @@ def test_trie_join(spark, texts, docs, nothing, cell):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in odd) == [("1", 1, "1"), ("1", 1, "1"), ("None", 1, "None")]
 
 
+def test_large_cells_send_sets_in_proportion(spark, monkeypatch):
+    """A cell of 20 times as many sets as a trie may have, in small groups: sets sent grow as the sets do."""
+    sent = []
+    real = trie_join.links_of
+    monkeypatch.setattr(trie_join, "links_of", lambda rows, *a: (sent.append(rows.count()), real(rows, *a))[1])
+    totals = []
+    for n in (100, 200):
+        rng = random.Random(6)
+        passages = [words(rng, 24, 100_000) for _ in range(n // 8)]
+        rows = []
+        for k in range(0, n, 2):  # three passages that others have as well, and of each document a near copy
+            w = [x for p in rng.sample(passages, 3) for x in p]
+            rows += [(k, " ".join(w)), (k + 1, " ".join([*w, "odd"]))]
+        sets = {i: shingles(t) for i, t in rows}
+        comp = closed(sets, [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])])
+        sent.clear()
+        got = by_id(trie_join.jaccard_components(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), cell_sets=10))
+        assert {i: r.component_id for i, r in got.items()} == comp and len(set(comp.values())) > n // 8
+        totals.append(sum(sent))
+    assert totals[1] < 2.6 * totals[0], totals
+
+
 def test_keep_one_of_repeated_rows(spark):
     rng = random.Random(4)
     a, b = " ".join(words(rng, 40)), " ".join(words(rng, 40))
