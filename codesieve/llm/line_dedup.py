@@ -4,8 +4,9 @@
    doc_id for each hash (summed before the shuffle, so a line that a third of all documents share costs no more).
 2. Hashes found in `min_docs` documents or more are dealt over shards. Each shard builds a minimal perfect hash
    (levels of bit arrays, ranked) into three arrays: fingerprint, count, keeper.
-3. Documents read again probe the arrays. Shards travel in broadcasts of at most BROADCAST_BYTES; if there are more,
-   documents are read once for each such group of shards and the dropped lines are united.
+3. Documents read again probe the arrays. Shards of at most BROADCAST_BYTES together are broadcast. Beyond that they
+   stay where they are: documents send the hashes of their lines, packed, to the tasks of the hashes' shards, which probe
+   their arrays and send back the numbers of dropped lines. Either way the corpus is read twice in all.
 
 Keys: lines with [\\x20\\x09-\\x0D] stripped at both ends and A-Z lower-cased; only keys of `min_chars` code points count.
 Defined cases: a null or empty text is one empty line, which is too short to drop; rows with a null doc_id neither
@@ -22,10 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, slices, text_bytes
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Keys of one shard, and bytes of shards that are broadcast at once.
@@ -194,51 +196,112 @@ def emit_text(b: pa.RecordBatch, lines: list[list[str]], flags: list[np.ndarray]
     return b.set_column(at, "text", pa.array(text, pa.string()))
 
 
-def emit_flags(b: pa.RecordBatch, lines: list[list[str]], flags: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([np.nonzero(d)[0].tolist() for d in flags], pa.list_(pa.int32()))], names=["doc_id", "lines"])
+#: A line that is looked up away from its document: hash, doc_id, hashes of the document's text, number of the line.
+PROBE = np.dtype([("high", "<i8"), ("low", "<i8"), ("doc", "<i8"), ("k1", "<i8"), ("k2", "<i8"), ("line", "<i4")])
+PARCEL = "shard int, salt int, kind int, levels array<binary>, a binary, b binary, c binary"
+ARRAYS, PROBES = 0, 1
+#: Bytes of text whose lines one task looks up in a shard.
+SALT_BYTES = 64_000_000
 
 
-def apply(spark: SparkSession, docs: DataFrame, emit, columns: str, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, broadcast_bytes: int = BROADCAST_BYTES, shard_keys: int = SHARD_KEYS) -> DataFrame:
-    ws = Workspace(spark, "line-dedup")
-    counts = ws.save(line_counts(docs, min_chars, min_docs), "counts")
-    n_shards = max(1, -(-counts.count() // shard_keys))
-    shards = ws.save(build_shards(counts, n_shards), "shards")
-    sizes = shards.select("shard", (F.length("fingerprint") + F.length("count") + F.length("keeper") + F.aggregate("levels", F.lit(0), lambda a, x: a + F.length(x))).alias("size")).groupBy("shard").agg(F.sum("size").alias("size")).orderBy("shard").collect()
-    groups: list[list[int]] = [[]]
-    room = broadcast_bytes
-    for s, size in sizes:  # numbers of shards, not their data
-        if groups[-1] and size > room:
-            groups.append([])
-            room = broadcast_bytes
-        groups[-1].append(s)
-        room -= size
-
-    def sent(group: list[int]):
-        rows = shards.filter(F.col("shard").isin(group) if group else F.lit(False)).collect()  # at most broadcast_bytes, or one shard
-        return spark.sparkContext.broadcast([(r["shard"], [bytes(x) for x in r["levels"]], bytes(r["fingerprint"]), bytes(r["count"]), bytes(r["keeper"])) for r in rows])
-
-    if len(groups) == 1:
-        return probe(docs, sent(groups[0]), n_shards, min_chars, columns, emit)
-    slim = docs.filter("doc_id is not null").select("doc_id", "text")
-    found = [ws.save(probe(slim, sent(g), n_shards, min_chars, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lines array<int>", emit_flags).filter("size(lines) > 0"), f"dropped-{i}") for i, g in enumerate(groups)]
-    union = found[0]
-    for f in found[1:]:
-        union = union.unionByName(f)
+def probe_blocks(docs: DataFrame, n_shards: int, salts: int, min_chars: int) -> DataFrame:
+    """Lines of (doc_id, k1, k2, text), packed for their shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, made = TaskContext.get().partitionId(), 0
+        for b in slices(batches):
+            keys = [line_keys(t.as_py(), min_chars)[1] for t in b.column("text")]
+            at = [(d, i) for d, own in enumerate(keys) for i, k in enumerate(own) if k]
+            doc, line = np.array(at, np.int64).reshape(-1, 2).T
+            probes = np.zeros(len(at), PROBE)
+            two = np.frombuffer(b"".join(k for own in keys for k in own if k), "<i8").reshape(-1, 2)
+            probes["high"], probes["low"], probes["line"] = two[:, 0], two[:, 1], line
+            for name, column in (("doc", "doc_id"), ("k1", "k1"), ("k2", "k2")):
+                probes[name] = b.column(column).to_numpy()[doc]
+            shard = np.mod(probes["high"], n_shards)
+            order = np.argsort(shard, kind="stable")
+            found, start = np.unique(shard[order], return_index=True)
+            blobs = [probes[x].tobytes() for x in np.split(order, start[1:])] if len(found) else []
+            none = pa.nulls(len(blobs), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([(task + made) % salts] * len(blobs), pa.int32()), pa.array([PROBES] * len(blobs), pa.int32()), pa.nulls(len(blobs), pa.list_(pa.binary())), pa.array(blobs, pa.binary()), none, none], schema=pa.schema([("shard", pa.int32()), ("salt", pa.int32()), ("kind", pa.int32()), ("levels", pa.list_(pa.binary())), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())]))
+            made += 1
+
+    return docs.select("doc_id", "k1", "k2", "text").mapInArrow(run, PARCEL)
+
+
+def look_up(parcels: DataFrame) -> DataFrame:
+    """(doc_id, k1, k2, lines): what documents lose, from parcels in which a shard's arrays come before its probes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for b in batches:
+            lost = [np.zeros(0, PROBE)]
+            for shard, salt, kind, levels, x, y, z in zip(*(b.column(c).to_pylist() for c in ("shard", "salt", "kind", "levels", "a", "b", "c")), strict=True):
+                if (shard, salt) != now:
+                    now, held = (shard, salt), []
+                if kind == ARRAYS:
+                    held.append(Shard(levels, x, y, z))
+                    continue
+                probes = np.frombuffer(x, PROBE)
+                drop, high, low = np.zeros(len(probes), bool), probes["high"].copy(), probes["low"].copy()
+                for part in held:
+                    here, keeper = part.keepers(high, low)
+                    drop |= here & (keeper != probes["doc"])
+                lost.append(probes[drop])
+            rows = np.concatenate(lost)
+            who = rows[["doc", "k1", "k2"]]
+            start = np.nonzero(np.concatenate([[True], who[1:] != who[:-1]]))[0] if len(rows) else np.zeros(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array([*start.tolist(), len(rows)], pa.int32()), pa.array(rows["line"], pa.int32())) if len(rows) else pa.array([], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(pa.array(rows[c][start], pa.int64()) for c in ("doc", "k1", "k2")), lists], names=["doc_id", "k1", "k2", "lines"])
+
+    return parcels.mapInArrow(run, "doc_id bigint, k1 bigint, k2 bigint, lines array<int>")
+
+
+def text_key() -> dict[str, Column]:
+    """128 bits that tell texts apart whose rows share a doc_id."""
+    t = F.coalesce(F.col("text"), F.lit(""))
+    return {"k1": F.xxhash64(t), "k2": F.xxhash64(F.lit("text"), t)}
+
+
+def routed(docs: DataFrame, shards: DataFrame, n_shards: int, salts: int, min_chars: int, ws: Workspace, columns: str, emit) -> DataFrame:
+    """As probe, without sending shards to all tasks: lines go to the shards."""
+    key = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumns(text_key())
+    salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
+    arrays = shards.select("shard", salt, F.lit(ARRAYS).alias("kind"), "levels", F.col("fingerprint").alias("a"), F.col("count").alias("b"), F.col("keeper").alias("c"))
+    parcels = arrays.unionByName(probe_blocks(key, n_shards, salts, min_chars))
+    found = look_up(parcels.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind"))
     # a document has at most as many entries as lines
-    lines = union.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("dropped_line_numbers"))
-    joined = docs.join(lines, "doc_id", "left").select(*docs.columns, "dropped_line_numbers")
+    lines = ws.save(found.groupBy("doc_id", "k1", "k2").agg(F.flatten(F.collect_list("lines")).alias("dropped")), "dropped")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumns(text_key())
+    joined = rows.join(lines, ["doc_id", "k1", "k2"], "left").select("row", "dropped")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            split = [(t.as_py() or "").split("\n") for t in b.column("text")]
+            own = pa.RecordBatch.from_struct_array(b.column("row"))
+            split = [(t.as_py() or "").split("\n") for t in own.column("text")]
             flags = []
-            for x, drop in zip(split, b.column("dropped_line_numbers").to_pylist(), strict=True):
-                flags.append(np.isin(np.arange(len(x)), drop or []))
-            yield emit(b.drop_columns(["dropped_line_numbers"]), split, flags)
+            for x, drop in zip(split, b.column("dropped").to_pylist(), strict=True):
+                flags.append(np.zeros(len(x), bool))
+                flags[-1][drop or []] = True
+            yield emit(own, split, flags)
 
     return joined.mapInArrow(run, columns)
 
 
+def apply(spark: SparkSession, docs: DataFrame, emit, columns: str, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, broadcast_bytes: int = BROADCAST_BYTES, shard_keys: int = SHARD_KEYS, salt_bytes: int = SALT_BYTES) -> DataFrame:
+    ws = Workspace(spark, "line-dedup")
+    counts = ws.save(line_counts(docs, min_chars, min_docs), "counts")
+    n_shards = max(1, -(-counts.count() // shard_keys))
+    shards = ws.save(build_shards(counts, n_shards), "shards")
+    size = shards.agg(F.sum(F.length("fingerprint") + F.length("count") + F.length("keeper") + F.aggregate("levels", F.lit(0), lambda a, x: a + F.length(x)))).first()[0] or 0
+    if size > broadcast_bytes:
+        salts = max(1, -(-text_bytes(docs) // (n_shards * salt_bytes)))
+        return routed(docs, shards, n_shards, salts, min_chars, ws, columns, emit)
+    rows = shards.collect()  # at most broadcast_bytes
+    sent = spark.sparkContext.broadcast([(r["shard"], [bytes(x) for x in r["levels"]], bytes(r["fingerprint"]), bytes(r["count"]), bytes(r["keeper"])) for r in rows])
+    return probe(docs, sent, n_shards, min_chars, columns, emit)
+
+
 def line_report(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256."""
     kind = docs.schema["doc_id"].dataType.simpleString()
