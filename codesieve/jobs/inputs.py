@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -91,3 +94,28 @@ def crate_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     inside = F.concat(F.when(F.col("c_custkey") % 11 == 0, F.lit("x")).otherwise(F.concat(F.lit("m"), F.col("n_nationkey").cast("string"))), F.lit("/src/c"), F.col("c_custkey").cast("string"), F.lit(".rs"))
     rows = c.select(F.concat(F.lit("t"), F.col("n_regionkey").cast("string")).alias("target"), F.concat(F.lit("/w/t"), F.col("n_regionkey").cast("string"), F.lit("/"), inside).alias("path"), inside.alias("rel_path"))
     return top, own.unionByName(member), rows
+
+
+#: Evidence that stands in no file.
+NOWHERE = "@@nowhere@@"
+
+
+def model():
+    """A stand-in for a model, which answers by arithmetic on a file's number and its lines: some calls fail, some
+    evidence isn't there, and the judge rejects, lowers or confirms."""
+
+    def call(request: dict) -> dict:
+        prompt = request["user_prompt"]
+        if request["max_tokens"] == 1024:
+            n = int(re.search(r"^Place: \S+ \d+ to (\d+)$", prompt, re.MULTILINE)[1])
+            answer = [{"verdict": "reject"}, {"verdict": "downgrade", "new_severity": "low"}, {"verdict": "confirm"}][n % 3]
+            return {"text": "So: " + json.dumps(answer | {"reason": "as counted", "confidence": 1}), "input_tokens": n, "output_tokens": 1}
+        head = re.match(r"Package .*\nSource (.*), from line \d+ to (\d+)\nRules that fired: (.*)\n~~~\n", prompt)
+        doc, n = int(re.search(r"\d+", head[1])[0]), int(head[2])
+        if doc % 7 == 3:
+            raise TimeoutError("no answer")
+        evidence = NOWHERE if doc % 5 == 1 else prompt[head.end() :].rpartition("\n~~~\n")[0][:12]
+        found = {"rule_id": head[3].split(" ")[0], "severity": ["critical", "high", "low"][doc % 3], "file": head[1], "line_start": 1, "line_end": n, "summary": "s", "evidence": evidence, "fix_suggestion": "f", "confidence": 0.5}
+        return {"text": "```json\n" + json.dumps({"findings": [found]}) + "\n```", "input_tokens": n, "output_tokens": 7}
+
+    return call

@@ -9,8 +9,12 @@ from ..functions.rules import RULES
 from ..functions.text import count_lines
 from ..operators import analysis, chunking, corpus, evaluation, judge, ordering
 from ..schemas import SEVERITIES
+from ..schemas import FILES as FILES_SCHEMA
 from ..sources import readers, writers
+from ..sources.tables import Tables
+from ..streaming.incremental import incremental_scan as incremental_stream
 from . import inputs
+from . import scan as jobs
 from .inputs import table
 
 QUERIES: dict = {}
@@ -87,6 +91,11 @@ def resolve_crates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.resolve_crates(targets, manifests)
 
 
+@query(f"WITH {CRATES} SELECT target, name, root_dir, concat(root_dir, '/Cargo.toml') AS manifest_path FROM crates WHERE name IN ('ASIA', 'CHINA', 'm4', 'm16', 'none')")
+def filter_crates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.filter_crates(resolve_crates(spark, sf_dir), ["ASIA", "CHINA", "m4", "m16", "none"])
+
+
 @query("SELECT concat('t', r_regionkey) AS target, CASE WHEN r_regionkey % 2 = 0 THEN r_name ELSE concat('t', r_regionkey) END AS project_name, true AS is_workspace FROM region")
 def project_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets, manifests, _ = inputs.crate_tables(spark, sf_dir)
@@ -167,8 +176,8 @@ def hint_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- analysis ------------------------------------------------------------------------------------------------------
 
 @query(f"""WITH {FILES}, {LINES}, {hits('safety')}, h AS (SELECT target, crate, rel_path, hint, arg_min(content, i) AS content, max(n) AS n, min(i) AS first_line, min(rule) AS rule FROM hits GROUP BY ALL),
-    c AS (SELECT target, crate, rel_path, max(n) AS n, min(content) AS content, string_agg(hint, ', ' ORDER BY first_line, rule) AS hints FROM h GROUP BY ALL)
-    SELECT target, concat(crate, '/', rel_path, ':1-', n, '#', sha1(content)[1:12]) AS request_key, md5(concat_ws(chr(10), 'Crate: ' || crate, 'File: ' || rel_path, concat('Lines: 1-', n), 'Prefilter hints: ' || hints, '', '```rust', content, '```', '', 'Return only the JSON object. No prose.')) AS prompt_md5 FROM c""")
+    c AS (SELECT target, crate, rel_path, max(n) AS n, min(content) AS content, string_agg(hint, ' ' ORDER BY first_line, rule) AS hints FROM h GROUP BY ALL)
+    SELECT target, concat(crate, '/', rel_path, ':1-', n, '#', sha1(content)[1:12]) AS request_key, md5(concat_ws(chr(10), 'Package ' || crate, concat('Source ', rel_path, ', from line 1 to ', n), 'Rules that fired: ' || hints, '~~~', content, '~~~', 'Reply with JSON and nothing else.')) AS prompt_md5 FROM c""")
 def analysis_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.analysis_requests(chunking.file_chunks(inputs.files(spark, sf_dir))).select("target", "request_key", F.md5(F.encode("user_prompt", "UTF-8")).alias("prompt_md5"))
 
@@ -187,28 +196,29 @@ def cache_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log lines of three events' keys; every seventh is torn, every fifth a judge's, every eleventh of another type."""
     e = table(spark, sf_dir, "events")
     kind = F.when(F.col("event_id") % 11 == 0, "meta").when(F.col("event_id") % 5 == 0, "judge").otherwise("chunk")
-    line = F.concat(F.lit('{"type":"'), kind, F.lit('","'), F.when(kind == "judge", "findingKey").otherwise("chunkKey"), F.lit('":"k'), (F.col("user_id") % 500).cast("string"), F.lit('","findings":[],"inputTokens":'), (F.col("event_id") % 100).cast("string"), F.lit(',"outputTokens":7}'))
-    return e.select(F.lit("h").alias("config_hash"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 7 == 0, F.substring(line, 1, 30)).otherwise(line).alias("value"))
+    line = F.concat(F.lit('{"type":"'), kind, F.lit('","'), F.when(kind == "judge", "findingKey").otherwise("chunkKey"), F.lit('":"k'), (F.col("user_id") % 300).cast("string"), F.lit('","findings":[],"inputTokens":'), (F.col("event_id") % 100).cast("string"), F.lit(',"outputTokens":7}'))
+    target = F.concat(F.lit("t"), (F.col("user_id") % 5).cast("string"))
+    return e.select(target.alias("target"), F.lit("h").alias("config_hash"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 7 == 0, F.substring(line, 1, 30)).otherwise(line).alias("value"))
 
 
-CACHE = "cache AS (SELECT type, key, arg_max(event_id, event_id) AS seq FROM (SELECT CASE WHEN event_id % 5 = 0 THEN 'judge' ELSE 'chunk' END AS type, concat('k', user_id % 500) AS key, event_id FROM events WHERE event_id % 7 <> 0 AND event_id % 11 <> 0) GROUP BY ALL)"
+CACHE = "cache AS (SELECT target, type, key, arg_max(event_id, event_id) AS seq FROM (SELECT concat('t', user_id % 5) AS target, CASE WHEN event_id % 5 = 0 THEN 'judge' ELSE 'chunk' END AS type, concat('k', user_id % 300) AS key, event_id FROM events WHERE event_id % 7 <> 0 AND event_id % 11 <> 0) GROUP BY ALL)"
 
 
-@query(f"WITH {CACHE} SELECT 'h' AS config_hash, type, key, '[]' AS findings, (seq % 100)::BIGINT AS input_tokens, 7::BIGINT AS output_tokens, seq FROM cache")
+@query(f"WITH {CACHE} SELECT target, 'h' AS config_hash, type, key, '[]' AS findings, (seq % 100)::BIGINT AS input_tokens, 7::BIGINT AS output_tokens, seq FROM cache")
 def cache_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.latest(readers.records_from(cache_log(spark, sf_dir))).drop("decision")
 
 
 def keyed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A chunk for each customer, its key like those of the cache."""
-    return table(spark, sf_dir, "customer").select(F.concat(F.lit("t"), (F.col("c_nationkey") % 5).cast("string")).alias("target"), F.concat(F.lit("k"), F.col("c_custkey").cast("string")).alias("chunk_key"))
+    return table(spark, sf_dir, "customer").select(F.concat(F.lit("t"), (F.col("c_custkey") % 5).cast("string")).alias("target"), F.concat(F.lit("k"), (F.col("c_custkey") % 300).cast("string")).alias("chunk_key"))
 
 
-@query(f"WITH {CACHE}, c AS (SELECT concat('t', c_nationkey % 5) AS target, concat('k', c_custkey) AS key FROM customer) SELECT target, count(k.key) AS finished, count(*) AS total, (count(k.key) * 100 // count(*))::BIGINT AS percent FROM c LEFT JOIN (SELECT key FROM cache WHERE type = 'chunk') AS k USING (key) GROUP BY target")
+@query(f"WITH {CACHE}, c AS (SELECT concat('t', c_custkey % 5) AS target, concat('k', c_custkey % 300) AS key FROM customer) SELECT target, count(k.key) AS finished, count(*) AS total, (count(k.key) * 100 // count(*))::BIGINT AS percent FROM c LEFT JOIN (SELECT target, key FROM cache WHERE type = 'chunk') AS k USING (target, key) GROUP BY target")
 def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = keyed_chunks(spark, sf_dir)
-    done = readers.latest(readers.records_from(cache_log(spark, sf_dir))).filter("type = 'chunk'").select(F.col("key").alias("chunk_key"))
-    return analysis.progress(chunks, chunks.join(done, "chunk_key"))
+    done = readers.latest(readers.records_from(cache_log(spark, sf_dir))).filter("type = 'chunk'").select("target", F.col("key").alias("chunk_key"))
+    return analysis.progress(chunks, done)
 
 
 @query(f"""WITH {FILES}, {LINES}, {hits('safety')}, h AS (SELECT target, crate, rel_path, arg_min(content, i) AS content, max(n) AS n FROM hits GROUP BY ALL)
@@ -216,7 +226,7 @@ def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 def split_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = chunking.file_chunks(inputs.files(spark, sf_dir))
     own = analysis.with_chunk_key(chunks).filter(F.regexp_extract("rel_path", "[0-9]+", 0).cast("bigint") % 3 == 0)
-    cache = own.select(F.lit("h").alias("config_hash"), F.lit("chunk").alias("type"), F.col("chunk_key").alias("key"), F.lit("[]").alias("findings"), F.col("end_line").cast("bigint").alias("input_tokens"), F.lit(1).cast("bigint").alias("output_tokens"))
+    cache = own.select("target", F.lit("h").alias("config_hash"), F.lit("chunk").alias("type"), F.col("chunk_key").alias("key"), F.lit("[]").alias("findings"), F.col("end_line").cast("bigint").alias("input_tokens"), F.lit(1).cast("bigint").alias("output_tokens"))
     got, pending = analysis.split_cached(chunks, cache, "h")
     return got.select("target", "chunk_key", F.lit(True).alias("cached"), "input_tokens").unionByName(pending.select("target", "chunk_key", F.lit(False).alias("cached"), F.lit(0).cast("bigint").alias("input_tokens")))
 
@@ -233,15 +243,20 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("chunk_key"), text.alias("text"), F.when(n == 7, "timeout").alias("error"), "event_id", "user_id")
 
 
-@query("SELECT concat('t', user_id % 10) AS target, 'c' AS crate, event_id::VARCHAR AS chunk_key, o::BIGINT AS ord, 1::INT AS line_start, concat('ev  ', event_id) AS evidence FROM events, range(2) AS t(o) WHERE event_id % 8 IN (0, 3)")
+@query("SELECT concat('t', user_id % 10 + 10 * s) AS target, 'c' AS crate, event_id::VARCHAR AS chunk_key, o::BIGINT AS ord, 1::INT AS line_start, concat('ev  ', event_id) AS evidence FROM events, range(2) AS t(o), range(2) AS u(s) WHERE event_id % 8 IN (0, 3)")
 def findings_from_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = replies(spark, sf_dir)
-    chunks = r.select(F.concat(F.lit("t"), (F.col("user_id") % 10).cast("string")).alias("target"), F.lit("c").alias("crate"), "chunk_key", F.concat(F.lit("a\n\tev\n"), F.col("event_id").cast("string"), F.lit(" b")).alias("content"))
+    """Two targets hold the same file, and each has its own reply."""
+    twice = F.explode(F.array(F.lit(0), F.lit(10))).alias("s")
+    r = replies(spark, sf_dir).select("*", twice).withColumn("target", F.concat(F.lit("t"), (F.col("user_id") % 10 + F.col("s")).cast("string")))
+    chunks = r.select("target", F.lit("c").alias("crate"), "chunk_key", F.concat(F.lit("a\n\tev\n"), F.col("event_id").cast("string"), F.lit(" b")).alias("content"))
     return analysis.findings_from_responses(chunks, r).select("target", "crate", "chunk_key", "ord", "line_start", "evidence")
 
 
-@query("""SELECT concat('t', user_id % 10) AS target, coalesce(sum(event_id % 50) FILTER (WHERE event_id % 6 <> 0 AND event_id % 8 <> 7), 0)::BIGINT AS input_tokens, coalesce(sum(3) FILTER (WHERE event_id % 8 <> 7), 0)::BIGINT AS output_tokens, count(*) FILTER (WHERE event_id % 8 <> 7 AND event_id % 4 <> 1) AS analyze_calls,
-    count(*) FILTER (WHERE event_id % 8 <> 7 AND event_id % 4 = 1) AS judge_calls, count(*) FILTER (WHERE event_id % 8 <> 7 AND event_id % 4 <> 1 AND event_id % 3 = 0) AS analyze_cache_hits, count(*) FILTER (WHERE event_id % 8 <> 7 AND event_id % 4 = 1 AND event_id % 3 = 0) AS judge_cache_hits FROM events GROUP BY ALL""")
+RUN_STATS = """SELECT concat('t', user_id % 10) AS target, coalesce(sum(event_id % 50) FILTER (WHERE event_id % 6 <> 0 AND event_id % 8 <> 7), 0)::BIGINT AS input_tokens, coalesce(sum(3) FILTER (WHERE event_id % 8 <> 7), 0)::BIGINT AS output_tokens, count(*) FILTER (WHERE event_id % 8 <> 7 AND event_id % 4 <> 1) AS analyze_calls,
+    count(*) FILTER (WHERE event_id % 8 <> 7 AND event_id % 4 = 1) AS judge_calls, count(*) FILTER (WHERE event_id % 8 <> 7 AND event_id % 4 <> 1 AND event_id % 3 = 0) AS analyze_cache_hits, count(*) FILTER (WHERE event_id % 8 <> 7 AND event_id % 4 = 1 AND event_id % 3 = 0) AS judge_cache_hits FROM events GROUP BY ALL"""
+
+
+@query(RUN_STATS)
 def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     rows = table(spark, sf_dir, "events").select(F.concat(F.lit("t"), (F.col("user_id") % 10).cast("string")).alias("target"), F.when(e % 4 == 1, "judge").otherwise("analyze").alias("step"), (e % 3 == 0).alias("cached"), F.when(e % 8 == 7, "timeout").alias("error"), F.when(e % 6 != 0, e % 50).alias("input_tokens"), F.lit(3).cast("bigint").alias("output_tokens"))
@@ -273,7 +288,7 @@ def apply_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {DECIDED}, files AS (SELECT DISTINCT concat('t', p_partkey % 20) AS target, concat('src/f', p_partkey % 50, '.rs') AS file FROM part)
-    SELECT target, finding_key AS request_key, md5(concat_ws(chr(10), 'Finding to review:', '  rule_id:    ' || rule_id, '  severity:   critical', '  file:       ' || file, concat('  lines:      ', line_start, '-', line_end), '  summary:    ' || summary, '  confidence: ' || regexp_replace(confidence::VARCHAR, '\\.0$', ''), '', 'Evidence reported by first-pass analyzer:', '```rust', evidence, '```', '', 'Full file content (use this as the ground truth for exploitability):', '```rust', 'fn ' || file, '```', '', 'Return only the JSON object. No prose.')) AS prompt_md5
+    SELECT target, finding_key AS request_key, md5(concat_ws(chr(10), concat('Claim: ', rule_id, ' (critical, sure to ', regexp_replace(confidence::VARCHAR, '\\.0$', ''), ')'), concat('Place: ', file, ' ', line_start, ' to ', line_end), 'Reason given: ' || summary, 'Quoted:', '~~~', evidence, '~~~', 'The file as it is:', '~~~', 'fn ' || file, '~~~', 'Reply with JSON and nothing else.')) AS prompt_md5
     FROM keyed JOIN files USING (target, file) WHERE severity = 'critical'""")
 def judge_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
@@ -281,6 +296,73 @@ def judge_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge.judge_requests(inputs.findings(spark, sf_dir), files, files).select("target", "request_key", F.md5(F.encode("user_prompt", "UTF-8")).alias("prompt_md5"))
 
 
+# --- whole jobs ----------------------------------------------------------------------------------------------------
+
+SCANNED = f"""{FILES}, {LINES}, {hits('safety')}, h AS (SELECT target, crate, rel_path, hint, arg_min(content, i) AS content, max(n) AS n, min(i) AS first_line, min(rule) AS rule FROM hits GROUP BY ALL),
+    ch AS (SELECT target, crate, rel_path, regexp_extract(rel_path, '[0-9]+')::BIGINT AS doc, max(n)::INT AS n, concat(crate, '/', rel_path, ':1-', max(n), '#', sha1(min(content))[1:12]) AS key, arg_min(hint, (first_line, rule)) AS rule_id FROM h GROUP BY target, crate, rel_path),
+    found AS (SELECT target, crate, doc, n, 'kept' AS rule_id, 'critical' AS severity, rel_path AS file, 0.25::DOUBLE AS confidence FROM ch WHERE doc % 4 = 0
+        UNION ALL SELECT target, crate, doc, n, rule_id, (['critical', 'high', 'low'])[doc % 3 + 1], rel_path, 0.5 FROM ch WHERE doc % 4 <> 0 AND doc % 7 <> 3 AND doc % 5 <> 1),
+    judged AS (SELECT * REPLACE (CASE WHEN severity = 'critical' AND n % 3 = 1 THEN 'low' ELSE severity END AS severity) FROM found WHERE severity <> 'critical' OR (doc % 8 <> 0 AND n % 3 <> 0))"""
+SCAN_CALLS = f"""{SCANNED}, calls AS (SELECT target, 'analyze' AS step, doc % 4 = 0 AS cached, CASE WHEN doc % 4 = 0 THEN 2 ELSE n END AS i, CASE WHEN doc % 4 = 0 THEN 3 ELSE 7 END AS o FROM ch WHERE doc % 4 = 0 OR doc % 7 <> 3
+    UNION ALL SELECT target, 'judge', doc % 8 = 0, CASE WHEN doc % 8 = 0 THEN 4 ELSE n END, CASE WHEN doc % 8 = 0 THEN 5 ELSE 1 END FROM found WHERE severity = 'critical')"""
+
+
+def calls_sql(hit: str) -> str:
+    return f"""WITH {SCAN_CALLS} SELECT t.target, coalesce(sum(i), 0)::BIGINT AS input_tokens, coalesce(sum(o), 0)::BIGINT AS output_tokens, count(*) FILTER (WHERE step = 'analyze') AS analyze_calls, count(*) FILTER (WHERE step = 'judge') AS judge_calls,
+        count(*) FILTER (WHERE step = 'analyze' AND {hit}) AS analyze_cache_hits, count(*) FILTER (WHERE step = 'judge' AND {hit}) AS judge_cache_hits FROM (SELECT DISTINCT target FROM ch) AS t LEFT JOIN calls AS c ON c.target = t.target GROUP BY ALL"""
+
+
+def scan_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every fourth file's chunk a result is known, with one critical finding; every second of these was rejected."""
+    chunks = analysis.with_chunk_key(chunking.file_chunks(inputs.files(spark, sf_dir))).withColumn("doc", F.regexp_extract("rel_path", "[0-9]+", 0).cast("bigint")).filter("doc % 4 = 0")
+    one = F.struct(F.lit("kept").alias("rule_id"), F.lit("critical").alias("severity"), F.col("rel_path").alias("file"), F.col("start_line").alias("line_start"), F.col("end_line").alias("line_end"), F.lit("s").alias("summary"), F.lit("e").alias("evidence"), F.lit("f").alias("fix_suggestion"), F.lit(0.25).alias("confidence"))
+    none, seq = F.lit(None).cast("struct<kind:string,new_severity:string,reason:string>").alias("decision"), F.lit(1).cast("bigint").alias("seq")
+
+    def tokens(i: int, o: int) -> list:
+        return [F.lit(i).cast("bigint").alias("input_tokens"), F.lit(o).cast("bigint").alias("output_tokens"), seq]
+
+    known = chunks.select("target", F.lit("h").alias("config_hash"), F.lit("chunk").alias("type"), F.col("chunk_key").alias("key"), F.to_json(F.array(one)).alias("findings"), none, *tokens(2, 3))
+    keys = judge.with_finding_key(chunks.filter("doc % 8 = 0").select("target", one.alias("f")).select("target", "f.*"))
+    dropped = F.struct(F.lit("drop").alias("kind"), F.lit(None).cast("string").alias("new_severity"), F.lit("seen").alias("reason"))
+    return known.unionByName(keys.select("target", F.lit("h").alias("config_hash"), F.lit("judge").alias("type"), F.col("finding_key").alias("key"), F.lit(None).cast("string").alias("findings"), dropped.alias("decision"), *tokens(4, 5)))
+
+
+def scanned(spark: SparkSession, sf_dir: str) -> tuple[jobs.Scan, Tables]:
+    """A scan of all files with the stand-in model and a cache that knows some of them."""
+    tables = Tables(spark, "scan")
+    writers.append_cache(scan_cache(spark, sf_dir), tables.path("cache"))
+    return jobs.scan(inputs.files(spark, sf_dir), readers.read_cache(spark, tables.path("cache")), "h", inputs.model, tables, unit="file", seq=2), tables
+
+
+@query(f"WITH {SCANNED} SELECT target, crate, rule_id, severity, file, n AS line_end, confidence, row_number() OVER (PARTITION BY target ORDER BY list_position({SEVERITY_LIST}, severity), confidence DESC, file)::INT AS place FROM judged")
+def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned(spark, sf_dir)[0].findings.select("target", "crate", "rule_id", "severity", "file", "line_end", "confidence", "place")
+
+
+@query(calls_sql("cached"))
+def scan_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.run_stats(scanned(spark, sf_dir)[0].calls)
+
+
+@query(calls_sql("true"))
+def scan_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same scan again, from the cache that the first one has filled: what failed is asked for once more."""
+    first, tables = scanned(spark, sf_dir)
+    writers.append_cache(first.records, tables.path("cache"))
+    again = jobs.scan(inputs.files(spark, sf_dir), readers.read_cache(spark, tables.path("cache")), "h", inputs.model, Tables(spark, "scan"), unit="file", seq=3)
+    return analysis.run_stats(again.calls)
+
+
+@query(f"WITH {SCANNED} SELECT target, key, CASE WHEN doc % 5 <> 1 THEN 1 ELSE 0 END::INT AS n_findings, CASE WHEN doc % 5 <> 1 THEN rule_id END AS rule_id, n::BIGINT AS input_tokens, 7::BIGINT AS output_tokens FROM ch WHERE doc % 7 <> 3")
+def incremental_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache after a stream over all files has ended."""
+    tables = Tables(spark, "incremental")
+    inputs.files(spark, sf_dir).select(*(x.split(" ")[0] for x in FILES_SCHEMA.split(", "))).write.parquet(tables.path("source"))
+    incremental_stream(spark, tables.path("source"), tables.path("cache"), tables.path("checkpoint"), "h", inputs.model, unit="file").awaitTermination()
+    listed = F.from_json("findings", "array<struct<rule_id:string>>")
+    return readers.read_cache(spark, tables.path("cache")).select("target", "key", F.size(listed).alias("n_findings"), F.get(listed, F.lit(0))["rule_id"].alias("rule_id"), "input_tokens", "output_tokens")
+
+
 # --- order ---------------------------------------------------------------------------------------------------------
 
 @query(f"WITH {FINDINGS} SELECT target, ord, severity, row_number() OVER (PARTITION BY target ORDER BY {FINDING_ORDER})::INT AS place FROM findings")
@@ -309,7 +391,8 @@ def crate_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def truth(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     entries, targets = inputs.entries(spark, sf_dir), inputs.targets(spark, sf_dir)
-    return evaluation.match_findings(inputs.findings(spark, sf_dir), entries, targets), entries, targets
+    matches = evaluation.match_findings(inputs.findings(spark, sf_dir), entries, targets).drop("crate", "cwe", "evidence", "fix_suggestion", "confidence")
+    return Tables(spark, "evaluation").save(matches, "matches"), entries, targets
 
 
 @query(f"WITH {MATCHES} SELECT target, ord, eid AS entry_id, dist AS distance FROM cand")
@@ -320,7 +403,8 @@ def match_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {MATCHES} SELECT target, ord, matched_id, match_kind, expected_severity FROM matches")
 def match_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return truth(spark, sf_dir)[0].select("target", "ord", "matched_id", "match_kind", "expected_severity")
+    entries, targets = inputs.entries(spark, sf_dir), inputs.targets(spark, sf_dir)
+    return evaluation.match_findings(inputs.findings(spark, sf_dir), entries, targets).select("target", "ord", "matched_id", "match_kind", "expected_severity")
 
 
 @query(f"WITH {MATCHES} SELECT *, {RATES} FROM summary")
@@ -365,15 +449,44 @@ def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("target", F.array_join(F.transform("failures", lambda f: F.split(f, " ")[0]), "; ").alias("failures"), "passed")
 
 
-@query()
+MATRIX = f"""o AS (SELECT i - 1 AS p, ({SEVERITY_LIST})[i] AS s FROM range(1, 6) AS t(i)), n AS (SELECT target, expected_severity AS e, severity AS r, count(*) AS k FROM matches WHERE expected_severity IS NOT NULL GROUP BY ALL),
+    cells AS (SELECT t.target, a.p AS r, b.p AS c, a.s AS expected, b.s AS reported, coalesce(k, 0) AS k FROM targets AS t, o AS a, o AS b LEFT JOIN n ON n.target = t.target AND n.e = a.s AND n.r = b.s)"""
+
+
+@query(f"""WITH {MATCHES}, {MATRIX}, rates AS (SELECT *, {RATES} FROM summary),
+    mi AS (SELECT target, ceil(place / 500)::INT AS page, string_agg(js, ',' ORDER BY place) AS m FROM (SELECT target, row_number() OVER (PARTITION BY target ORDER BY ord, id) AS place, concat('{{"id":"', id, '","file":"', file, '","line_start":', line_start, ',"line_end":', line_end, ',"category":"', category, '","severity":"', severity, '"}}') AS js FROM hit WHERE must_detect AND NOT hit) GROUP BY ALL),
+    wr AS (SELECT target, ceil(place / 500)::INT AS page, string_agg(js, ',' ORDER BY place) AS w FROM (SELECT target, row_number() OVER (PARTITION BY target ORDER BY ord) AS place, concat('{{"file":"', file, '","line_start":', line_start, ',"line_end":', line_end, ',"rule_id":"', rule_id, '","severity":"', severity, '","summary":"', summary, '"}}') AS js FROM matches WHERE matched_id IS NULL) GROUP BY ALL),
+    pg AS (SELECT *, max(page) OVER (PARTITION BY target) AS pages FROM mi FULL JOIN wr USING (target, page)),
+    rw AS (SELECT target, r, concat('[', string_agg(k::VARCHAR, ',' ORDER BY c), ']') AS js FROM cells GROUP BY ALL), mx AS (SELECT target, string_agg(js, ',' ORDER BY r) AS x FROM rw GROUP BY ALL)
+    SELECT target, coalesce(page, 1)::INT AS page, concat('{{"target":"', target, '","page":', coalesce(page, 1), ',"pages":', coalesce(pages, 1), ',"recall":', recall, ',"precision":', precision, ',"must":{{"total":', must_total, ',"hit":', must_hit, ',"missed":[', m, ']}},"bonus":{{"total":', bonus_total, ',"hit":', bonus_hit,
+        '}},"reported":{{"total":', reported_total, ',"true_positives":', true_positives, ',"false_positives":[', w, ']}},"severity_confusion":[', x, ']}}') AS report FROM rates LEFT JOIN pg USING (target) LEFT JOIN mx USING (target)""")
 def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     matches, entries, targets = truth(spark, sf_dir)
     return evaluation.eval_report(evaluation.evaluate(matches, entries, targets), matches, entries, targets)
 
 
-@query()
+def shares(x: str) -> str:
+    return f"printf('%.1f%%', round({x} * 100, 1))"
+
+
+@query(f"""WITH {MATCHES}, {MATRIX}, rates AS (SELECT *, {RATES} FROM summary),
+    mi AS (SELECT target, row_number() OVER (PARTITION BY target ORDER BY ord, id) AS place, concat_ws(' | ', id, concat(file, ' ', line_start, ' to ', line_end), category, severity) AS line FROM hit WHERE must_detect AND NOT hit),
+    wr AS (SELECT target, row_number() OVER (PARTITION BY target ORDER BY ord) AS place, concat_ws(' | ', concat(file, ' ', line_start, ' to ', line_end), rule_id, severity) AS line FROM matches WHERE matched_id IS NULL)
+    SELECT target, 0 AS section, 0::BIGINT AS place, concat('Results for ', target) AS line FROM rates UNION ALL SELECT target, 0, 1, concat('recall: ', must_hit, ' of ', must_total, ', ', {shares('recall')}) FROM rates UNION ALL SELECT target, 0, 2, concat('precision: ', true_positives, ' of ', reported_total, ', ', {shares('precision')}) FROM rates
+    UNION ALL SELECT target, 0, 3, concat('extra entries found: ', bonus_hit, ' of ', bonus_total) FROM rates WHERE bonus_total > 0 UNION ALL SELECT target, 1, 0, concat('not found: ', count(*)) FROM mi GROUP BY target UNION ALL SELECT target, 1, place, line FROM mi
+    UNION ALL SELECT target, 2, 0, concat('reported without cause: ', count(*)) FROM wr GROUP BY target UNION ALL SELECT target, 2, place, line FROM wr
+    UNION ALL SELECT target, 3, r + 1, concat(expected, ' reported as: ', string_agg(concat(reported, ' ', k), ', ' ORDER BY c)) FROM cells WHERE target IN (SELECT target FROM cells WHERE k > 0) GROUP BY target, r, expected""")
 def eval_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.eval_text(evaluation.evaluate(*truth(spark, sf_dir)))
+    matches, entries, targets = truth(spark, sf_dir)
+    return evaluation.eval_text(evaluation.evaluate(matches, entries, targets), matches, entries, targets)
+
+
+@query(f"WITH {MATCHES}, r AS (SELECT *, {RATES} FROM summary) SELECT target, must_hit, true_positives, false_positives, recall, precision, recall >= 0.9 AND precision >= 0.2 AS passed FROM r")
+def evaluate_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reports of a scan, read back and scored."""
+    texts = scan_report(spark, sf_dir).select(F.col("target").alias("report"), "page", F.col("report").alias("text"))
+    done = jobs.evaluate_reports(texts, inputs.entries(spark, sf_dir), inputs.targets(spark, sf_dir), Tables(spark, "evaluation"), 0.9, 0.2)
+    return done.summary.join(done.gates, "target").select("target", "must_hit", "true_positives", "false_positives", "recall", "precision", "passed")
 
 
 @query("""WITH e AS (SELECT concat('t', p_partkey % 20) AS target, concat('p', p_partkey // 2) AS id, p_size - p_partkey % 3 AS line_start, p_size AS line_end, CASE WHEN p_partkey % 5 = 0 THEN 'bad' ELSE 'low' END AS severity FROM part)
@@ -403,13 +516,24 @@ def patched_control(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- reports -------------------------------------------------------------------------------------------------------
 
-@query(f"""WITH {FINDINGS} SELECT target, ord, md5(concat('<tr><td class="', severity, '">', severity, '</td><td>', rule_id, CASE WHEN cwe IS NULL THEN '' ELSE '<br><small>' || cwe || '</small>' END, '</td><td>', CASE WHEN crate IS NULL THEN '' ELSE crate || ' · ' END, file, ':', CASE WHEN line_end <> line_start THEN concat(line_start, '-', line_end) ELSE line_start::VARCHAR END,
-    '</td><td>', replace(replace(replace(summary, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '<details><pre>', evidence, '</pre><p>', fix_suggestion, '</p></details></td><td>', printf('%.2f', confidence), '</td></tr>')) AS row_md5 FROM findings""")
+HTML_ROW = """concat('<tr><td class="', severity, '">', severity, '</td><td>', rule_id, CASE WHEN cwe IS NULL THEN '' ELSE '<br><small>' || cwe || '</small>' END, '</td><td>', CASE WHEN crate IS NULL THEN '' ELSE crate || ' · ' END, file, ':', CASE WHEN line_end <> line_start THEN concat(line_start, '-', line_end) ELSE line_start::VARCHAR END,
+    '</td><td>', replace(replace(replace(summary, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '<details><pre>', evidence, '</pre><p>', fix_suggestion, '</p></details></td><td>', printf('%.2f', confidence), '</td></tr>')"""
+
+
+@query(f"WITH {FINDINGS} SELECT target, ord, md5({HTML_ROW}) AS row_md5 FROM findings")
 def html_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writers.html_rows(inputs.findings(spark, sf_dir)).select("target", "ord", F.md5(F.encode("row", "UTF-8")).alias("row_md5"))
 
 
-@query()
+PAGED = f"""{FINDINGS}, {TARGETS}, placed AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY {FINDING_ORDER}) AS place, count(*) OVER (PARTITION BY target) AS total FROM findings)"""
+JSON_ROW = """concat('{"rule_id":"', rule_id, '","severity":"', severity, '"', ',"cwe":"' || cwe || '"', ',"crate":"' || crate || '"', ',"file":"', file, '","line_start":', line_start, ',"line_end":', line_end, ',"summary":"', summary, '","evidence":"', evidence, '","fix_suggestion":"', fix_suggestion, '","confidence":', confidence, '}')"""
+PAGES = f"""{PAGED}, pg AS (SELECT target, ceil(place / 500)::INT AS page, ceil(any_value(total) / 500)::INT AS pages, any_value(total) AS n, string_agg({JSON_ROW}, ',' ORDER BY place) AS js FROM placed GROUP BY target, ceil(place / 500))"""
+
+
+@query(f"""WITH {PAGED}, pg AS (SELECT target, ceil(place / 500)::INT AS page, ceil(any_value(total) / 500)::INT AS pages, any_value(total) AS n, string_agg({HTML_ROW}, chr(10) ORDER BY place) AS body FROM placed GROUP BY target, ceil(place / 500))
+    SELECT target, coalesce(page, 1)::INT AS page, concat('<!DOCTYPE html>', chr(10), '<html lang="en"><head><meta charset="utf-8"><title>Scan of ', target, '</title><style>{writers.CSS}</style></head><body>', chr(10), '<h1>Scan of ', target, '</h1>', chr(10), '<dl><dt>Project</dt><dd>', target, '</dd></dl>', chr(10), '<h2>', coalesce(n, 0), ' finding(s)</h2>', chr(10),
+        CASE WHEN pages > 1 THEN concat('<p>Page ', page, ' of ', pages, '</p>', chr(10)) ELSE '' END, CASE WHEN n > 0 THEN concat('<table><tr><th>Severity</th><th>Rule</th><th>Place</th><th>Summary</th><th>Confidence</th></tr>', chr(10), body, chr(10), '</table>') ELSE '<p>No findings.</p>' END, chr(10), '</body></html>', chr(10)) AS html
+    FROM targets LEFT JOIN pg USING (target)""")
 def html_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All findings of each target, in numbered pages."""
     info = F.array(F.struct(F.lit("Project").alias("name"), F.col("target").alias("value")))
@@ -417,7 +541,14 @@ def html_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writers.html_report(runs, inputs.findings(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {PAGES} SELECT target, page, concat('{{"findings":[', js, '],"generated_at":"2024-01-02T03:04:05.000Z","findings_total":', n, ',"page":', page, ',"pages":', pages, '}}') AS json FROM pg""")
+def findings_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return writers.findings_json(inputs.findings(spark, sf_dir), F.lit("2024-01-02 03:04:05").cast("timestamp"))
+
+
+@query(f"""WITH {PAGES}, st AS ({RUN_STATS}), runs AS (SELECT target, coalesce(input_tokens, 0) AS i, coalesce(output_tokens, 0) AS o, coalesce(analyze_calls, 0) AS a, coalesce(judge_calls, 0) AS j FROM targets FULL JOIN st USING (target))
+    SELECT target, coalesce(page, 1)::INT AS page, concat('{{"scan":{{"started_at":"2024-01-01T00:00:00.000Z","finished_at":"2024-01-01T00:00:05.000Z","duration_ms":5000}},"project":{{"name":"', target, '"}},"model":{{"model":"m"}},"config":{{"unit":"file"}},"tokens":{{"input":', i, ',"output":', o, ',"total":', i + o, ',"analyze_calls":', a, ',"judge_calls":', j, '}},"findings_total":', coalesce(n, 0), ',"page":', coalesce(page, 1), ',"pages":', coalesce(pages, 1), ',"findings":[', js, ']}}') AS report
+    FROM runs LEFT JOIN pg USING (target)""")
 def scan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All findings of each target, in numbered pages; targets that run_stats lacks made no calls."""
     started = F.lit("2024-01-01 00:00:00").cast("timestamp")
@@ -428,6 +559,15 @@ def scan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writers.scan_report(runs, inputs.findings(spark, sf_dir))
 
 
+@query(f"WITH {PAGED} SELECT target, place, rule_id, severity, cwe, crate, file, line_start, line_end, summary, evidence, fix_suggestion, confidence FROM placed")
+def read_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every finding of the paged JSON reports, read back."""
+    texts = findings_json(spark, sf_dir).select(F.col("target").alias("report"), "page", F.col("json").alias("text"))
+    found, _ = readers.reports_from(texts)
+    place = (F.shiftright("ord", 32) - 1) * ordering.PAGE + F.col("ord").bitwiseAND(F.lit((1 << 32) - 1)) + 1
+    return found.select(F.col("report").alias("target"), place.alias("place"), *writers.FIELDS)
+
+
 @query("""SELECT page_id, concat(CASE WHEN p = '' THEN 'scan' ELSE p END, '-prov-m.1.html') AS name, CASE WHEN lower(url) LIKE '%.json' THEN 'json' ELSE 'html' END AS format FROM (SELECT page_id, url, regexp_replace(regexp_replace(url, '[/\\\\:*?"<>|\\s\\x00-\\x1F]+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g') AS p FROM pages)""")
 def report_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", writers.report_name(F.col("url"), F.lit("prov"), F.lit("..m.1 ")).alias("name"), writers.report_format(F.col("url")).alias("format"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.replies import object_in, parse_findings
 from ..functions.text import collapse_ws
+from ..schemas import DECISION, FINDING
 
 TEMPERATURE, MAX_TOKENS = 0.1, 2048
 SYSTEM = {
@@ -17,8 +18,8 @@ SYSTEM = {
     "logic": "You review Rust code for logic bugs, exhaustion of resources and unsound concurrency. Answer with one JSON object that has a list named findings.",
     "panic": "You review Rust code for paths on which it can crash. Answer with one JSON object that has a list named findings.",
 }
-REQUEST = "request_key string, system_prompt string, user_prompt string, temperature double, max_tokens int"
-RESPONSE = "request_key string, text string, input_tokens bigint, output_tokens bigint, error string"
+REQUEST = "target string, request_key string, system_prompt string, user_prompt string, temperature double, max_tokens int"
+RESPONSE = "target string, request_key string, text string, input_tokens bigint, output_tokens bigint, error string"
 
 
 def chunk_key(crate: Column, rel_path: Column, start: Column, end: Column, content: Column) -> Column:
@@ -40,32 +41,54 @@ def analysis_requests(chunks: DataFrame, mode: str = "safety", system: dict[str,
     """One request for each chunk, keyed by chunk_key."""
     system = system or SYSTEM
     user = F.concat_ws(
-        "\n", F.concat(F.lit("Crate: "), "crate"), F.concat(F.lit("File: "), "rel_path"), F.concat(F.lit("Lines: "), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string")),
-        F.concat(F.lit("Prefilter hints: "), F.when(F.size("hints") > 0, F.array_join("hints", ", ")).otherwise("none")), F.lit(""), F.lit("```rust"), F.col("content"), F.lit("```"), F.lit(""), F.lit("Return only the JSON object. No prose."),
+        "\n", F.concat(F.lit("Package "), "crate"), F.concat(F.lit("Source "), "rel_path", F.lit(", from line "), F.col("start_line").cast("string"), F.lit(" to "), F.col("end_line").cast("string")),
+        F.concat(F.lit("Rules that fired: "), F.when(F.size("hints") > 0, F.array_join("hints", " ")).otherwise("-")), F.lit("~~~"), F.col("content"), F.lit("~~~"), F.lit("Reply with JSON and nothing else."),
     )
     return with_chunk_key(chunks).select("target", F.col("chunk_key").alias("request_key"), F.lit(system.get(mode, system["safety"])).alias("system_prompt"), user.alias("user_prompt"), F.lit(TEMPERATURE).alias("temperature"), F.lit(MAX_TOKENS).alias("max_tokens"))
 
 
 def split_cached(chunks: DataFrame, cache: DataFrame, config: str) -> tuple[DataFrame, DataFrame]:
-    """(chunks with a cached result, chunks that are pending). Only keys are compared; text stays where it is.
+    """(chunks with a cached result, chunks that are pending), of one join over the keys of each target.
 
-    cache has the last record of each key: config_hash, type, key, findings, input_tokens, output_tokens.
+    cache has the last record of each key: target, config_hash, type, key, findings, input_tokens, output_tokens.
     """
-    own = cache.filter((F.col("config_hash") == config) & (F.col("type") == "chunk")).select(F.col("key").alias("chunk_key"), F.col("findings").alias("cached_findings"), "input_tokens", "output_tokens")
+    own = cache.filter((F.col("config_hash") == config) & (F.col("type") == "chunk")).select("target", F.col("key").alias("chunk_key"), F.lit(True).alias("cached"), F.col("findings").alias("cached_findings"), "input_tokens", "output_tokens")
     keyed = with_chunk_key(chunks)
-    return keyed.join(own, "chunk_key"), keyed.join(own.select("chunk_key"), "chunk_key", "left_anti")
+    rows = keyed.join(own, ["target", "chunk_key"], "left")
+    return rows.filter("cached").drop("cached"), rows.filter("cached is null").select(keyed.columns)
+
+
+def cached_findings(cached: DataFrame) -> DataFrame:
+    """Findings of chunks that split_cached found, as findings_from_responses gives them: the crate is the chunk's."""
+    fields = ",".join(x.strip().replace(" ", ":") for x in FINDING.split(","))
+    stored = F.from_json("cached_findings", f"array<struct<{fields}>>")
+    return cached.select("target", "crate", "chunk_key", F.posexplode(stored).alias("ord", "f")).select("target", "crate", "chunk_key", F.col("ord").cast("bigint").alias("ord"), "f.*")
+
+
+def chunk_records(responses: DataFrame, findings: DataFrame, config: str, seq: int) -> DataFrame:
+    """Cache records of valid calls with the findings they gave, in their order and without the crate. responses:
+    target, chunk_key, error, input_tokens, output_tokens; a reply's findings are as few as a reply can hold."""
+    fields = [x.strip().split(" ")[0] for x in FINDING.split(",")]
+    listed = findings.groupBy("target", "chunk_key").agg(F.array_sort(F.collect_list(F.struct("ord", F.struct(*fields).alias("f")))).alias("all"))
+    rows = responses.filter("error is null").join(listed, ["target", "chunk_key"], "left")
+    return rows.select(
+        "target", F.lit(config).alias("config_hash"), F.lit("chunk").alias("type"), F.col("chunk_key").alias("key"), F.coalesce(F.to_json(F.col("all.f")), F.lit("[]")).alias("findings"), F.lit(None).cast(DECISION).alias("decision"),
+        F.coalesce("input_tokens", F.lit(0)).cast("bigint").alias("input_tokens"), F.coalesce("output_tokens", F.lit(0)).cast("bigint").alias("output_tokens"), F.lit(seq).cast("bigint").alias("seq"),
+    )
 
 
 def complete(requests: DataFrame, client: Callable[[], Callable[[dict], dict]], in_flight: int = 4, attempts: int = 5) -> DataFrame:
     """Call a model once for each request. client() makes, on the worker, a function from a request to
-    {text, input_tokens, output_tokens}. What still fails after the attempts has its error and no text."""
+    {text, input_tokens, output_tokens}. What still fails after the attempts has its error and no text.
+
+    Whoever reads the result twice calls twice: write it to a table before anything else reads it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = client()
         for b in batches:
             out = []
             for request in b.to_pylist():
-                row = {"request_key": request["request_key"], "text": None, "input_tokens": None, "output_tokens": None, "error": None}
+                row = {"target": request["target"], "request_key": request["request_key"], "text": None, "input_tokens": None, "output_tokens": None, "error": None}
                 for attempt in range(attempts):
                     try:
                         row |= {k: v for k, v in call(request).items() if k in ("text", "input_tokens", "output_tokens")} | {"error": None}
@@ -73,7 +96,7 @@ def complete(requests: DataFrame, client: Callable[[], Callable[[dict], dict]],
                     except Exception as e:  # whatever a client raises is that request's error
                         row["error"] = f"{type(e).__name__}: {e}"
                 out.append(row)
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("request_key", pa.string()), ("text", pa.string()), ("input_tokens", pa.int64()), ("output_tokens", pa.int64()), ("error", pa.string())]))
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("target", pa.string()), ("request_key", pa.string()), ("text", pa.string()), ("input_tokens", pa.int64()), ("output_tokens", pa.int64()), ("error", pa.string())]))
 
     return requests.select(*(x.split()[0] for x in REQUEST.split(", "))).repartition(in_flight).mapInArrow(run, RESPONSE)
 
@@ -86,10 +109,10 @@ def verify_evidence(evidence: Column, content: Column) -> Column:
 def findings_from_responses(chunks: DataFrame, responses: DataFrame) -> DataFrame:
     """Findings of valid replies whose evidence is in their chunk, with the chunk's crate.
 
-    chunks: target, crate, chunk_key, content; responses: chunk_key, text, error. `ord` numbers a reply's findings.
-    """
-    parsed = responses.filter("error is null").select("chunk_key", parse_findings(object_in(F.col("text"))).alias("p")).filter("p.ok and size(p.findings) > 0")
-    rows = chunks.select("target", "crate", "chunk_key", "content").join(parsed, "chunk_key").withColumn("content", collapse_ws(F.col("content")))
+    chunks: target, crate, chunk_key, content; responses: target, chunk_key, text, error. `ord` numbers a reply's
+    findings."""
+    parsed = responses.filter("error is null").select("target", "chunk_key", parse_findings(object_in(F.col("text"))).alias("p")).filter("p.ok and size(p.findings) > 0")
+    rows = chunks.select("target", "crate", "chunk_key", "content").join(parsed, ["target", "chunk_key"]).withColumn("content", collapse_ws(F.col("content")))
     return rows.select("target", "crate", "chunk_key", "content", F.posexplode("p.findings").alias("ord", "f")).filter(verify_evidence(F.col("f.evidence"), F.col("content"))).select("target", "crate", "chunk_key", F.col("ord").cast("bigint").alias("ord"), "f.*")
 
 

@@ -6,7 +6,7 @@ line_start, line_end, category, severity, must_detect, aliases), targets (target
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_rule, percent
@@ -144,19 +144,32 @@ def eval_report(summary: DataFrame, matches: DataFrame, entries: DataFrame, targ
     return all_.select("target", "page", F.to_json(report).alias("report"))
 
 
-def eval_text(summary: DataFrame) -> DataFrame:
-    """(target, text): the figures as lines to read."""
+def eval_text(summary: DataFrame, matches: DataFrame, entries: DataFrame, targets: DataFrame) -> DataFrame:
+    """(target, section, place, line): a report to read, a row for each line, so that no target is gathered. Sections:
+    0 figures, 1 missed entries, 2 false positives, 3 the matrix if anything matched; sorted, a target's rows are its text."""
 
-    def of(a: str, b: str) -> Column:
-        return F.concat(F.col(a).cast("string"), F.lit("/"), F.col(b).cast("string"))
+    def of(name: str, a: str, b: str, share: Column | None = None) -> Column:
+        return F.concat(F.lit(name), F.col(a).cast("string"), F.lit(" of "), F.col(b).cast("string"), *([F.lit(", "), percent(share)] if share is not None else []))
 
-    lines = [
-        F.concat(F.lit("Evaluation: "), "target"), F.concat(F.lit("  Ground truth: "), F.col("must_total").cast("string"), F.lit(" must-detect, "), F.col("bonus_total").cast("string"), F.lit(" bonus")),
-        F.concat(F.lit("  Reported:     "), F.col("reported_total").cast("string"), F.lit(" findings")), F.lit(""), F.concat(F.lit("  Recall (must-detect):  "), of("must_hit", "must_total"), F.lit(" ("), percent(F.col("recall")), F.lit(")")),
-        F.concat(F.lit("  Precision:             "), of("true_positives", "reported_total"), F.lit(" ("), percent(F.col("precision")), F.lit(")")),
-        F.when(F.col("bonus_total") > 0, F.concat(F.lit("  Bonus hits:            "), of("bonus_hit", "bonus_total"))),
+    def headed(rows: DataFrame, section: int, title: str, order: list[str], line: Column) -> DataFrame:
+        heads = rows.groupBy("target").agg(F.count(F.lit(1)).alias("n")).select("target", F.lit(section).alias("section"), F.lit(0).cast("bigint").alias("place"), F.concat(F.lit(title), F.col("n").cast("string")).alias("line"))
+        place = F.row_number().over(Window.partitionBy("target").orderBy(*order)).cast("bigint")
+        return heads.unionByName(rows.select("target", F.lit(section).alias("section"), place.alias("place"), line.alias("line")))
+
+    figures = [
+        F.concat(F.lit("Results for "), "target"), of("recall: ", "must_hit", "must_total", F.col("recall")), of("precision: ", "true_positives", "reported_total", F.col("precision")),
+        F.when(F.col("bonus_total") > 0, of("extra entries found: ", "bonus_hit", "bonus_total")),
     ]
-    return summary.select("target", F.concat_ws("\n", *lines).alias("text"))
+    top = summary.select("target", F.lit(0).alias("section"), F.posexplode(F.array_compact(F.array(*figures))).alias("place", "line")).withColumn("place", F.col("place").cast("bigint"))
+    lines = F.concat("file", F.lit(" "), F.col("line_start").cast("string"), F.lit(" to "), F.col("line_end").cast("string"))
+    missed = headed(missed_entries(matches, entries), 1, "not found: ", ["ord", "id"], F.concat_ws(" | ", "id", lines, "category", "severity"))
+    wrong = headed(false_positives(matches), 2, "reported without cause: ", ["ord", "file", "line_start", "line_end", "rule_id", "severity"], F.concat_ws(" | ", lines, "rule_id", "severity"))
+    matrix = severity_matrix(matches, targets)
+    some = matrix.groupBy("target").agg(F.max("findings").alias("most")).filter("most > 0").select("target")
+    rows = matrix.join(some, "target").groupBy("target", "row", "expected").agg(F.array_sort(F.collect_list(F.struct("column", "reported", "findings"))).alias("cells"))
+    cells = F.array_join(F.transform("cells", lambda c: F.concat(c["reported"], F.lit(" "), c["findings"].cast("string"))), ", ")
+    body = rows.select("target", F.lit(3).alias("section"), (F.col("row") + 1).cast("bigint").alias("place"), F.concat("expected", F.lit(" reported as: "), cells).alias("line"))
+    return top.unionByName(missed).unionByName(wrong).unionByName(body)
 
 
 def stability(runs: DataFrame) -> DataFrame:

@@ -24,17 +24,24 @@ def judge_candidates(findings: DataFrame, enabled: bool = True) -> DataFrame:
     return findings.filter((F.col("severity") == "critical") & F.lit(enabled))
 
 
-def judge_requests(findings: DataFrame, files: DataFrame, chunks: DataFrame, enabled: bool = True) -> DataFrame:
-    """Requests for critical findings whose file had a chunk and text. Findings are few and files are wide: only the
-    files asked for are read, and each once."""
+def cached_decisions(findings: DataFrame, cache: DataFrame, config: str) -> DataFrame:
+    """Decisions that the cache has for critical findings: target, finding_key, kind, new_severity, input_tokens,
+    output_tokens; a row for each key. They hold also where the finding's file is gone."""
+    own = cache.filter((F.col("config_hash") == config) & (F.col("type") == "judge")).select("target", F.col("key").alias("finding_key"), F.col("decision.kind").alias("kind"), F.col("decision.new_severity").alias("new_severity"), "input_tokens", "output_tokens")
+    return own.join(with_finding_key(judge_candidates(findings)).select("target", "finding_key"), ["target", "finding_key"], "left_semi")
+
+
+def judge_requests(findings: DataFrame, files: DataFrame, chunks: DataFrame, enabled: bool = True, decided: DataFrame | None = None) -> DataFrame:
+    """Requests for critical findings whose file had a chunk and text, but for those with a decision (target,
+    finding_key). Findings are few and files are wide: only the files asked for are read, and each once."""
     asked = with_finding_key(judge_candidates(findings, enabled))
+    if decided is not None:
+        asked = asked.join(decided.select("target", "finding_key"), ["target", "finding_key"], "left_anti")
     known = files.join(chunks.select("target", "rel_path").distinct(), ["target", "rel_path"], "left_semi").filter("content <> ''")
     rows = asked.join(known.select("target", F.col("rel_path").alias("file"), F.col("content").alias("file_content")), ["target", "file"])
     user = F.concat_ws(
-        "\n", F.lit("Finding to review:"), F.concat(F.lit("  rule_id:    "), "rule_id"), F.concat(F.lit("  severity:   "), "severity"), F.concat(F.lit("  file:       "), "file"),
-        F.concat(F.lit("  lines:      "), F.col("line_start").cast("string"), F.lit("-"), F.col("line_end").cast("string")), F.concat(F.lit("  summary:    "), "summary"), F.concat(F.lit("  confidence: "), number_text(F.col("confidence"))),
-        F.lit(""), F.lit("Evidence reported by first-pass analyzer:"), F.lit("```rust"), F.col("evidence"), F.lit("```"), F.lit(""), F.lit("Full file content (use this as the ground truth for exploitability):"), F.lit("```rust"),
-        F.col("file_content"), F.lit("```"), F.lit(""), F.lit("Return only the JSON object. No prose."),
+        "\n", F.concat(F.lit("Claim: "), "rule_id", F.lit(" ("), "severity", F.lit(", sure to "), number_text(F.col("confidence")), F.lit(")")), F.concat(F.lit("Place: "), "file", F.lit(" "), F.col("line_start").cast("string"), F.lit(" to "), F.col("line_end").cast("string")),
+        F.concat(F.lit("Reason given: "), "summary"), F.lit("Quoted:"), F.lit("~~~"), F.col("evidence"), F.lit("~~~"), F.lit("The file as it is:"), F.lit("~~~"), F.col("file_content"), F.lit("~~~"), F.lit("Reply with JSON and nothing else."),
     )
     return rows.select("target", F.col("finding_key").alias("request_key"), F.lit(SYSTEM).alias("system_prompt"), user.alias("user_prompt"), F.lit(TEMPERATURE).alias("temperature"), F.lit(MAX_TOKENS).alias("max_tokens"))
 
@@ -59,3 +66,16 @@ def apply_decisions(findings: DataFrame, decisions: DataFrame) -> DataFrame:
     own = decisions.select("target", "finding_key", F.col("kind").alias("judged"), F.col("new_severity").alias("judged_severity"))
     rows = keyed.join(own, ["target", "finding_key"], "left").withColumn("judged", F.when(F.col("severity") == "critical", F.col("judged")))
     return rows.filter(F.coalesce(F.col("judged") != "drop", F.lit(True))).withColumn("severity", F.when(F.col("judged") == "downgrade", F.col("judged_severity")).otherwise(F.col("severity"))).select(*findings.columns)
+
+
+def decisions_from(responses: DataFrame) -> DataFrame:
+    """Decisions of valid calls about critical findings (target, request_key, text, error, tokens): target, finding_key,
+    kind, new_severity, reason, tokens. A reply that can't be read keeps its finding."""
+    rows = parse_verdicts(responses.filter("error is null")).select("target", F.col("request_key").alias("finding_key"), decide(F.lit("critical"), F.col("verdict")).alias("d"), "input_tokens", "output_tokens")
+    kind = F.coalesce("d.kind", F.lit("keep"))
+    return rows.select("target", "finding_key", kind.alias("kind"), "d.new_severity", "d.reason", *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("input_tokens", "output_tokens")))
+
+
+def judge_records(decisions: DataFrame, config: str, seq: int) -> DataFrame:
+    """Cache records of decisions."""
+    return decisions.select("target", F.lit(config).alias("config_hash"), F.lit("judge").alias("type"), F.col("finding_key").alias("key"), F.lit(None).cast("string").alias("findings"), F.struct("kind", "new_severity", "reason").alias("decision"), "input_tokens", "output_tokens", F.lit(seq).cast("bigint").alias("seq"))

@@ -10,7 +10,7 @@ TRUTH = "target string, line_slack int, severity_order array<string>, schema_ver
 ENTRY = "id string, file string, line_start int, line_end int, category string, cwe string, severity string, must_detect boolean, aliases array<string>, notes string"
 ENTRIES = f"target string, ord int, {ENTRY}"
 DECISION = "struct<kind:string,new_severity:string,reason:string>"
-CACHE = f"config_hash string, type string, key string, findings string, decision {DECISION}, input_tokens bigint, output_tokens bigint, seq bigint"
+CACHE = f"target string, config_hash string, type string, key string, findings string, decision {DECISION}, input_tokens bigint, output_tokens bigint, seq bigint"
 
 #: Severities from worst to least; a place in the list is a rank.
 SEVERITIES = ["critical", "high", "medium", "low", "info"]

@@ -67,12 +67,14 @@ def read_manifests(spark: SparkSession, root: str, name: str = "Cargo.toml") ->
 
 
 def reports_from(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(findings, errors) of report texts (report, text): an object with a list `findings`, or a bare list."""
+    """(findings, errors) of report texts (report, text): an object with a list `findings`, or a bare list. With `page`,
+    of reports in numbered pages, `ord` counts through a report's pages."""
     trimmed = F.regexp_replace("text", r"^\s+", "")
     body = F.when(trimmed.startswith("["), F.col("text")).otherwise(F.get_json_object("text", "$.findings"))
     fields = ",".join(x.strip().replace(" ", ":") for x in ("crate string, " + FINDING).split(","))
-    rows = texts.select("report", body.alias("body")).withColumn("list", F.when(F.col("body").startswith("["), F.from_json("body", f"array<struct<{fields}>>")))
-    findings = rows.select("report", F.posexplode("list").alias("ord", "f")).select("report", F.col("ord").cast("bigint").alias("ord"), "f.*")
+    page = F.col("page") if "page" in texts.columns else F.lit(0)
+    rows = texts.select("report", page.cast("bigint").alias("page"), body.alias("body")).withColumn("list", F.when(F.col("body").startswith("["), F.from_json("body", f"array<struct<{fields}>>")))
+    findings = rows.select("report", "page", F.posexplode("list").alias("ord", "f")).select("report", (F.shiftleft("page", 32) + F.col("ord")).alias("ord"), "f.*")
     return findings, rows.filter("list is null").select("report", F.lit("no findings array").alias("problem"))
 
 
@@ -115,22 +117,25 @@ def read_ground_truth(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
 
 def latest(records: DataFrame) -> DataFrame:
     """The last record of each key. Only keys and places take part until one is chosen."""
-    return records.groupBy("config_hash", "type", "key").agg(F.max_by(F.struct("findings", "decision", "input_tokens", "output_tokens", "seq"), "seq").alias("r")).select("config_hash", "type", "key", "r.*")
+    return records.groupBy("target", "config_hash", "type", "key").agg(F.max_by(F.struct("findings", "decision", "input_tokens", "output_tokens", "seq"), "seq").alias("r")).select("target", "config_hash", "type", "key", "r.*")
 
 
 def records_from(lines: DataFrame) -> DataFrame:
-    """Cache records of log lines (config_hash, seq, value): blank and broken lines and other types are left out."""
+    """Cache records of log lines (target, config_hash, seq, value): blank and broken lines and other types are left out."""
     schema = f"type string, chunkKey string, findingKey string, findings string, decision {DECISION}, inputTokens bigint, outputTokens bigint, torn string"
     r = F.from_json(F.trim("value"), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "torn"})
-    rows = lines.select("config_hash", "seq", r.alias("r")).filter("r.torn is null and r.type in ('chunk', 'judge')")
+    rows = lines.select("target", "config_hash", "seq", r.alias("r")).filter("r.torn is null and r.type in ('chunk', 'judge')")
     key = F.when(F.col("r.type") == "chunk", F.col("r.chunkKey")).otherwise(F.col("r.findingKey"))
-    return rows.select("config_hash", F.col("r.type").alias("type"), key.alias("key"), F.col("r.findings").alias("findings"), F.col("r.decision").alias("decision"), F.col("r.inputTokens").alias("input_tokens"), F.col("r.outputTokens").alias("output_tokens"), "seq").filter("key is not null")
+    return rows.select("target", "config_hash", F.col("r.type").alias("type"), key.alias("key"), F.col("r.findings").alias("findings"), F.col("r.decision").alias("decision"), F.col("r.inputTokens").alias("input_tokens"), F.col("r.outputTokens").alias("output_tokens"), "seq").filter("key is not null")
 
 
-def read_cache_log(spark: SparkSession, path: str, config: str) -> DataFrame:
-    """The state that a line log holds: its last record of each key. Lines count in the order of the files."""
-    lines = spark.read.text(path).select(F.lit(config).alias("config_hash"), F.monotonically_increasing_id().alias("seq"), "value")
-    return latest(records_from(lines))
+def read_cache_log(spark: SparkSession, path: str, config: str, target: str) -> DataFrame:
+    """The state that a project's line log holds: its last record of each key. Lines count in the order of the files'
+    names, and in a file in their own; `seq` says no more than that, so it is null."""
+    # Spark deals blocks of files by size: a line's place is its file, its block, and its place in the block
+    place = F.struct(F.col("_metadata.file_name"), F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    lines = spark.read.text(path).select(F.lit(target).alias("target"), F.lit(config).alias("config_hash"), place.alias("seq"), "value")
+    return latest(records_from(lines)).withColumn("seq", F.lit(None).cast("bigint"))
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:

@@ -86,4 +86,4 @@ def report_format(path: Column) -> Column:
 
 def append_cache(records: DataFrame, path: str) -> None:
     """Add records; the crate isn't kept, as it is stamped again when they are read."""
-    records.select("config_hash", "type", "key", "findings", "decision", "input_tokens", "output_tokens", "seq").write.mode("append").partitionBy("config_hash", "type").parquet(path)
+    records.select("target", "config_hash", "type", "key", "findings", "decision", "input_tokens", "output_tokens", "seq").write.mode("append").partitionBy("config_hash", "type").parquet(path)

@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.analysis import analysis_requests, complete, with_chunk_key
+from ..operators.analysis import analysis_requests, chunk_records, complete, findings_from_responses, with_chunk_key
 from ..operators.chunking import chunk
 from ..schemas import CACHE, FILES
+from ..sources.tables import Tables
 from ..sources.writers import append_cache
 
 
@@ -22,19 +23,17 @@ def cached_keys(spark: SparkSession, path: str, config: str) -> DataFrame:
     """Keys that the cache has; none before its first write."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        return spark.createDataFrame([], "chunk_key string")
-    return spark.read.schema(CACHE).parquet(path).filter((F.col("config_hash") == config) & (F.col("type") == "chunk")).select(F.col("key").alias("chunk_key"))
+        return spark.createDataFrame([], "target string, chunk_key string")
+    return spark.read.schema(CACHE).parquet(path).filter((F.col("config_hash") == config) & (F.col("type") == "chunk")).select("target", F.col("key").alias("chunk_key"))
 
 
 def scan_batch(files: DataFrame, batch_id: int, cache: str, config: str, client: Callable, unit: str, mode: str) -> None:
     spark = files.sparkSession
-    chunks = with_chunk_key(chunk(files, unit, mode)).dropDuplicates(["chunk_key"])
-    pending = chunks.join(cached_keys(spark, cache, config), "chunk_key", "left_anti").drop("chunk_key")
-    done = complete(analysis_requests(pending, mode), client).filter("error is null")
-    append_cache(
-        done.select(F.lit(config).alias("config_hash"), F.lit("chunk").alias("type"), F.col("request_key").alias("key"), F.col("text").alias("findings"), F.lit(None).cast("struct<kind:string,new_severity:string,reason:string>").alias("decision"), "input_tokens", "output_tokens", F.lit(batch_id).cast("bigint").alias("seq")),
-        cache,
-    )
+    tables = Tables(spark, "incremental-scan")
+    chunks = with_chunk_key(chunk(files, unit, mode)).dropDuplicates(["target", "chunk_key"])
+    pending = tables.save(chunks.join(cached_keys(spark, cache, config), ["target", "chunk_key"], "left_anti"), "pending")
+    replies = tables.save(complete(analysis_requests(pending, mode), client), "replies").withColumnRenamed("request_key", "chunk_key")
+    append_cache(chunk_records(replies, findings_from_responses(pending, replies), config, batch_id), cache)
 
 
 def incremental_scan(spark: SparkSession, source: str, cache: str, checkpoint: str, config: str, client: Callable, unit: str = "ast-function", mode: str = "safety", files_per_batch: int = 1000) -> StreamingQuery:

@@ -51,15 +51,32 @@ def test_findings_need_their_evidence(spark):
     c = analysis.with_chunk_key(chunks(spark, "fn a() { let\n x }", "// context\nlet x", "other"))
     keys = {r.rel_path: r.chunk_key for r in c.collect()}
     reply = json.dumps({"findings": [GOOD, GOOD | {"evidence": "gone"}, GOOD | {"evidence": " "}]})
-    responses = spark.createDataFrame([(keys["src/0.rs"], "ok: " + reply, None), (keys["src/1.rs"], reply.replace("0.5", "NaN"), None), (keys["src/2.rs"], reply, "timeout")], "chunk_key string, text string, error string")
+    kind = "target string, chunk_key string, text string, error string"
+    responses = spark.createDataFrame([("t", keys["src/0.rs"], "ok: " + reply, None), ("t", keys["src/1.rs"], reply.replace("0.5", "NaN"), None), ("t", keys["src/2.rs"], reply, "timeout")], kind)
     got = analysis.findings_from_responses(c, responses).orderBy("ord").collect()
     assert [(r.ord, r.evidence, r.crate) for r in got] == [(0, "let  x", "c"), (2, " ", "c")]
 
 
+def test_targets_with_the_same_file_stay_apart(spark):
+    both = chunks(spark, "let x").unionByName(chunks(spark, "let x").withColumn("target", F.lit("u")))
+    c = analysis.with_chunk_key(both)
+    key = c.first().chunk_key
+    reply = json.dumps({"findings": [GOOD]})
+    responses = spark.createDataFrame([("t", key, reply, None, 1, 1), ("u", key, reply, None, 2, 2)], "target string, chunk_key string, text string, error string, input_tokens bigint, output_tokens bigint")
+    found = analysis.findings_from_responses(c, responses)
+    assert sorted(r.target for r in found.collect()) == ["t", "u"]
+    records = analysis.chunk_records(responses, found, "h", 1)
+    assert sorted((r.target, r.key, r.input_tokens) for r in records.collect()) == [("t", key, 1), ("u", key, 2)]
+    cached, pending = analysis.split_cached(both, records.filter("target = 'u'"), "h")
+    assert [r.target for r in pending.collect()] == ["t"]
+    again = analysis.cached_findings(cached).collect()
+    assert [(r.target, r.crate, r.ord, r.evidence, r.cwe, r.confidence) for r in again] == [("u", "c", 0, "let  x", None, 0.5)]
+
+
 def test_requests_and_keys(spark):
     got = analysis.analysis_requests(chunks(spark, "a", "b"), "logic").orderBy("request_key").collect()
-    assert got[0].user_prompt.split("\n")[:4] == ["Crate: c", "File: src/0.rs", "Lines: 1-2", "Prefilter hints: unsafe, panic"]
-    assert "Prefilter hints: none" in got[1].user_prompt and got[0].system_prompt == analysis.SYSTEM["logic"]
+    assert got[0].user_prompt.split("\n")[:5] == ["Package c", "Source src/0.rs, from line 1 to 2", "Rules that fired: unsafe panic", "~~~", "a"]
+    assert "Rules that fired: -" in got[1].user_prompt and got[0].system_prompt == analysis.SYSTEM["logic"]
     assert got[0].request_key == "c/src/0.rs:1-2#86f7e437faa5"
 
 
@@ -83,10 +100,10 @@ def test_complete_and_cache(spark):
 
     c = chunks(spark, "a", "b")
     got = {r.request_key: r for r in analysis.complete(analysis.analysis_requests(c), client, in_flight=2, attempts=2).collect()}
-    assert sorted((r.text, r.error) for r in got.values() if r.text) == [("Crate: c", None)]
+    assert sorted((r.text, r.error) for r in got.values() if r.text) == [("Package ", None)]
     assert [r.error for r in got.values() if r.error] == ["TimeoutError: slow"]
     key = next(k for k, r in got.items() if r.text)
-    cache = spark.createDataFrame([("h", "chunk", key, "[]", None, 3, 0, 1), ("other", "chunk", "x", "[]", None, 1, 1, 1)], CACHE)
+    cache = spark.createDataFrame([("t", "h", "chunk", key, "[]", None, 3, 0, 1), ("t", "other", "chunk", "x", "[]", None, 1, 1, 1), ("u", "h", "chunk", "x", "[]", None, 1, 1, 1)], CACHE)
     cached, pending = analysis.split_cached(c, cache, "h")
     assert [r.chunk_key for r in cached.collect()] == [key] and pending.count() == 1
 
@@ -118,10 +135,24 @@ def test_judge_requests(spark):
     f = found(spark, [("c", "critical", "src/0.rs", 1, 1.0), ("c", "critical", "nowhere", 1, 0.5), ("c", "low", "src/0.rs", 1, 0.5), ("c", "critical", "src/1.rs", 1, 0.5)])
     files = spark.createDataFrame([("t", "c", "src/0.rs", "whole"), ("t", "c", "src/1.rs", "")], FILES)
     got = judge.judge_requests(f, files, chunks(spark, "a", "b")).collect()
-    assert len(got) == 1 and "\nwhole\n" in got[0].user_prompt and "  confidence: 1\n" in got[0].user_prompt
+    assert len(got) == 1 and "\nwhole\n" in got[0].user_prompt and "sure to 1)" in got[0].user_prompt
     assert judge.judge_requests(f, files, chunks(spark, "a"), enabled=False).count() == 0
 
 
+def test_cached_decisions(spark):
+    f = found(spark, [("c", "critical", "a", 1, 0.5), ("c", "critical", "gone", 1, 0.5), ("c", "high", "b", 1, 0.5)])
+    keys = {r.file: r.finding_key for r in judge.with_finding_key(f).collect()}
+    cache = spark.createDataFrame([("t", "h", "judge", keys["gone"], None, ("drop", None, "r"), 4, 5, 1), ("u", "h", "judge", keys["a"], None, ("drop", None, "r"), 4, 5, 1), ("t", "h", "judge", keys["b"], None, ("drop", None, "r"), 4, 5, 1)], CACHE)
+    known = judge.cached_decisions(f, cache, "h")
+    assert [(r.finding_key, r.kind, r.input_tokens) for r in known.collect()] == [(keys["gone"], "drop", 4)]
+    files = spark.createDataFrame([("t", "c", "a", "whole"), ("t", "c", "gone", "x")], FILES)
+    assert [r.request_key for r in judge.judge_requests(f, files, files, decided=known).collect()] == [keys["a"]]
+    replies = spark.createDataFrame([("t", keys["a"], '{"verdict":"reject","reason":"r","confidence":1}', None, 1, None), ("t", "k", "no json", None, 2, 2), ("t", "l", None, "timeout", None, None)], "target string, request_key string, text string, error string, input_tokens bigint, output_tokens bigint")
+    made = judge.decisions_from(replies)
+    assert sorted((r.finding_key, r.kind, r.output_tokens) for r in made.collect()) == sorted([(keys["a"], "drop", 0), ("k", "keep", 2)])
+    assert {(r.type, r.decision.kind) for r in judge.judge_records(made, "h", 1).collect()} == {("judge", "drop"), ("judge", "keep")}
+
+
 def test_order(spark):
     f = found(spark, [(None, "low", "a", 1, 0.9), ("c", "critical", "b", 2, 0.5), ("c", "critical", "b", 1, 0.5), ("d", "critical", "a", 9, 0.9), ("c", "info", "a", 1, 1.0), ("c", "critical", "b", 1, 0.5)])
     assert [r.ord for r in ordering.sort_findings(f).collect()] == [3, 2, 5, 1, 0, 4]

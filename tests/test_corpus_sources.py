@@ -68,10 +68,23 @@ def test_ground_truth(spark, tmp_path):
 def test_cache_log(spark, tmp_path):
     lines = ['{"type":"meta"}', '{"type":"chunk","chunkKey":"k","findings":[],"inputTokens":1,"outputTokens":1}', "", '{"type":"chunk","chunkKey":"k","findings":[1],"inputTokens":2,"outputTokens":1}', '{"type":"judge","findingKey":"k","decision":{"kind":"keep"},"inputTokens":3,"outputTokens":1}', '{"type":"chunk","chu']
     write(tmp_path, {"log.jsonl": "\n".join(lines)})
-    got = {(r.type, r.key): (r.findings, r.input_tokens) for r in readers.read_cache_log(spark, str(tmp_path / "log.jsonl"), "h").collect()}
+    got = {(r.type, r.key): (r.findings, r.input_tokens) for r in readers.read_cache_log(spark, str(tmp_path / "log.jsonl"), "h", "t").collect()}
     assert got == {("chunk", "k"): ("[1]", 2), ("judge", "k"): (None, 3)}
 
 
+def test_cache_log_of_several_files(spark, tmp_path):
+    """The last file wins, whichever is larger and in whatever blocks Spark reads them."""
+    def line(n, pad=0):
+        return json.dumps({"type": "chunk", "chunkKey": "k", "findings": [], "inputTokens": n, "outputTokens": 1, "pad": "x" * pad})
+
+    write(tmp_path, {"a.jsonl": line(1), "b.jsonl": "\n".join([line(2)] + [line(3, 2000)] * 50 + [line(4)])})
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in (before, "20000b"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        assert [(r.target, r.input_tokens) for r in readers.read_cache_log(spark, str(tmp_path), "h", "t").collect()] == [("t", 4)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def findings(spark):
     return spark.createDataFrame([("t", "c", "r", "low", None, "a.rs", 1, 1, "<b>", "e", "x", 0.125, 0), ("t", None, "r", "critical", "CWE-1", "a.rs", 1, 3, "s", "e", "x", 1.0, 1)], FINDINGS)
 

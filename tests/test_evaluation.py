@@ -53,8 +53,13 @@ def test_metrics(spark):
     assert all(r.passed for r in ev.gate(summary).collect())
     report = json.loads(ev.eval_report(summary, m, e, t).filter("target = 't'").first().report)
     assert report["must"]["missed"][0]["id"] == "e1" and report["reported"]["false_positives"][0]["file"] == "nowhere" and report["severity_confusion"][1][1] == 2
-    text = ev.eval_text(summary).filter("target = 't'").first().text
-    assert "1/2 (50.0%)" in text and "3/4 (75.0%)" in text
+    lines = {"t": [], "empty": []}
+    for r in ev.eval_text(summary, m, e, t).orderBy("target", "section", "place").collect():
+        lines[r.target].append(r.line)
+    assert lines["t"][:4] == ["Results for t", "recall: 1 of 2, 50.0%", "precision: 3 of 4, 75.0%", "extra entries found: 1 of 1"]
+    assert [x.split(" | ")[0] for x in lines["t"][4:8]] == ["not found: 1", "e1", "reported without cause: 1", "nowhere 10 to 10"]
+    assert len(lines["t"]) == 13 and lines["t"][9] == "high reported as: critical 0, high 2, medium 0, low 0, info 0"
+    assert lines["empty"] == ["Results for empty", "recall: 0 of 0, 100.0%", "precision: 0 of 0, 100.0%"]
 
 
 def test_report_page_by_page(spark):
