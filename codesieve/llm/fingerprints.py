@@ -178,7 +178,7 @@ def counter(n_buckets: int):
     return run
 
 
-def assembler(n_buckets: int, keep: Callable[[np.ndarray, np.ndarray], np.ndarray], heavy: int, weights: bool):
+def assembler(n_buckets: int, keep: Callable[[np.ndarray, np.ndarray], np.ndarray], heavy: int, weighed: bool):
     """applyInArrow function of a chunk: one row for each document; prints only where keep(size, shared) holds."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -213,7 +213,7 @@ def assembler(n_buckets: int, keep: Callable[[np.ndarray, np.ndarray], np.ndarra
         value = value[order].astype("<u8")
         prints = [value[ends[i] : ends[i + 1]].tobytes() if use[i] else None for i in range(len(ids))]
         columns = {"doc_id": pa.array(ids), "size": pa.array(size), "content": pa.array([x.tobytes() for x in content], pa.binary()), "n_shared": pa.array(n_shared.astype(np.int32)), "n_heavy": pa.array(n_heavy.astype(np.int32)), "prints": pa.array(prints, pa.binary())}
-        if weights:
+        if weighed:
             times = weight[order].astype("<u4")
             columns["weights"] = pa.array([times[ends[i] : ends[i + 1]].tobytes() if use[i] else None for i in range(len(ids))], pa.binary())
         return pa.Table.from_pydict(columns)
@@ -221,13 +221,13 @@ def assembler(n_buckets: int, keep: Callable[[np.ndarray, np.ndarray], np.ndarra
     return run
 
 
-def shared_fingerprints(docs: DataFrame, n_buckets: int, extract, keep, heavy: int = 1 << 40, weights: bool = False) -> DataFrame:
+def shared_fingerprints(docs: DataFrame, n_buckets: int, extract, keep, heavy: int = 1 << 40, weighed: bool = False) -> DataFrame:
     """doc_id, size, content, n_shared, n_heavy, prints: the shared fingerprints of 64 bits, those in most contents
-    first; the first n_heavy are in more than `heavy` contents; with weights, in how many contents each is.
+    first; the first n_heavy are in more than `heavy` contents; weighed, in how many contents each is.
 
     docs has doc_id (not null) and text. Fingerprints of documents with the same content id are not shared by that.
     """
     made = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(blocks(n_buckets, extract), BLOCKS)
     counted = made.groupBy("bucket").applyInArrow(counter(n_buckets), BLOCKS)
-    columns = "doc_id bigint, size int, content binary, n_shared int, n_heavy int, prints binary" + (", weights binary" if weights else "")
-    return counted.groupBy("chunk").applyInArrow(assembler(n_buckets, keep, heavy, weights), columns)
+    columns = "doc_id bigint, size int, content binary, n_shared int, n_heavy int, prints binary" + (", weights binary" if weighed else "")
+    return counted.groupBy("chunk").applyInArrow(assembler(n_buckets, keep, heavy, weighed), columns)
