@@ -60,6 +60,21 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(spark, documents(spark, sf_dir))
 
 
+def crc_step() -> str:
+    """DuckDB expression: CRC-32 c after byte b."""
+
+    def part(k: int) -> int:
+        c = 1 << k
+        for _ in range(8):
+            c = (c >> 1) ^ (0xEDB88320 if c & 1 else 0)
+        return c
+
+    step = "(c >> 8)"
+    for k in range(8):
+        step = f"xor({step}, ((xor(c, b) >> {k}) & 1) * {part(k)})"
+    return step
+
+
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_decontamination, op3_chat_tree, op4_trie_jaccard, op5_sharding, op6_token_orc, op7_bpe, op8_line_dedup, op9_quality, op10_suffix_dedup)}
 
 SQL = {
@@ -113,4 +128,23 @@ SQL = {
         r AS (SELECT k, max(doc_id) AS keeper FROM l WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
         f AS (SELECT doc_id, i, line, coalesce(keeper <> doc_id, false) AS gone FROM l LEFT JOIN r USING (k))
         SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM f GROUP BY doc_id""",
+    "op5_sharding": f"""
+        WITH h AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        p AS (SELECT doc_id, unnest(list_transform(range(0, len(h) // 2, 500), lambda o: {{'o': o, 'x': substr(h, 2 * o + 1, 1000)}}), recursive := true) FROM h),
+        y AS (SELECT doc_id, o, list_transform(range(len(x) // 2), lambda j: ('0x' || substr(x, 2 * j + 1, 2))::BIGINT) AS v FROM p),
+        z AS (SELECT doc_id, flatten(list(v ORDER BY o)) AS v FROM y GROUP BY doc_id),
+        c AS (SELECT doc_id, size::BIGINT AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, coalesce(v, [])), lambda c, b: {crc_step()}), 4294967295)::BIGINT AS text_crc32 FROM h LEFT JOIN z USING (doc_id)),
+        s AS (SELECT doc_id, i, ('0x' || md5(concat('shard-', i, ':', doc_id))[1:13])::BIGINT AS u FROM documents, range(9) AS t(i)),
+        a AS (SELECT doc_id, arg_max(i, (u, -i)) FILTER (WHERE i < 8) AS shard, arg_max(i, (u, -i)) AS grown_shard FROM s GROUP BY doc_id)
+        SELECT doc_id, size, text_crc32, 'key' AS law, shard::INT AS shard, (row_number() OVER (PARTITION BY shard ORDER BY ('0x' || md5(concat('slot:', doc_id))[1:13])::BIGINT % 256, doc_id, text_crc32, size) - 1)::BIGINT AS slot, grown_shard::INT AS grown_shard FROM c JOIN a USING (doc_id)""",
+    "op10_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        p AS (SELECT doc_id, unnest(list_transform(range(0, len(h) // 2, 500), lambda o: {'o': o, 'x': substr(h, 2 * o + 1, 1098)}), recursive := true) FROM d),
+        w AS (SELECT doc_id, o + j AS i, s FROM (SELECT doc_id, o, unnest(list_transform(range(len(x) // 2 - 49), lambda j: {'j': j, 's': hash(substr(x, 2 * j + 1, 100))}), recursive := true) FROM p)),
+        f AS (SELECT s, min(doc_id) AS first_id FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+        hit AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM w JOIN f USING (s) WHERE first_id < doc_id),
+        run AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM hit) GROUP BY doc_id, r),
+        gap AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM run),
+        cut AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans, max(b) AS last_b, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS k FROM gap JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(CASE WHEN removed IS NULL THEN h ELSE k || substr(h, 2 * last_b + 1) END)) AS kept_sha256 FROM d LEFT JOIN cut USING (doc_id)""",
 }

@@ -18,8 +18,14 @@ from pyspark.sql import functions as F
 SUB_RANGES = 256
 
 
+def drawn(key: Column, name: str) -> Column:
+    """52 bits of a hash of key and name."""
+    named = F.concat(F.lit(f"{name}:"), F.coalesce(key.cast("string"), F.lit("\0")))
+    return F.conv(F.substring(F.md5(F.encode(named, "UTF-8")), 1, 13), 16, 10).cast("bigint")
+
+
 def score(key: Column, name: str, weight: float) -> Column:
-    u = (F.shiftrightunsigned(F.xxhash64(F.coalesce(key.cast("string"), F.lit("\0")), F.lit(name)), 12).cast("double") + 0.5) / F.lit(float(2**52))
+    u = (drawn(key, name).cast("double") + 0.5) / F.lit(float(2**52))
     return F.lit(-float(weight)) / F.log(u)
 
 
@@ -44,5 +50,5 @@ def shard(docs: DataFrame, weights: Sequence[float], new_weight: float = 1.0) ->
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     key = F.col("doc_id")
     rows = docs.select(key, (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("key").alias("law"), rendezvous(key, weights).alias("shard"), rendezvous(key, [*weights, new_weight]).alias("grown_shard"))
-    sub = F.pmod(F.xxhash64(F.coalesce(key.cast("string"), F.lit("\0")), F.lit("slot")), F.lit(SUB_RANGES)).cast("int")
+    sub = (drawn(key, "slot") % SUB_RANGES).cast("int")
     return numbered(rows, "shard", ["doc_id", "text_crc32", "size"], sub).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
