@@ -7,12 +7,13 @@ string is left and the escape can be undone.
 A node is a turn after a given history. Conversations are sorted by the path of their node hashes; in that order the
 tree is walked depth-first, and each conversation emits only nodes that the one before it has not. Tokens are the code
 points of the formatted text. A node's row has its place in the stream, position ids counted along its own branch, the
-intervals of its ancestors, which with itself are all that its tokens may attend to, and its span under the loss mask.
+intervals of its ancestors (those that follow each other as one), which with itself are all that its tokens may attend
+to, and its span under the loss mask.
 A conversation's row has the starts of its nodes. Sorting is by range over tasks, ties broken by conv_id, so neither a
 first turn nor equal conversations fill one task; tasks learn only their totals and last path from those before them.
 
-Defined cases: turns go by `turn`, nulls first, then role and text; a null text or role is empty; rows without conv_id
-are one conversation; a repeated row is a turn of its own; roles are read back as they were; an empty table gives no
+Defined cases: turns go by `turn`, nulls first, then role and text; a null text or role is empty; each row without
+conv_id is a conversation of one turn; a repeated row is a turn of its own; roles are read back as they were; an empty table gives no
 rows; other columns are ignored. A conversation, like a document, fits into one task.
 """
 
@@ -21,9 +22,9 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,9 +74,10 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 
 def conversations_with_paths(rows: DataFrame) -> DataFrame:
-    """conv_id, path (node hashes in hex, one after the other), turns."""
+    """conv_id, own (0, or a number of a row without conv_id), path (node hashes in hex, one after the other), turns."""
     turn = F.struct(F.col("turn").cast("bigint").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    own = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(0).cast("bigint"))
+    grouped = rows.withColumn("own", own).groupBy("conv_id", "own").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -86,9 +88,9 @@ def conversations_with_paths(rows: DataFrame) -> DataFrame:
                     h = hashlib.blake2b(h + f"{len(t['role'])}:{t['role']}{t['text']}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
                     path.append(h.hex())
                 paths.append("".join(path))
-            yield pa.RecordBatch.from_arrays([b.column("conv_id"), pa.array(paths, pa.string()), b.column("turns")], names=["conv_id", "path", "turns"])
+            yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("own"), pa.array(paths, pa.string()), b.column("turns")], names=["conv_id", "own", "path", "turns"])
 
-    return grouped.mapInArrow(run, grouped.select("conv_id", F.lit("").alias("path"), "turns").schema)
+    return grouped.mapInArrow(run, grouped.select("conv_id", "own", F.lit("").alias("path"), "turns").schema)
 
 
 class Branch:
@@ -104,17 +106,29 @@ class Branch:
         return k
 
 
+def extend(spans: list[tuple[int, int]], start: int, end: int) -> None:
+    """Add an interval, to the last one if it goes on there."""
+    if spans and spans[-1][1] == start:
+        spans[-1] = (spans[-1][0], end)
+    else:
+        spans.append((start, end))
+
+
 def walk(branch: Branch, path: str, turns: list[dict]) -> list[dict]:
     """Move the branch to a conversation; rows of the nodes that are new."""
     k = branch.shared(path)
     del branch.nodes[k:]
     out = []
+    spans: list[tuple[int, int]] = []
+    for _, s, n in branch.nodes:
+        extend(spans, s, s + n)
     position = sum(n for _, _, n in branch.nodes)
     for i in range(k, len(turns)):
         text, a, b = format_turn(turns[i]["role"], turns[i]["text"])
-        before = [{"start": s, "end": s + n} for _, s, n in branch.nodes]
+        before = [{"start": s, "end": e} for s, e in spans]
         loss = {"start": branch.at + a, "end": branch.at + b} if turns[i]["role"] == LEARNED else None
         out.append({"start": branch.at, "end": branch.at + len(text), "position": position, "attends": before, "loss": loss, "segment": text})
+        extend(spans, branch.at, branch.at + len(text))
         branch.nodes.append((path[32 * i : 32 * i + 32], branch.at, len(text)))
         branch.at += len(text)
         position += len(text)
@@ -122,17 +136,17 @@ def walk(branch: Branch, path: str, turns: list[dict]) -> list[dict]:
 
 
 SPAN = "struct<start:bigint,end:bigint>"
-OUT = f"kind string, conv_id bigint, starts array<bigint>, start bigint, end bigint, position bigint, attends array<{SPAN}>, loss {SPAN}, segment string"
+OUT = f"kind string, conv_id bigint, own bigint, starts array<bigint>, start bigint, end bigint, position bigint, attends array<{SPAN}>, loss {SPAN}, segment string"
 
 
 def prefix_tree(spark: SparkSession, rows: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
     """(nodes, conversations). nodes: start, end, position (position id of the first token), attends, loss, segment."""
     found = conversations_with_paths(rows.select(F.col("conv_id").cast("bigint").alias("conv_id"), "turn", "role", "text"))
     found = ws.save(found, "paths")
-    ordered = found.repartitionByRange(partitions(spark), "path", "conv_id").sortWithinPartitions("path", "conv_id")
+    ordered = found.repartitionByRange(partitions(spark), "path", "conv_id", "own").sortWithinPartitions("path", "conv_id", "own")
     # kept with its task number, so that the second walk finds the tasks of the first
     ordered = ws.save(ordered.withColumn("task", F.spark_partition_id()), "ordered")
-    by_task = ordered.repartition(partitions(spark), "task").sortWithinPartitions("task", "path", "conv_id")
+    by_task = ordered.repartition(partitions(spark), "task").sortWithinPartitions("task", "path", "conv_id", "own")
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, first, branch, out = None, None, None, []
@@ -174,31 +188,31 @@ def prefix_tree(spark: SparkSession, rows: DataFrame, ws: Workspace) -> tuple[Da
         schema = None
         for b in batches:
             out = []
-            for task, conv, path, turns in zip(*(b.column(c).to_pylist() for c in ("task", "conv_id", "path", "turns")), strict=True):
+            for task, conv, own, path, turns in zip(*(b.column(c).to_pylist() for c in ("task", "conv_id", "own", "path", "turns")), strict=True):
                 if task != now:
                     nodes, at = sent.value[task]
                     now, branch = task, Branch(list(nodes), at)
                 out += [{"kind": "node", **r} for r in walk(branch, path, turns)]
-                out.append({"kind": "conversation", "conv_id": conv, "starts": [s for _, s, _ in branch.nodes]})
+                out.append({"kind": "conversation", "conv_id": conv, "own": own, "starts": [s for _, s, _ in branch.nodes]})
             span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-            schema = pa.schema([("kind", pa.string()), ("conv_id", pa.int64()), ("starts", pa.list_(pa.int64())), ("start", pa.int64()), ("end", pa.int64()), ("position", pa.int64()), ("attends", pa.list_(span)), ("loss", span), ("segment", pa.string())])
+            schema = pa.schema([("kind", pa.string()), ("conv_id", pa.int64()), ("own", pa.int64()), ("starts", pa.list_(pa.int64())), ("start", pa.int64()), ("end", pa.int64()), ("position", pa.int64()), ("attends", pa.list_(span)), ("loss", span), ("segment", pa.string())])
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     written = by_task.mapInArrow(emit, OUT)
     written.write.mode("overwrite").option("compression", "zstd").partitionBy("kind").parquet(ws.path("tree"))
     ws.release()
     table = spark.read.schema(OUT).parquet(ws.path("tree"))
-    return table.filter("kind = 'node'").select("start", "end", "position", "attends", "loss", "segment"), table.filter("kind = 'conversation'").select("conv_id", "starts")
+    return table.filter("kind = 'node'").select("start", "end", "position", "attends", "loss", "segment"), table.filter("kind = 'conversation'").select("conv_id", "own", "starts")
 
 
 def read_back(nodes: DataFrame, conversations: DataFrame) -> DataFrame:
     """conv_id, formatted, spans: the text of each conversation, put together from its nodes, and what its loss covers."""
-    asked = conversations.select("conv_id", F.posexplode("starts").alias("k", "start"))
+    asked = conversations.select("conv_id", "own", F.posexplode("starts").alias("k", "start"))
     readers = asked.groupBy("start").agg(F.ceil(F.count(F.lit(1)) / READERS_PER_TASK).cast("int").alias("copies"))
-    salted = asked.join(readers, "start").withColumn("salt", F.pmod(F.xxhash64("conv_id"), "copies").cast("int"))
+    salted = asked.join(readers, "start").withColumn("salt", F.pmod(F.xxhash64("conv_id", "own"), "copies").cast("int"))
     copied = nodes.join(readers, "start").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
     piece = F.struct("k", "segment", (F.col("loss.start") - F.col("start")).alias("a"), (F.col("loss.end") - F.col("start")).alias("b"), "position")
-    return salted.select("conv_id", "k", "start", "salt").join(copied, ["start", "salt"]).groupBy("conv_id").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
+    return salted.select("conv_id", "own", "k", "start", "salt").join(copied, ["start", "salt"]).groupBy("conv_id", "own").agg(F.array_sort(F.collect_list(piece)).alias("pieces")).drop("own")
 
 
 def digests(read: DataFrame) -> DataFrame:
@@ -207,7 +221,8 @@ def digests(read: DataFrame) -> DataFrame:
             rows = []
             for pieces in b.column("pieces").to_pylist():
                 formatted = "".join(p["segment"] for p in pieces)
-                if any(p["position"] != sum(len(q["segment"]) for q in pieces[:i]) for i, p in enumerate(pieces)):
+                ends = [0, *accumulate(len(p["segment"]) for p in pieces)]
+                if [p["position"] for p in pieces] != ends[:-1]:
                     raise ValueError("position ids do not follow the branch")
                 loss = "".join(unescape(p["segment"][p["a"] : p["b"]]) for p in pieces if p["a"] is not None)
                 turns = parse(formatted)

@@ -192,7 +192,7 @@ def test_chat(spark):
         own = [(r, rng.choice(["", "a", "<s>", "[\\INST]", "long " * 40, "é", None])) for r in ("user", "assistant", "tool", "assistant")][: rng.randrange(5)]
         for t, (role, text) in enumerate((shared if c % 3 else []) + own or [("user", "x")]):
             rows.append((c, t, role, text, 1))
-    rows += [(None, 0, "user", "no id", 1), (70, None, None, "no role", 1), (71, 0, "user", "same", 1), (71, 0, "user", "same", 1)]
+    rows += [(70, None, None, "no role", 1), (71, 0, "user", "same", 1), (71, 0, "user", "same", 1)]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, start int").repartition(4)
     nodes, conversations = chat.prefix_tree(spark, df.select("conv_id", "turn", "role", "text"), Workspace(spark, "t"))
     want = defaultdict(list)
@@ -219,6 +219,21 @@ def test_chat(spark):
     assert chat.chat_digests(spark, df.limit(0)).count() == 0
 
 
+def test_chat_rows_without_conversation(spark):
+    rows = [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (None, 0, "user", "a"), (1, 0, "user", "a"), (1, 1, "assistant", "c")]
+    got = sorted((str(r.conv_id), r.n_turns, r.loss_chars) for r in chat.chat_digests(spark, spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(3)).collect())
+    assert got == [("1", 2, 1), ("None", 1, 0), ("None", 1, 0), ("None", 1, 1)]
+
+
+def test_chat_intervals_that_follow_each_other_are_one():
+    branch = chat.Branch([], 0)
+    turn = [{"role": "user", "text": "x"}] * 3
+    a = chat.walk(branch, "".join(c * 32 for c in "abc"), turn)
+    b = chat.walk(branch, "".join(c * 32 for c in "ade"), turn)
+    assert [len(n["attends"]) for n in a] == [0, 1, 1] and [len(n["attends"]) for n in b] == [1, 2]
+    assert b[1]["attends"][0] == {"start": a[0]["start"], "end": a[0]["end"]} and b[1]["attends"][1] == {"start": b[0]["start"], "end": b[0]["end"]}
+
+
 @pytest.mark.parametrize("text", ["", "\\", "\\\\[INST]", "<s></s>", "[\\INST]", "<<SYS>><</SYS>>", "[[INST]]", "<\\s>"])
 def test_escape(text):
     e = chat.escape(text)
