@@ -23,8 +23,10 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import bound_batches
+
 #: Words and fragments a worker remembers before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Words that normalise to their plain lower case and split into letters and marks: most words, read without the library.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,;:!?*#%&$|()-]*)")
 #: The usual byte-level alphabet: printable bytes stand for themselves, the others follow from U+0100 on.
@@ -154,6 +156,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             n, ids, dec = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(dec, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 

@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Rows in one Arrow batch; texts may be long, so far fewer than Spark's default.
-ARROW_ROWS = "1000"
+#: Rows and bytes in one Arrow batch; texts may be long, so far fewer than Spark's defaults.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 _own_root: str | None = None
@@ -51,13 +51,19 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int
             start = stop
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Small Arrow batches for the session. They have to hold when a result is computed, so they stay set."""
+    for k, v in ARROW.items():
+        spark.conf.set(k, v)
+
+
 class Workspace:
     """Named Parquet tables of one run below the shared folder. They cut lineage and survive lost executors."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+        bound_batches(spark)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
