@@ -31,32 +31,40 @@ def line_hits(files: DataFrame, mode: str = "safety", extra: list[tuple[str, str
     return lines.select(*KEYS, (F.col("at") + 1).alias("line"), F.explode(hints_in(F.col("text"), rules(mode, extra))).alias("hint"))
 
 
-def hints_by_line(lines: Column, catalogue: list[tuple[str, str]]) -> Column:
-    return F.transform(lines, lambda line: hints_in(line, catalogue))
-
-
 def file_chunks(files: DataFrame, mode: str = "safety", extra: list[tuple[str, str]] | None = None) -> DataFrame:
     """A chunk for each file with a hit: all of it."""
+    catalogue = rules(mode, extra)
     lines = lines_of(F.col("content"))
-    rows = gated(files, mode, extra).withColumn("hints", F.array_distinct(F.flatten(hints_by_line(lines, rules(mode, extra)))))
-    return rows.filter(F.size("hints") > 0).select(*KEYS, F.lit(1).alias("start_line"), F.size(lines).alias("end_line"), "content", "hints")
+    hit = F.filter(lines, lambda line: any_rule(line, catalogue))
+    hints = F.array_distinct(F.flatten(F.transform(hit, lambda line: hints_in(line, catalogue))))
+    # one list or none: a filter on hints would be pushed down and find them twice
+    rows = gated(files, mode, extra).withColumn("hints", F.explode(F.filter(F.array(hints), lambda h: F.size(h) > 0)))
+    return rows.select(*KEYS, F.lit(1).alias("start_line"), F.size(lines).alias("end_line"), "content", "hints")
 
 
 def window_chunks(files: DataFrame, mode: str = "safety", before: int = BEFORE, after: int = AFTER, extra: list[tuple[str, str]] | None = None) -> DataFrame:
     """Windows around hit lines; windows that overlap or touch are one chunk."""
+    catalogue = rules(mode, extra)
     rows = gated(files, mode, extra).withColumn("lines", lines_of(F.col("content")))
-    hits = F.filter(F.transform(hints_by_line(F.col("lines"), rules(mode, extra)), lambda h, i: F.struct(i.alias("i"), h.alias("h"))), lambda x: F.size(x["h"]) > 0)
+    # few lines hit, so they are named only after a look at all
+    some = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda t: any_rule(t["x"], catalogue))
+    named = F.filter(F.transform(some, lambda t: F.struct(t["i"].alias("i"), hints_in(t["x"], catalogue).alias("h"))), lambda t: F.size(t["h"]) > 0)
     last = F.size("lines") - 1
+    windows = F.transform(named, lambda t: F.struct(F.greatest(t["i"] - before, F.lit(0)).alias("s"), F.least(t["i"] + after, last).alias("e"), t["h"].alias("h")))
+    rows = rows.withColumn("hits", windows)  # no filter on it, which would be pushed down and find the hits twice
+
+    # both ends grow from window to window, so a chunk begins where a window stands apart from the one before it
+    def begins(k: Column) -> Column:
+        return (k <= F.size("hits")) & ((k == 1) | (F.get("hits", k - 1)["s"] > F.get("hits", F.greatest(k - 2, F.lit(0)))["e"] + 1))
 
-    def window(x: Column) -> Column:
-        return F.struct(F.greatest(x["i"] - before, F.lit(0)).alias("s"), F.least(x["i"] + after, last).alias("e"), x["h"].alias("h"))
+    rows = rows.withColumn("first", F.filter(F.sequence(F.lit(1), F.greatest(F.size("hits"), F.lit(1))), begins))
 
-    def merge(done: Column, w: Column) -> Column:
-        top = F.element_at(done, -1)
-        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(top["s"].alias("s"), F.greatest(top["e"], w["e"]).alias("e"), F.array_union(top["h"], w["h"]).alias("h"))))
-        return F.when((F.size(done) > 0) & (w["s"] <= F.try_element_at(done, F.lit(-1))["e"] + 1), joined).otherwise(F.concat(done, F.array(w)))
+    def island(k: Column, j: Column) -> Column:
+        end = F.coalesce(F.get("first", j + 1) - 1, F.size("hits"))
+        hints = F.array_distinct(F.flatten(F.transform(F.slice("hits", k, end - k + 1), lambda w: w["h"])))
+        return F.struct(F.element_at("hits", k)["s"].alias("s"), F.element_at("hits", end)["e"].alias("e"), hints.alias("h"))
 
-    islands = F.aggregate(F.transform(hits, window), F.expr("cast(array() as array<struct<s:int,e:int,h:array<string>>>)"), merge)
+    islands = F.transform("first", island)
     return rows.withColumn("w", F.explode(islands)).select(*KEYS, (F.col("w.s") + 1).alias("start_line"), (F.col("w.e") + 1).alias("end_line"), F.array_join(F.slice("lines", F.col("w.s") + 1, F.col("w.e") - F.col("w.s") + 1), "\n").alias("content"), F.col("w.h").alias("hints"))
 
 
