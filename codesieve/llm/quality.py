@@ -167,10 +167,12 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample_rows:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = matrix(t.as_py() for t in b.column("text"))
-            yield pa.RecordBatch.from_arrays([b.column("quality"), pa.array(list(x), pa.list_(pa.float64()))], names=["quality", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
 
-    # at most sample_rows keys of 8 bytes
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(run, "quality double, x array<double>").toArrow()
+    # at most sample_rows keys of 8 bytes; rows that repeat a doc_id count once, so no more rows come back
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").mapInArrow(run, f"doc_id {kind}, quality double, x array<double>")
+    rows = found.groupBy("doc_id").agg(F.min(F.struct("quality", "x")).alias("r")).select("r.*").toArrow()
     x = np.array(rows.column("x").to_pylist(), np.float64).reshape(-1, len(NAMES))
     y = rows.column("quality").to_numpy()
     order = np.lexsort([*x.T, y])  # tasks end in any order; the trees shall not depend on it
