@@ -6,12 +6,12 @@ line_start, line_end, category, severity, must_detect, aliases), targets (target
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_rule, percent
 from ..schemas import SEVERITIES
-from .ordering import PAGE, paged
+from .ordering import PAGE, paged, placed
 
 
 def validate_ground_truth(targets: DataFrame, entries: DataFrame, strict: bool = False) -> DataFrame:
@@ -153,8 +153,8 @@ def eval_text(summary: DataFrame, matches: DataFrame, entries: DataFrame, target
 
     def headed(rows: DataFrame, section: int, title: str, order: list[str], line: Column) -> DataFrame:
         heads = rows.groupBy("target").agg(F.count(F.lit(1)).alias("n")).select("target", F.lit(section).alias("section"), F.lit(0).cast("bigint").alias("place"), F.concat(F.lit(title), F.col("n").cast("string")).alias("line"))
-        place = F.row_number().over(Window.partitionBy("target").orderBy(*order)).cast("bigint")
-        return heads.unionByName(rows.select("target", F.lit(section).alias("section"), place.alias("place"), line.alias("line")))
+        body = placed(rows, ["target"], order).select("target", F.lit(section).alias("section"), F.col("place").cast("bigint").alias("place"), line.alias("line"))
+        return heads.unionByName(body)
 
     figures = [
         F.concat(F.lit("Results for "), "target"), of("recall: ", "must_hit", "must_total", F.col("recall")), of("precision: ", "true_positives", "reported_total", F.col("precision")),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import SEVERITIES
+from ..sources.tables import Tables
 
 UNKNOWN = "(unknown crate)"
 #: Rows of one report page.
@@ -21,6 +22,21 @@ def order() -> list[Column]:
     return [severity_rank(F.col("severity")), F.desc("confidence"), F.col("file"), F.col("line_start"), F.col("ord")]
 
 
+def placed(rows: DataFrame, keys: list[str], by: list, name: str = "place") -> DataFrame:
+    """rows with their place, from 1, among those of equal keys. Rows are cut into ranges of keys and order, numbered in
+    each, and moved on by the sizes of the ranges before; so a key that has most rows fills no task. The ranges are
+    written first, as both looks at them have to find the same."""
+    cut = Tables(rows.sparkSession, "placed").save(rows.repartitionByRange(*keys, *by).withColumn("range_", F.spark_partition_id()), "ranges")
+    sizes = cut.groupBy(*keys, "range_").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select(*(F.col(k).alias(f"{k}_") for k in keys), F.col("range_").alias("range__"), (F.sum("n").over(Window.partitionBy(*keys).orderBy("range_")) - F.col("n")).alias("before_"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "range_").orderBy(*by))
+    same = F.col("range_") == F.col("range__")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
+    numbered = cut.withColumn("inside_", inside).join(before, same)
+    return numbered.withColumn(name, (F.col("before_") + F.col("inside_")).cast("int")).select(*rows.columns, name)
+
+
 def sort_findings(findings: DataFrame) -> DataFrame:
     """All findings in order: a range sort, for output."""
     return findings.orderBy("target", *order())
@@ -28,18 +44,17 @@ def sort_findings(findings: DataFrame) -> DataFrame:
 
 def ranked_findings(findings: DataFrame) -> DataFrame:
     """findings with `place` from 1 within their target."""
-    return findings.withColumn("place", F.row_number().over(Window.partitionBy("target").orderBy(*order())))
+    return placed(findings, ["target"], order())
 
 
 def top_findings(findings: DataFrame, n: int) -> DataFrame:
     """The first n of each target. Spark limits each task's rows before the shuffle."""
-    return ranked_findings(findings).filter(F.col("place") <= n)
+    return findings.withColumn("place", F.row_number().over(Window.partitionBy("target").orderBy(*order()))).filter(F.col("place") <= n)
 
 
 def paged(rows: DataFrame, by: list, item: Column, name: str, size: int = PAGE) -> DataFrame:
     """(target, page, <name>): all rows, `size` items at a time in the order given; pages count from 1."""
-    placed = rows.select("target", F.row_number().over(Window.partitionBy("target").orderBy(*by)).alias("place"), item.alias("item"))
-    pages = placed.groupBy("target", F.ceil(F.col("place") / size).cast("int").alias("page")).agg(F.array_sort(F.collect_list(F.struct("place", "item"))).alias("all"))
+    pages = placed(rows, ["target"], by).select("target", "place", item.alias("item")).groupBy("target", F.ceil(F.col("place") / size).cast("int").alias("page")).agg(F.array_sort(F.collect_list(F.struct("place", "item"))).alias("all"))
     return pages.select("target", "page", F.col("all.item").alias(name))
 
 
@@ -48,8 +63,7 @@ def findings_by_crate(findings: DataFrame) -> DataFrame:
     named = findings.withColumn("crate", F.coalesce("crate", F.lit(UNKNOWN)))
     first = named.groupBy("target", "crate").agg(F.min(F.struct(severity_rank(F.col("severity")), -F.col("confidence"), "file", "line_start", "ord")).alias("first"), F.count(F.lit(1)).alias("crate_findings"))
     groups = first.withColumn("group_place", F.row_number().over(Window.partitionBy("target").orderBy("first", "crate"))).drop("first")
-    inside = Window.partitionBy("target", "crate").orderBy(severity_rank(F.col("severity")), F.desc("confidence"), "file", "line_start", "ord")
-    return named.withColumn("crate_place", F.row_number().over(inside)).join(groups, ["target", "crate"])
+    return placed(named, ["target", "crate"], order(), "crate_place").join(groups, ["target", "crate"])
 
 
 def crate_totals(findings: DataFrame) -> DataFrame:
