@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -60,7 +61,11 @@ def bound_batches(spark: SparkSession) -> None:
 class Workspace:
     """Named Parquet tables of one run below the shared folder. They cut lineage and survive lost executors."""
 
+    #: Workspaces whose tables still stand.
+    open: ClassVar[list[Workspace]] = []
+
     def __init__(self, spark: SparkSession, label: str):
+        Workspace.open.append(self)
         self.spark = spark
         self.root = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         bound_batches(spark)
@@ -82,12 +87,19 @@ class Workspace:
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
+    def delete(self, path: str) -> None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
     def drop(self, *names: str) -> None:
         """Delete tables that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self.delete(self.path(name))
+
+    def close(self) -> None:
+        """Delete all tables: whatever was made of them has to have been written elsewhere."""
+        self.delete(self.root)
+        Workspace.open.remove(self)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

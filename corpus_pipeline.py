@@ -42,5 +42,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
+        before = list(Workspace.open)
         docs = ws.save(stage(spark, docs, sf_dir), f"stage-{i}")
+        for used in [w for w in Workspace.open if w not in before]:
+            used.close()  # the stage is written, its steps have been read
+        ws.drop(f"stage-{i - 1}")
     return docs

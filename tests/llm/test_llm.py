@@ -537,6 +537,16 @@ def test_suffixes_are_in_order():
 
 # pipeline ------------------------------------------------------------------------------------------------------------
 
+def walked(forest, x):
+    """The score of one document, tree by tree."""
+    total = forest.base
+    for at in forest.roots:
+        while forest.left[at] >= 0:
+            at = forest.left[at] + (x[forest.feature[at]] > forest.threshold[at])
+        total += forest.value[at]
+    return 1 / (1 + np.exp(-total))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
@@ -551,6 +561,9 @@ def test_pipeline(spark):
             assert after.columns == docs.columns
         rows = {r.doc_id: r for r in after.collect()}
         assert set(rows) <= set(before)
+        if k == 0:
+            forest = quality.train(spark, docs, spark.read.parquet(f"{sf}/labels.parquet"))
+            assert set(rows) == {i for i, t in before.items() if walked(forest, quality.statistics(t)) >= quality.THRESHOLD}
         if k == 1:
             assert {i: r.text or "" for i, r in rows.items()} == {i: kept for i, _, _, kept in lines_left(list(before.items()))}
         if k == 2:
@@ -561,7 +574,14 @@ def test_pipeline(spark):
             items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
             assert set(rows) == {i for i, _, hit, *_ in leaks(list(before.items()), items, 10) if not hit}
         if k == 4:
+            from tokenizers import Tokenizer
+
+            library = Tokenizer.from_file(tokenizer("word_bpe_49k.json"))
             assert set(rows) == set(before)
+            for i, t in before.items():
+                ids = library.encode(t or "", add_special_tokens=False).ids
+                r = rows[i]
+                assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))), i
         docs = after
         sizes.append(len(rows))
     assert corpus_pipeline.run(spark, sf).count() == sizes[-1] > 0
