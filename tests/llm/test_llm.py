@@ -393,6 +393,33 @@ def test_bpe(spark, texts, docs, nothing):
     assert all(sha(decoded[i].text) == got[i].decoded_sha256 for i, _ in texts)
 
 
+def test_bpe_of_repeated_rows(spark):
+    rows = [(None, "a b"), (None, None), (1, "a b"), (1, "a b"), (1, "c")]
+    got = sorted((str(r.doc_id), r.n_tokens) for r in bpe.encode(spark.createDataFrame(rows, "doc_id bigint, text string"), tokenizer("word_bpe_49k.json")).collect())
+    assert got == [("1", 1), ("1", 2), ("1", 2), ("None", 0), ("None", 2)]
+
+
+def test_very_long_texts(spark):
+    """One text of two million bytes, and a document that shares a passage with it, through what works on batches."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(9)
+    long = " ".join(words(rng, 400_000))
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(1, f"{long} {passage} {long[:5000]}"), (2, f"start {passage} end"), (3, "short")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = by_id(suffix_dedup.suffix_dedup(spark, df))
+    assert [got[i].n_removed for i in (1, 2, 3)] == [0, len(passage) + 2, 0]
+    for name, run in (("byte_bpe_50k.json", lambda p: token_orc.token_files(spark, df, p)), ("word_bpe_49k.json", lambda p: bpe.encode(df, p))):
+        library = Tokenizer.from_file(tokenizer(name))
+        n = [len(library.encode(t, add_special_tokens=False).ids) + (name[0] == "b") for _, t in rows]
+        assert [r.n_tokens for r in sorted(run(tokenizer(name)).collect())] == n
+    assert [r.n_lines for r in line_dedup.line_report(spark, df).collect()] == [1, 1, 1]
+    assert by_id(trie_join.jaccard_components(spark, df))[2].n_shingles == 58
+    bench = spark.createDataFrame([(1, passage)], "item_id bigint, text string")
+    assert [by_id(decontaminate.contamination(spark, df, bench))[i].n_hit for i in (1, 2, 3)] == [60, 60, 0]
+
+
 def test_bpe_refuses_files_with_a_decoder():
     with pytest.raises(ValueError, match="decoder"):
         bpe.encoder(tokenizer("byte_bpe_50k.json"))
