@@ -489,6 +489,20 @@ def evaluate_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.summary.join(done.gates, "target").select("target", "must_hit", "true_positives", "false_positives", "recall", "precision", "passed")
 
 
+@query(f"WITH {ENTRIES} SELECT target, (row_number() OVER (PARTITION BY target ORDER BY ord) - 1)::INT AS ord, id, file, line_start, line_end, category, severity, must_detect, alias, 5::INT AS line_slack FROM entries")
+def read_ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The truth, written as one YAML file for each target and read back."""
+    e = inputs.entries(spark, sf_dir)
+    fields = [F.concat(F.lit(f"{c}: "), F.col(c).cast("string")) for c in ("id", "file", "line_start", "line_end", "category", "severity", "must_detect")]
+    item = F.concat(F.lit("  - {"), F.concat_ws(", ", *fields, F.concat(F.lit("aliases: ["), F.array_join("aliases", ", "), F.lit("]"))), F.lit("}"))
+    head = F.concat(F.lit("target: "), "target", F.lit(f"\nschema_version: 1\nmatch_policy:\n  line_slack: 5\n  severity_order: [{', '.join(SEVERITIES)}]\nfindings:\n"))
+    files = e.groupBy("target").agg(F.array_sort(F.collect_list(F.struct("ord", item.alias("item")))).alias("all")).select("target", F.concat(head, F.array_join("all.item", "\n")).alias("value"))
+    path = Tables(spark, "truth").path("yaml")
+    files.write.partitionBy("target").text(path)
+    targets, entries = readers.read_ground_truth(spark, path)
+    return entries.join(targets.select("target", "line_slack"), "target").select("target", "ord", "id", "file", "line_start", "line_end", "category", "severity", "must_detect", F.regexp_replace(F.array_join("aliases", ","), "_", "-").alias("alias"), "line_slack")
+
+
 @query("""WITH e AS (SELECT concat('t', p_partkey % 20) AS target, concat('p', p_partkey // 2) AS id, p_size - p_partkey % 3 AS line_start, p_size AS line_end, CASE WHEN p_partkey % 5 = 0 THEN 'bad' ELSE 'low' END AS severity FROM part)
     SELECT target, id, 'line_start is not positive' AS problem FROM e WHERE line_start < 1 UNION ALL SELECT target, id, 'unknown severity' FROM e WHERE severity = 'bad'
     UNION ALL SELECT target, id, 'id is not unique' FROM e GROUP BY target, id HAVING count(*) > 1""")
