@@ -39,7 +39,7 @@ CHUNK_BYTES = 6_000_000
 
 
 def window_anchors(raw: bytes) -> np.ndarray:
-    """The anchor of each window of LENGTH bytes."""
+    """The anchor of each window of LENGTH bytes, hashed once more: least hashes crowd at the low end, buckets are ranges."""
     n = len(raw)
     if n < LENGTH:
         return np.zeros(0, np.uint64)
@@ -50,7 +50,7 @@ def window_anchors(raw: bytes) -> np.ndarray:
         wide = np.minimum(wide[:-width], wide[width:])
         width *= 2
     rest = LENGTH - GRAM + 1 - width
-    return np.minimum(wide[:-rest], wide[rest:]) if rest else wide
+    return mixed(np.minimum(wide[:-rest], wide[rest:]) if rest else wide)
 
 
 def extract(texts: list) -> list[tuple[int, bytes, np.ndarray]]:
