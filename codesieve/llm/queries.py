@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, exact_dedup, line_dedup, quality, sharding, suffix_dedup, token_orc, trie_join
+from . import bpe, chat, decontaminate, exact_dedup, line_dedup, quality, resample, sharding, suffix_dedup, token_orc, trie_join
 from .common import documents
 
 
@@ -60,6 +60,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(spark, documents(spark, sf_dir))
 
 
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(spark, documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def crc_step() -> str:
     """DuckDB expression: CRC-32 c after byte b."""
 
@@ -75,7 +79,7 @@ def crc_step() -> str:
     return step
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_decontamination, op3_chat_tree, op4_trie_jaccard, op5_sharding, op6_token_orc, op7_bpe, op8_line_dedup, op9_quality, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_decontamination, op3_chat_tree, op4_trie_jaccard, op5_sharding, op6_token_orc, op7_bpe, op8_line_dedup, op9_quality, op10_suffix_dedup, op13_resampling)}
 
 SQL = {
     "op1_exact_dedup": r"""
@@ -147,4 +151,15 @@ SQL = {
         gap AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM run),
         cut AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans, max(b) AS last_b, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS k FROM gap JOIN d USING (doc_id) GROUP BY doc_id)
         SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(CASE WHEN removed IS NULL THEN h ELSE k || substr(h, 2 * last_b + 1) END)) AS kept_sha256 FROM d LEFT JOIN cut USING (doc_id)""",
+    "op13_resampling": rf"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS g FROM benchmark),
+        g AS (SELECT doc_id, unnest(w) AS g FROM d), u AS (SELECT g, hex(encode(g)) AS h FROM (SELECT g FROM g UNION SELECT g FROM b)),
+        c AS (SELECT g, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(len(h) // 2), lambda j: ('0x' || substr(h, 2 * j + 1, 2))::BIGINT)), lambda c, b: {crc_step()}), 4294967295)::BIGINT % 10000 AS k FROM u),
+        s AS (SELECT k, count(*) AS n FROM g JOIN c USING (g) GROUP BY k), t AS (SELECT k, count(*) AS n FROM b JOIN c USING (g) GROUP BY k), z AS (SELECT (SELECT coalesce(sum(n), 0) FROM s)::DOUBLE AS s, (SELECT coalesce(sum(n), 0) FROM t)::DOUBLE AS t),
+        e AS (SELECT k, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (z.s + 10000) / ((coalesce(s.n, 0) + 1)::DOUBLE * (z.t + 10000))))::BIGINT AS gain FROM s FULL JOIN t USING (k), z),
+        w AS (SELECT doc_id, sum(gain) AS weight FROM g JOIN c USING (g) JOIN e USING (k) GROUP BY doc_id),
+        r AS (SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256(concat('2024:', doc_id))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score FROM d LEFT JOIN w USING (doc_id)),
+        p AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () * 10 // 100 AS most FROM r WHERE n_features >= 20)
+        SELECT r.*, CASE WHEN place <= most THEN place END::BIGINT AS rank FROM r LEFT JOIN p USING (doc_id)""",
 }
