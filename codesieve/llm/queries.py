@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, exact_dedup, line_dedup, quality, resample, sharding, suffix_dedup, token_orc, trie_join
+from . import bpe, chat, conversation_repair, decontaminate, exact_dedup, line_dedup, quality, resample, sharding, suffix_dedup, token_orc, trie_join
 from .common import documents
 
 
@@ -60,6 +60,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(spark, documents(spark, sf_dir))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair_report(spark, conversation_repair.damage(rows), rows)
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(spark, documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
@@ -79,7 +84,23 @@ def crc_step() -> str:
     return step
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_decontamination, op3_chat_tree, op4_trie_jaccard, op5_sharding, op6_token_orc, op7_bpe, op8_line_dedup, op9_quality, op10_suffix_dedup, op13_resampling)}
+def way(value: str, cost: str, initial: str) -> str:
+    """DuckDB expression: a text of cost and edits with one more edit in front."""
+    return f"lpad((({value})[1:10]::BIGINT + {cost})::VARCHAR, 10, '0') || '{initial}' || ({value})[11:]"
+
+
+def repair_layer() -> str:
+    """DuckDB expression: values of the role states 0 to 3 before row x, from those after it in acc."""
+    base = []
+    for q, steps in enumerate(((("s", 1), ("u", 2)), (("u", 2),), (("a", 3),), (("u", 2),))):
+        v = [f"acc.v[{k + 1}]" for k in range(4)]
+        ways = [way(v[q], "3", "D"), *(f"CASE WHEN NOT x.m AND x.c = '{c}' THEN {way(v[to], 'x.t', 'K')} END" for c, to in steps), *(f"CASE WHEN NOT x.m THEN {way(v[to], 'x.t + 2', 'R')} END" for c, to in steps if c != "s")]
+        base.append(f"list_min([{', '.join(ways)}])")
+    third = f"list_transform([[{', '.join(base)}]], lambda b: [b[1], b[2], least(b[3], {way('b[4]', '2', 'I')}), least(b[4], {way('b[3]', '2', 'I')})])[1]"
+    return f"list_transform([{third}], lambda b: [least(b[1], {way('b[3]', '2', 'I')}), least(b[2], {way('b[3]', '2', 'I')}), b[3], b[4]])[1]"
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_decontamination, op3_chat_tree, op4_trie_jaccard, op5_sharding, op6_token_orc, op7_bpe, op8_line_dedup, op9_quality, op10_suffix_dedup, op11_conversation_repair, op13_resampling)}
 
 SQL = {
     "op1_exact_dedup": r"""
@@ -151,6 +172,21 @@ SQL = {
         gap AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM run),
         cut AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans, max(b) AS last_b, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS k FROM gap JOIN d USING (doc_id) GROUP BY doc_id)
         SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(CASE WHEN removed IS NULL THEN h ELSE k || substr(h, 2 * last_b + 1) END)) AS kept_sha256 FROM d LEFT JOIN cut USING (doc_id)""",
+    "op11_conversation_repair": rf"""
+        WITH o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' ')) AS key FROM conversations),
+        k AS (SELECT key, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(strlen(key)), lambda j: ascii(key[j + 1])::BIGINT)), lambda c, b: {crc_step()}), 4294967295)::BIGINT % 20 AS k FROM (SELECT DISTINCT key FROM o)),
+        r AS (SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE k WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM o JOIN k USING (key) WHERE k <> 0),
+        p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS t FROM r),
+        f AS (SELECT *, left(role, 1) AS c, t = '' AS blank, t <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS dup, NOT t ~ '(?s).*[.!?]' AS cut, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS prev FROM p),
+        n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE dup) AS duplicate, count(*) FILTER (WHERE NOT blank AND NOT dup AND cut) AS truncated, count(*) FILTER (WHERE prev IS NOT NULL AND prev || c NOT IN ('su', 'ua', 'au')) AS illegal,
+              list({{'c': c, 'm': blank OR dup, 't': cut::INT, 'v': ['0000000000', '0000000004II', '0000000002I', '0000000000']}} ORDER BY i DESC) AS items FROM f GROUP BY conv_id),
+        b AS (SELECT * EXCLUDE (items), list_reduce(list_prepend({{'c': '', 'm': false, 't': 0, 'v': ['0000000000', '0000000004II', '0000000002I', '0000000000']}}, items), lambda acc, x: {{'c': '', 'm': false, 't': 0, 'v': {repair_layer()}}}).v[1] AS best FROM n),
+        e AS (SELECT conv_id, j, best[10 + j] AS e FROM b, range(1, length(best) - 9) AS x(j)),
+        g AS (SELECT *, count(*) FILTER (WHERE e <> 'I') OVER (PARTITION BY conv_id ORDER BY j) AS i FROM e),
+        h AS (SELECT g.conv_id, j, e, role, text, row_number() OVER (PARTITION BY g.conv_id ORDER BY j) AS out, first_value(e || coalesce(left(role, 1), '')) OVER (PARTITION BY g.conv_id ORDER BY j) = 'Ks' AS headed FROM g LEFT JOIN p ON p.conv_id IS NOT DISTINCT FROM g.conv_id AND p.i = g.i AND e <> 'I' WHERE e <> 'D'),
+        z AS (SELECT conv_id, string_agg(concat(CASE WHEN e = 'K' THEN role WHEN (out - headed::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END, ':', text), chr(10) ORDER BY j) AS fixed FROM h GROUP BY conv_id)
+        SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best[1:10]::BIGINT, 0) AS cost, coalesce(best[11:], '') AS audit, sha256(coalesce(fixed, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) AS i LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM i.conv_id""",
     "op13_resampling": rf"""
         WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
         b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS g FROM benchmark),
