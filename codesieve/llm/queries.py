@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, conversation_repair, decontaminate, exact_dedup, line_dedup, quality, resample, sharding, suffix_dedup, token_orc, trie_join
+from . import bpe, chat, conversation_repair, decontaminate, exact_dedup, html_extract, line_dedup, quality, resample, sharding, suffix_dedup, token_orc, trie_join
 from .common import documents
 
 
@@ -65,6 +65,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_report(spark, conversation_repair.damage(rows), rows)
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(spark, table(spark, sf_dir, "pages"))
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(spark, documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
@@ -100,7 +104,7 @@ def repair_layer() -> str:
     return f"list_transform([{third}], lambda b: [least(b[1], {way('b[3]', '2', 'I')}), least(b[2], {way('b[3]', '2', 'I')}), b[3], b[4]])[1]"
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_decontamination, op3_chat_tree, op4_trie_jaccard, op5_sharding, op6_token_orc, op7_bpe, op8_line_dedup, op9_quality, op10_suffix_dedup, op11_conversation_repair, op13_resampling)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_decontamination, op3_chat_tree, op4_trie_jaccard, op5_sharding, op6_token_orc, op7_bpe, op8_line_dedup, op9_quality, op10_suffix_dedup, op11_conversation_repair, op12_html_extraction, op13_resampling)}
 
 SQL = {
     "op1_exact_dedup": r"""
