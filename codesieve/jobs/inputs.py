@@ -8,6 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.model import Asking
 from ..schemas import SEVERITIES
 
 #: Risky code by remainder, appended to lines.
@@ -100,9 +101,10 @@ def crate_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 NOWHERE = "@@nowhere@@"
 
 
-def model():
-    """A stand-in for a model, which answers by arithmetic on a file's number and its lines: some calls fail, some
-    evidence isn't there, and the judge rejects, lowers or confirms."""
+def model(reached: bool = False, repeats: bool = False):
+    """A stand-in for a model, which answers by arithmetic on a file's number and its lines: some calls fail (unless it
+    is `reached`), some evidence isn't there, some findings are given twice (if it `repeats`), and the judge rejects,
+    lowers or confirms."""
 
     def call(request: dict) -> dict:
         prompt = request["user_prompt"]
@@ -112,10 +114,51 @@ def model():
             return {"text": "So: " + json.dumps(answer | {"reason": "as counted", "confidence": 1}), "input_tokens": n, "output_tokens": 1}
         head = re.match(r"Package .*\nSource (.*), from line \d+ to (\d+)\nRules that fired: (.*)\n~~~\n", prompt)
         doc, n = int(re.search(r"\d+", head[1])[0]), int(head[2])
-        if doc % 7 == 3:
+        if doc % 7 == 3 and not reached:
             raise TimeoutError("no answer")
         evidence = NOWHERE if doc % 5 == 1 else prompt[head.end() :].rpartition("\n~~~\n")[0][:12]
         found = {"rule_id": head[3].split(" ")[0], "severity": ["critical", "high", "low"][doc % 3], "file": head[1], "line_start": 1, "line_end": n, "summary": "s", "evidence": evidence, "fix_suggestion": "f", "confidence": 0.5}
-        return {"text": "```json\n" + json.dumps({"findings": [found]}) + "\n```", "input_tokens": n, "output_tokens": 7}
+        return {"text": "```json\n" + json.dumps({"findings": [found] * (2 if repeats and doc % 6 == 5 else 1)}) + "\n```", "input_tokens": n, "output_tokens": 7}
 
     return call
+
+
+def reached():
+    """The stand-in, none of whose calls fails."""
+    return model(reached=True)
+
+
+def repeating():
+    """The stand-in, which gives some findings twice."""
+    return model(repeats=True)
+
+
+#: The stand-in's calls fail at once: nothing is gained by waiting.
+ASKING = Asking(delay=lambda attempt: 0.0)
+
+
+def truth_of_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(entries, targets) for the findings of a scan of files: an entry for every second file."""
+    d = table(spark, sf_dir, "documents").filter("doc_id % 2 = 0")
+    key = F.col("doc_id")
+    aliases = F.when(key % 3 == 0, F.array(F.lit("unsafe"))).when(key % 3 == 1, F.array(F.lit("PANIC"))).otherwise(F.array(F.lit("cast"), F.lit("unsafe")))
+    entries = d.select(
+        F.col("lang").alias("target"), key.cast("int").alias("ord"), F.concat(F.lit("e"), key.cast("string")).alias("id"), F.concat(F.lit("src/d"), key.cast("string"), F.lit(".rs")).alias("file"), F.lit(2).alias("line_start"), F.lit(3).alias("line_end"), F.lit("Kept").alias("category"),
+        F.lit(None).cast("string").alias("cwe"), F.element_at(F.array(*(F.lit(s) for s in SEVERITIES)), (key % 5 + 1).cast("int")).alias("severity"), (key % 5 != 0).alias("must_detect"), aliases.alias("aliases"), F.lit(None).cast("string").alias("notes"),
+    )
+    targets = table(spark, sf_dir, "documents").select(F.col("lang").alias("target")).distinct()
+    return entries, targets.select("target", F.lit(5).alias("line_slack"), F.array(*(F.lit(s) for s in SEVERITIES)).alias("severity_order"), F.lit(1).alias("schema_version"))
+
+
+def crowded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(findings, entries, targets): all in one file and under one rule, on lines of a long file; some span much of it."""
+    start = ((F.col("l_partkey") * 37 + F.col("l_linenumber") * 11) % 100_000 + 1).cast("int")
+    length = (F.col("l_quantity").cast("bigint") % 7 + F.when(F.col("l_suppkey") % 50 == 0, 700).otherwise(0)).cast("int")
+    place = {"target": F.lit("t1"), "file": F.lit("src/long.rs")}
+    li = table(spark, sf_dir, "lineitem")
+    found = li.groupBy(*li.columns).agg(F.count(F.lit(1)).alias("n")).select("l_orderkey", start.alias("line_start"), (start + length).alias("line_end"), F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy")).withColumns(place | {"rule_id": F.lit("Long Rule"), "severity": F.lit("low")})
+    k = F.col("p_partkey")
+    begin = (k * 53 % 100_000 + 1).cast("int")
+    end = (begin + F.col("p_size") % 9 + F.when(k % 97 == 0, 3000).otherwise(0)).cast("int")
+    entries = table(spark, sf_dir, "part").select(k.cast("int").alias("ord"), F.concat(F.lit("p"), k.cast("string")).alias("id"), begin.alias("line_start"), end.alias("line_end"), F.lit("long-rule").alias("category"), F.lit("low").alias("severity"), (k % 4 != 0).alias("must_detect"), F.expr("cast(null as array<string>)").alias("aliases")).withColumns(place)
+    return found, entries, targets(spark, sf_dir).filter("target = 't1'")

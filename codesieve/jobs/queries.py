@@ -10,9 +10,10 @@ from ..functions.text import count_lines
 from ..operators import analysis, chunking, corpus, evaluation, judge, ordering
 from ..schemas import SEVERITIES
 from ..schemas import FILES as FILES_SCHEMA
+from ..sources import cache as caches
 from ..sources import readers, writers
 from ..sources.tables import Tables
-from ..streaming.incremental import incremental_scan as incremental_stream
+from ..streaming import incremental
 from . import inputs
 from . import scan as jobs
 from .inputs import table
@@ -58,8 +59,7 @@ FINDINGS = f"""findings AS (SELECT concat('t', l_suppkey % 20) AS target, CASE W
 ENTRIES = f"""entries AS (SELECT concat('t', p_partkey % 20) AS target, p_partkey::INT AS ord, concat('p', p_partkey) AS id, concat('src/f', (p_partkey // 20) % 50, '.rs') AS file, (p_size + 10)::INT AS line_start, (p_size + 10 + p_partkey % 7)::INT AS line_end,
     CASE p_partkey % 3 WHEN 0 THEN 'sql-injection' WHEN 1 THEN 'weak-crypto' ELSE 'toctou' END AS category, ({SEVERITY_LIST})[p_partkey % 5 + 1] AS severity, p_partkey % 4 <> 0 AS must_detect, CASE WHEN p_partkey % 2 = 0 THEN 'sqli' ELSE 'weak-crypto' END AS alias FROM part)"""
 TARGETS = "targets AS (SELECT DISTINCT concat('t', s_suppkey % 21) AS target FROM supplier)"
-MATCHES = f"""{FINDINGS}, {ENTRIES}, {TARGETS},
-    named AS (SELECT *, category AS name FROM entries UNION SELECT *, alias AS name FROM entries),
+MATCHED = """
     cand AS (SELECT f.*, e.id AS eid, e.must_detect AS em, e.severity AS es, e.ord AS eo, abs((e.line_start + e.line_end) / 2.0 - (f.line_start + f.line_end) / 2.0) AS dist FROM findings AS f
         JOIN named AS e ON e.target = f.target AND e.file = f.file AND e.name = regexp_replace(lower(f.rule_id), '[\\s_-]+', '-', 'g') AND f.line_end >= e.line_start - 5 AND f.line_start <= e.line_end + 5 WHERE f.target IN (SELECT target FROM targets)),
     best AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY target, ord ORDER BY dist, eo) = 1),
@@ -68,6 +68,7 @@ MATCHES = f"""{FINDINGS}, {ENTRIES}, {TARGETS},
     summary AS (SELECT target, coalesce(must_total, 0)::BIGINT AS must_total, coalesce(must_hit, 0)::BIGINT AS must_hit, coalesce(bonus_total, 0)::BIGINT AS bonus_total, coalesce(bonus_hit, 0)::BIGINT AS bonus_hit, coalesce(reported_total, 0)::BIGINT AS reported_total, coalesce(true_positives, 0)::BIGINT AS true_positives, coalesce(false_positives, 0)::BIGINT AS false_positives FROM targets
         LEFT JOIN (SELECT target, count(*) FILTER (WHERE must_detect) AS must_total, count(*) FILTER (WHERE must_detect AND hit) AS must_hit, count(*) FILTER (WHERE NOT must_detect) AS bonus_total, count(*) FILTER (WHERE NOT must_detect AND hit) AS bonus_hit FROM hit GROUP BY target) USING (target)
         LEFT JOIN (SELECT target, count(*) AS reported_total, count(matched_id) AS true_positives, count(*) - count(matched_id) AS false_positives FROM matches GROUP BY target) USING (target))"""
+MATCHES = f"""{FINDINGS}, {ENTRIES}, {TARGETS}, named AS (SELECT *, category AS name FROM entries UNION SELECT *, alias AS name FROM entries), {MATCHED}"""
 RATES = "CASE WHEN must_total = 0 THEN 1.0 ELSE must_hit / must_total END::DOUBLE AS recall, CASE WHEN reported_total = 0 THEN 1.0 ELSE true_positives / reported_total END::DOUBLE AS precision"
 FINDING_ORDER = "rank, confidence DESC, file, line_start, ord"
 
@@ -327,14 +328,14 @@ def scan_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known.unionByName(keys.select("target", F.lit("h").alias("config_hash"), F.lit("judge").alias("type"), F.col("finding_key").alias("key"), F.lit(None).cast("string").alias("findings"), dropped.alias("decision"), *tokens(4, 5)))
 
 
-def scanned(spark: SparkSession, sf_dir: str) -> tuple[jobs.Scan, Tables]:
+def scanned(spark: SparkSession, sf_dir: str, client=inputs.model) -> tuple[jobs.Scan, Tables]:
     """A scan of all files with the stand-in model and a cache that knows some of them."""
     tables = Tables(spark, "scan")
     writers.append_cache(scan_cache(spark, sf_dir), tables.path("cache"))
-    return jobs.scan(inputs.files(spark, sf_dir), readers.read_cache(spark, tables.path("cache")), "h", inputs.model, tables, unit="file", seq=2), tables
+    return jobs.scan(inputs.files(spark, sf_dir), caches.read_cache(spark, tables.path("cache")), "h", client, tables, unit="file", seq=2, asking=inputs.ASKING), tables
 
 
-@query(f"WITH {SCANNED} SELECT target, crate, rule_id, severity, file, n AS line_end, confidence, row_number() OVER (PARTITION BY target ORDER BY list_position({SEVERITY_LIST}, severity), confidence DESC, file)::INT AS place FROM judged")
+@query(f"WITH {SCANNED} SELECT target, crate, rule_id, severity, file, n AS line_end, confidence, row_number() OVER (PARTITION BY target ORDER BY list_position({SEVERITY_LIST}, severity), confidence DESC, file)::BIGINT AS place FROM judged")
 def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned(spark, sf_dir)[0].findings.select("target", "crate", "rule_id", "severity", "file", "line_end", "confidence", "place")
 
@@ -349,7 +350,7 @@ def scan_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same scan again, from the cache that the first one has filled: what failed is asked for once more."""
     first, tables = scanned(spark, sf_dir)
     writers.append_cache(first.records, tables.path("cache"))
-    again = jobs.scan(inputs.files(spark, sf_dir), readers.read_cache(spark, tables.path("cache")), "h", inputs.model, Tables(spark, "scan"), unit="file", seq=3)
+    again = jobs.scan(inputs.files(spark, sf_dir), caches.read_cache(spark, tables.path("cache")), "h", inputs.model, Tables(spark, "scan"), unit="file", seq=3, asking=inputs.ASKING)
     return analysis.run_stats(again.calls)
 
 
@@ -358,14 +359,68 @@ def incremental_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cache after a stream over all files has ended."""
     tables = Tables(spark, "incremental")
     inputs.files(spark, sf_dir).select(*(x.split(" ")[0] for x in FILES_SCHEMA.split(", "))).write.parquet(tables.path("source"))
-    incremental_stream(spark, tables.path("source"), tables.path("cache"), tables.path("checkpoint"), "h", inputs.model, unit="file").awaitTermination()
+    incremental.incremental_scan(spark, tables.path("source"), tables.path("cache"), tables.path("checkpoint"), "h", inputs.model, unit="file", judged=False, asking=inputs.ASKING).awaitTermination()
     listed = F.from_json("findings", "array<struct<rule_id:string>>")
-    return readers.read_cache(spark, tables.path("cache")).select("target", "key", F.size(listed).alias("n_findings"), F.get(listed, F.lit(0))["rule_id"].alias("rule_id"), "input_tokens", "output_tokens")
+    return caches.read_cache(spark, tables.path("cache")).select("target", "key", F.size(listed).alias("n_findings"), F.get(listed, F.lit(0))["rule_id"].alias("rule_id"), "input_tokens", "output_tokens")
+
+
+@query(f"""WITH {SCANNED.replace("AND doc % 7 <> 3 ", "").replace("doc % 4 = 0", "false").replace("doc % 4 <> 0", "true")}, k AS (SELECT target, key, doc, n, rule_id, content FROM ch JOIN (SELECT target, crate, rel_path, arg_min(content, i) AS content FROM h0 GROUP BY ALL) USING (target, crate, rel_path))
+    SELECT target, 'chunk' AS type, key, CASE WHEN doc % 5 <> 1 THEN 1 ELSE 0 END::INT AS n_findings, NULL AS kind, n::BIGINT AS input_tokens, 7::BIGINT AS output_tokens FROM k
+    UNION ALL SELECT target, 'judge', concat('src/d', doc, '.rs:1-', n, '#', rule_id, '#', sha1(content[1:12])[1:8]), NULL, (['drop', 'downgrade', 'keep'])[n % 3 + 1], n, 1 FROM k WHERE doc % 3 = 0 AND doc % 5 <> 1""".replace("h AS (SELECT target, crate, rel_path, hint", "h0 AS (SELECT * FROM hits), h AS (SELECT target, crate, rel_path, hint", 1))
+def incremental_retried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache after a stream of which every seventh call failed, and one over what failed: chunks and judged findings
+    are those of a scan in which no call fails."""
+    tables = Tables(spark, "retried")
+    cache = tables.path("cache")
+    inputs.files(spark, sf_dir).select(*(x.split(" ")[0] for x in FILES_SCHEMA.split(", "))).write.parquet(tables.path("source"))
+    incremental.incremental_scan(spark, tables.path("source"), cache, tables.path("checkpoint"), "h", inputs.model, unit="file", asking=inputs.ASKING).awaitTermination()
+    incremental.retry_failed(spark, cache, tables.path("again"), "h", inputs.reached, unit="file", asking=inputs.ASKING).awaitTermination()
+    listed = F.from_json("findings", "array<struct<rule_id:string>>")
+    return caches.read_cache(spark, cache).select("target", "type", "key", F.when(F.col("type") == "chunk", F.size(listed)).alias("n_findings"), "decision.kind", "input_tokens", "output_tokens")
+
+
+SCANNED_TWICE = f"""{SCANNED}, again AS (SELECT *, 1 AS occurrence FROM judged UNION ALL SELECT *, 2 FROM judged WHERE doc % 6 = 5),
+    texts AS (SELECT target, crate, rel_path, arg_min(content, i) AS content FROM hits GROUP BY ALL),
+    findings AS (SELECT a.target, a.crate, a.rule_id, a.severity, a.file, 1::INT AS line_start, a.n::INT AS line_end, 's' AS summary, concat(a.file, ':1-', a.n, '#', a.rule_id, '#', sha1(CASE a.rule_id WHEN 'kept' THEN 'e' ELSE t.content[1:12] END)[1:8], '#', occurrence) AS finding_id,
+        (row_number() OVER (PARTITION BY a.target ORDER BY a.crate, a.file, occurrence) - 1)::BIGINT AS ord FROM again AS a JOIN texts AS t ON t.target = a.target AND t.crate = a.crate AND t.rel_path = a.file),
+    entries AS (SELECT lang AS target, doc_id::INT AS ord, concat('e', doc_id) AS id, concat('src/d', doc_id, '.rs') AS file, 2 AS line_start, 3 AS line_end, 'Kept' AS category, ({SEVERITY_LIST})[doc_id % 5 + 1] AS severity, doc_id % 5 <> 0 AS must_detect, doc_id FROM documents WHERE doc_id % 2 = 0),
+    targets AS (SELECT DISTINCT lang AS target FROM documents), named AS (SELECT *, unnest(CASE doc_id % 3 WHEN 0 THEN ['kept', 'unsafe'] WHEN 1 THEN ['kept', 'panic'] ELSE ['kept', 'cast', 'unsafe'] END) AS name FROM entries), {MATCHED}"""
+
+
+def scan_matches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A scan's findings against truth, as they come from the scan."""
+    found, tables = scanned(spark, sf_dir, inputs.repeating)
+    entries, targets = inputs.truth_of_files(spark, sf_dir)
+    return tables.save(evaluation.match_findings(found.findings, entries, targets, strict=True), "matches"), entries, targets
+
+
+@query(f"WITH {SCANNED_TWICE} SELECT target, crate, finding_id, ord, file, severity, matched_id, match_kind FROM matches")
+def scan_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of many files, some given twice, each with its own id and match."""
+    return scan_matches(spark, sf_dir)[0].select("target", "crate", "finding_id", "ord", "file", "severity", "matched_id", "match_kind")
+
+
+@query(f"WITH {SCANNED_TWICE} SELECT *, {RATES} FROM summary")
+def scan_evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From files to recall and precision."""
+    return evaluation.evaluate(*scan_matches(spark, sf_dir))
+
+
+@query(f"WITH {CACHE} SELECT target, 'h' AS config_hash, type, key, '[]' AS findings, (seq % 100)::BIGINT AS input_tokens, 7::BIGINT AS output_tokens, seq FROM cache")
+def cache_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache after three appends, with a compaction after the first and the second."""
+    path = Tables(spark, "cache").path("cache")
+    rows = readers.records_from(cache_log(spark, sf_dir))
+    for part in range(3):
+        writers.append_cache(rows.filter(F.col("seq") % 3 == part), path)
+        if part < 2:
+            caches.compact_cache(spark, path)
+    return caches.read_cache(spark, path).drop("decision")
 
 
 # --- order ---------------------------------------------------------------------------------------------------------
 
-@query(f"WITH {FINDINGS} SELECT target, ord, severity, row_number() OVER (PARTITION BY target ORDER BY {FINDING_ORDER})::INT AS place FROM findings")
+@query(f"WITH {FINDINGS} SELECT target, ord, severity, row_number() OVER (PARTITION BY target ORDER BY {FINDING_ORDER})::BIGINT AS place FROM findings")
 def sort_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordering.ranked_findings(inputs.findings(spark, sf_dir)).select("target", "ord", "severity", "place")
 
@@ -377,7 +432,7 @@ def top_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {FINDINGS}, n AS (SELECT * REPLACE (coalesce(crate, '(unknown crate)') AS crate) FROM findings), p AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY {FINDING_ORDER}) AS place FROM n),
     g AS (SELECT target, crate, count(*) AS crate_findings, row_number() OVER (PARTITION BY target ORDER BY min(place)) AS group_place FROM p GROUP BY target, crate)
-    SELECT target, crate, ord, crate_findings, group_place::INT AS group_place, row_number() OVER (PARTITION BY target, crate ORDER BY {FINDING_ORDER})::INT AS crate_place FROM p JOIN g USING (target, crate)""")
+    SELECT target, crate, ord, crate_findings, group_place::INT AS group_place, row_number() OVER (PARTITION BY target, crate ORDER BY {FINDING_ORDER})::BIGINT AS crate_place FROM p JOIN g USING (target, crate)""")
 def findings_by_crate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordering.findings_by_crate(inputs.findings(spark, sf_dir)).select("target", "crate", "ord", "crate_findings", "group_place", "crate_place")
 
@@ -407,6 +462,19 @@ def match_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.match_findings(inputs.findings(spark, sf_dir), entries, targets).select("target", "ord", "matched_id", "match_kind", "expected_severity")
 
 
+CROWDED = f"""li AS (SELECT *, (l_partkey * 37 + l_linenumber * 11) % 100000 + 1 AS s FROM lineitem),
+    findings AS (SELECT 't1' AS target, 'src/long.rs' AS file, 'Long Rule' AS rule_id, 'low' AS severity, l_orderkey, s AS line_start, s + l_quantity::BIGINT % 7 + CASE WHEN l_suppkey % 50 = 0 THEN 700 ELSE 0 END AS line_end, row_number() OVER () AS ord FROM li),
+    entries AS (SELECT 't1' AS target, 'src/long.rs' AS file, p_partkey AS ord, concat('p', p_partkey) AS id, p_partkey * 53 % 100000 + 1 AS line_start, p_partkey * 53 % 100000 + 1 + p_size % 9 + CASE WHEN p_partkey % 97 = 0 THEN 3000 ELSE 0 END AS line_end, 'low' AS severity, p_partkey % 4 <> 0 AS must_detect FROM part),
+    targets AS (SELECT DISTINCT concat('t', s_suppkey % 21) AS target FROM supplier WHERE s_suppkey % 21 = 1), named AS (SELECT *, 'long-rule' AS name FROM entries), {MATCHED}"""
+
+
+@query(f"WITH {CROWDED} SELECT l_orderkey, line_start::INT AS line_start, line_end::INT AS line_end, matched_id, match_kind, count(*) AS findings FROM matches GROUP BY ALL")
+def match_crowded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All findings and all entries in one file under one rule: they meet in bins of lines."""
+    matches = evaluation.match_findings(*inputs.crowded(spark, sf_dir))
+    return matches.groupBy("l_orderkey", "line_start", "line_end", "matched_id", "match_kind").agg(F.count(F.lit(1)).alias("findings"))
+
+
 @query(f"WITH {MATCHES} SELECT *, {RATES} FROM summary")
 def evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.evaluate(*truth(spark, sf_dir))

@@ -4,51 +4,67 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import analysis, chunking, evaluation, judge, ordering
+from ..operators.model import Asking, complete
 from ..sources import readers
 from ..sources.tables import Tables
 
 
+#: The order in which findings are discovered: files, chunks, places in a reply.
+DISCOVERY = ["crate", "rel_path", "chunk_line", "chunk_end", "chunk_key", "reply"]
+
+
 @dataclass
 class Scan:
-    """findings: with `place` in their target; calls: what run_stats counts; records: what the cache has not yet."""
+    """found: judged findings as discovered; calls: what run_stats counts; records: what the cache has not yet; failed:
+    (target, crate, rel_path) of files of which a call failed."""
 
-    findings: DataFrame
+    found: DataFrame
     calls: DataFrame
     records: DataFrame
+    failed: DataFrame
+
+    @cached_property
+    def findings(self) -> DataFrame:
+        """In the canonical order, with `place`, `ord` and `finding_id` in their target."""
+        return ordering.ranked_findings(judge.identified(self.found, DISCOVERY).drop(*(c for c in DISCOVERY if c != "crate")))
 
 
-def scan(files: DataFrame, cache: DataFrame, config: str, client: Callable, tables: Tables, unit: str = "ast-function", mode: str = "safety", judged: bool = True, seq: int = 0) -> Scan:
+def scan(files: DataFrame, cache: DataFrame, config: str, client: Callable, tables: Tables, unit: str = "ast-function", mode: str = "safety", judged: bool = True, seq: int = 0, asking: Asking = Asking()) -> Scan:
     """Files to findings: chunks, cached results or model calls, checked evidence, the judge, the canonical order.
 
-    cache holds the last record of each key. Replies are written before anything reads them, so each is paid for once.
-    Findings with equal keys are judged once."""
+    cache holds the last record of each key. Replies are written before anything reads them, so each is paid for once;
+    with a log in `asking`, also where a task or the whole job is run again. Findings with equal keys are judged once."""
     chunks = tables.save(analysis.with_chunk_key(chunking.chunk(files, unit, mode)), "chunks")
     cached, pending = analysis.split_cached(chunks, cache, config)
-    replies = tables.save(analysis.complete(analysis.analysis_requests(pending, mode), client), "replies").withColumnRenamed("request_key", "chunk_key")
+    replies = tables.save(complete(analysis.analysis_requests(pending, mode), client, asking.within("analyze")), "replies").withColumnRenamed("request_key", "chunk_key")
     fresh = tables.save(analysis.findings_from_responses(pending, replies), "fresh")
-    # chunks of a file in order, then a reply's findings in theirs
-    start = chunks.select("target", "chunk_key", F.col("start_line").alias("chunk_line"))
-    found = fresh.unionByName(analysis.cached_findings(cached)).join(start, ["target", "chunk_key"]).withColumn("ord", F.shiftleft(F.col("chunk_line").cast("bigint"), 24) + F.col("ord"))
-    found = tables.save(found.drop("chunk_key", "chunk_line"), "found")
+    place = chunks.select("target", "crate", "chunk_key", "rel_path", F.col("start_line").alias("chunk_line"), F.col("end_line").alias("chunk_end")).distinct()
+    found = fresh.unionByName(analysis.cached_findings(cached)).withColumnRenamed("ord", "reply").join(place, ["target", "crate", "chunk_key"])
+    found = tables.save(found, "found")
     records = analysis.chunk_records(replies, fresh, config, seq)
     tokens = ["input_tokens", "output_tokens"]
     none = F.lit(None).cast("string").alias("error")
     calls = replies.select("target", F.lit("analyze").alias("step"), F.lit(False).alias("cached"), "error", *tokens).unionByName(cached.select("target", F.lit("analyze").alias("step"), F.lit(True).alias("cached"), none, *tokens))
+    failed = chunks.join(replies.filter("error is not null").select("target", "chunk_key"), ["target", "chunk_key"], "left_semi").select("target", "crate", "rel_path")
     if judged:
         earlier = tables.save(judge.cached_decisions(found, cache, config), "earlier")
         asked = judge.judge_requests(found, files, chunks, decided=earlier).dropDuplicates(["target", "request_key"])
-        verdicts = tables.save(analysis.complete(asked, client), "verdicts")
+        verdicts = tables.save(complete(asked, client, asking.within("judge")), "verdicts")
         decided = tables.save(judge.decisions_from(verdicts), "decided")
         records = records.unionByName(judge.judge_records(decided, config, seq))
-        hits = judge.with_finding_key(judge.judge_candidates(found)).select("target", "finding_key").join(earlier, ["target", "finding_key"])
+        keyed = judge.with_finding_key(judge.judge_candidates(found))
+        hits = keyed.select("target", "finding_key").join(earlier, ["target", "finding_key"])
         calls = calls.unionByName(verdicts.select("target", F.lit("judge").alias("step"), F.lit(False).alias("cached"), "error", *tokens)).unionByName(hits.select("target", F.lit("judge").alias("step"), F.lit(True).alias("cached"), none, *tokens))
+        unjudged = verdicts.filter("error is not null").select("target", F.col("request_key").alias("finding_key"))
+        failed = failed.unionByName(keyed.join(unjudged, ["target", "finding_key"], "left_semi").select("target", "crate", "rel_path"))
         found = judge.apply_decisions(found, earlier.drop(*tokens).unionByName(decided.drop("reason", *tokens)))
-    return Scan(ordering.ranked_findings(found), calls, records)
+    return Scan(found, calls, records, failed.distinct())
 
 
 @dataclass

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +15,6 @@ SYSTEM = {
     "logic": "You review Rust code for logic bugs, exhaustion of resources and unsound concurrency. Answer with one JSON object that has a list named findings.",
     "panic": "You review Rust code for paths on which it can crash. Answer with one JSON object that has a list named findings.",
 }
-REQUEST = "target string, request_key string, system_prompt string, user_prompt string, temperature double, max_tokens int"
-RESPONSE = "target string, request_key string, text string, input_tokens bigint, output_tokens bigint, error string"
 
 
 def chunk_key(crate: Column, rel_path: Column, start: Column, end: Column, content: Column) -> Column:
@@ -77,30 +72,6 @@ def chunk_records(responses: DataFrame, findings: DataFrame, config: str, seq: i
     )
 
 
-def complete(requests: DataFrame, client: Callable[[], Callable[[dict], dict]], in_flight: int = 4, attempts: int = 5) -> DataFrame:
-    """Call a model once for each request. client() makes, on the worker, a function from a request to
-    {text, input_tokens, output_tokens}. What still fails after the attempts has its error and no text.
-
-    Whoever reads the result twice calls twice: write it to a table before anything else reads it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        call = client()
-        for b in batches:
-            out = []
-            for request in b.to_pylist():
-                row = {"target": request["target"], "request_key": request["request_key"], "text": None, "input_tokens": None, "output_tokens": None, "error": None}
-                for attempt in range(attempts):
-                    try:
-                        row |= {k: v for k, v in call(request).items() if k in ("text", "input_tokens", "output_tokens")} | {"error": None}
-                        break
-                    except Exception as e:  # whatever a client raises is that request's error
-                        row["error"] = f"{type(e).__name__}: {e}"
-                out.append(row)
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("target", pa.string()), ("request_key", pa.string()), ("text", pa.string()), ("input_tokens", pa.int64()), ("output_tokens", pa.int64()), ("error", pa.string())]))
-
-    return requests.select(*(x.split()[0] for x in REQUEST.split(", "))).repartition(in_flight).mapInArrow(run, RESPONSE)
-
-
 def verify_evidence(evidence: Column, content: Column) -> Column:
     """Whether the evidence stands in the content, white space aside. content is already collapsed."""
     return F.contains(content, collapse_ws(evidence))

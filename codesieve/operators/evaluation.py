@@ -6,6 +6,9 @@ line_start, line_end, category, severity, must_detect, aliases), targets (target
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,27 +46,123 @@ def validate_ground_truth(targets: DataFrame, entries: DataFrame, strict: bool =
     return found
 
 
-def match_candidates(findings: DataFrame, entries: DataFrame, targets: DataFrame) -> DataFrame:
-    """Pairs of a finding and an entry of its file and rule whose lines overlap within the slack.
+#: Entries of one file and rule that a row holds; of larger groups, entries and findings meet in bins of lines.
+LARGE = 100
+#: A bin of level k has BASE**k lines. An interval's own level is the least whose bins are as long as it is, so it lies in two of them at most.
+BASE, LEVELS = 8, 10
+GROUP = ["target", "file", "name"]
 
-    An equi-join on target, file and name comes first, so that only one file's entries meet a finding."""
-    named = entries.join(targets.select("target", "line_slack"), "target").select(
+
+def named_entries(entries: DataFrame, targets: DataFrame) -> DataFrame:
+    """(target, file, name, entry): each entry under its category and every alias."""
+    return entries.join(targets.select("target", "line_slack"), "target").select(
         "target", "file", F.explode(F.array_distinct(F.transform(F.array_append(F.coalesce("aliases", F.expr("cast(array() as array<string>)")), F.col("category")), normalize_rule))).alias("name"),
         F.struct("id", F.col("ord").alias("entry_ord"), "must_detect", F.col("severity").alias("expected_severity"), "line_start", "line_end", "line_slack").alias("entry"),
     )
-    slack = F.col("entry.line_slack")
+
+
+def entry_groups(named: DataFrame, large: int) -> tuple[DataFrame, DataFrame]:
+    """(a row for each target, file and name with its entries, entries of large groups). A large group's row has none."""
+    sizes = named.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"))
+    sized = named.join(sizes, GROUP)
+    few = sized.filter(F.col("n") <= large).groupBy(*GROUP).agg(F.collect_list("entry").alias("near"))
+    return few, sized.filter(F.col("n") > large).drop("n")
+
+
+def overlaps(start: Column, end: Column, entry: Column) -> Column:
+    return (end >= entry["line_start"] - entry["line_slack"]) & (start <= entry["line_end"] + entry["line_slack"])
+
+
+def distance(start: Column, end: Column, entry: Column) -> Column:
+    """Of the midpoints."""
+    return F.abs((entry["line_start"] + entry["line_end"]) / 2 - (start + end) / 2)
+
+
+def level(low: Column, high: Column) -> Column:
+    length = high.cast("bigint") - low + 1
+    return reduce(add, ((length > BASE**k).cast("int") for k in range(LEVELS)))
+
+
+def meetings(places: DataFrame, named: DataFrame) -> DataFrame:
+    """(target, file, name, line_start, line_end, entry): places and entries of their group whose lines overlap.
+
+    A pair meets once, at the coarser of both levels: a place goes to its own level, where entries of its level and
+    below come, and to the coarser levels that its group's entries have. Of the two bins that both may share, the
+    higher of their first ones counts. So work follows from what overlaps, not from the sizes of both sides."""
+    low, high = F.col("entry.line_start") - F.col("entry.line_slack"), F.col("entry.line_end") + F.col("entry.line_slack")
+    left = places.withColumn("l", level(F.col("line_start"), F.col("line_end")))
+    right = named.withColumns({"low": low, "high": high}).withColumn("k", level(F.col("low"), F.col("high")))
+    of_places, of_entries = left.groupBy(*GROUP).agg(F.collect_set("l").alias("ls")), right.groupBy(*GROUP).agg(F.collect_set("k").alias("ks"))
+
+    def bins(start: str, end: str) -> Column:
+        width = F.pow(F.lit(float(BASE)), F.col("step.m"))
+        return F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width)))
+
+    def step(m: Column, own: bool) -> Column:
+        return F.struct(m.alias("m"), F.lit(own).alias("of_place"))
+
+    to_left = F.concat(F.array(step(F.col("l"), True)), F.transform(F.filter("ks", lambda m: m > F.col("l")), lambda m: step(m, False)))
+    to_right = F.concat(F.array(step(F.col("k"), False)), F.transform(F.filter("ls", lambda m: m >= F.col("k")), lambda m: step(m, True)))
+    a = left.join(of_entries, GROUP).withColumn("step", F.explode(to_left)).withColumn("bin", bins("line_start", "line_end")).drop("ks")
+    b = right.join(of_places, GROUP).withColumn("step", F.explode(to_right)).withColumn("bin", bins("low", "high")).drop("ls")
+    width = F.pow(F.lit(float(BASE)), F.col("step.m"))
+    first = F.greatest(F.floor(F.col("line_start") / width), F.floor(F.col("low") / width))
+    return a.join(b, [*GROUP, "step", "bin"]).filter((F.col("bin") == first) & overlaps(F.col("line_start"), F.col("line_end"), F.col("entry"))).select(*GROUP, "line_start", "line_end", "entry")
+
+
+def places_of(findings: DataFrame, crowded: DataFrame) -> DataFrame:
+    """Where the findings of large groups lie, each place once."""
+    own = findings.select("target", "file", normalize_rule(F.col("rule_id")).alias("name"), "line_start", "line_end")
+    return own.join(crowded.select(*GROUP).distinct(), GROUP, "left_semi").distinct()
+
+
+def match_candidates(findings: DataFrame, entries: DataFrame, targets: DataFrame, large: int = LARGE) -> DataFrame:
+    """Pairs of a finding and an entry of its file and rule whose lines overlap within the slack.
+
+    An equi-join on target, file and name comes first, so that only one file's entries meet a finding; entries of a
+    group that has more than `large` meet its findings in bins of lines."""
+    few, crowded = entry_groups(named_entries(entries, targets), large)
     own = findings.withColumn("name", normalize_rule(F.col("rule_id")))
-    return own.join(named, ["target", "file", "name"]).filter((F.col("line_end") >= F.col("entry.line_start") - slack) & (F.col("line_start") <= F.col("entry.line_end") + slack)).drop("name")
+    start, end = F.col("line_start"), F.col("line_end")
+    near = own.join(few, GROUP).withColumn("entry", F.explode(F.filter("near", lambda e: overlaps(start, end, e))))
+    place = [*GROUP, "line_start", "line_end"]
+    met = own.join(meetings(places_of(findings, crowded), crowded), place)
+    return near.select(*findings.columns, "entry").unionByName(met.select(*findings.columns, "entry"))
+
+
+def repeated_ids(findings: DataFrame) -> DataFrame:
+    """(target, id, n) of findings that share one: finding_id where there is one, else ord."""
+    own = F.col("finding_id" if "finding_id" in findings.columns else "ord").cast("string")
+    return findings.groupBy("target", own.alias("id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-def match_findings(findings: DataFrame, entries: DataFrame, targets: DataFrame) -> DataFrame:
+def match_findings(findings: DataFrame, entries: DataFrame, targets: DataFrame, large: int = LARGE, strict: bool = False) -> DataFrame:
     """One row per finding: findings' columns, matched_id, match_kind (must, bonus, none), expected_severity.
 
-    Of several candidates the one with the nearest midpoint counts, on ties the earliest entry."""
-    distance = F.abs((F.col("entry.line_start") + F.col("entry.line_end")) / 2 - (F.col("line_start") + F.col("line_end")) / 2)
-    best = match_candidates(findings, entries, targets).groupBy("target", "ord").agg(F.min_by(F.col("entry"), F.struct(distance, F.col("entry.entry_ord"))).alias("best"))
-    kind = F.when(F.col("best").isNull(), "none").when(F.col("best.must_detect"), "must").otherwise("bonus")
-    return findings.join(best, ["target", "ord"], "left").select(*(findings[c] for c in findings.columns), F.col("best.id").alias("matched_id"), kind.alias("match_kind"), F.col("best.expected_severity").alias("expected_severity"))
+    Of several candidates the one with the nearest midpoint counts, on ties the earliest entry. What a finding matches
+    follows from its target, file, rule and lines alone, so a finding is matched where it stands: no id takes part, and
+    findings with equal ones don't mix. strict raises on such all the same."""
+    if strict and (some := repeated_ids(findings).limit(20).collect()):
+        raise ValueError("findings share an id: " + ", ".join(f"{r['target']}/{r['id']}" for r in some))
+    few, crowded = entry_groups(named_entries(entries, targets), large)
+    start, end = F.col("line_start"), F.col("line_end")
+
+    def rank(e: Column) -> Column:
+        return F.struct(distance(start, end, e).alias("far"), e["entry_ord"].alias("ord"), e["id"].alias("id"), e["must_detect"].alias("must_detect"), e["expected_severity"].alias("expected_severity"))
+
+    own = findings.withColumn("name__", normalize_rule(F.col("rule_id")))
+    few = few.select(F.col("target").alias("t__"), F.col("file").alias("f__"), F.col("name").alias("n__"), "near")
+    # of entries on equal lines only the earliest can be the best
+    apart = crowded.groupBy(*GROUP, "entry.line_start", "entry.line_end").agg(F.min_by("entry", "entry.entry_ord").alias("entry")).select(*GROUP, "entry")
+    met = meetings(places_of(findings, crowded), apart).groupBy(*GROUP, "line_start", "line_end").agg(F.min(rank(F.col("entry"))).alias("met__"))
+    met = met.select(*(F.col(c).alias(f"m_{c}") for c in (*GROUP, "line_start", "line_end")), "met__")
+    here = (F.col("target") == F.col("t__")) & (F.col("file") == F.col("f__")) & (F.col("name__") == F.col("n__"))
+    there = (F.col("target") == F.col("m_target")) & (F.col("file") == F.col("m_file")) & (F.col("name__") == F.col("m_name")) & (start == F.col("m_line_start")) & (end == F.col("m_line_end"))
+    near = F.array_min(F.transform(F.filter("near", lambda e: overlaps(start, end, e)), rank))
+    best = F.coalesce(near, F.col("met__"))
+    rows = own.join(few, here, "left").join(met, there, "left").withColumn("best__", best)
+    kind = F.when(F.col("best__").isNull(), "none").when(F.col("best__.must_detect"), "must").otherwise("bonus")
+    return rows.select(*(findings[c] for c in findings.columns), F.col("best__.id").alias("matched_id"), kind.alias("match_kind"), F.col("best__.expected_severity").alias("expected_severity"))
 
 
 def entry_hits(matches: DataFrame, entries: DataFrame) -> DataFrame:
@@ -175,12 +274,15 @@ def eval_text(summary: DataFrame, matches: DataFrame, entries: DataFrame, target
 def stability(runs: DataFrame) -> DataFrame:
     """target, pairs, jaccard: mean similarity of the finding sets of repeated runs.
 
-    runs: target, run and the findings' columns; a run without findings has a row with a null file. Members meet in an
-    equi-join; sets without any finding are alike."""
-    member = ["target", "file", "name", "line_start", "line_end"]
-    sets = runs.filter("file is not null").select("run", "target", "file", normalize_rule(F.col("rule_id")).alias("name"), "line_start", "line_end").distinct()
-    sizes = runs.select("target", "run").distinct().join(sets.groupBy("target", "run").agg(F.count(F.lit(1)).alias("n")), ["target", "run"], "left").na.fill(0)
-    common = sets.withColumnRenamed("run", "a").join(sets.withColumnRenamed("run", "b"), member).filter("a < b").groupBy("target", "a", "b").agg(F.count(F.lit(1)).alias("both"))
+    runs: target, run and the findings' columns; a run without findings has a row with a null file. Each member of the
+    sets is looked at once, with the set of runs that have it; equal sets of runs are counted, and only these make
+    pairs. Sets without any finding are alike."""
+    members = runs.filter("file is not null").groupBy("target", "file", normalize_rule(F.col("rule_id")).alias("name"), "line_start", "line_end").agg(F.array_sort(F.collect_set("run")).alias("seen"))
+    patterns = members.groupBy("target", "seen").agg(F.count(F.lit(1)).alias("n"))
+    single = patterns.select("target", F.explode("seen").alias("run"), "n").groupBy("target", "run").agg(F.sum("n").alias("n"))
+    sizes = runs.select("target", "run").distinct().join(single, ["target", "run"], "left").na.fill(0, ["n"])
+    ahead = patterns.select("target", "n", "seen", F.posexplode("seen").alias("i", "a"))
+    common = ahead.select("target", "n", "a", F.explode(F.slice("seen", F.col("i") + 2, F.size("seen"))).alias("b")).groupBy("target", "a", "b").agg(F.sum("n").alias("both"))
     pairs = sizes.select("target", F.col("run").alias("a"), F.col("n").alias("na")).join(sizes.select("target", F.col("run").alias("b"), F.col("n").alias("nb")), "target").filter("a < b").join(common, ["target", "a", "b"], "left").na.fill(0, ["both"])
     union = F.col("na") + F.col("nb") - F.col("both")
     return pairs.groupBy("target").agg(F.count(F.lit(1)).alias("pairs"), F.avg(F.when(union == 0, 1.0).otherwise(F.col("both") / union)).alias("jaccard"))

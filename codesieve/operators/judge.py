@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.replies import object_in, parse_verdict
 from ..functions.text import number_text
+from .ordering import placed
 
 TEMPERATURE, MAX_TOKENS = 0.1, 1024
 SYSTEM = "You check a reported bug against the whole file. Answer with one JSON object: verdict, new_severity, reason, confidence."
@@ -20,6 +21,15 @@ def with_finding_key(findings: DataFrame) -> DataFrame:
     return findings.withColumn("finding_key", finding_key(*(F.col(c) for c in ("file", "line_start", "line_end", "rule_id", "evidence"))))
 
 
+def identified(found: DataFrame, where: list[str]) -> DataFrame:
+    """found with `ord`, from 0 in its target by the columns `where` (the order of discovery), and `finding_id`: its key
+    and which of the findings with that key in its target it is. So equal findings stay apart, and an id means the same
+    finding in another run as long as what it says and where stays the same."""
+    placed_ = placed(with_finding_key(found), ["target"], where, "ord").withColumn("ord", F.col("ord") - 1)
+    again = placed(placed_, ["target", "finding_key"], ["ord"], "occurrence", ident=["target", "ord"])
+    return again.withColumn("finding_id", F.concat("finding_key", F.lit("#"), F.col("occurrence").cast("string"))).drop("finding_key", "occurrence")
+
+
 def judge_candidates(findings: DataFrame, enabled: bool = True) -> DataFrame:
     return findings.filter((F.col("severity") == "critical") & F.lit(enabled))
 

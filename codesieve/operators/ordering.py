@@ -9,6 +9,8 @@ from ..schemas import SEVERITIES
 from ..sources.tables import Tables
 
 UNKNOWN = "(unknown crate)"
+#: What tells findings apart, and what order() looks at.
+IDENT, ORDERED = ["target", "ord"], ["severity", "confidence", "file", "line_start", "ord"]
 #: Rows of one report page.
 PAGE = 500
 
@@ -22,19 +24,27 @@ def order() -> list[Column]:
     return [severity_rank(F.col("severity")), F.desc("confidence"), F.col("file"), F.col("line_start"), F.col("ord")]
 
 
-def placed(rows: DataFrame, keys: list[str], by: list, name: str = "place") -> DataFrame:
-    """rows with their place, from 1, among those of equal keys. Rows are cut into ranges of keys and order, numbered in
-    each, and moved on by the sizes of the ranges before; so a key that has most rows fills no task. The ranges are
-    written first, as both looks at them have to find the same."""
-    cut = Tables(rows.sparkSession, "placed").save(rows.repartitionByRange(*keys, *by).withColumn("range_", F.spark_partition_id()), "ranges")
-    sizes = cut.groupBy(*keys, "range_").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select(*(F.col(k).alias(f"{k}_") for k in keys), F.col("range_").alias("range__"), (F.sum("n").over(Window.partitionBy(*keys).orderBy("range_")) - F.col("n")).alias("before_"))
-    inside = F.row_number().over(Window.partitionBy(*keys, "range_").orderBy(*by))
-    same = F.col("range_") == F.col("range__")
+def placed(rows: DataFrame, keys: list[str], by: list, name: str = "place", ident: list[str] | None = None, uses: list[str] | None = None) -> DataFrame:
+    """rows with their place (bigint, from 1) among those of equal keys. Rows are sorted by ranges of keys and order, so a
+    key that has most rows fills no task, and written with their number in the whole; a place is that number less the
+    first one of its key, which is known from a row for each key and range.
+
+    With `ident`, columns that tell rows apart, only these, the keys and the columns that `by` uses are sorted and
+    written, and rows get their place by a join: texts aren't sorted. Runs a job, as both looks at a range have to find
+    the same."""
+    slim = rows.select(*dict.fromkeys([*keys, *(uses or []), *ident])) if ident else rows
+    cut = slim.repartitionByRange(*keys, *by).sortWithinPartitions(*keys, *by).withColumn("at__", F.monotonically_increasing_id())
+    cut = Tables(rows.sparkSession, "placed").save(cut, "ranges").withColumn("range__", F.shiftright("at__", 33))
+    own = [F.col(k).alias(f"{k}__") for k in keys]
+    sizes = cut.groupBy(*own, F.col("range__").alias("part__")).agg(F.min("at__").alias("first__"), F.count(F.lit(1)).alias("n__"))
+    before = sizes.withColumn("before__", F.sum("n__").over(Window.partitionBy(*(f"{k}__" for k in keys)).orderBy("part__")) - F.col("n__")).drop("n__")
+    same = F.col("range__") == F.col("part__")
     for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
-    numbered = cut.withColumn("inside_", inside).join(before, same)
-    return numbered.withColumn(name, (F.col("before_") + F.col("inside_")).cast("int")).select(*rows.columns, name)
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}__"))
+    numbered = cut.join(before, same).withColumn(name, F.col("before__") + F.col("at__") - F.col("first__") + 1)
+    if not ident:
+        return numbered.select(*rows.columns, name)
+    return rows.join(numbered.select(*ident, name), ident) if set(rows.columns) - set(slim.columns) else numbered.select(*rows.columns, name)
 
 
 def sort_findings(findings: DataFrame) -> DataFrame:
@@ -43,8 +53,8 @@ def sort_findings(findings: DataFrame) -> DataFrame:
 
 
 def ranked_findings(findings: DataFrame) -> DataFrame:
-    """findings with `place` from 1 within their target."""
-    return placed(findings, ["target"], order())
+    """findings with `place` from 1 within their target. (target, ord) tells findings apart."""
+    return placed(findings, ["target"], order(), ident=IDENT, uses=ORDERED)
 
 
 def top_findings(findings: DataFrame, n: int) -> DataFrame:
@@ -63,7 +73,7 @@ def findings_by_crate(findings: DataFrame) -> DataFrame:
     named = findings.withColumn("crate", F.coalesce("crate", F.lit(UNKNOWN)))
     first = named.groupBy("target", "crate").agg(F.min(F.struct(severity_rank(F.col("severity")), -F.col("confidence"), "file", "line_start", "ord")).alias("first"), F.count(F.lit(1)).alias("crate_findings"))
     groups = first.withColumn("group_place", F.row_number().over(Window.partitionBy("target").orderBy("first", "crate"))).drop("first")
-    return placed(named, ["target", "crate"], order(), "crate_place").join(groups, ["target", "crate"])
+    return placed(named, ["target", "crate"], order(), "crate_place", IDENT, ORDERED).join(groups, ["target", "crate"])
 
 
 def crate_totals(findings: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import CACHE, DECISION, ENTRY, FINDING
+from ..schemas import DECISION, ENTRY, FINDING
 
 #: Relative paths that are never sources.
 IGNORED = [r"(^|/)target/", r"^node_modules/"]
@@ -136,8 +136,3 @@ def read_cache_log(spark: SparkSession, path: str, config: str, target: str) ->
     place = F.struct(F.col("_metadata.file_name"), F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
     lines = spark.read.text(path).select(F.lit(target).alias("target"), F.lit(config).alias("config_hash"), place.alias("seq"), "value")
     return latest(records_from(lines)).withColumn("seq", F.lit(None).cast("bigint"))
-
-
-def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """The state of the Parquet cache."""
-    return latest(spark.read.schema(CACHE).parquet(path))

@@ -1,10 +1,11 @@
-"""Steps of a job as tables in the folder that driver and executors share."""
+"""Steps of a job as tables in the folder that driver and executors share, and the few questions to its file system."""
 
 from __future__ import annotations
 
 import re
 import tempfile
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,11 +24,38 @@ def shared_folder(spark: SparkSession) -> str:
     return _own[0]
 
 
+class Folder:
+    """A folder in whatever file system Spark reads it from. The only place that reaches into the driver's JVM."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.at = spark, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        self.system = self.at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def exists(self) -> bool:
+        return self.system.exists(self.at)
+
+    def names(self) -> list[str]:
+        return [s.getPath().getName() for s in self.system.listStatus(self.at)] if self.exists() else []
+
+    def rename(self, name: str) -> bool:
+        """Give it another name beside its own; False if that is taken."""
+        to = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.at.getParent(), name)
+        return not self.system.exists(to) and self.system.rename(self.at, to)
+
+    def delete(self) -> None:
+        self.system.delete(self.at, True)
+
+
 class Tables:
-    """Parquet tables of one run. Writing a step cuts its lineage, and what it did is done once."""
+    """Parquet tables of one run. Writing a step cuts its lineage, and what it did is done once. Results are lazy and read
+    these tables, so they stand until close() or close_since() is called, when results have been written."""
+
+    #: Runs whose tables still stand, in the order they began.
+    standing: ClassVar[list[Tables]] = []
 
     def __init__(self, spark: SparkSession, label: str, folder: str | None = None):
         self.spark, self.folder = spark, folder or f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+        Tables.standing.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
@@ -35,3 +63,14 @@ class Tables:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
+
+    def close(self) -> None:
+        """Delete the run's tables."""
+        Folder(self.spark, self.folder).delete()
+        Tables.standing.remove(self)
+
+    @staticmethod
+    def close_since(mark: int) -> None:
+        """Delete the tables of all runs that began when `mark` of them stood, inner ones of operators included."""
+        for t in Tables.standing[mark:]:
+            t.close()

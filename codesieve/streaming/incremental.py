@@ -1,42 +1,68 @@
-"""Scans that go on where they stopped: a stream over source files that works only on chunks not in the cache.
+"""Scans that go on where they stopped: a stream over source files that works only on what the cache lacks, and a second
+stream over the files of which a call failed.
 
-The stream keeps no state of its own; the cache table is the state and its checkpoint the resume point. A batch that is
-run again finds its chunks in the cache and skips them.
+The streams keep no state of their own. Three tables beside each other are the state: the cache, the log of replies, and
+the files to try again. A batch that is run again finds its replies in the log, so none is paid for twice, and its results
+in the cache. A source file whose call failed is behind the first stream's checkpoint; it is written to the table of
+failed files, which the second stream reads, and to which what fails again comes back.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.analysis import analysis_requests, chunk_records, complete, findings_from_responses, with_chunk_key
-from ..operators.chunking import chunk
-from ..schemas import CACHE, FILES
-from ..sources.tables import Tables
+from ..jobs.scan import scan
+from ..operators.model import Asking
+from ..schemas import FILES
+from ..sources.readers import latest
+from ..sources.cache import cache_rows
+from ..sources.tables import Folder, Tables
 from ..sources.writers import append_cache
 
+COLUMNS = [x.split(" ")[0] for x in FILES.split(", ")]
 
-def cached_keys(spark: SparkSession, path: str, config: str) -> DataFrame:
-    """Keys that the cache has; none before its first write."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        return spark.createDataFrame([], "target string, chunk_key string")
-    return spark.read.schema(CACHE).parquet(path).filter((F.col("config_hash") == config) & (F.col("type") == "chunk")).select("target", F.col("key").alias("chunk_key"))
 
+def failed_files(cache: str) -> str:
+    return cache.rstrip("/") + "-failed"
 
-def scan_batch(files: DataFrame, batch_id: int, cache: str, config: str, client: Callable, unit: str, mode: str) -> None:
-    spark = files.sparkSession
+
+def reply_log(cache: str) -> str:
+    return cache.rstrip("/") + "-replies"
+
+
+def scan_batch(files: DataFrame, batch_id: int, cache: str, config: str, client: Callable, unit: str, mode: str, judged: bool, asking: Asking) -> None:
+    """Scan a batch of files with what the cache knows of their targets; add new results to it, and files of which a
+    call failed to the table of those."""
+    spark, mark = files.sparkSession, len(Tables.standing)
     tables = Tables(spark, "incremental-scan")
-    chunks = with_chunk_key(chunk(files, unit, mode)).dropDuplicates(["target", "chunk_key"])
-    pending = tables.save(chunks.join(cached_keys(spark, cache, config), ["target", "chunk_key"], "left_anti"), "pending")
-    replies = tables.save(complete(analysis_requests(pending, mode), client), "replies").withColumnRenamed("request_key", "chunk_key")
-    append_cache(chunk_records(replies, findings_from_responses(pending, replies), config, batch_id), cache)
+    own = tables.save(files.select(*COLUMNS).distinct(), "files")
+    known = latest(cache_rows(spark, cache).filter(f"config_hash = '{config}'").join(own.select("target").distinct(), "target", "left_semi"))
+    done = scan(own, known, config, client, tables, unit, mode, judged, batch_id, asking)
+    append_cache(done.records, cache)
+    own.join(done.failed, ["target", "crate", "rel_path"], "left_semi").write.mode("append").parquet(failed_files(cache))
+    Tables.close_since(mark)
+
 
+def started(files: DataFrame, cache: str, checkpoint: str, config: str, client: Callable, unit: str, mode: str, judged: bool, asking: Asking) -> StreamingQuery:
+    how = asking if asking.log else replace(asking, log=f"{reply_log(cache)}/{config}")
+    return files.writeStream.foreachBatch(lambda df, i: scan_batch(df, i, cache, config, client, unit, mode, judged, how)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-def incremental_scan(spark: SparkSession, source: str, cache: str, checkpoint: str, config: str, client: Callable, unit: str = "ast-function", mode: str = "safety", files_per_batch: int = 1000) -> StreamingQuery:
+
+def incremental_scan(spark: SparkSession, source: str, cache: str, checkpoint: str, config: str, client: Callable, unit: str = "ast-function", mode: str = "safety", files_per_batch: int = 1000, judged: bool = True, asking: Asking = Asking()) -> StreamingQuery:
     """Start the stream over Parquet files of sources; it ends when all that is there has been read."""
     files = spark.readStream.schema(FILES).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    return files.writeStream.foreachBatch(lambda df, i: scan_batch(df, i, cache, config, client, unit, mode)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return started(files, cache, checkpoint, config, client, unit, mode, judged, asking)
+
+
+def retry_failed(spark: SparkSession, cache: str, checkpoint: str, config: str, client: Callable, unit: str = "ast-function", mode: str = "safety", files_per_batch: int = 1000, judged: bool = True, asking: Asking = Asking()) -> StreamingQuery:
+    """Start the stream over files of which a call failed, with a checkpoint of its own: chunks and findings of them that
+    have a result by now are left alone. It ends when all that failed before its start has been tried once more."""
+    failed = failed_files(cache)
+    if not Folder(spark, failed).exists():
+        spark.createDataFrame([], FILES).write.mode("append").parquet(failed)
+    files = spark.readStream.schema(FILES).option("maxFilesPerTrigger", files_per_batch).parquet(failed)
+    return started(files, cache, checkpoint, config, client, unit, mode, judged, asking)
