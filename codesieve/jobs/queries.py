@@ -12,6 +12,8 @@ from ..schemas import SEVERITIES
 from ..schemas import FILES as FILES_SCHEMA
 from ..sources import cache as caches
 from ..sources import readers, writers
+from ..sources import snapshot
+from ..sources.named_files import write_named
 from ..sources.tables import Tables
 from ..streaming import incremental
 from . import inputs
@@ -418,6 +420,61 @@ def cache_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return caches.read_cache(spark, path).drop("decision")
 
 
+# --- source trees on disk -------------------------------------------------------------------------------------------
+
+@query(f"""WITH {FILES}, f AS (SELECT target, concat(crate, '/', rel_path) AS rel_path, content, regexp_extract(rel_path, '[0-9]+')::BIGINT % 10 AS k FROM files)
+    SELECT target, rel_path, CASE k WHEN 3 THEN 'added' WHEN 7 THEN 'gone' ELSE 'changed' END AS kind, sha256(CASE k WHEN 5 THEN content || '!' ELSE content END) AS digest, k <> 7 AS packed FROM f WHERE k IN (3, 5, 7)""")
+def source_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two releases of all files, written under their own names and taken as snapshots: what the second one changed."""
+    tables = Tables(spark, "releases")
+    k = F.regexp_extract("rel_path", "[0-9]+", 0).cast("bigint") % 10
+    files = inputs.files(spark, sf_dir).select(F.concat_ws("/", "target", "crate", "rel_path").alias("name"), "content", k.alias("k"))
+    write_named(files.filter("k <> 3"), tables.path("first"))
+    write_named(files.filter("k <> 7").withColumn("content", F.when(F.col("k") == 5, F.concat("content", F.lit("!"))).otherwise(F.col("content"))), tables.path("second"))
+    for release in ("first", "second"):
+        n = snapshot.take_snapshot(spark, tables.path(release), tables.path("snapshots"))
+    packed = snapshot.packed_files(spark, tables.path("snapshots"), n).select("target", "rel_path", F.lit(True).alias("packed"))
+    return snapshot.changes(spark, tables.path("snapshots"), n).join(packed, ["target", "rel_path"], "left").withColumn("packed", F.coalesce("packed", F.lit(False)))
+
+
+@query("""SELECT concat('t', r_regionkey) AS target, '' AS dir, CASE WHEN r_regionkey % 2 = 0 THEN r_name END AS package_name, true AS is_workspace, CASE WHEN r_regionkey % 2 = 0 THEN 'm*' ELSE 'm1,./m6' END AS members, 'm3' AS exclude, true AS parse_ok FROM region
+    UNION ALL SELECT concat('t', n_regionkey), concat('/m', n_nationkey), CASE WHEN n_nationkey % 9 <> 8 AND n_nationkey % 4 <> 0 THEN n_name END, CASE WHEN n_nationkey % 9 <> 8 THEN false END, '', '', n_nationkey % 9 <> 8 FROM nation""")
+def read_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifests of a workspace for each region with a member for each nation, written and read back; some are broken."""
+    even = F.col("r_regionkey") % 2 == 0
+    top = F.concat(F.when(even, F.concat(F.lit('[package]\nname = "'), "r_name", F.lit('"\n'))).otherwise(""), F.lit("[workspace]\nexclude = ['m3']\nmembers = "), F.when(even, '["m*"]\n').otherwise('["m1", "./m6"]\n'))
+    roots = table(spark, sf_dir, "region").select(F.concat(F.lit("t"), F.col("r_regionkey").cast("string"), F.lit("/Cargo.toml")).alias("name"), top.alias("content"))
+    n = F.col("n_nationkey")
+    text = F.when(n % 9 == 8, "[[[").when(n % 4 == 0, "[package]\nname = 3\n").otherwise(F.concat(F.lit('[package]\nname = "'), "n_name", F.lit('"\n')))
+    members = table(spark, sf_dir, "nation").select(F.concat(F.lit("t"), F.col("n_regionkey").cast("string"), F.lit("/m"), n.cast("string"), F.lit("/Cargo.toml")).alias("name"), text.alias("content"))
+    root = Tables(spark, "manifests").path("tree")
+    write_named(roots.unionByName(members), root)
+    got = readers.read_manifests(spark, root)
+    inside = F.expr(f"substring(dir, {len(readers.plain_root(root)) + 1})")
+    return got.select("target", F.regexp_replace(inside, "^/[^/]*", "").alias("dir"), "package_name", "is_workspace", F.array_join("members", ",").alias("members"), F.array_join("exclude", ",").alias("exclude"), "parse_ok")
+
+
+TREE = SCANNED.replace(FILE_KEYS, "lang AS target, CASE WHEN doc_id % 5 = 0 THEN 'inner' ELSE lang END AS crate, concat(CASE WHEN doc_id % 5 = 0 THEN 'x/' ELSE '' END, 'src/d', doc_id, '.rs') AS rel_path").replace("doc % 4 = 0", "false").replace("doc % 4 <> 0", "true").replace("doc % 8 <> 0 AND ", "")
+
+
+@query(f"WITH {TREE} SELECT target, crate, rule_id, severity, file, n AS line_end, row_number() OVER (PARTITION BY target ORDER BY list_position({SEVERITY_LIST}, severity), file)::BIGINT AS place, true AS listed FROM judged")
+def scan_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan of source trees on disk: manifests, crates, files, model, judge, cache, and reports under their own names, in
+    which each finding is looked up."""
+    tables = Tables(spark, "root")
+    d = inputs.files(spark, sf_dir)
+    inner = F.regexp_extract("rel_path", "[0-9]+", 0).cast("bigint") % 5 == 0
+    sources = d.select(F.concat("target", F.when(inner, "/x/").otherwise("/"), "rel_path").alias("name"), "content")
+    each = d.select("target").distinct()
+    outer = each.select(F.concat("target", F.lit("/Cargo.toml")).alias("name"), F.concat(F.lit('[package]\nname = "'), "target", F.lit('"\n[workspace]\nmembers = ["x"]\n')).alias("content"))
+    member = each.select(F.concat("target", F.lit("/x/Cargo.toml")).alias("name"), F.lit('[package]\nname = "inner"\n').alias("content"))
+    write_named(sources.unionByName(outer).unionByName(member), tables.path("tree"))
+    done = jobs.scan_root(spark, tables.path("tree"), "h", inputs.model, tables, tables.path("cache"), tables.path("reports"), unit="file", provider="prov", model="m", asking=inputs.ASKING)
+    pages = spark.read.text(tables.path("reports") + "/*.html", wholetext=True).select(F.regexp_extract("_metadata.file_name", "^(.*?)-prov-m", 1).alias("target"), F.explode(F.expr("regexp_extract_all(value, '([a-z0-9/]+[.]rs):', 1)")).alias("file"))
+    listed = pages.distinct().withColumn("listed", F.lit(True))
+    return done.findings.join(listed, ["target", "file"], "left").select("target", "crate", "rule_id", "severity", "file", "line_end", "place", F.coalesce("listed", F.lit(False)).alias("listed"))
+
+
 # --- order ---------------------------------------------------------------------------------------------------------
 
 @query(f"WITH {FINDINGS} SELECT target, ord, severity, row_number() OVER (PARTITION BY target ORDER BY {FINDING_ORDER})::BIGINT AS place FROM findings")
@@ -612,10 +669,13 @@ JSON_ROW = """concat('{"rule_id":"', rule_id, '","severity":"', severity, '"', '
 PAGES = f"""{PAGED}, pg AS (SELECT target, ceil(place / 500)::INT AS page, ceil(any_value(total) / 500)::INT AS pages, any_value(total) AS n, string_agg({JSON_ROW}, ',' ORDER BY place) AS js FROM placed GROUP BY target, ceil(place / 500))"""
 
 
-@query(f"""WITH {PAGED}, pg AS (SELECT target, ceil(place / 500)::INT AS page, ceil(any_value(total) / 500)::INT AS pages, any_value(total) AS n, string_agg({HTML_ROW}, chr(10) ORDER BY place) AS body FROM placed GROUP BY target, ceil(place / 500))
+HTML_PAGES = f"""WITH {PAGED}, pg AS (SELECT target, ceil(place / 500)::INT AS page, ceil(any_value(total) / 500)::INT AS pages, any_value(total) AS n, string_agg({HTML_ROW}, chr(10) ORDER BY place) AS body FROM placed GROUP BY target, ceil(place / 500))
     SELECT target, coalesce(page, 1)::INT AS page, concat('<!DOCTYPE html>', chr(10), '<html lang="en"><head><meta charset="utf-8"><title>Scan of ', target, '</title><style>{writers.CSS}</style></head><body>', chr(10), '<h1>Scan of ', target, '</h1>', chr(10), '<dl><dt>Project</dt><dd>', target, '</dd></dl>', chr(10), '<h2>', coalesce(n, 0), ' finding(s)</h2>', chr(10),
         CASE WHEN pages > 1 THEN concat('<p>Page ', page, ' of ', pages, '</p>', chr(10)) ELSE '' END, CASE WHEN n > 0 THEN concat('<table><tr><th>Severity</th><th>Rule</th><th>Place</th><th>Summary</th><th>Confidence</th></tr>', chr(10), body, chr(10), '</table>') ELSE '<p>No findings.</p>' END, chr(10), '</body></html>', chr(10)) AS html
-    FROM targets LEFT JOIN pg USING (target)""")
+    FROM targets LEFT JOIN pg USING (target)"""
+
+
+@query(HTML_PAGES)
 def html_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All findings of each target, in numbered pages."""
     info = F.array(F.struct(F.lit("Project").alias("name"), F.col("target").alias("value")))
@@ -623,6 +683,14 @@ def html_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writers.html_report(runs, inputs.findings(spark, sf_dir))
 
 
+@query(f"SELECT concat(target, '-prov-m', CASE WHEN page = 1 THEN '' ELSE '.' || page END, '.html') AS name, md5(html) AS html_md5 FROM ({HTML_PAGES})")
+def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of all reports, written as files of their own names and read back."""
+    folder = Tables(spark, "reports").path("pages")
+    writers.write_reports(html_report(spark, sf_dir).withColumn("name", writers.report_name(F.col("target"), F.lit("prov"), F.lit("m"))), folder)
+    return spark.read.text(f"{folder}/*.html", wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.md5(F.encode("value", "UTF-8")).alias("html_md5"))
+
+
 @query(f"""WITH {PAGES} SELECT target, page, concat('{{"findings":[', js, '],"generated_at":"2024-01-02T03:04:05.000Z","findings_total":', n, ',"page":', page, ',"pages":', pages, '}}') AS json FROM pg""")
 def findings_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writers.findings_json(inputs.findings(spark, sf_dir), F.lit("2024-01-02 03:04:05").cast("timestamp"))

@@ -6,12 +6,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import analysis, chunking, evaluation, judge, ordering
+from ..operators import analysis, chunking, corpus, evaluation, judge, ordering
 from ..operators.model import Asking, complete
-from ..sources import readers
+from ..sources import readers, writers
+from ..sources.cache import read_cache
 from ..sources.tables import Tables
 
 
@@ -67,6 +68,39 @@ def scan(files: DataFrame, cache: DataFrame, config: str, client: Callable, tabl
     return Scan(found, calls, records, failed.distinct())
 
 
+@dataclass
+class Projects:
+    """What lies below a root: crates and their files; problems: projects without a readable manifest at their root."""
+
+    files: DataFrame
+    crates: DataFrame
+    projects: DataFrame
+    problems: DataFrame
+
+
+def projects(spark: SparkSession, root: str, tables: Tables, crates: list[str] | None = None, limit: int = 0, files: DataFrame | None = None) -> Projects:
+    """Projects in folders below root, or those of the named crates: manifests, crates, files of each crate, and the
+    first `limit` of each target if that isn't 0. files: the texts, if they needn't be read from there."""
+    manifests = tables.save(readers.read_manifests(spark, root), "manifests")
+    targets = manifests.select("target", F.concat(F.lit(readers.plain_root(root) + "/"), "target").alias("root")).distinct()
+    named = tables.save(corpus.filter_crates(corpus.resolve_crates(targets, manifests), crates or []), "crates")
+    own = files if files is not None else readers.read_sources(spark, root)
+    inside = corpus.limit_files(corpus.attribute_files(own, named), named, limit)
+    return Projects(tables.save(inside.select("target", "crate", "rel_path", "content"), "sources"), named, corpus.project_info(targets, manifests), corpus.bad_targets(targets, manifests))
+
+
+def scan_root(spark: SparkSession, root: str, config: str, client: Callable, tables: Tables, cache: str, folder: str, unit: str = "ast-function", mode: str = "safety", crates: list[str] | None = None, limit: int = 0, judged: bool = True, provider: str = "provider", model: str = "model", asking: Asking = Asking()) -> Scan:
+    """Scan all projects below root: results go to the cache, HTML reports to files of their own names in folder."""
+    own = projects(spark, root, tables, crates, limit)
+    done = scan(own.files, read_cache(spark, cache), config, client, tables, unit, mode, judged, asking=asking)
+    writers.append_cache(done.records, cache)
+    info = F.array(F.struct(F.lit("Model").alias("name"), F.lit(model).alias("value")), F.struct(F.lit("Unit").alias("name"), F.lit(unit).alias("value")))
+    runs = own.projects.select("target", F.concat(F.lit("Scan of "), "project_name").alias("title"), info.alias("info"), writers.report_name(F.col("target"), F.lit(provider), F.lit(model)).alias("name"))
+    pages = writers.html_report(runs, tables.save(done.findings, "findings")).join(runs.select("target", "name"), "target")
+    writers.write_reports(pages, folder)
+    return done
+
+
 @dataclass
 class Evaluation:
     summary: DataFrame

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.replies import object_in, parse_findings
 from ..functions.text import collapse_ws
 from ..schemas import DECISION, FINDING
+from . import model
 
 TEMPERATURE, MAX_TOKENS = 0.1, 2048
 SYSTEM = {
@@ -72,6 +75,11 @@ def chunk_records(responses: DataFrame, findings: DataFrame, config: str, seq: i
     )
 
 
+def complete(requests: DataFrame, client: Callable[[], Callable[[dict], dict]], in_flight: int = 16, attempts: int = 5, **how) -> DataFrame:
+    """model.complete with its settings as keywords."""
+    return model.complete(requests, client, model.Asking(in_flight=in_flight, attempts=attempts, **how))
+
+
 def verify_evidence(evidence: Column, content: Column) -> Column:
     """Whether the evidence stands in the content, white space aside. content is already collapsed."""
     return F.contains(content, collapse_ws(evidence))

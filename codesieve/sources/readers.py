@@ -21,11 +21,17 @@ def plain_path(path: Column) -> Column:
     return F.regexp_replace(path, r"^[a-zA-Z][a-zA-Z0-9+.-]*:/+", "/")
 
 
+def plain_root(root: str) -> str:
+    """A root as plain_path gives paths below it."""
+    base = root.rstrip("/")
+    return "/" + base.split(":", 1)[-1].lstrip("/") if ":" in base else base
+
+
 def below(spark: SparkSession, root: str, glob: str) -> DataFrame:
     """path (absolute), inside (relative to root) and content of files below root."""
     base = root.rstrip("/")
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(base)
-    plain = "/" + base.split(":", 1)[-1].lstrip("/") if ":" in base else base
+    plain = plain_root(base)
     path = plain_path(F.col("path"))
     return rows.select(path.alias("path"), path.substr(F.lit(len(plain) + 2), F.length(path)).alias("inside"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
@@ -70,7 +76,9 @@ def reports_from(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(findings, errors) of report texts (report, text): an object with a list `findings`, or a bare list. With `page`,
     of reports in numbered pages, `ord` counts through a report's pages."""
     trimmed = F.regexp_replace("text", r"^\s+", "")
-    body = F.when(trimmed.startswith("["), F.col("text")).otherwise(F.get_json_object("text", "$.findings"))
+    # a text that begins with a bracket is no array, though get_json_object gives both alike
+    is_array = F.from_json("text", "findings array<string>")["findings"].isNotNull()
+    body = F.when(trimmed.startswith("["), F.col("text")).when(is_array, F.get_json_object("text", "$.findings"))
     fields = ",".join(x.strip().replace(" ", ":") for x in ("crate string, " + FINDING).split(","))
     page = F.col("page") if "page" in texts.columns else F.lit(0)
     rows = texts.select("report", page.cast("bigint").alias("page"), body.alias("body")).withColumn("list", F.when(F.col("body").startswith("["), F.from_json("body", f"array<struct<{fields}>>")))
@@ -87,32 +95,55 @@ def read_reports(spark: SparkSession, path: str, strict: bool = False) -> tuple[
     return findings, errors
 
 
-def read_ground_truth(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(targets, entries) of YAML files, one for each target. Missing aliases are an empty list; types aren't checked
-    here but in validate_ground_truth, where a value of another type is missing."""
+def truth_from(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(targets, entries, problems) of YAML texts (file, text), one for each target. Missing aliases are an empty list;
+    types aren't checked here but in validate_ground_truth, where a value of another type is missing. A text that isn't
+    YAML, or no mapping, is a row of problems (file, problem), and all others are read."""
     entry = "array<struct<" + ",".join(x.strip().replace(" ", ":") for x in ENTRY.split(",")) + ">>"
     kinds = {"string": str, "int": int, "boolean": bool, "array<string>": list}
     fields = [x.strip().split(" ") for x in ENTRY.split(",")]
 
     def typed(v: object, kind: str) -> object:
-        return v if isinstance(v, kinds[kind]) and not (kind == "int" and isinstance(v, bool)) else None
+        if kind == "array<string>":
+            return [x if isinstance(x, str) else str(x) for x in v if x is not None] if isinstance(v, list) else None
+        return v if isinstance(v, kinds[kind]) and not (kind == "int" and (isinstance(v, bool) or abs(v) >= 1 << 31)) else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parsed(text: str) -> dict:
         import yaml
 
+        try:
+            doc = yaml.safe_load(text)
+        except (yaml.YAMLError, ValueError, RecursionError) as e:
+            return {"problem": f"not YAML: {type(e).__name__}"}
+        if not isinstance(doc, dict):
+            return {"problem": "no mapping"}
+        policy = doc["match_policy"] if isinstance(doc.get("match_policy"), dict) else {}
+        listed = doc["findings"] if isinstance(doc.get("findings"), list) else []
+        entries = [{n: typed([] if n == "aliases" and n not in e else e.get(n), k) for n, k in fields} for e in listed if isinstance(e, dict)]
+        return {"target": typed(doc.get("target"), "string"), "line_slack": typed(policy.get("line_slack"), "int"), "severity_order": typed(policy.get("severity_order"), "array<string>"), "schema_version": typed(doc.get("schema_version"), "int"), "entries": entries}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
-        schema = pa.schema([("target", pa.string()), ("line_slack", pa.int32()), ("severity_order", pa.list_(pa.string())), ("schema_version", pa.int32()), ("entries", pa.list_(pa.struct([(n, arrow[k]) for n, k in fields])))])
+        schema = pa.schema([("file", pa.string()), ("problem", pa.string()), ("target", pa.string()), ("line_slack", pa.int32()), ("severity_order", pa.list_(pa.string())), ("schema_version", pa.int32()), ("entries", pa.list_(pa.struct([(n, arrow[k]) for n, k in fields])))])
         for b in batches:
-            out = []
-            for text in b.column("value").to_pylist():
-                doc = yaml.safe_load(text) or {}
-                policy = doc.get("match_policy") or {}
-                entries = [{n: typed([] if n == "aliases" and n not in e else e.get(n), k) for n, k in fields} for e in doc.get("findings") or []]
-                out.append({"target": typed(doc.get("target"), "string"), "line_slack": typed(policy.get("line_slack"), "int"), "severity_order": typed(policy.get("severity_order"), "array<string>"), "schema_version": typed(doc.get("schema_version"), "int"), "entries": entries})
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
+            yield pa.RecordBatch.from_pylist([{"file": r["file"]} | parsed(r["text"] or "") for r in b.to_pylist()], schema=schema)
+
+    rows = texts.select("file", "text").mapInArrow(run, f"file string, problem string, target string, line_slack int, severity_order array<string>, schema_version int, entries {entry}")
+    good = rows.filter("problem is null")
+    return good.select("target", "line_slack", "severity_order", "schema_version"), good.select("target", F.posexplode("entries").alias("ord", "e")).select("target", "ord", "e.*"), rows.filter("problem is not null").select("file", "problem")
 
-    rows = spark.read.text(path, wholetext=True).mapInArrow(run, f"target string, line_slack int, severity_order array<string>, schema_version int, entries {entry}")
-    return rows.drop("entries"), rows.select("target", F.posexplode("entries").alias("ord", "e")).select("target", "ord", "e.*")
+
+def read_truth_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(targets, entries, problems) of the YAML files at path."""
+    return truth_from(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")))
+
+
+def read_ground_truth(spark: SparkSession, path: str, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(targets, entries) of the YAML files at path that can be read; strict raises if one can't."""
+    targets, entries, problems = read_truth_files(spark, path)
+    if strict and (some := problems.limit(20).collect()):
+        raise ValueError("bad ground truth: " + "; ".join(f"{r['file']}: {r['problem']}" for r in some))
+    return targets, entries
 
 
 def latest(records: DataFrame) -> DataFrame:
@@ -136,3 +167,10 @@ def read_cache_log(spark: SparkSession, path: str, config: str, target: str) ->
     place = F.struct(F.col("_metadata.file_name"), F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
     lines = spark.read.text(path).select(F.lit(target).alias("target"), F.lit(config).alias("config_hash"), place.alias("seq"), "value")
     return latest(records_from(lines)).withColumn("seq", F.lit(None).cast("bigint"))
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """The state of the Parquet cache (see cache.read_cache)."""
+    from .cache import read_cache as read
+
+    return read(spark, path)

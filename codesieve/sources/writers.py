@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_name, escape_html, fixed
 from ..operators.ordering import PAGE, order, paged
+from .named_files import write_named
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 FIELDS = ["rule_id", "severity", "cwe", "crate", "file", "line_start", "line_end", "summary", "evidence", "fix_suggestion", "confidence"]
@@ -84,6 +85,17 @@ def report_format(path: Column) -> Column:
     return F.when(F.lower(path).endswith(".json"), "json").otherwise("html")
 
 
+def page_name(name: Column, page: Column) -> Column:
+    """The name of a report's page: the first has the report's, the others their number before the ending."""
+    return F.when(page == 1, name).otherwise(F.concat(F.regexp_replace(name, r"\.[^.]*$", ""), F.lit("."), page.cast("string"), F.regexp_extract(name, r"\.[^.]*$", 0)))
+
+
+def write_reports(pages: DataFrame, folder: str) -> None:
+    """Write pages (name, page, and the text in html or report) as files of their own names."""
+    text = next(c for c in ("html", "report", "json") if c in pages.columns)
+    write_named(pages.select(page_name(F.col("name"), F.col("page")).alias("name"), F.col(text).alias("content")), folder)
+
+
 def append_cache(records: DataFrame, path: str) -> None:
     """Add records; the crate isn't kept, as it is stamped again when they are read."""
     records.select("target", "config_hash", "type", "key", "findings", "decision", "input_tokens", "output_tokens", "seq").write.mode("append").partitionBy("config_hash", "type").parquet(path)
