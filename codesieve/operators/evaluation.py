@@ -107,7 +107,7 @@ def meetings(places: DataFrame, named: DataFrame) -> DataFrame:
     b = right.join(of_places, GROUP).withColumn("step", F.explode(to_right)).withColumn("bin", bins("low", "high")).drop("ls")
     width = F.pow(F.lit(float(BASE)), F.col("step.m"))
     first = F.greatest(F.floor(F.col("line_start") / width), F.floor(F.col("low") / width))
-    return a.join(b, [*GROUP, "step", "bin"]).filter((F.col("bin") == first) & overlaps(F.col("line_start"), F.col("line_end"), F.col("entry"))).select(*GROUP, "line_start", "line_end", "entry")
+    return a.join(b, [*GROUP, "step", "bin"]).filter((F.col("bin") == first) & (F.col("line_end") >= F.col("low")) & (F.col("line_start") <= F.col("high"))).select(*GROUP, "line_start", "line_end", "entry")
 
 
 def places_of(findings: DataFrame, crowded: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ GENERATIONS, MANIFESTS = "_generations", "_manifests"
 def generation(spark: SparkSession, path: str) -> int:
     """The newest generation with a complete manifest; 0 if there is none."""
     root = f"{path.rstrip('/')}/{MANIFESTS}"
-    numbers = sorted((int(n.removeprefix("manifest-")) for n in Folder(spark, root).names() if n.startswith("manifest-")), reverse=True)
+    numbers = sorted((int(n.removeprefix("manifest-")) for n in Folder(spark, root).names() if n.startswith("manifest-") and n.removeprefix("manifest-").isdigit()), reverse=True)
     return next((n for n in numbers if Folder(spark, f"{root}/manifest-{n}/_SUCCESS").exists()), 0)
 
 
@@ -63,17 +63,15 @@ def compact_cache(spark: SparkSession, path: str, buckets: int = BUCKETS) -> int
     generations, go afterwards, when no reader of theirs is left (see forget_merged)."""
     path = path.rstrip("/")
     n = generation(spark, path)
-    rows = tail_rows(spark, path)
-    if n:
-        rows = rows.join(merged_files(spark, path, n), "file", "left_anti")
-    files = rows.select("file").distinct()
+    files = tail_rows(spark, path).select("file").distinct()
     merged = f"{path}/{MANIFESTS}/manifest-{n + 1}"
-    # which files are merged is written first, without the mark that makes a manifest complete, and then read for both
+    # which files the tail has is written first, under a name that isn't a manifest's, and then holds for all that follows
     Folder(spark, f"{merged}-open").delete()
     files.write.mode("overwrite").parquet(f"{merged}-open")
     chosen = spark.read.schema("file string").parquet(f"{merged}-open")
     new = tail_rows(spark, path).join(chosen, "file", "left_semi").select(*COLUMNS)
     if n:
+        new = tail_rows(spark, path).join(chosen, "file", "left_semi").join(merged_files(spark, path, n), "file", "left_anti").select(*COLUMNS)
         new = new.unionByName(spark.read.schema(CACHE).parquet(f"{path}/{GENERATIONS}/generation-{n}").select(*COLUMNS))
     key = ["config_hash", "type", "bucket"]
     kept = latest(new).withColumn("bucket", F.pmod(F.xxhash64("target", "key"), F.lit(buckets)).cast("int"))

@@ -78,7 +78,7 @@ def reports_from(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     trimmed = F.regexp_replace("text", r"^\s+", "")
     # a text that begins with a bracket is no array, though get_json_object gives both alike
     is_array = F.from_json("text", "findings array<string>")["findings"].isNotNull()
-    body = F.when(trimmed.startswith("["), F.col("text")).when(is_array, F.get_json_object("text", "$.findings"))
+    body = F.when(trimmed.startswith("["), trimmed).when(is_array, F.get_json_object("text", "$.findings"))
     fields = ",".join(x.strip().replace(" ", ":") for x in ("crate string, " + FINDING).split(","))
     page = F.col("page") if "page" in texts.columns else F.lit(0)
     rows = texts.select("report", page.cast("bigint").alias("page"), body.alias("body")).withColumn("list", F.when(F.col("body").startswith("["), F.from_json("body", f"array<struct<{fields}>>")))
@@ -134,7 +134,7 @@ def truth_from(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def read_truth_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(targets, entries, problems) of the YAML files at path."""
+    """(targets, entries, problems) of the YAML files at path. Spark's readers pass over files of no bytes."""
     return truth_from(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")))
 
 

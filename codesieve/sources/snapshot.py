@@ -32,7 +32,7 @@ def listed(spark: SparkSession, root: str, glob: str = "*.rs", ignored: list[str
 
 def number(spark: SparkSession, folder: str) -> int:
     """The newest whole snapshot in folder; 0 if there is none."""
-    numbers = sorted((int(n.removeprefix("snapshot-")) for n in Folder(spark, folder).names() if n.startswith("snapshot-")), reverse=True)
+    numbers = sorted((int(n.removeprefix("snapshot-")) for n in Folder(spark, folder).names() if n.startswith("snapshot-") and n.removeprefix("snapshot-").isdigit()), reverse=True)
     return next((n for n in numbers if Folder(spark, f"{folder}/snapshot-{n}/_SUCCESS").exists()), 0)
 
 
