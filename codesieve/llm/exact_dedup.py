@@ -96,10 +96,12 @@ def resolve(docs: DataFrame, state: DataFrame, ws: Workspace, digest: Callable[[
     nameless = docs.filter("doc_id is null").select(*row).withColumn("digest", digest(F.col("norm"))).join(groups.select("digest", "group_size"), "digest")
     texts = ws.save(known.unionByName(nameless), "hit_texts")
     spread = F.ceil(F.col("group_size") / COPIES_PER_TASK).cast("int")
-    # beside each the text that its group keeps, found by its locator; groups without any id keep some text
-    best = state.filter("group_size > 1").select("digest", F.struct(F.col("best.locator").alias("file"), F.col("best.chars").alias("chars"), (-F.col("best.rank")).alias("doc_id")).alias("best"))
-    located = texts.join(best, "digest").filter(F.col("best.doc_id").isNull() | (F.struct("file", "chars", "doc_id") == F.col("best")))
-    kept_texts = located.dropDuplicates(["digest"]).select("digest", F.explode(F.sequence(F.lit(0), spread - 1)).alias("salt"), F.col("norm").alias("kept_norm"))
+    # beside each the text that its group keeps: the locator names its row, so only that row's text is looked for, and a
+    # digest that most rows share is no key here. Groups without any id keep some text, which tasks choose among theirs first
+    best = state.filter("group_size > 1").select("digest", "group_size", "best.locator", F.col("best.chars").alias("best_chars"), (-F.col("best.rank")).alias("doc_id"))
+    named = texts.filter("doc_id is not null").join(best.filter("doc_id is not null").drop("group_size"), ["doc_id", "digest"]).filter((F.col("file") == F.col("locator")) & (F.col("chars") == F.col("best_chars")))
+    some = texts.filter("doc_id is null").join(best.filter("doc_id is null").select("digest"), "digest", "left_semi").groupBy("digest").agg(F.min("norm").alias("norm"), F.first("group_size").alias("group_size"))
+    kept_texts = named.select("digest", "norm", "group_size").dropDuplicates(["digest"]).unionByName(some).select("digest", F.explode(F.sequence(F.lit(0), spread - 1)).alias("salt"), F.col("norm").alias("kept_norm"))
     differing = ws.save(texts.withColumn("salt", F.pmod(F.xxhash64(F.coalesce("doc_id", F.monotonically_increasing_id())), spread).cast("int")).join(kept_texts, ["digest", "salt"]).filter("norm <> kept_norm").select("digest").distinct(), "differing")
 
     # digests under which texts differ are grouped by their texts; rows without an id are counted, never ranked
