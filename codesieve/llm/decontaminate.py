@@ -124,10 +124,15 @@ def build_index(docs: DataFrame, benchmark: DataFrame, ws: Workspace, window: in
 
 
 def alignments(index: Index) -> DataFrame:
-    """(rid, item, at): where all anchors of a window have the right distance; word 0 of the item would stand at `at`."""
+    """(rid, set, item, at): where all anchors of a window have the right distance; word 0 of the item would stand at `at`."""
     shifted = index.postings.join(small(index.anchors.filter("whole"), "term_id"), "term_id").select("rid", "set", "item", (F.col("position") - F.col("offset")).alias("at"), "rank", "n_anchors")
     met = shifted.groupBy("rid", "set", "item", "at").agg(F.bit_or(F.expr("shiftleft(1L, rank)")).alias("ranks"), F.max("n_anchors").alias("n_anchors"))
-    return met.filter("bit_count(ranks) = n_anchors").select("rid", "item", "at").distinct()
+    return met.filter("bit_count(ranks) = n_anchors").select("rid", "set", "item", "at")
+
+
+def reaches(index: Index, window: int) -> DataFrame:
+    """(set, low, high): the offsets of the windows that have a set of anchors."""
+    return index.anchors.groupBy("set").agg((F.max("offset") - window + 1).alias("low"), (F.min("offset") + window - 1).alias("high"))
 
 
 def of_rows(index: Index, rids: DataFrame) -> DataFrame:
@@ -135,11 +140,13 @@ def of_rows(index: Index, rids: DataFrame) -> DataFrame:
     return index.postings.join(rids, "rid", "left_semi")
 
 
-def phrase_matches(index: Index, ws: Workspace) -> DataFrame:
-    """(rid, item, start, length): longest runs of item words, of a window at least, from word `start` of the row."""
+def phrase_matches(index: Index, ws: Workspace, window: int = WINDOW) -> DataFrame:
+    """(rid, item, start, length): longest runs of item words, of a window at least, from word `start` of the row. Around
+    each seed only the words of windows that have its anchors are looked for, so a long item asks for few."""
     seeds = ws.save(alignments(index), "seeds")
     rids = ws.save(seeds.select("rid").distinct(), "seed-rows")
-    asked = seeds.join(small(index.places, "term_id"), "item").withColumn("position", F.col("at") + F.col("offset"))
+    spans = index.anchors.select("set", "item").distinct().join(reaches(index, window), "set").join(index.places, "item").filter("offset between low and high").select("set", "offset", "term_id", "asked")
+    asked = seeds.join(small(ws.save(spans, "spans"), "term_id"), "set").select("rid", "item", "at", "offset", "term_id", "asked").distinct().withColumn("position", F.col("at") + F.col("offset"))
     there = asked.join(of_rows(index, rids), ["rid", "position", "term_id"])
     run = F.col("offset") - F.row_number().over(Window.partitionBy("rid", "item", "at").orderBy("offset"))
     runs = there.withColumn("run", run).groupBy("rid", "item", "at", "run").agg(F.min("position").alias("start"), F.count(F.lit(1)).alias("length"), F.max("asked").alias("asked"))
@@ -155,7 +162,7 @@ def around(position: Column, reach: int) -> Column:
 def near_terms(index: Index, window: int, least: int) -> DataFrame:
     """(set, term_id, need): the words of the windows that have the anchors of a set, and how many different ones of them
     a near match has. Sets of which training has fewer can't match."""
-    ends = index.anchors.groupBy("set", "item").agg((F.max("offset") - window + 1).alias("low"), (F.min("offset") + window - 1).alias("high"))
+    ends = index.anchors.select("set", "item").distinct().join(reaches(index, window), "set")
     words = ends.join(index.places, "item").filter("offset between low and high").select("set", "term_id").distinct().join(index.frequency.withColumnRenamed("n", "known"), "term_id", "left")
     needs = words.groupBy("set").agg(F.least(F.count(F.lit(1)), F.lit(least)).alias("need"), F.count("known").alias("n_known")).filter("n_known >= need")
     return words.filter("known is not null").join(needs, "set").select("set", "term_id", "need")
@@ -184,7 +191,7 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, wi
     number of items of which a near match stands in the document."""
     ws = Workspace(spark, "decontaminate")
     index = build_index(docs.select("doc_id", "text"), benchmark, ws, window, anchors)
-    matches = phrase_matches(index, ws)
+    matches = phrase_matches(index, ws, window)
     hit = matches.select("rid", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("position")).distinct().groupBy("rid").agg(F.count(F.lit(1)).alias("n_hit"))
     # one document holds at most as many items as it has words
     items = matches.select("rid", "item").join(index.items.select("item", "item_id"), "item").select("rid", "item_id").distinct().groupBy("rid").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
@@ -207,7 +214,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, wi
     """docs without the documents in which a window of the benchmark occurs; all columns stay."""
     ws = Workspace(spark, "decontaminate")
     index = build_index(docs.select("doc_id", "text"), benchmark, ws, window)
-    dirty = ws.save(index.rows.join(phrase_matches(index, ws).select("rid").distinct(), "rid", "left_semi").select("k1", "k2").distinct(), "dirty")
+    dirty = ws.save(index.rows.join(phrase_matches(index, ws, window).select("rid").distinct(), "rid", "left_semi").select("k1", "k2").distinct(), "dirty")
     k1, k2 = text_key(F.col("text"))
     keyed = docs.select(F.struct(*docs.columns).alias("row"), k1, k2)
     return keyed.join(dirty, ["k1", "k2"], "left_anti").select("row.*")
