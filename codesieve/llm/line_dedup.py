@@ -2,9 +2,11 @@
 
 1. Every document gives the 128-bit hashes of its distinct line keys; Spark counts documents and finds the largest
    doc_id for each hash (summed before the shuffle, so a line that a third of all documents share costs no more).
-2. Hashes found in `min_docs` documents or more are dealt over shards. Each shard builds a minimal perfect hash
-   (levels of bit arrays, ranked) into three arrays: fingerprint, count, keeper.
-3. Documents read again probe the arrays. Shards of at most BROADCAST_BYTES together are broadcast. Beyond that they
+2. Hashes of lines that repeat at all are dealt over shards. Each shard builds a minimal perfect hash (levels of bit
+   arrays, ranked) into three arrays: fingerprint, count, keeper. Lines of one document have no entry: whatever the
+   threshold, none of them goes.
+3. Documents read again probe the arrays; a line goes if its count there is `min_docs` or more and its keeper is another
+   document. Shards of at most BROADCAST_BYTES together are broadcast. Beyond that they
    stay where they are: documents send the hashes of their lines, packed, to the tasks of the hashes' shards, which probe
    their arrays and send back the numbers of dropped lines. Either way the corpus is read twice in all.
 
@@ -51,7 +53,7 @@ def line_keys(text: str | None, min_chars: int) -> tuple[list[str], list[bytes |
 
 
 def line_counts(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
-    """(high, low, n_docs, keeper) of line hashes found in min_docs documents or more."""
+    """(high, low, n_docs, keeper) of line hashes found in two documents or more (or in min_docs, if that is less)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -66,7 +68,7 @@ def line_counts(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "high bigint, low bigint, doc_id bigint")
     # rows that share a doc_id are one document; a common line is dealt by (line, doc_id) first, so it fills no task
     counted = rows.groupBy("high", "low").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper"))
-    return counted.filter(F.col("n_docs") >= min_docs)
+    return counted.filter(F.col("n_docs") >= min(min_docs, 2))
 
 
 def mix(keys: np.ndarray, level: int) -> np.ndarray:
@@ -115,11 +117,11 @@ class Shard:
         self.hash = PerfectHash([np.frombuffer(x, np.uint8) for x in levels])
         self.fingerprint, self.count, self.keeper = np.frombuffer(fingerprint, "<i8"), np.frombuffer(count, "<u4"), np.frombuffer(keeper, "<i8")
 
-    def keepers(self, high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(is it here, keeper) of each line hash."""
+    def keepers(self, high: np.ndarray, low: np.ndarray, min_docs: int) -> tuple[np.ndarray, np.ndarray]:
+        """(is it here with a count of min_docs or more, keeper) of each line hash."""
         at = self.hash.find(high.view(np.uint64))
         here = at >= 0
-        here[here] = self.fingerprint[at[here]] == low[here]
+        here[here] = (self.fingerprint[at[here]] == low[here]) & (self.count[at[here]] >= min_docs)
         return here, np.where(here, self.keeper[np.where(here, at, 0)], 0) if len(self.keeper) else np.zeros(len(high), np.int64)
 
 
@@ -138,13 +140,13 @@ def build_shards(counts: DataFrame, n_shards: int) -> DataFrame:
             h = PerfectHash.build(high[use].view(np.uint64))
             order = np.empty(len(use), np.int64)
             order[h.find(high[use].view(np.uint64))] = use
-            rows.append({"shard": table.column("shard")[0].as_py(), "levels": [x.tobytes() for x in h.levels], "fingerprint": low[order].astype("<i8").tobytes(), "count": count[order].astype("<u4").tobytes(), "keeper": keeper[order].astype("<i8").tobytes()})
+            rows.append({"shard": table.column("shard")[0].as_py(), "levels": [x.tobytes() for x in h.levels], "fingerprint": low[order].astype("<i8").tobytes(), "count": np.minimum(count[order], 2**32 - 1).astype("<u4").tobytes(), "keeper": keeper[order].astype("<i8").tobytes()})
         return pa.Table.from_pylist(rows, schema=pa.schema([("shard", pa.int32()), ("levels", pa.list_(pa.binary())), ("fingerprint", pa.binary()), ("count", pa.binary()), ("keeper", pa.binary())]))
 
     return counts.withColumn("shard", F.pmod("high", F.lit(n_shards)).cast("int")).groupBy("shard").applyInArrow(run, "shard int, levels array<binary>, fingerprint binary, count binary, keeper binary")
 
 
-def dropped_lines(ids: list[int | None], hashes: list[list[bytes | None]], shards: dict[int, list[Shard]], n_shards: int) -> list[np.ndarray]:
+def dropped_lines(ids: list[int | None], hashes: list[list[bytes | None]], shards: dict[int, list[Shard]], n_shards: int, min_docs: int) -> list[np.ndarray]:
     """For each document of a batch, a flag for each of its lines."""
     n = [len(h) for h in hashes]
     flat = [k for h in hashes for k in h]
@@ -158,14 +160,14 @@ def dropped_lines(ids: list[int | None], hashes: list[list[bytes | None]], shard
     for s in np.unique(shard):
         at = np.nonzero(shard == s)[0]
         for part in shards.get(int(s), ()):
-            here, keeper = part.keepers(high[at], low[at])
+            here, keeper = part.keepers(high[at], low[at], min_docs)
             drop[at] |= here & (keeper != own[at]) & known[at]
     out = np.zeros(len(flat), bool)
     out[real] = drop
     return np.split(out, np.cumsum(n)[:-1]) if n else []
 
 
-def probe(docs: DataFrame, shared, n_shards: int, min_chars: int, columns: str, emit) -> DataFrame:
+def probe(docs: DataFrame, shared, n_shards: int, min_chars: int, min_docs: int, columns: str, emit) -> DataFrame:
     """mapInArrow over docs; emit(batch, lines, flags) makes the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +176,7 @@ def probe(docs: DataFrame, shared, n_shards: int, min_chars: int, columns: str,
             shards.setdefault(s, []).append(Shard(*arrays))
         for b in batches:
             split = [line_keys(t.as_py(), min_chars) for t in b.column("text")]
-            flags = dropped_lines(b.column("doc_id").cast(pa.int64()).to_pylist(), [h for _, h in split], shards, n_shards)
+            flags = dropped_lines(b.column("doc_id").cast(pa.int64()).to_pylist(), [h for _, h in split], shards, n_shards, min_docs)
             yield emit(b, [x for x, _ in split], flags)
 
     return docs.mapInArrow(run, columns)
@@ -229,7 +231,7 @@ def probe_blocks(docs: DataFrame, n_shards: int, salts: int, min_chars: int) ->
     return docs.select("doc_id", "k1", "k2", "text").mapInArrow(run, PARCEL)
 
 
-def look_up(parcels: DataFrame) -> DataFrame:
+def look_up(parcels: DataFrame, min_docs: int) -> DataFrame:
     """(doc_id, k1, k2, lines): what documents lose, from parcels in which a shard's arrays come before its probes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +247,7 @@ def look_up(parcels: DataFrame) -> DataFrame:
                 probes = np.frombuffer(x, PROBE)
                 drop, high, low = np.zeros(len(probes), bool), probes["high"].copy(), probes["low"].copy()
                 for part in held:
-                    here, keeper = part.keepers(high, low)
+                    here, keeper = part.keepers(high, low, min_docs)
                     drop |= here & (keeper != probes["doc"])
                 lost.append(probes[drop])
             rows = np.concatenate(lost)
@@ -263,13 +265,13 @@ def text_key() -> dict[str, Column]:
     return {"k1": F.xxhash64(t), "k2": F.xxhash64(F.lit("text"), t)}
 
 
-def routed(docs: DataFrame, shards: DataFrame, n_shards: int, salts: int, min_chars: int, ws: Workspace, columns: str, emit) -> DataFrame:
+def routed(docs: DataFrame, shards: DataFrame, n_shards: int, salts: int, min_chars: int, min_docs: int, ws: Workspace, columns: str, emit) -> DataFrame:
     """As probe, without sending shards to all tasks: lines go to the shards."""
     key = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumns(text_key())
     salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
     arrays = shards.select("shard", salt, F.lit(ARRAYS).alias("kind"), "levels", F.col("fingerprint").alias("a"), F.col("count").alias("b"), F.col("keeper").alias("c"))
     parcels = arrays.unionByName(probe_blocks(key, n_shards, salts, min_chars))
-    found = look_up(parcels.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind"))
+    found = look_up(parcels.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind"), min_docs)
     # a document has at most as many entries as lines
     lines = ws.save(found.groupBy("doc_id", "k1", "k2").agg(F.flatten(F.collect_list("lines")).alias("dropped")), "dropped")
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumns(text_key())
@@ -296,10 +298,10 @@ def apply(spark: SparkSession, docs: DataFrame, emit, columns: str, min_chars: i
     size = shards.agg(F.sum(F.length("fingerprint") + F.length("count") + F.length("keeper") + F.aggregate("levels", F.lit(0), lambda a, x: a + F.length(x)))).first()[0] or 0
     if size > broadcast_bytes:
         salts = max(1, -(-text_bytes(docs) // (n_shards * salt_bytes)))
-        return routed(docs, shards, n_shards, salts, min_chars, ws, columns, emit)
+        return routed(docs, shards, n_shards, salts, min_chars, min_docs, ws, columns, emit)
     rows = shards.collect()  # at most broadcast_bytes
     sent = spark.sparkContext.broadcast([(r["shard"], [bytes(x) for x in r["levels"]], bytes(r["fingerprint"]), bytes(r["count"]), bytes(r["keeper"])) for r in rows])
-    return probe(docs, sent, n_shards, min_chars, columns, emit)
+    return probe(docs, sent, n_shards, min_chars, min_docs, columns, emit)
 
 
 def line_report(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
