@@ -200,6 +200,6 @@ def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, thre
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs that score at least the threshold; all columns stay."""
-    scored = score(spark, docs, train(spark, docs, labels), docs.columns)
-    return scored.filter(F.col("quality_score") >= threshold).select(*docs.columns)
+    """docs that score at least the threshold; all columns stay, whatever their names."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return score(spark, rows, train(spark, docs, labels), ["row"]).filter(F.col("quality_score") >= threshold).select("row.*")
