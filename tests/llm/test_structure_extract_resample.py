@@ -287,3 +287,53 @@ def test_queries_agree(spark):
     """The queries' SQL on the smallest tables is checked by the driver; here that extra columns of the tables do no harm."""
     rows = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").withColumn("part", F.lit("x"))
     assert cr.repair_report(spark, cr.damage(rows), rows).count() == rows.select("conv_id").distinct().count()
+
+
+# columns whose names clash, in every stage that keeps other columns ----------------------------------------------------
+
+CLASHING = [
+    "quality_score", "quality", "row", "x", "score", "k1", "k2", "dropped", "lines", "term", "term_id", "rid", "item", "set", "position", "offset", "component_id", "class_id", "content", "prints", "size", "rep", "cell", "bucket", "kind", "a", "b", "c", "id",
+    "digest", "keep_id", "group_size", "norm", "n", "shard", "part", "words", "w", "at", "piece", "n_words", "n_hit",
+]
+
+
+@pytest.mark.parametrize("stage", range(4))
+def test_stages_keep_columns_whatever_their_names(spark, stage):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    plain = spark.read.parquet(f"{sf}/documents.parquet")
+    more = plain.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in CLASHING})
+    name, run = corpus_pipeline.STAGES[stage]
+    got = run(spark, more, sf)
+    assert got.columns == more.columns, name
+    rows = got.collect()
+    assert {(r.doc_id, r.text) for r in rows} == {(r.doc_id, r.text) for r in run(spark, plain, sf).collect()}
+    assert all(r[c] == f"{c}{r.doc_id}" for r in rows for c in CLASHING)
+
+
+def test_a_long_item_is_asked_for_near_its_anchors(spark):
+    from codesieve.llm import decontaminate
+    from codesieve.llm.common import Workspace
+
+    item = " ".join(f"w{i}" for i in range(4000))
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(10 * i, 10 * i + 10))) for i in range(100)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    ws = Workspace(spark, "t")
+    index = decontaminate.build_index(docs, bench, ws)
+    assert decontaminate.phrase_matches(index, ws).count() == 100
+    assert spark.read.parquet(ws.path("spans")).groupBy("set").count().agg(F.max("count")).first()[0] <= 19
+    got = decontaminate.contamination(spark, docs, bench).collect()
+    assert all((r.n_words, r.n_hit, r.n_items, r.contaminated) == (10, 10, 1, True) for r in got) and len(got) == 100
+
+
+def test_counts_decide_over_lines(spark):
+    from codesieve.llm import line_dedup
+
+    lines = ["This line stands in two documents", "This line stands in three documents"]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(lines)), (3, lines[1])], "doc_id bigint, text string")
+    for least, want in ((2, [2, 1, 0]), (3, [1, 1, 0]), (4, [0, 0, 0])):
+        for limit in (1 << 20, 1):
+            assert [r.n_dropped for r in line_dedup.line_report(spark, docs, min_docs=least, broadcast_bytes=limit).orderBy("doc_id").collect()] == want
+    counts = line_dedup.line_counts(docs, 20, 3)
+    assert sorted(r.n_docs for r in counts.collect()) == [2, 3]
