@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace, slices, text_bytes
-from .fingerprints import BLOCKS, COLUMNS, DOCUMENTS, ONE, block_table, bucket_count, buckets_of, heads, shared_fingerprints
+from .fingerprints import BLOCKS, COLUMNS, DOCUMENTS, ONE, block_table, bucket_count, buckets_of, cuts, heads, shared_fingerprints
 from .rolling import mixed, prefix_sums
 
 LENGTH, GRAM = 50, 26
@@ -118,10 +118,8 @@ def contexts(n_buckets: int):
         texts = [texts[i] for i in order.tolist()]
         info["size"] = [len(t) for t in texts]
         keys = key[first][order]
-        ends = np.searchsorted(buckets_of(keys, n_buckets), np.arange(n_buckets + 1))
         rows = []
-        for b in np.nonzero(np.diff(ends))[0].tolist():
-            part = slice(int(ends[b]), int(ends[b + 1]))
+        for b, part in cuts(buckets_of(keys, n_buckets)):
             rows.append((b, ONE, keys[part].astype("<u8").tobytes(), info[part].tobytes(), b"".join(texts[part])))
         place = np.zeros(len(owner), PLACE)
         place["entry"], place["owner"], place["begin"] = entry, owner, begin

@@ -337,3 +337,74 @@ def test_counts_decide_over_lines(spark):
             assert [r.n_dropped for r in line_dedup.line_report(spark, docs, min_docs=least, broadcast_bytes=limit).orderBy("doc_id").collect()] == want
     counts = line_dedup.line_counts(docs, 20, 3)
     assert sorted(r.n_docs for r in counts.collect()) == [2, 3]
+
+
+# fingerprints in two rounds ------------------------------------------------------------------------------------------
+
+def test_two_rounds_count_as_one(spark):
+    """Prints of documents with copies, through buckets directly and through packs: what is shared is the same."""
+    import numpy as np
+
+    from codesieve.llm import fingerprints
+
+    def extract(texts):
+        out = []
+        for t in texts:
+            w = (t or "").split()
+            prints = np.unique(np.array([int(hashlib.md5(x.encode()).hexdigest()[:16], 16) for x in w], np.uint64))
+            out.append((len(prints), hashlib.md5((t or "").encode()).digest(), prints))
+        return out
+
+    rng = random.Random(8)
+    rows = [(i, " ".join(["hot", *(f"w{rng.randrange(400)}" for _ in range(rng.randrange(60))), f"own{i}"])) for i in range(300)]
+    rows += [(1000 + i, rows[i % 7][1]) for i in range(60)] + [(2000, None), (2001, ""), (2002, "single")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    words = {i: set((t or "").split()) for i, t in rows}
+    contents = {}
+    for t in {t for _, t in rows if t}:
+        for w in set(t.split()):
+            contents[w] = contents.get(w, 0) + 1
+    want = {i: sum(contents[w] >= 2 for w in ws) for i, ws in words.items()}
+
+    def keep(size, shared):
+        return shared > 0
+
+    found = []
+    for fan, block in ((4096, 400_000), (16, 50), (2, 1), (64, 10_000)):
+        got = fingerprints.shared_fingerprints(docs, 1024, extract, keep, fan=fan, block=block).collect()
+        assert {r.doc_id: r.n_shared for r in got} == want
+        found.append({r.doc_id: (r.size, bytes(r.content), sorted(np.frombuffer(r.prints or b"", "<u8").tolist())) for r in got})
+    assert all(f == found[0] for f in found)
+
+
+def test_blocks_stay_worth_their_row():
+    """With 2**24 buckets a chunk's blocks hold at least 50 prints, and so do those of a pack."""
+    import numpy as np
+    import pyarrow as pa
+
+    from codesieve.llm import fingerprints as fp
+
+    rng = np.random.default_rng(1)
+
+    def extract(texts):
+        return [(1000, int(t).to_bytes(16, "little"), np.unique(rng.integers(0, 1 << 64, 1000, dtype=np.uint64))) for t in texts]
+
+    n = fp.bucket_count(1 << 60)
+    assert n == 1 << 24
+    import unittest.mock
+
+    with unittest.mock.patch.object(fp.TaskContext, "get") as get:
+        get.return_value.partitionId.return_value = 3
+        made = list(fp.blocks(fp.FAN, extract)(iter([pa.RecordBatch.from_pydict({"doc_id": list(range(400)), "text": [str(i) for i in range(400)]})])))
+    rows = [r for b in made for r in b.to_pylist() if r["kind"] in (fp.ONE, fp.SEVERAL)]
+    size = -(-fp.low_bits(fp.FAN) // 8)
+    assert 400_000 / len(rows) >= 50 and sum(len(r["a"]) for r in rows) // size == 400_000
+    # a pack: blocks of one range from many chunks
+    one = [r | {"salt": 0, "chunk": k, "bucket": 7} for k in range(4200) for r in [{"kind": fp.SEVERAL, "a": fp.pack(np.unique(rng.integers(0, 1 << fp.low_bits(fp.FAN), 100, dtype=np.uint64)), fp.FAN)}]]
+    for r in one:
+        k = len(r["a"]) // size
+        r["b"], r["c"] = np.ones(k, "<u4").tobytes(), rng.integers(0, 1 << 63, k).astype("<u8").tobytes()
+    packed = next(fp.packer(fp.FAN, n, fp.BLOCK)(iter([pa.RecordBatch.from_pylist(one)])))
+    sent = [r for r in packed.to_pylist() if r["kind"] == fp.SEVERAL]
+    assert len(sent) <= n // fp.FAN and sum(len(r["b"]) // 4 for r in sent) / len(sent) >= 50
+    assert all(r["bucket"] // (n // fp.FAN) == 7 for r in sent)
