@@ -147,3 +147,29 @@ def test_extra_rules_of_any_syntax(spark, pattern, line):
     assert [(r.rel_path, r.line, r.hint) for r in chunking.line_hits(df, extra=[("own", pattern)]).collect()] == [("a.rs", 2, "own")]
     assert [r.rel_path for r in chunking.file_chunks(df, extra=[("own", pattern)]).collect()] == ["a.rs"]
     assert [r.rel_path for r in chunking.window_chunks(df, extra=[("own", pattern)]).collect()] == ["a.rs"]
+
+
+@pytest.mark.parametrize("mode", ["safety", "logic", "panic"])
+def test_automaton_and_regular_expressions_agree(spark, mode):
+    """The catalogue through the automaton, and through rlike, which it takes beside a user's rule."""
+    import random
+
+    from codesieve.functions.rules import RULES, alternatives, literal
+
+    rng = random.Random(mode)
+    bits = [literal(p) for _, pattern in RULES[mode] for p in alternatives(pattern)]
+    bits += ["unsafe", "x.unwrap()", "éunsafe", "y as\tu8", "as", "vec![0; n]", "async fn f(self)", "let _ = 1", ".len() -", "a b", " ", "fn f() {", "}", "while let", "impl<T> Drop for X", "loop {", "// c", "as u8"]
+    texts = ["\n".join("".join(rng.choice(bits) + rng.choice(["", " ", "(", ")", "\t"]) for _ in range(rng.randrange(4))) for _ in range(rng.randrange(1, 40))) for _ in range(60)] + ["", "\n", "none", "fn a() { x as\nu8 }\n", "fn a() { y(\n"]
+    df = spark.createDataFrame([("t", "c", f"{i}.rs", t) for i, t in enumerate(texts)] + [("t", "c", "null.rs", None)], FILES)
+    never = [("never", "q{50}z")]
+    for unit in ("file", "function", "ast-function"):
+        one, two = (sorted(map(tuple, chunking.chunk(df, unit, mode, extra=e).collect())) for e in (None, never))
+        assert one == two and one, unit
+    one, two = (sorted(map(tuple, chunking.line_hits(df, mode, extra=e).collect())) for e in (None, never))
+    assert one == two and one
+
+
+def test_a_function_is_looked_at_whole(spark):
+    """A match may go over lines of a function; files that can't be parsed are cut in windows."""
+    got = chunking.chunk(files(spark, "fn a() { x as\n  u8 }\n", "fn b() {\n unsafe { (\n")).collect()
+    assert [(r.start_line, r.end_line, r.hints, r.content) for r in sorted(got, key=lambda r: r.content)] == [(1, 2, ["cast"], "fn a() { x as\n  u8 }"), (1, 3, ["unsafe"], "fn b() {\n unsafe { (\n")]
