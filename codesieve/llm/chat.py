@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, partitions
+from .common import Workspace, partitions, text_bytes
 
 #: Opening and closing mark of each role; any other role is named between ROLE marks.
 MARKS = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>")}
@@ -37,6 +37,8 @@ CONTROL = sorted({m for pair in (*MARKS.values(), ROLE, TURN) for m in pair}, ke
 LEARNED = "assistant"
 #: Readers of one node row that meet in one task.
 READERS_PER_TASK = 500
+#: Bytes of text that a task walks, beyond what the session's number of partitions has.
+TASK_BYTES = 64_000_000
 _control = re.compile("|".join(map(re.escape, CONTROL)))
 _escaped = re.compile(r"\\(.)", re.DOTALL)
 _turn = re.compile("|".join(f"(?P<{r}>{re.escape(a)}(?P<{r}_text>.*?){re.escape(b)})" for r, (a, b) in MARKS.items()) + f"|{re.escape(ROLE[0])}(?P<name>.*?){re.escape(ROLE[1])}{re.escape(TURN[0])}(?P<text>.*?){re.escape(TURN[1])}", re.DOTALL)
@@ -143,10 +145,11 @@ def prefix_tree(spark: SparkSession, rows: DataFrame, ws: Workspace) -> tuple[Da
     """(nodes, conversations). nodes: start, end, position (position id of the first token), attends, loss, segment."""
     found = conversations_with_paths(rows.select(F.col("conv_id").cast("bigint").alias("conv_id"), "turn", "role", "text"))
     found = ws.save(found, "paths")
-    ordered = found.repartitionByRange(partitions(spark), "path", "conv_id", "own").sortWithinPartitions("path", "conv_id", "own")
+    tasks = max(partitions(spark), -(-text_bytes(rows) // TASK_BYTES))
+    ordered = found.repartitionByRange(tasks, "path", "conv_id", "own").sortWithinPartitions("path", "conv_id", "own")
     # kept with its task number, so that the second walk finds the tasks of the first
     ordered = ws.save(ordered.withColumn("task", F.spark_partition_id()), "ordered")
-    by_task = ordered.repartition(partitions(spark), "task").sortWithinPartitions("task", "path", "conv_id", "own")
+    by_task = ordered.repartitionById(tasks, F.col("task")).sortWithinPartitions("task", "path", "conv_id", "own")
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, first, branch, out = None, None, None, []
