@@ -231,8 +231,8 @@ def token_index(rows: DataFrame, ws: Workspace) -> DataFrame:
     totals = slim.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
     inside = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_tokens")
-    # one row for each file
-    return slim.withColumn("inside", inside).join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.col("inside")).cast("bigint").alias("start"), "n_tokens", "ids_crc32")
+    # a row for each file; rows lie by file already, so they meet where they are, however many files there are
+    return slim.withColumn("inside", inside).join(before, "part").select("doc_id", (F.col("before") + F.col("inside")).cast("bigint").alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_files(spark: SparkSession, docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
