@@ -161,3 +161,17 @@ def test_order(spark):
     assert groups["d", 3] == (1, 1, 1) and groups["c", 2] == (2, 1, 4) and groups["(unknown crate)", 0] == (3, 1, 1)
     assert {(r.target, r.crate): r.findings for r in ordering.crate_totals(f).collect()}[None, None] == 6
     assert ordering.sort_findings(f.limit(0)).count() == 0
+
+
+def test_what_variant_cannot_tell(spark):
+    """Why replies are validated by a helper: Spark's JSON parser takes text behind the object, and refuses names that
+    stand twice, of which the last counts here. All else that the helper tells apart it tells apart as well."""
+    from codesieve.functions.replies import object_in, parse_verdict
+
+    base = '{"verdict":"reject","reason":"r","confidence":%s}'
+    cases = [base % "1", base % "1.0", base % "1e0", base % '"1"', base % "true", base % "null", base % "NaN", base % "01", base % "1,", base % "1" + " }", base % '1,"confidence":1']
+    rows = spark.createDataFrame(list(enumerate(cases)), "k int, text string")
+    kind = F.expr("schema_of_variant(try_variant_get(try_parse_json(text), '$.confidence', 'variant'))")
+    by_variant = {r.k for r in rows.select("k", kind.alias("kind")).collect() if r.kind and r.kind.split("(")[0] in ("BIGINT", "DECIMAL", "DOUBLE")}
+    strict = {r.k for r in rows.select("k", parse_verdict(object_in(F.col("text")))["verdict"].alias("v")).collect() if r.v}
+    assert strict == {0, 1, 2, 10} and by_variant == {0, 1, 2, 9}
