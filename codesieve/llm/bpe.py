@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 
 from .common import bound_batches
 
-#: Words and fragments a worker remembers before it starts anew.
-REMEMBERED = 200_000
+#: Words and fragments a worker remembers before it starts anew, and characters of all that it remembers.
+REMEMBERED, REMEMBERED_CHARS = 200_000, 20_000_000
 #: Words that normalise to their plain lower case and split into letters and marks: most words, read without the library.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,;:!?*#%&$|()-]*)")
 #: The usual byte-level alphabet: printable bytes stand for themselves, the others follow from U+0100 on.
@@ -63,6 +63,7 @@ class ForcedBoundaryEncoder:
         self.fragments: dict[tuple[str, bool], list[int]] = {}
         self.words: dict[str, tuple[int, str, str]] = {}
         self.older: dict[str, tuple[int, str, str]] = {}
+        self.in_fragments = self.in_words = 0
 
     def cuts(self, piece: str) -> list[str]:
         """Fragments of a pre-token between byte pairs that no token holds."""
@@ -96,9 +97,11 @@ class ForcedBoundaryEncoder:
     def fragment(self, text: str, last: bool) -> list[int]:
         got = self.fragments.get((text, last))
         if got is None:
-            if len(self.fragments) >= REMEMBERED // 3:
+            if len(self.fragments) >= REMEMBERED // 3 or self.in_fragments >= REMEMBERED_CHARS // 3:
                 self.fragments.clear()
+                self.in_fragments = 0
             got = self.fragments[text, last] = [t.id for t in (self.last if last else self.inner).tokenize(text)]
+            self.in_fragments += len(text) + 8 * len(got)
         return got
 
     def ids(self, word: str) -> list[int]:
@@ -120,13 +123,14 @@ class ForcedBoundaryEncoder:
         """(number of ids, ids in decimal joined by spaces, what they decode to)."""
         got = self.words.get(word)
         if got is None:
-            if len(self.words) >= REMEMBERED:
-                self.older, self.words = self.words, {}
+            if len(self.words) >= REMEMBERED or self.in_words >= REMEMBERED_CHARS:
+                self.older, self.words, self.in_words = self.words, {}, 0
             got = self.older.get(word)
             if got is None:
                 ids = self.ids(word)
                 got = (len(ids), " ".join(map(str, ids)), self.decode(ids))
             self.words[word] = got
+            self.in_words += len(word) + len(got[1]) + len(got[2])
         return got
 
     def text(self, text: str) -> tuple[int, str, str]:
