@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import Workspace, text_bytes
 from .rolling import mixed
 
-#: Pieces a worker remembers before it starts anew; it keeps one such generation besides.
-REMEMBERED = 250_000
+#: Pieces a worker remembers before it starts anew, and bytes of these; it keeps one such generation besides.
+REMEMBERED, REMEMBERED_BYTES = 250_000, 32_000_000
 #: Bytes of text for one file.
 FILE_BYTES = 24_000_000
 ORC = {"orc.compress": "SNAPPY", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.stripe.size": str(16 << 20)}
@@ -105,6 +105,7 @@ class PieceEncoder:
             self.bytes[t["id"]] = len(t["content"].encode())
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.held = 0
 
     def starts(self, x: np.ndarray, doc_start: np.ndarray) -> np.ndarray:
         """Where pieces begin; doc_start are the places of texts that aren't empty."""
@@ -144,8 +145,8 @@ class PieceEncoder:
         stop = np.append(start[1:], len(raw)) if len(start) else start
         first, which = distinct(raw, start, stop)
         pieces = [raw[i:j] for i, j in zip(start[first].tolist(), stop[first].tolist(), strict=True)]
-        if len(self.known) >= REMEMBERED:
-            self.older, self.known = self.known, {}
+        if len(self.known) >= REMEMBERED or self.held >= REMEMBERED_BYTES:
+            self.older, self.known, self.held = self.known, {}, 0
         known = self.known
         got = list(map(known.get, pieces))
         new = [p for p, g in zip(pieces, got, strict=True) if g is None]
@@ -153,6 +154,7 @@ class PieceEncoder:
             known.update((p, self.older[p]) for p in new if p in self.older)
             self.encode([p for p in new if p not in known])
             got = [known[p] for p in pieces]
+            self.held += sum(map(len, new)) + sum(len(known[p]) for p in new)
         # ids of distinct pieces, one after the other, and where each occurrence takes its own
         flat = np.frombuffer(b"".join(got), "<u4")
         length = np.array([len(g) for g in got], np.int64) // 4
