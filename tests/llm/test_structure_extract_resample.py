@@ -408,3 +408,19 @@ def test_blocks_stay_worth_their_row():
     sent = [r for r in packed.to_pylist() if r["kind"] == fp.SEVERAL]
     assert len(sent) <= n // fp.FAN and sum(len(r["b"]) // 4 for r in sent) / len(sent) >= 50
     assert all(r["bucket"] // (n // fp.FAN) == 7 for r in sent)
+
+
+def test_remembered_words_are_bounded_in_bytes(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from codesieve.llm import bpe
+    from codesieve.llm.queries import tokenizer
+
+    monkeypatch.setattr(bpe, "REMEMBERED_CHARS", 3000)
+    path = tokenizer("word_bpe_49k.json")
+    encoder, library, rng = bpe.ForcedBoundaryEncoder(path), Tokenizer.from_file(path), random.Random(6)
+    for _ in range(300):
+        text = " ".join("".join(rng.choice("abcdefé1") for _ in range(rng.choice([3, 9, 300]))) for _ in range(8))
+        assert encoder.text(text)[1] == " ".join(map(str, library.encode(text, add_special_tokens=False).ids))
+        held = sum(len(w) + len(g[1]) + len(g[2]) for store in (encoder.words, encoder.older) for w, g in store.items())
+        assert held <= 2 * 3000 + 4000 and sum(len(t) + 8 * len(g) for (t, _), g in encoder.fragments.items()) <= 1000 + 4000
