@@ -84,7 +84,9 @@ def resolve(docs: DataFrame, state: DataFrame, ws: Workspace, digest: Callable[[
     """One row per row of docs, which are read from files: doc_id, keep_id, group_size, kept, text_sha256."""
     text = normalised(F.col("text"))
     id_, chars = F.col("doc_id").cast("bigint").alias("doc_id"), F.char_length(F.coalesce("text", F.lit(""))).alias("chars")
-    groups = state.filter("group_size > 1").select("digest", "group_size", (-F.col("best.rank")).alias("keep_id"))
+    # written, so that the join below has a shuffle on both sides, of which Spark can split a hot digest's
+    state = ws.save(state.filter("group_size > 1"), "groups")
+    groups = state.select("digest", "group_size", (-F.col("best.rank")).alias("keep_id"))
     slim = docs.select(id_, digest(text).alias("digest"), sha256(text).alias("text_sha256"))
     own = F.col("group_size").isNull() | F.col("doc_id").isNull()
     ruled = ws.save(slim.join(groups, "digest", "left").withColumn("keep_id", F.when(own, F.col("doc_id")).otherwise(F.col("keep_id"))).withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("bigint"))), "ruled")
@@ -98,7 +100,7 @@ def resolve(docs: DataFrame, state: DataFrame, ws: Workspace, digest: Callable[[
     spread = F.ceil(F.col("group_size") / COPIES_PER_TASK).cast("int")
     # beside each the text that its group keeps: the locator names its row, so only that row's text is looked for, and a
     # digest that most rows share is no key here. Groups without any id keep some text, which tasks choose among theirs first
-    best = state.filter("group_size > 1").select("digest", "group_size", "best.locator", F.col("best.chars").alias("best_chars"), (-F.col("best.rank")).alias("doc_id"))
+    best = state.select("digest", "group_size", "best.locator", F.col("best.chars").alias("best_chars"), (-F.col("best.rank")).alias("doc_id"))
     named = texts.filter("doc_id is not null").join(best.filter("doc_id is not null").drop("group_size"), ["doc_id", "digest"]).filter((F.col("file") == F.col("locator")) & (F.col("chars") == F.col("best_chars")))
     some = texts.filter("doc_id is null").join(best.filter("doc_id is null").select("digest"), "digest", "left_semi").groupBy("digest").agg(F.min("norm").alias("norm"), F.first("group_size").alias("group_size"))
     kept_texts = named.select("digest", "norm", "group_size").dropDuplicates(["digest"]).unionByName(some).select("digest", F.explode(F.sequence(F.lit(0), spread - 1)).alias("salt"), F.col("norm").alias("kept_norm"))
