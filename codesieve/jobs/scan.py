@@ -89,6 +89,11 @@ def projects(spark: SparkSession, root: str, tables: Tables, crates: list[str] |
     return Projects(tables.save(inside.select("target", "crate", "rel_path", "content"), "sources"), named, corpus.project_info(targets, manifests), corpus.bad_targets(targets, manifests))
 
 
+def listing_root(spark: SparkSession, root: str, tables: Tables, unit: str = "ast-function", mode: str = "safety", crates: list[str] | None = None, limit: int = 0) -> DataFrame:
+    """What a scan of the projects below root would send to the model, without the text."""
+    return chunking.chunk_listing(chunking.chunk(projects(spark, root, tables, crates, limit).files, unit, mode))
+
+
 def scan_root(spark: SparkSession, root: str, config: str, client: Callable, tables: Tables, cache: str, folder: str, unit: str = "ast-function", mode: str = "safety", crates: list[str] | None = None, limit: int = 0, judged: bool = True, provider: str = "provider", model: str = "model", asking: Asking = Asking()) -> Scan:
     """Scan all projects below root: results go to the cache, HTML reports to files of their own names in folder."""
     own = projects(spark, root, tables, crates, limit)

@@ -400,3 +400,30 @@ def test_report_pages_have_names(spark):
 
 def test_calls_by_keyword(spark):
     assert analysis.complete(requests(spark, 2), lambda: lambda r: {"text": "x"}, in_flight=1, attempts=1).count() == 2
+
+
+def test_a_tree_is_scanned_from_its_root(spark, tmp_path):
+    for name, text in {
+        "p/Cargo.toml": '[package]\nname = "root"\n[workspace]\nmembers = ["x"]\n', "p/x/Cargo.toml": '[package]\nname = "inner"\n', "p/src/a.rs": "fn a() { unsafe {} }\n", "p/x/src/b.rs": "fn b() { unsafe {} }\n", "p/x/src/c.rs": "fn c() {}\n",
+        "q/src/lone.rs": "fn l() { unsafe {} }\n", "bad/Cargo.toml": "[[[", "bad/d.rs": "fn d() { unsafe {} }\n",
+    }.items():
+        (tmp_path / "tree" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "tree" / name).write_text(text)
+    root, tables = str(tmp_path / "tree"), Tables(spark, "t")
+    listed = jobs.listing_root(spark, root, tables)
+    assert sorted((r.target, r.crate, r.rel_path, r.start_line, r.hints) for r in listed.collect()) == [("p", "inner", "x/src/b.rs", 1, "unsafe"), ("p", "root", "src/a.rs", 1, "unsafe")]
+    assert [r.rel_path for r in jobs.listing_root(spark, root, Tables(spark, "t"), crates=["inner"]).collect()] == ["x/src/b.rs"]
+    assert [r.rel_path for r in jobs.listing_root(spark, root, Tables(spark, "t"), limit=1).collect()] == ["x/src/b.rs"]
+    assert [(r.target, r.problem) for r in jobs.projects(spark, root, Tables(spark, "t")).problems.collect()] == [("bad", "no readable root manifest")]
+    cache, reports = str(tmp_path / "cache"), str(tmp_path / "reports")
+
+    def client():
+        return lambda r: reply(r)
+
+    done = jobs.scan_root(spark, root, "h", client, tables, cache, reports, model="m 1", asking=AT_ONCE)
+    assert sorted((r.crate, r.file) for r in done.findings.collect()) == [("inner", "x/src/b.rs"), ("root", "src/a.rs")]
+    assert sorted(x for x in os.listdir(reports) if not x.startswith((".", "_"))) == ["p-provider-m-1.html"]
+    page = (tmp_path / "reports/p-provider-m-1.html").read_text()
+    assert "Scan of root" in page and "2 finding(s)" in page and "x/src/b.rs:1" in page
+    again = jobs.scan_root(spark, root, "h", client, Tables(spark, "t"), cache, reports, asking=AT_ONCE)
+    assert analysis.run_stats(again.calls).first().analyze_cache_hits == 2
