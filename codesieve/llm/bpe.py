@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from .common import bound_batches
 
 #: Words and fragments a worker remembers before it starts anew, and characters of all that it remembers.
-REMEMBERED, REMEMBERED_CHARS = 200_000, 20_000_000
+REMEMBERED, REMEMBERED_CHARS = 80_000, 8_000_000
 #: Words that normalise to their plain lower case and split into letters and marks: most words, read without the library.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,;:!?*#%&$|()-]*)")
 #: The usual byte-level alphabet: printable bytes stand for themselves, the others follow from U+0100 on.
