@@ -100,7 +100,7 @@ def scan_root(spark: SparkSession, root: str, config: str, client: Callable, tab
     done = scan(own.files, read_cache(spark, cache), config, client, tables, unit, mode, judged, asking=asking)
     writers.append_cache(done.records, cache)
     info = F.array(F.struct(F.lit("Model").alias("name"), F.lit(model).alias("value")), F.struct(F.lit("Unit").alias("name"), F.lit(unit).alias("value")))
-    runs = own.projects.select("target", F.concat(F.lit("Scan of "), "project_name").alias("title"), info.alias("info"), writers.report_name(F.col("target"), F.lit(provider), F.lit(model)).alias("name"))
+    runs = own.projects.join(own.problems.select("target"), "target", "left_anti").select("target", F.concat(F.lit("Scan of "), "project_name").alias("title"), info.alias("info"), writers.report_name(F.col("target"), F.lit(provider), F.lit(model)).alias("name"))
     pages = writers.html_report(runs, tables.save(done.findings, "findings")).join(runs.select("target", "name"), "target")
     writers.write_reports(pages, folder)
     return done
