@@ -1,5 +1,8 @@
 """What has to hold at sizes that tests don't have: plans without broadcasts of what grows, bounded steps, and ties."""
 
+from pyspark.sql import functions as F
+
+from codesieve.functions.text import percent
 from codesieve.operators import analysis
 
 
@@ -8,3 +11,9 @@ def test_replies_are_not_broadcast(spark):
     replies = spark.createDataFrame([("t", "k", "{}", None)], "target string, chunk_key string, text string, error string")
     plan = analysis.findings_from_responses(chunks, replies)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_shares_round_as_sql_does(spark):
+    """100 * 0.0185 and 100 * 0.0045 lie below the tie as doubles, 1000 * them don't."""
+    rows = spark.createDataFrame([(37, 2000), (9, 2000), (3, 2000), (1, 3), (0, 1), (1, 1), (1, 2000)], "a int, b int")
+    assert [r[0] for r in rows.select(percent(F.col("a") / F.col("b"))).collect()] == ["1.9%", "0.5%", "0.2%", "33.3%", "0.0%", "100.0%", "0.1%"]
