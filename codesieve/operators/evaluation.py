@@ -9,11 +9,12 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_rule, percent
 from ..schemas import SEVERITIES
+from ..sources.tables import Tables
 from .ordering import PAGE, paged, placed
 
 
@@ -51,6 +52,8 @@ LARGE = 100
 #: A bin of level k has BASE**k lines. An interval's own level is the least whose bins are as long as it is, so it lies in two of them at most.
 BASE, LEVELS = 8, 10
 GROUP = ["target", "file", "name"]
+#: Midpoints, doubled, that one task looks through for the nearest.
+CELL = 1 << 16
 
 
 def named_entries(entries: DataFrame, targets: DataFrame) -> DataFrame:
@@ -110,6 +113,49 @@ def meetings(places: DataFrame, named: DataFrame) -> DataFrame:
     return a.join(b, [*GROUP, "step", "bin"]).filter((F.col("bin") == first) & (F.col("line_end") >= F.col("low")) & (F.col("line_start") <= F.col("high"))).select(*GROUP, "line_start", "line_end", "entry")
 
 
+def nearest(places: DataFrame, named: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(places with their best entry in `met__`, places that this doesn't settle), without a look at pairs.
+
+    Lines overlap within the slack if and only if the doubled midpoints are no further apart than both lengths and twice
+    the slack. So where all entries of the nearest midpoint are long enough, none is nearer and the earliest of them is the
+    best. Nearest midpoints are found for each distinct midpoint of a group, in cells of CELL: by windows in a cell, with
+    the last midpoint of the cells before and the first one of those behind. Runs jobs, so that places and entries are
+    looked for once."""
+    tables = Tables(places.sparkSession, "nearest")
+    e = F.col("entry")
+    reach = e["line_end"].cast("bigint") - e["line_start"] + 2 * e["line_slack"].cast("bigint")
+    first = F.min(F.struct(e["entry_ord"].alias("ord"), e["id"].alias("id"), e["must_detect"].alias("must_detect"), e["expected_severity"].alias("expected_severity")))
+    middle = e["line_start"].cast("bigint") + e["line_end"]
+    mids = tables.save(named.groupBy(*GROUP, middle.alias("mid")).agg(F.min(reach).alias("reach"), first.alias("first")), "mids")
+    at = tables.save(places.withColumn("mid", F.col("line_start").cast("bigint") + F.col("line_end")), "places")
+    none = F.lit(None)
+    points = at.select(*GROUP, "mid").distinct().withColumn("own", none.cast(mids.select(F.struct("mid", "reach", "first").alias("own")).schema["own"].dataType))
+    both = points.unionByName(mids.select(*GROUP, "mid", F.struct("mid", "reach", "first").alias("own"))).withColumn("cell", F.floor(F.col("mid") / CELL))
+    cells = both.groupBy(*GROUP, "cell").agg(F.min("own").alias("low"), F.max("own").alias("high"))
+
+    def carried(column: str, to: Column) -> Column:
+        return F.last(column, ignorenulls=True).over(Window.partitionBy(*GROUP).orderBy(to).rowsBetween(Window.unboundedPreceding, -1))
+
+    cells = cells.select(*GROUP, "cell", carried("high", F.col("cell")).alias("below"), carried("low", F.col("cell").desc()).alias("above"))
+    here = Window.partitionBy(*GROUP, "cell")
+    # of rows of one midpoint the entries' comes first both ways
+    entries_first = F.col("own").isNull()
+    seen = both.withColumn("left", F.last("own", ignorenulls=True).over(here.orderBy("mid", entries_first).rowsBetween(Window.unboundedPreceding, 0)))
+    seen = seen.withColumn("right", F.last("own", ignorenulls=True).over(here.orderBy(F.col("mid").desc(), entries_first).rowsBetween(Window.unboundedPreceding, 0)))
+    found = seen.filter("own is null").join(cells, [*GROUP, "cell"]).select(*GROUP, "mid", F.coalesce("left", "below").alias("left"), F.coalesce("right", "above").alias("right"))
+    rows = at.join(found, [*GROUP, "mid"])
+    left, right = F.col("mid") - F.col("left.mid"), F.col("right.mid") - F.col("mid")
+    far = F.least(left, right)
+    sides = F.array(F.when(left == far, F.col("left")), F.when(right == far, F.col("right")))
+    ties = F.filter(sides, lambda s: s.isNotNull())
+    length = F.col("line_end").cast("bigint") - F.col("line_start")
+    settled = F.coalesce(F.forall(ties, lambda s: far <= length + s["reach"]), F.lit(False))
+    best = F.array_min(F.transform(ties, lambda s: s["first"]))
+    met = F.struct((far / 2).alias("far"), *(best[c].alias(c) for c in ("ord", "id", "must_detect", "expected_severity")))
+    rows = tables.save(rows.select(*GROUP, "line_start", "line_end", settled.alias("settled"), met.alias("met__")), "rows")
+    return rows.filter("settled").drop("settled"), rows.filter("not settled").select(*GROUP, "line_start", "line_end")
+
+
 def places_of(findings: DataFrame, crowded: DataFrame) -> DataFrame:
     """Where the findings of large groups lie, each place once."""
     own = findings.select("target", "file", normalize_rule(F.col("rule_id")).alias("name"), "line_start", "line_end")
@@ -153,8 +199,10 @@ def match_findings(findings: DataFrame, entries: DataFrame, targets: DataFrame,
     own = findings.withColumn("name__", normalize_rule(F.col("rule_id")))
     few = few.select(F.col("target").alias("t__"), F.col("file").alias("f__"), F.col("name").alias("n__"), "near")
     # of entries on equal lines only the earliest can be the best
-    apart = crowded.groupBy(*GROUP, "entry.line_start", "entry.line_end").agg(F.min_by("entry", "entry.entry_ord").alias("entry")).select(*GROUP, "entry")
-    met = meetings(places_of(findings, crowded), apart).groupBy(*GROUP, "line_start", "line_end").agg(F.min(rank(F.col("entry"))).alias("met__"))
+    apart = crowded.groupBy(*GROUP, "entry.line_start", "entry.line_end").agg(F.min_by("entry", F.struct("entry.entry_ord", "entry.id")).alias("entry")).select(*GROUP, "entry")
+    apart = Tables(findings.sparkSession, "apart").save(apart, "entries")
+    met, open_ = nearest(places_of(findings, apart), apart)
+    met = met.unionByName(meetings(open_, apart).groupBy(*GROUP, "line_start", "line_end").agg(F.min(rank(F.col("entry"))).alias("met__")))
     met = met.select(*(F.col(c).alias(f"m_{c}") for c in (*GROUP, "line_start", "line_end")), "met__")
     here = (F.col("target") == F.col("t__")) & (F.col("file") == F.col("f__")) & (F.col("name__") == F.col("n__"))
     there = (F.col("target") == F.col("m_target")) & (F.col("file") == F.col("m_file")) & (F.col("name__") == F.col("m_name")) & (start == F.col("m_line_start")) & (end == F.col("m_line_end"))
