@@ -62,3 +62,19 @@ def test_truth_is_read_in_parts(spark, monkeypatch):
         want = yaml.safe_load(case)
         assert (got | {"findings": out} if isinstance(got, dict) else got) == want
     assert len(held) == 3
+
+
+def test_places_shuffle_rows_once(spark):
+    """However large Spark takes the rows for, first places go to them and not the rows to their first places."""
+    from codesieve.operators import ordering
+
+    rows = spark.range(200).selectExpr("concat('t', id % 3) as target", "id")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = ordering.placed(rows, ["target"], ["id"])
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert [r.place for r in got.filter("target = 't1'").orderBy("id").collect()] == list(range(1, 68))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
