@@ -78,3 +78,17 @@ def test_places_shuffle_rows_once(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
     assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
+def test_workers_get_small_batches(spark):
+    from codesieve.operators import chunking, model
+    from codesieve.schemas import FILES
+    from codesieve.sources.tables import ARROW
+
+    files = spark.createDataFrame([("t", "c", "a.rs", "unsafe {}")], FILES)
+    asked = spark.createDataFrame([], model.REQUEST)
+    for step in (lambda: chunking.file_chunks(files), lambda: chunking.chunk(files, "ast-function"), lambda: model.complete(asked, lambda: None)):
+        for k in ARROW:
+            spark.conf.unset(k)
+        step()
+        assert {k: spark.conf.get(k).rstrip("b") for k in ARROW} == ARROW
