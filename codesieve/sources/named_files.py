@@ -77,9 +77,10 @@ class NamedFiles(DataSource):
 
 def write_named(rows: DataFrame, folder: str) -> None:
     """Write rows (name, a path below folder; content). A name that stands twice is an error: which text it would get
-    is open."""
+    is open. Rows are dealt out to tasks anew, as a table of few row groups would have few tasks make all files."""
     twice = rows.groupBy("name").count().filter("count > 1").limit(5).collect()
     if twice:
         raise ValueError(f"names that stand twice: {sorted(r['name'] for r in twice)}")
     rows.sparkSession.dataSource.register(NamedFiles)
-    rows.select("name", "content").write.format("named_files").option("path", folder).mode("append").save()
+    tasks = 4 * rows.sparkSession.sparkContext.defaultParallelism
+    rows.select("name", "content").repartition(tasks, "name").write.format("named_files").option("path", folder).mode("append").save()

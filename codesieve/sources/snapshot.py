@@ -1,8 +1,8 @@
 """Snapshots of source trees: many small files packed into Parquet once, and what has changed since the last time.
 
 A snapshot has a listing (target, rel_path, size, time, digest of the text) and packs the texts of files that are new or
-have other text than in the one before. Files whose size and time are as they were aren't read again. The packed texts
-are what incremental_scan reads: each snapshot adds to them what has to be looked at.
+have other text than in the one before. Files whose size and time are as they were aren't packed or hashed again. The
+packed texts are what incremental_scan reads: each snapshot adds to them what has to be looked at.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .readers import HIDDEN, IGNORED, TARGET, plain_path, plain_root
-from .tables import Folder
+from .tables import Folder, Tables, pack_small_files
 
 LISTING = "target string, rel_path string, size bigint, time timestamp, digest string"
 
@@ -19,6 +19,7 @@ LISTING = "target string, rel_path string, size bigint, time timestamp, digest s
 def listed(spark: SparkSession, root: str, glob: str = "*.rs", ignored: list[str] | None = None, hidden: bool = False) -> DataFrame:
     """target, rel_path, size, time and content of files below root, each target in a folder of its own. A look that
     leaves out content doesn't open the files."""
+    pack_small_files(spark)
     base = root.rstrip("/")
     plain = plain_root(base)
     path = plain_path(F.col("path"))
@@ -44,18 +45,22 @@ def take_snapshot(spark: SparkSession, root: str, folder: str, **which) -> int:
     """Take the next snapshot of the files below root and return its number. Texts of new and changed files are added to
     the packed ones (target, rel_path, content, snapshot); the listing is written last, and only with it the snapshot is
     there: one that was stopped is taken again under the same number, over what it had packed."""
+    tables = Tables(spark, "snapshot")
     n = number(spark, folder)
     old = listing(spark, folder, n).select("target", "rel_path", F.col("size").alias("old_size"), F.col("time").alias("old_time"), F.col("digest").alias("old_digest"))
     seen = listed(spark, root, **which)
-    same = (F.col("size") == F.col("old_size")) & (F.col("time") == F.col("old_time"))
-    here = seen.drop("content").join(old, ["target", "rel_path"], "left")
-    kept = here.filter(same).select("target", "rel_path", "size", "time", F.col("old_digest").alias("digest"))
-    read = here.filter(~F.coalesce(same, F.lit(False))).select("target", "rel_path", "old_digest").join(seen, ["target", "rel_path"])
+    same = F.coalesce((F.col("size") == F.col("old_size")) & (F.col("time") == F.col("old_time")), F.lit(False))
+    # one pass over the tree: a second one, for files alone that have to be read, would open all files as well
+    here = seen.join(old, ["target", "rel_path"], "left").withColumn("same", same).withColumn("content", F.when(~F.col("same"), F.col("content")))
+    here = tables.save(here.select("target", "rel_path", "size", "time", "old_digest", "same", "content"), "here")
+    kept = here.filter("same").select("target", "rel_path", "size", "time", F.col("old_digest").alias("digest"))
+    read = here.filter("not same")
     text = F.make_valid_utf8(F.col("content").cast("string"))
     packed = f"{folder}/packed/snapshot={n + 1}"
     read.select("target", "rel_path", "size", "time", "old_digest", text.alias("content")).withColumn("digest", F.sha2(F.encode("content", "UTF-8"), 256)).write.mode("overwrite").parquet(packed)
     again = spark.read.parquet(packed).select("target", "rel_path", "size", "time", "digest")
     kept.unionByName(again).write.mode("overwrite").parquet(f"{folder}/snapshot-{n + 1}")
+    tables.close()
     return n + 1
 
 

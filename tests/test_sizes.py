@@ -92,3 +92,20 @@ def test_workers_get_small_batches(spark):
             spark.conf.unset(k)
         step()
         assert {k: spark.conf.get(k).rstrip("b") for k in ARROW} == ARROW
+
+
+def test_named_files_are_written_by_many_tasks(spark, tmp_path):
+    from codesieve.sources import named_files
+
+    rows = spark.range(0, 200, 1, 1).selectExpr("concat('d/', id) AS name", "concat('x', id) AS content")
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup("named")
+    spark.sparkContext.setJobGroup("named", "named files")
+    try:
+        named_files.write_named(rows, str(tmp_path / "out"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    jobs = set(tracker.getJobIdsForGroup("named")) - set(before)
+    stages = [tracker.getStageInfo(s) for j in jobs for s in tracker.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) == 4 * spark.sparkContext.defaultParallelism
+    assert len(list((tmp_path / "out/d").iterdir())) == 200
