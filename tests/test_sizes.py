@@ -94,6 +94,20 @@ def test_workers_get_small_batches(spark):
         assert {k: spark.conf.get(k).rstrip("b") for k in ARROW} == ARROW
 
 
+def test_small_files_share_tasks(spark, tmp_path):
+    from codesieve.sources import readers, snapshot
+    from codesieve.sources.tables import SMALL_FILES
+
+    (tmp_path / "t/src").mkdir(parents=True)
+    for i in range(300):
+        (tmp_path / f"t/src/f{i}.rs").write_text(f"fn f{i}() {{}}")
+    for look in (readers.read_sources, snapshot.listed):
+        for k in SMALL_FILES:
+            spark.conf.unset(k)
+        rows = look(spark, str(tmp_path))
+        assert rows.count() == 300 and rows.rdd.getNumPartitions() <= 5  # 10 when each file counts for 4 MB more
+
+
 def test_named_files_are_written_by_many_tasks(spark, tmp_path):
     from codesieve.sources import named_files
 
