@@ -123,3 +123,14 @@ def test_named_files_are_written_by_many_tasks(spark, tmp_path):
     stages = [tracker.getStageInfo(s) for j in jobs for s in tracker.getJobInfo(j).stageIds]
     assert max(s.numTasks for s in stages if s) == 4 * spark.sparkContext.defaultParallelism
     assert len(list((tmp_path / "out/d").iterdir())) == 200
+
+
+def test_reports_are_parsed_once(spark):
+    from codesieve.sources import readers
+
+    texts = spark.createDataFrame([("a", '{"findings":[{"rule_id":"x"},null]}'), ("b", "[]"), ("c", "{}"), ("d", '{"findings":{}}')], "report string, text string")
+    found, errors = readers.reports_from(texts)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Filter" in line and "from_json" in line]
+    assert sorted((r.report, r.ord, r.rule_id) for r in found.collect()) == [("a", 0, "x"), ("a", 1, None)]
+    assert sorted(r.report for r in errors.collect()) == ["c", "d"]
