@@ -134,3 +134,12 @@ def test_reports_are_parsed_once(spark):
     assert not [line for line in plan.split("\n") if "Filter" in line and "from_json" in line]
     assert sorted((r.report, r.ord, r.rule_id) for r in found.collect()) == [("a", 0, "x"), ("a", 1, None)]
     assert sorted(r.report for r in errors.collect()) == ["c", "d"]
+
+
+def test_scans_make_their_files_once(spark, monkeypatch):
+    from codesieve.jobs import inputs, queries
+
+    made, files = [], inputs.files
+    monkeypatch.setattr(inputs, "files", lambda *a: made.append(a) or files(*a))
+    queries.scan_resumed(spark, "/root/testdata/sf0.001")
+    assert len(made) == 1  # once for each scan and the cache before
