@@ -2,8 +2,8 @@
 
 White space lies inside no token of the vocabulary, and pairs of bytes that stand side by side in no token can't be
 joined by any merge. Both mark cuts that hold for certain: what lies between cuts is encoded on its own and the ids
-are concatenated. The same fragments come again and again, so each Python worker keeps those it has seen, up to a
-bound. The merges themselves are the tokenizers library's. Ids are decoded from the vocabulary, a word's at once: a file
+are concatenated. The same words and fragments come again and again, so each Python worker keeps those it has seen, up
+to a bound. The merges themselves are the tokenizers library's. Ids are decoded from the vocabulary, a word's at once: a file
 that names no decoder joins tokens by blanks, so what words decode to is joined in the same way.
 
 Defined cases: a null text is empty and has no ids; strings of special tokens inside a text get their special id, as
@@ -19,6 +19,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from .common import bound_batches
 
 #: Words and fragments a worker remembers before it starts anew, and characters of all that it remembers.
-REMEMBERED, REMEMBERED_CHARS = 80_000, 8_000_000
+REMEMBERED, REMEMBERED_CHARS = 120_000, 8_000_000
 #: Words that normalise to their plain lower case and split into letters and marks: most words, read without the library.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,;:!?*#%&$|()-]*)")
 #: The usual byte-level alphabet: printable bytes stand for themselves, the others follow from U+0100 on.
@@ -59,6 +60,7 @@ class ForcedBoundaryEncoder:
             joined.update(plain[i : i + 2] for i in range(len(plain) - 1))
         self.joined = joined
         self.token = {i: t for t, i in self.library.get_vocab().items()}
+        self.decimal = {i: str(i) for i in self.token}
         self.plain = PLAIN if self.reads_plain() else None
         self.fragments: dict[tuple[str, bool], list[int]] = {}
         self.words: dict[str, tuple[int, str, str]] = {}
@@ -68,6 +70,8 @@ class ForcedBoundaryEncoder:
     def cuts(self, piece: str) -> list[str]:
         """Fragments of a pre-token between byte pairs that no token holds."""
         joined, out, start = self.joined, [], 0
+        if joined.issuperset(map(add, piece, piece[1:])):
+            return [piece]
         for i in range(1, len(piece)):
             if piece[i - 1 : i + 1] not in joined:
                 out.append(piece[start:i])
@@ -84,13 +88,15 @@ class ForcedBoundaryEncoder:
         return all(self.read(w) == self.split_plain(m) for w in samples if (m := PLAIN.fullmatch(w)))
 
     def split_plain(self, plain: re.Match) -> list[str]:
-        return [p.lower().encode().decode("latin-1").translate(ALPHABET) for p in plain.groups() if p]
+        return [p.lower() if p.isascii() else p.lower().encode().decode("latin-1").translate(ALPHABET) for p in plain.groups() if p]
 
     def read(self, word: str) -> list[str]:
         return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(word) if self.library.normalizer else word)]
 
     def pieces(self, word: str) -> list[str]:
         """Pre-tokens of a word in the byte-level alphabet."""
+        if self.plain and word.isascii() and word.isalpha():
+            return [word.lower()]
         plain = self.plain and self.plain.fullmatch(word)
         return self.split_plain(plain) if plain else self.read(word)
 
@@ -127,8 +133,8 @@ class ForcedBoundaryEncoder:
                 self.older, self.words, self.in_words = self.words, {}, 0
             got = self.older.get(word)
             if got is None:
-                ids = self.ids(word)
-                got = (len(ids), " ".join(map(str, ids)), self.decode(ids))
+                ids, decimal = self.ids(word), self.decimal
+                got = (len(ids), " ".join([decimal[i] for i in ids]), self.decode(ids))
             self.words[word] = got
             self.in_words += len(word) + len(got[1]) + len(got[2])
         return got
@@ -137,9 +143,12 @@ class ForcedBoundaryEncoder:
         """As word(), of a whole text."""
         known = self.words.get
         parts = [known(w) or self.word(w) for w in text.replace("\n", " ").split(" ") if w]
-        if not all(p[0] for p in parts):
+        ids = [p[1] for p in parts]
+        if "" in ids:  # of words without ids nothing is joined
             parts = [p for p in parts if p[0]]
-        return sum([p[0] for p in parts]), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
+            ids = [p[1] for p in parts]
+        joined = " ".join(ids)
+        return joined.count(" ") + 1 if ids else 0, joined, " ".join([p[2] for p in parts])
 
 
 @lru_cache(maxsize=2)

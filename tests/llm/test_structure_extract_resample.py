@@ -424,3 +424,25 @@ def test_remembered_words_are_bounded_in_bytes(monkeypatch):
         assert encoder.text(text)[1] == " ".join(map(str, library.encode(text, add_special_tokens=False).ids))
         held = sum(len(w) + len(g[1]) + len(g[2]) for store in (encoder.words, encoder.older) for w, g in store.items())
         assert held <= 2 * 3000 + 4000 and sum(len(t) + 8 * len(g) for (t, _), g in encoder.fragments.items()) <= 1000 + 4000
+
+
+def test_words_that_come_again_are_not_encoded_again(monkeypatch):
+    """115,000 words are remembered at once; pieces without a cut and words of plain letters are read as the library does."""
+    from tokenizers import Tokenizer
+
+    from codesieve.llm import bpe
+    from codesieve.llm.queries import tokenizer
+
+    path = tokenizer("word_bpe_49k.json")
+    encoder, library = bpe.ForcedBoundaryEncoder(path), Tokenizer.from_file(path)
+    text = "The THE the, caf\u00e9 CAF\u00c9 don't it's zqxj qzzq Zebra? x1y22 \u0130 \ufb01 \u00aa..--"
+    n, ids, decoded = encoder.text(text)
+    want = library.encode(text, add_special_tokens=False).ids
+    assert (n, ids, decoded) == (len(want), " ".join(map(str, want)), library.decode(want, skip_special_tokens=False))
+    assert encoder.text("") == encoder.text(" \n ") == (0, "", "")
+    asked: list = []
+    monkeypatch.setattr(encoder, "ids", lambda w: (asked.append(w), [1])[1])
+    for _ in range(2):
+        for i in range(0, 115_000, 1000):
+            encoder.text(" ".join(f"w{k}" for k in range(i, i + 1000)))
+    assert len(asked) == 115_000
