@@ -31,7 +31,7 @@ REMEMBERED, REMEMBERED_BYTES = 250_000, 32_000_000
 FILE_BYTES = 24_000_000
 ORC = {"orc.compress": "SNAPPY", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.stripe.size": str(16 << 20)}
 #: Bytes of text that are cut at once.
-TOGETHER = 1_500_000
+TOGETHER = 3_000_000
 #: Bytes of a piece that its hash covers.
 HASHED = 512
 #: Bytes after a blank with which something visible begins for certain (other characters may be white space).
@@ -58,7 +58,9 @@ def distinct(raw: bytes, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarra
     key = size.astype(np.uint64)
     for live, at, mask in steps(np.arange(len(size))):
         key[live] = mixed((key[live] ^ (words[start[live] + at] & mask)) * np.uint64(0x9E3779B97F4A7C15))
-    _, first, which = np.unique(key, return_index=True, return_inverse=True)
+    which = pa.array(key).dictionary_encode().indices.to_numpy().astype(np.int64)
+    first = np.empty(int(which.max()) + 1 if len(which) else 0, np.int64)
+    first[which[::-1]] = np.arange(len(which) - 1, -1, -1)  # of places of one key the last that is written, the first, stays
     same = first[which]
     other = np.nonzero(same != np.arange(len(same)))[0]
     differ = bool((size[other] != size[same[other]]).any())
@@ -83,11 +85,13 @@ class PieceEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.plain = Tokenizer(self.library.model)
+        self.plain.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         added, pre = spec["added_tokens"], spec["pre_tokenizer"] or {}
@@ -95,6 +99,7 @@ class PieceEncoder:
             not spec["normalizer"] and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
             and not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] or re.search(r"\s", t["content"]) for t in added)
         )
+        self.words = self.cuts and not any(t["content"].isalpha() for t in added)
         self.mark = GRAPHIC & ~LETTER & np.array([not chr(i).isdigit() and chr(i) not in "'" + "".join(t["content"] for t in added) for i in range(256)])
         vocab = self.library.get_vocab()
         # tokens that begin with a blank, and bytes of each token (a character of the byte-level alphabet is a byte)
@@ -124,16 +129,27 @@ class PieceEncoder:
         return np.nonzero(cut)[0]
 
     def encode(self, new: list[bytes]) -> None:
-        """Pieces with one blank, at their beginning, are encoded in one text and told apart by it."""
-        joined = [p for p in new if p[:1] == b" " and p.count(b" ") == 1 and len(p) > 1 and VISIBLE[p[1]]] if self.cuts else []
-        if joined:
-            ids = np.array(self.library.encode_batch_fast([b"".join(joined).decode("utf-8", "surrogatepass")], add_special_tokens=False)[0].ids, "<u4")
-            at, size, asked = np.nonzero(self.opens[ids])[0], self.bytes[ids], np.array([len(p) for p in joined])
+        """Pieces with one blank, at their beginning, are encoded in one text and told apart by it. Of these, a blank and
+        ASCII letters are one word to the pre-tokenizer, so the model gets them as they are, in its own alphabet."""
+        rest, words, joined = [], [], []
+        for p in new:
+            if not self.cuts or p[:1] != b" " or len(p) < 2:
+                rest.append(p)
+            elif self.words and p[1:].isalpha():
+                words.append(p)
+            else:
+                (joined if p.count(b" ") == 1 and VISIBLE[p[1]] else rest).append(p)
+        for library, text, pieces in (self.plain, b"".join(words).decode().replace(" ", " \u0120")[1:], words), (self.library, b"".join(joined).decode("utf-8", "surrogatepass"), joined):
+            if not pieces:
+                continue
+            ids = np.array(library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            at, size, asked = np.nonzero(self.opens[ids])[0], self.bytes[ids], np.array([len(p) for p in pieces])
             if np.array_equal((np.cumsum(size) - size)[at], np.cumsum(asked) - asked):  # they begin where the pieces do
                 raw, ends = ids.tobytes(), [*(4 * at[1:]).tolist(), 4 * len(ids)]
-                self.known.update(zip(joined, [raw[i:j] for i, j in zip((4 * at).tolist(), ends, strict=True)], strict=True))
-                new = [p for p in new if p not in self.known]
-        for p, e in zip(new, self.library.encode_batch_fast([p.decode("utf-8", "surrogatepass") for p in new], add_special_tokens=False), strict=True):
+                self.known.update(zip(pieces, [raw[i:j] for i, j in zip((4 * at).tolist(), ends, strict=True)], strict=True))
+            else:
+                rest += pieces
+        for p, e in zip(rest, self.library.encode_batch_fast([p.decode("utf-8", "surrogatepass") for p in rest], add_special_tokens=False), strict=True):
             self.known[p] = np.array(e.ids, "<u4").tobytes()
 
     def batch(self, texts: list[str], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -149,15 +165,19 @@ class PieceEncoder:
             self.older, self.known, self.held = self.known, {}, 0
         known = self.known
         got = list(map(known.get, pieces))
-        new = [p for p, g in zip(pieces, got, strict=True) if g is None]
-        if new:
-            known.update((p, self.older[p]) for p in new if p in self.older)
-            self.encode([p for p in new if p not in known])
-            got = [known[p] for p in pieces]
-            self.held += sum(map(len, new)) + sum(len(known[p]) for p in new)
+        lacked = [i for i, g in enumerate(got) if g is None]
+        if lacked:
+            new = [pieces[i] for i in lacked]
+            before = list(map(self.older.get, new))
+            known.update((p, g) for p, g in zip(new, before, strict=True) if g is not None)
+            self.encode([p for p, g in zip(new, before, strict=True) if g is None])
+            of_new = [known[p] for p in new]
+            for i, g in zip(lacked, of_new, strict=True):
+                got[i] = g
+            self.held += sum(map(len, new)) + sum(map(len, of_new))
         # ids of distinct pieces, one after the other, and where each occurrence takes its own
         flat = np.frombuffer(b"".join(got), "<u4")
-        length = np.array([len(g) for g in got], np.int64) // 4
+        length = np.fromiter(map(len, got), np.int64, len(got)) // 4
         offset = np.cumsum(length) - length
         n = length[which]
         per_doc = np.bincount(np.searchsorted(np.cumsum(sizes), start, side="right"), n, minlength=len(texts)).astype(np.int64)

@@ -425,6 +425,24 @@ def test_bpe_refuses_files_with_a_decoder():
         bpe.encoder(tokenizer("byte_bpe_50k.json"))
 
 
+def test_plain_words_pass_by_the_pre_tokenizer():
+    """A blank and ASCII letters are one word: the model gets them; all else goes through the whole library."""
+    e = token_orc.PieceEncoder(tokenizer("byte_bpe_50k.json"))
+    own, seen = e.library, []
+
+    class Noting:
+        def encode_batch_fast(self, texts, **how):
+            seen.extend(texts)
+            return own.encode_batch_fast(texts, **how)
+
+    e.library = Noting()
+    texts = ["one word Zqxv wordéd  two 12 it's don't x", " lead\u0120 \u0120mid end", "", "<|endoftext|> a <|endoftext|>b", "\u00a0 nbsp tail "]
+    ids, n = e.batch(texts, 2)
+    want = [[*own.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert seen and not any(w in t for t in seen for w in (" word ", " Zqxv", " two"))
+
+
 def test_forced_boundaries():
     e = bpe.encoder(tokenizer("word_bpe_49k.json"))
     assert len(e.cuts("queauxrée")) >= 1 and "".join(e.cuts("queauxrée")) == "queauxrée"
