@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -26,6 +27,18 @@ def test_text_helpers(spark):
     assert column(spark, "double", [1.0, 0.0001, 0.25, 0.0], number_text) == ["1", "0.0001", "0.25", "0"]
 
 
+def test_evidence_is_looked_for_before_contents_are_collapsed(spark):
+    """The same answers as of collapsed contents, and no look at all contents for null ones of these."""
+    rng = random.Random(5)
+    texts = [None, "", "a \x85", "a \x85b", "a\x85", "a  b", "a b"] + ["".join(rng.choice(" \n\t\x85\xa0ab") for _ in range(rng.randrange(1, 7))) for _ in range(150)]
+    t = spark.createDataFrame([(x,) for x in texts], "t string")
+    both = t.crossJoin(t.select(F.col("t").alias("e"))).select("t", "e", analysis.verify_evidence(F.col("e"), collapse_ws(F.col("t"))).alias("want"), analysis.stands_in(F.col("e"), F.col("t")).alias("got"))
+    assert both.filter("want").count() > 1000 and both.filter("coalesce(want, false) <> coalesce(got, false)").collect() == []
+    chunks, replies = spark.createDataFrame([], "target string, crate string, chunk_key string, content string"), spark.createDataFrame([], "target string, chunk_key string, text string, error string")
+    plan = analysis.findings_from_responses(chunks, replies)._jdf.queryExecution().optimizedPlan().toString()
+    assert "isnotnull(regexp_replace(regexp_replace(content" not in plan
+
+
 def test_object_in_prose(spark):
     assert column(spark, "string", ['x {"a":{}} y', "}{", "none", "{", None], object_in) == ['{"a":{}}', None, None, None, None]
 

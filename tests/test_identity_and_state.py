@@ -179,6 +179,23 @@ def test_a_dying_task_pays_once(spark, tmp_path):
     assert paid(calls) == {f"k{i}": 1 for i in range(70)}
 
 
+def test_a_log_has_few_files(spark, tmp_path):
+    """However many groups there were; and replies that stand twice, as a stopped merge leaves them, count once."""
+    calls, log = str(tmp_path / "calls"), tmp_path / "log"
+    os.mkdir(calls)
+    asking = Asking(8, 4, delay=lambda a: 0.0, group=2, log=str(log))
+    got = model.complete(requests(spark, 500), counting(calls), asking)
+    assert got.count() == 500
+    folders = Counter(os.path.dirname(f) for f in log.rglob("*.parquet"))
+    assert len(folders) == model.SHARDS and set(folders.values()) == {1}
+    assert model.read_replies(spark, str(log)).count() == 500
+    for f in list(log.rglob("replies-*.parquet")):
+        f.with_name("replies-again.parquet").write_bytes(f.read_bytes())
+    assert Counter(r.request_key for r in got.select("*").collect()) == {f"k{i}": 1 for i in range(500)}
+    assert model.complete(requests(spark, 500), counting(calls), asking).count() == 500
+    assert paid(calls) == {f"k{i}": 1 for i in range(500)}
+
+
 def test_errors_are_asked_again(spark, tmp_path):
     calls = str(tmp_path / "calls")
     os.mkdir(calls)
