@@ -281,6 +281,26 @@ def test_trie_join(spark, texts, docs, nothing, cell):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in odd) == [("1", 1, "1"), ("1", 1, "1"), ("None", 1, "None")]
 
 
+def test_words_are_hashed_without_an_object_each():
+    """Shingles of words of any length, blank and case are those of the words' bytes; calls grow with texts, not words."""
+    import sys
+
+    rng = random.Random(2)
+    long = ["x" * n for n in (7, 8, 9, 16, 31, 32, 33, 34, 90)]
+    some = [None, "", " \t\n", "one", "A b", "a\x0bB", "Ä ö \xa0 ü\x1c ß", "\ud800 z", " ".join(long), " ".join(long[::-1]), "a b c d e", "a  b\rc\x0cd\te", "b a c d e", " ".join(words(rng, 20_000, 10_000))]
+    want = [set(zip(*(w[i:] for i in range(min(len(w), 5))), strict=False)) for w in ((t or "").encode("utf-8", "surrogatepass").lower().split() for t in some)]
+    calls: list = []
+    sys.setprofile(lambda frame, event, arg: calls.append(1) if event in ("call", "c_call") else None)
+    try:
+        got = trie_join.extractor(5)(some)
+    finally:
+        sys.setprofile(None)
+    assert [n for n, _, _ in got] == [len(w) for w in want] and all((np.diff(h) > 0).all() for _, _, h in got if len(h) > 1)
+    for a, (_, _, x) in zip(want, got, strict=True):
+        assert [len(a & b) for b in want] == [len(np.intersect1d(x, y)) for _, _, y in got]
+    assert len(calls) < 2000, len(calls)
+
+
 def test_large_cells_send_sets_in_proportion(spark, monkeypatch):
     """A cell of 20 times as many sets as a trie may have, in small groups: sets sent grow as the sets do."""
     sent = []
