@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.text import normalize_rule, percent
 from ..schemas import SEVERITIES
 from ..sources.tables import Tables
-from .ordering import PAGE, paged, placed
+from .ordering import PAGE, beside, paged, placed
 
 
 def validate_ground_truth(targets: DataFrame, entries: DataFrame, strict: bool = False) -> DataFrame:
@@ -281,7 +281,9 @@ def eval_report(summary: DataFrame, matches: DataFrame, entries: DataFrame, targ
     rows = severity_matrix(matches, targets).groupBy("target", "row").agg(F.array_sort(F.collect_list(F.struct("column", "findings"))).alias("r")).groupBy("target").agg(F.array_sort(F.collect_list(F.struct("row", F.col("r.findings").alias("cells")))).alias("m")).select("target", F.col("m.cells").alias("matrix"))
     both = missed.join(wrong, ["target", "page"], "full")
     pages = both.groupBy("target").agg(F.max("page").alias("pages"))
-    all_ = summary.join(pages, "target", "left").join(both, "target", "left").join(rows, "target", "left").withColumns({"page": F.coalesce("page", F.lit(1)), "pages": F.coalesce("pages", F.lit(1))})
+    own = Tables(matches.sparkSession, "reported").save(summary.join(pages, "target", "left").join(rows, "target", "left"), "own")
+    none = own.filter("pages is null").withColumns({"page": F.lit(1), "pages": F.lit(1)})
+    all_ = beside(both, own.filter("pages is not null")).unionByName(none, allowMissingColumns=True)
 
     def listed(name: str, like: DataFrame) -> Column:
         return F.coalesce(name, F.expr(f"cast(array() as {like.schema[name].dataType.simpleString()})"))

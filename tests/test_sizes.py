@@ -161,3 +161,21 @@ def test_findings_are_not_held_against_each_entry_of_a_larger_group(spark, monke
         near = [(abs(x + y - a - b), k) for k, (x, y) in enumerate(lines) if b >= x - 5 and a <= y + 5]
         assert got[i] == (f"e{min(near)[1]}" if near else None)
     assert seen == [len(set(lines))]
+
+
+def test_a_target_of_many_pages_is_held_by_no_task(spark):
+    """Rows of targets go to pages: these are never the buffered side of a join, nor dealt out by their target."""
+    from codesieve.sources import writers
+
+    rows = spark.range(2300).selectExpr("if(id < 2250, 'a', 'b') AS target", "id AS ord", "'R' AS rule_id", "'low' AS severity", "cast(null AS string) AS cwe", "'c' AS crate", "concat('f', id) AS file", "1 AS line_start", "2 AS line_end", "'s' AS summary", "'e' AS evidence", "'x' AS fix_suggestion", "0.5D AS confidence")
+    runs = spark.createDataFrame([("a", "A", []), ("b", "B", []), ("none", "N", [])], "target string, title string, info array<struct<name: string, value: string>>")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = writers.html_report(runs, rows)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        pages = sorted((r.target, r.page, r.html.count("<tr><td"), r.html.count("finding(s)")) for r in got.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert pages == [*(("a", k, 500 if k < 5 else 250, 1) for k in range(1, 6)), ("b", 1, 50, 1), ("none", 1, 0, 1)]
+    assert "SortMergeJoin" not in plan
