@@ -11,26 +11,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .readers import HIDDEN, IGNORED, TARGET, plain_path, plain_root
-from .tables import Folder, Tables, pack_small_files
+from .tables import Folder, Tables
+from .trees import Tree
 
 LISTING = "target string, rel_path string, size bigint, time timestamp, digest string"
 
 
-def listed(spark: SparkSession, root: str, glob: str = "*.rs", ignored: list[str] | None = None, hidden: bool = False) -> DataFrame:
-    """target, rel_path, size, time and content of files below root, each target in a folder of its own. A look that
-    leaves out content doesn't open the files."""
-    pack_small_files(spark)
-    base = root.rstrip("/")
-    plain = plain_root(base)
+def looked(tree: Tree, ignored: list[str] | None = None, hidden: bool = False) -> DataFrame:
+    """target, rel_path, size, time and path of a tree's files, each target in a folder of its own. No file is opened."""
+    plain = plain_root(tree.base)
     path = plain_path(F.col("path"))
     inside = path.substr(F.lit(len(plain) + 2), F.length(path))
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(base)
-    rows = rows.select(F.regexp_extract(inside, TARGET, 1).alias("target"), F.regexp_extract(inside, TARGET, 2).alias("rel_path"), F.col("length").alias("size"), F.col("modificationTime").alias("time"), "content").filter("rel_path <> ''")
+    rows = tree.names.select(F.regexp_extract(inside, TARGET, 1).alias("target"), F.regexp_extract(inside, TARGET, 2).alias("rel_path"), "size", "time", "path").filter("rel_path <> ''")
     for pattern in (IGNORED if ignored is None else ignored) + ([] if hidden else [HIDDEN]):
         rows = rows.filter(~F.col("rel_path").rlike(pattern))
     return rows
 
 
+def listed(spark: SparkSession, root: str, glob: str = "*.rs", **which) -> DataFrame:
+    """target, rel_path, size, time and content of files below root."""
+    tree = Tree(spark, root, glob)
+    return tree.contents(looked(tree, **which)).drop("path")
+
+
 def number(spark: SparkSession, folder: str) -> int:
     """The newest whole snapshot in folder; 0 if there is none."""
     numbers = sorted((int(n.removeprefix("snapshot-")) for n in Folder(spark, folder).names() if n.startswith("snapshot-") and n.removeprefix("snapshot-").isdigit()), reverse=True)
@@ -41,20 +44,19 @@ def listing(spark: SparkSession, folder: str, n: int) -> DataFrame:
     return spark.read.schema(LISTING).parquet(f"{folder}/snapshot-{n}") if n else spark.createDataFrame([], LISTING)
 
 
-def take_snapshot(spark: SparkSession, root: str, folder: str, **which) -> int:
+def take_snapshot(spark: SparkSession, root: str, folder: str, glob: str = "*.rs", **which) -> int:
     """Take the next snapshot of the files below root and return its number. Texts of new and changed files are added to
     the packed ones (target, rel_path, content, snapshot); the listing is written last, and only with it the snapshot is
     there: one that was stopped is taken again under the same number, over what it had packed."""
     tables = Tables(spark, "snapshot")
     n = number(spark, folder)
     old = listing(spark, folder, n).select("target", "rel_path", F.col("size").alias("old_size"), F.col("time").alias("old_time"), F.col("digest").alias("old_digest"))
-    seen = listed(spark, root, **which)
+    tree = Tree(spark, root, glob)
     same = F.coalesce((F.col("size") == F.col("old_size")) & (F.col("time") == F.col("old_time")), F.lit(False))
-    # one pass over the tree: a second one, for files alone that have to be read, would open all files as well
-    here = seen.join(old, ["target", "rel_path"], "left").withColumn("same", same).withColumn("content", F.when(~F.col("same"), F.col("content")))
-    here = tables.save(here.select("target", "rel_path", "size", "time", "old_digest", "same", "content"), "here")
+    here = looked(tree, **which).join(old, ["target", "rel_path"], "left").withColumn("same", same)
+    here = tables.save(here.select("target", "rel_path", "size", "time", "path", "old_digest", "same"), "here")
     kept = here.filter("same").select("target", "rel_path", "size", "time", F.col("old_digest").alias("digest"))
-    read = here.filter("not same")
+    read = tree.contents(here.filter("not same").drop("same"))
     text = F.make_valid_utf8(F.col("content").cast("string"))
     packed = f"{folder}/packed/snapshot={n + 1}"
     read.select("target", "rel_path", "size", "time", "old_digest", text.alias("content")).withColumn("digest", F.sha2(F.encode("content", "UTF-8"), 256)).write.mode("overwrite").parquet(packed)

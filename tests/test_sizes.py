@@ -179,3 +179,47 @@ def test_a_target_of_many_pages_is_held_by_no_task(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
     assert pages == [*(("a", k, 500 if k < 5 else 250, 1) for k in range(1, 6)), ("b", 1, 50, 1), ("none", 1, 0, 1)]
     assert "SortMergeJoin" not in plan
+
+
+def test_trees_are_listed_by_tasks(spark, tmp_path):
+    """No reader of a tree has Spark's driver list it; what is found is what Spark's reader finds, and files of no bytes."""
+    from codesieve.sources import readers, snapshot, trees
+
+    root = tmp_path / "root"
+    for name in ("t/src/a.rs", "t/b.rs", "t/src/deep/er/c.rs", "t/_left/d.rs", "t/.git/e.rs", "t/src/_f.rs", "t/src/g.txt", "u/Cargo.toml", "u/x y/h+%20é.rs", "top.rs"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(f"fn {name}")
+    (root / "t/none.rs").write_text("")
+    (root / "linked").symlink_to(root / "u", target_is_directory=True)
+    rows = readers.read_sources(spark, str(root))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "binaryFile" not in plan
+    own, other = trees.Tree(spark, str(root), "*.rs"), trees.Tree(spark, str(root)[:-1] + "[t]", "*.rs")
+    assert own.own and not other.own
+    found = [{(readers_path(r.path), r.size, r.time, bytes(r.content)) for r in t.contents(t.names).collect()} for t in (own, other)]
+    assert {x for x in found[0] if x[1]} == found[1] and len(found[1]) == 6
+    assert {(r.target, r.rel_path, r.content) for r in rows.collect()} == {(p.split("/")[0], p.split("/", 1)[1], c.decode()) for p, _, _, c in ((x[0].removeprefix(str(root) + "/"), *x[1:]) for x in found[0]) if "/" in p}
+    assert snapshot.take_snapshot(spark, str(root), str(tmp_path / "s")) == 1 and snapshot.listing(spark, str(tmp_path / "s"), 1).count() == 6
+
+
+def readers_path(path):
+    return path.removeprefix("file:")
+
+
+def test_names_of_written_files_stay_with_tasks(tmp_path):
+    """What a task tells the driver doesn't grow with its files; a failed write still takes them away."""
+    import pickle
+
+    from codesieve.sources import named_files
+
+    def written(k, n):
+        return writer.write(iter([{"name": f"d{k}/f{i}\n", "content": "x"} for i in range(n)]))
+
+    writer = named_files.Writer(str(tmp_path / "out"), False)
+    messages = [written(0, 2), written(1, 2000)]
+    assert abs(len(pickle.dumps(messages[0])) - len(pickle.dumps(messages[1]))) < 10
+    writer.commit(messages)
+    assert sorted(x.name for x in (tmp_path / "out").iterdir()) == ["_written", "d0", "d1"] and (tmp_path / "out/_written").read_text() == "2002"
+    writer = named_files.Writer(str(tmp_path / "broken"), False)
+    writer.abort([written(0, 2), None, written(1, 20)])
+    assert not [x for x in (tmp_path / "broken").rglob("*") if x.is_file()]
